@@ -6,6 +6,9 @@ scan's projection: no join, no shuffle, no broadcast.
 
 from __future__ import annotations
 
+import json
+from dataclasses import asdict
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -77,46 +80,37 @@ def card_index(model_id: Column, cards: list[Card]) -> Column:
     return longest_contained(F.lower(model_id), entries).cast("int")
 
 
-def _settings(values: MethodSettings) -> Column:
-    return F.struct(
-        F.lit(values.lora_rank).cast("int").alias("lora_rank"),
-        F.lit(values.lora_alpha).cast("int").alias("lora_alpha"),
-        F.lit(float(values.lr)).alias("lr"),
-        F.lit(values.batch_size).cast("int").alias("batch_size"),
-        F.lit(values.max_seq_length).cast("int").alias("max_seq_length"),
-    )
+CONFIG = "struct<lora_rank:int,lora_alpha:int,lr:double,batch_size:int,max_seq_length:int>"
+CARD_SCHEMA = (
+    "array<struct<ord:int,id:string,patterns:array<string>,display_name:string,family:string,"
+    "chat_template:string,params_b:double,size_gb:double,license:string,"
+    "sources:array<struct<platform:string,id:string>>,"
+    f"training:array<struct<method:string,min_vram_gb:double,config:{CONFIG}>>,"
+    "recommended_datasets:array<string>,tags:array<string>>>"
+)
+
+
+def _config(values: MethodSettings) -> dict:
+    return {k: v for k, v in asdict(values).items() if k != "min_vram_gb"}
 
 
 def card_column(cards: list[Card]) -> Column:
-    """All cards as one constant array of structs, in table order."""
-    rows = []
-    for i, c in enumerate(cards):
-        methods = F.array(*[
-            F.struct(
-                F.lit(m).alias("method"),
-                F.lit(float(c.training[m].min_vram_gb)).alias("min_vram_gb"),
-                _settings(c.training[m]).alias("config"),
-            )
-            for m in c.training
-        ])
-        rows.append(F.struct(
-            F.lit(i).alias("ord"),
-            F.lit(c.id).alias("id"),
-            F.lit(c.display_name).alias("display_name"),
-            F.lit(c.family).alias("family"),
-            F.lit(c.chat_template).alias("chat_template"),
-            F.lit(c.params_b).alias("params_b"),
-            F.lit(c.size_gb).alias("size_gb"),
-            F.lit(c.license).alias("license"),
-            F.array(*[
-                F.struct(F.lit(p).alias("platform"), F.lit(s).alias("id")) for p, s in c.sources
-            ]).cast("array<struct<platform:string,id:string>>").alias("sources"),
-            methods.alias("training"),
-            F.array(*[F.lit(d) for d in c.recommended_datasets]).cast("array<string>")
-            .alias("recommended_datasets"),
-            F.array(*[F.lit(t) for t in c.tags]).cast("array<string>").alias("tags"),
-        ))
-    return F.array(*rows)
+    """All cards as one constant array of structs, in table order.
+
+    Written as a JSON literal, which the optimizer folds into a constant once per query.
+    """
+    rows = [
+        {
+            **asdict(c), "ord": i,
+            "sources": [{"platform": p, "id": s} for p, s in c.sources],
+            "training": [
+                {"method": m, "min_vram_gb": s.min_vram_gb, "config": _config(s)}
+                for m, s in c.training.items()
+            ],
+        }
+        for i, c in enumerate(cards)
+    ]
+    return F.from_json(F.lit(json.dumps(rows, ensure_ascii=False)), CARD_SCHEMA)
 
 
 def match_card(model_id: Column, cards: list[Card]) -> Column:
@@ -129,12 +123,10 @@ def best_method(card: Column, vram_gb: Column) -> Column:
     """Struct(method, config): most demanding method that fits, in qlora < lora < full order."""
     fitting = F.filter(card["training"], lambda m: m["min_vram_gb"] <= vram_gb)
     chosen = F.element_at(fitting, -1)
-    config_type = "struct<lora_rank:int,lora_alpha:int,lr:double,batch_size:int,max_seq_length:int>"
-    default = F.struct(
-        F.lit(METHODS[0]).alias("method"), _settings(DEFAULT_SETTINGS).alias("config")
-    )
+    default_config = F.from_json(F.lit(json.dumps(_config(DEFAULT_SETTINGS))), CONFIG)
+    default = F.struct(F.lit(METHODS[0]).alias("method"), default_config.alias("config"))
     insufficient = F.struct(
-        F.lit("insufficient").alias("method"), F.lit(None).cast(config_type).alias("config")
+        F.lit("insufficient").alias("method"), F.lit(None).cast(CONFIG).alias("config")
     )
     return (
         F.when(card.isNull(), default)

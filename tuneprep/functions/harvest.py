@@ -4,11 +4,17 @@ from __future__ import annotations
 
 import json
 import re
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+# Ship this module's functions with the task, so executors need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 # --- Fixed values: keys that mark a record, and the Markdown fence around a reply ---
 RECORD_KEYS = ("instruction", "messages", "conversations")
@@ -54,11 +60,13 @@ def find_records(text: str | None) -> list:
     return _parse_list(bare) or []
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def _records_json(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: [json.dumps(i, ensure_ascii=False) for i in find_records(t)])
+    return texts.map(lambda t: [
+        json.dumps(i, ensure_ascii=False) for i in find_records(t) if isinstance(i, dict)
+    ])
 
 
 def reply_items(text: Column) -> Column:
-    """JSON text of each harvested item. Replies without a bracket skip the Python worker."""
+    """JSON text of each harvested object."""
     return _records_json(text)

@@ -60,8 +60,8 @@ def sample_blocks(log: Column, keep: int = 3) -> Column:
     ])
     last = F.slice(found, F.greatest(F.size(found) - (keep - 1), F.lit(1)), keep)
     return F.transform(last, lambda s: F.struct(
-        s["0"].alias("step"),
-        F.substring(s["1"], 1, SAMPLE_LIMITS["input"]).alias("input"),
-        F.substring(s["2"], 1, SAMPLE_LIMITS["predict"]).alias("predict"),
-        F.substring(s["3"], 1, SAMPLE_LIMITS["label"]).alias("label"),
+        s["g1"].alias("step"),
+        F.substring(s["g2"], 1, SAMPLE_LIMITS["input"]).alias("input"),
+        F.substring(s["g3"], 1, SAMPLE_LIMITS["predict"]).alias("predict"),
+        F.substring(s["g4"], 1, SAMPLE_LIMITS["label"]).alias("label"),
     ))

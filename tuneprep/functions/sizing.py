@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tuneprep.functions.text import step_table
+from tuneprep.functions.text import round_even, step_table
 from tuneprep.rules import terms
 
 GIB = float(1024 ** 3)
@@ -46,7 +46,7 @@ def memory_budget(params_b: Column, method: Column, precision: Column, batch: Co
 
 
 def is_feasible(total_gb: Column, vram_gb: Column) -> Column:
-    return F.round(total_gb, 2) <= vram_gb * SAFETY
+    return round_even(total_gb, 2) <= vram_gb * SAFETY
 
 
 def least_demanding_method(vram_gb: Column) -> Column:

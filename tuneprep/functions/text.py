@@ -38,6 +38,12 @@ def matches_glob(name: Column, patterns: list[str]) -> Column:
     return name.rlike(f"^(?:{regex})$")
 
 
+def round_even(value: Column, digits: int) -> Column:
+    """Round to ``digits`` decimals with ties to even, as Python's ``round`` does."""
+    scale = float(10 ** digits)
+    return F.rint(value * scale) / scale
+
+
 def step_table(value: Column, steps: list[tuple], otherwise, *, inclusive: bool = False) -> Column:
     """CASE over ascending upper bounds: ``value < bound`` (or ``<=``) picks the entry."""
     out = None

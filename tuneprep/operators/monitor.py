@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tuneprep.functions.text import round_even
 from tuneprep.functions.logs import metric_of_line, sample_blocks, trainer_row
 from tuneprep.operators.ranking import blocked_lag, top_k_per_key
 
@@ -79,8 +80,8 @@ def progress(metrics: DataFrame, runs: DataFrame | None = None) -> DataFrame:
 def history_rows(metrics: DataFrame) -> DataFrame:
     """Display rows: epoch to 2 and loss to 4 decimals."""
     return metrics.select(
-        "experiment_id", "ord", "step", F.round("epoch", 2).alias("epoch"),
-        F.round("loss", 4).alias("loss"), F.col("learning_rate").alias("lr"),
+        "experiment_id", "ord", "step", round_even(F.col("epoch"), 2).alias("epoch"),
+        round_even(F.col("loss"), 4).alias("loss"), F.col("learning_rate").alias("lr"),
         F.col("elapsed_seconds").alias("time"),
     )
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tuneprep.functions.text import round_even
 from tuneprep.operators.formats import detect_schema_format, to_alpaca
 from tuneprep.sources.files import delete_path, path_exists
 from tuneprep.sources.inventory import list_files
@@ -73,7 +74,7 @@ def list_datasets(spark: SparkSession, base: str) -> DataFrame:
         .groupBy(F.regexp_extract("path", owner, 1).alias("id"))
         .agg(F.sum("length").alias("bytes"))
     )
-    size = F.round(F.coalesce(F.col("bytes"), F.lit(0).cast("long")) / float(1024 ** 2), 2)
+    size = round_even(F.coalesce(F.col("bytes"), F.lit(0).cast("long")) / float(1024 ** 2), 2)
     return meta.join(sizes, "id", "left").select(
         "id", "name", "format", "record_count", "created_at", size.alias("size_mb")
     )

@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tuneprep.operators.monitor import RECENT, parse_log
 
+# Ship this module's functions with the task, so executors need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 POINT = ["ord", "step", "epoch", "loss", "elapsed_seconds"]
 PARTIAL = (
     "experiment_id string, ord bigint, step bigint, epoch double, loss double, "
