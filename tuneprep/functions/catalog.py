@@ -9,16 +9,18 @@ from __future__ import annotations
 import json
 from dataclasses import asdict
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tuneprep.functions.text import contains_any, strip
+from tuneprep.functions.text import (
+    contains_any, first_contained, let, longest_contained,
+)
 from tuneprep.rules import terms
 from tuneprep.rules.cards import Card, DEFAULT_SETTINGS, METHODS, MethodSettings
 
 
 def licence_class(licence: Column) -> Column:
-    text = strip(F.lower(licence))
+    text = F.lower(licence)  # outer whitespace does not matter: no term starts or ends with it
     return (
         F.when(licence.isNull() | (licence == ""), "unknown")
         .when(contains_any(text, terms.FORBIDDEN_LICENCES), "forbidden")
@@ -30,9 +32,9 @@ def licence_class(licence: Column) -> Column:
     )
 
 
-def licence_label(licence: Column) -> Column:
+def licence_label(licence: Column, kind: Column) -> Column:
+    """Display label of a licence whose class is ``kind``."""
     labels = terms.LICENCE_LABELS
-    kind = licence_class(licence)
     return (
         F.when(licence.isNull() | (licence == ""), labels["missing"])
         .when(kind == "commercial", labels["commercial"])
@@ -42,42 +44,37 @@ def licence_label(licence: Column) -> Column:
     )
 
 
-def first_contained(text: Column, entries: list[tuple[str, object]]) -> Column:
-    """Value of the first pattern (in list order) contained in the text, or null."""
-    out = None
-    for pattern, value in entries:
-        test = F.contains(text, F.lit(pattern))
-        out = F.when(test, F.lit(value)) if out is None else out.when(test, F.lit(value))
-    return out
-
-
-def longest_contained(text: Column, entries: list[tuple[str, object]]) -> Column:
-    """Value of the longest contained pattern; equal lengths go to the earlier entry."""
-    return first_contained(text, sorted(entries, key=lambda e: -len(e[0])))
+def with_licence(models: DataFrame, licence: str = "license") -> DataFrame:
+    """Add license_class and license_label."""
+    return models.withColumn("license_class", licence_class(F.col(licence))).withColumn(
+        "license_label", licence_label(F.col(licence), F.col("license_class"))
+    )
 
 
 def compatibility(model_id: Column, architecture: Column) -> Column:
     """Struct(supported, architecture, reason); reason is architecture/family/unlisted/none."""
     arch = F.coalesce(architecture, F.lit(""))
     known = [(a, a) for a in terms.SUPPORTED_ARCHITECTURES]
-    by_arch = longest_contained(F.lower(arch), known)
-    by_id = longest_contained(F.lower(F.coalesce(model_id, F.lit(""))), known)
-    return F.struct(
-        F.coalesce(by_arch, by_id).isNotNull().alias("supported"),
-        F.when(arch != "", arch).otherwise(F.coalesce(by_id, F.lit("unknown")))
+    hits = F.struct(
+        longest_contained(F.lower(arch), known).alias("arch"),
+        longest_contained(F.lower(F.coalesce(model_id, F.lit(""))), known).alias("id"),
+    )
+    return let(hits, lambda h: F.struct(
+        F.coalesce(h["arch"], h["id"]).isNotNull().alias("supported"),
+        F.when(arch != "", arch).otherwise(F.coalesce(h["id"], F.lit("unknown")))
         .alias("architecture"),
-        F.when(by_arch.isNotNull(), "architecture")
-        .when(by_id.isNotNull(), "family")
+        F.when(h["arch"].isNotNull(), "architecture")
+        .when(h["id"].isNotNull(), "family")
         .when(arch != "", "unlisted")
         .otherwise("none")
         .alias("reason"),
-    )
+    ))
 
 
 def card_index(model_id: Column, cards: list[Card]) -> Column:
     """Position of the card whose longest pattern is contained in the id; null when none is."""
     entries = [(p, i) for i, card in enumerate(cards) for p in card.patterns]
-    return longest_contained(F.lower(model_id), entries).cast("int")
+    return longest_contained(F.lower(model_id), entries, "int")
 
 
 CONFIG = "struct<lora_rank:int,lora_alpha:int,lr:double,batch_size:int,max_seq_length:int>"
@@ -115,8 +112,7 @@ def card_column(cards: list[Card]) -> Column:
 
 def match_card(model_id: Column, cards: list[Card]) -> Column:
     """The matching card struct, or null."""
-    position = card_index(model_id, cards)
-    return F.when(position.isNotNull(), F.get(card_column(cards), position))
+    return F.get(card_column(cards), card_index(model_id, cards))
 
 
 def best_method(card: Column, vram_gb: Column) -> Column:
@@ -147,24 +143,22 @@ def template_signature(name: str) -> str:
 def chat_template(model_id: Column, config_template: Column | None = None,
                   longest: bool = False) -> Column:
     """Struct(template_name, confidence, source) for a model id and optional config text."""
-    lowered = F.lower(F.coalesce(model_id, F.lit("")))
     lookup = longest_contained if longest else first_contained
-    by_id = lookup(lowered, terms.TEMPLATE_BY_PATTERN)
-
-    def answer(name, confidence: str, source: str) -> Column:
-        name = name if isinstance(name, Column) else F.lit(name)
-        return F.struct(name.alias("template_name"), F.lit(confidence).alias("confidence"),
-                        F.lit(source).alias("source"))
-
+    lowered = F.lower(F.coalesce(model_id, F.lit("")))
     by_config = F.lit(None).cast("string")
     if config_template is not None:
         prefix = F.lower(F.substring(config_template, 1, terms.SIGNATURE_LENGTH))
         for name in reversed(list(terms.CHAT_MARKUP)):
             hit = (config_template != "") & (prefix == F.lit(template_signature(name)))
             by_config = F.when(hit, F.lit(name)).otherwise(by_config)
-    return (
-        F.when(by_config.isNotNull(), answer(by_config, "high", "config"))
-        .when(by_id.isNotNull(), answer(by_id, "high", "model_id"))
-        .when(contains_any(lowered, ["chat", "instruct"]), answer("chatml", "low", "heuristic"))
-        .otherwise(answer("chatml", "low", "unknown"))
+    hits = F.struct(
+        by_config.alias("config"), lookup(lowered, terms.TEMPLATE_BY_PATTERN).alias("id"),
+        contains_any(lowered, ["chat", "instruct"]).alias("hint"),
     )
+    return let(hits, lambda h: F.struct(
+        F.coalesce(h["config"], h["id"], F.lit("chatml")).alias("template_name"),
+        F.when(F.coalesce(h["config"], h["id"]).isNotNull(), "high").otherwise("low")
+        .alias("confidence"),
+        F.when(h["config"].isNotNull(), "config").when(h["id"].isNotNull(), "model_id")
+        .when(h["hint"], "heuristic").otherwise("unknown").alias("source"),
+    ))

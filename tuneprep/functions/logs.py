@@ -2,66 +2,74 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tuneprep.functions.text import strip
+from tuneprep.functions.text import let, strip
 from tuneprep.rules.terms import DICT_LINE, SAMPLE_BLOCK, SAMPLE_LIMITS
 from tuneprep.schema import LOG_METRIC, TRAINER_ROW
 
 STRICT = {"allowSingleQuotes": "false"}
+PERMISSIVE = {"mode": "PERMISSIVE"}
 
 
-def metric_of_line(line: Column) -> Column:
-    """Struct of a metric line, or null: JSON with a loss, else dictionary-style text."""
-    text = strip(line)
-    looks_json = F.startswith(text, F.lit("{")) & F.endswith(text, F.lit("}"))
-    parsed = F.from_json(F.when(looks_json, text), LOG_METRIC, STRICT)
+def parsed_metrics(lines: DataFrame, line: str = "line") -> DataFrame:
+    """Replace a line column by metric columns; lines without a metric are dropped.
 
-    def number(name: str) -> Column:
-        return F.coalesce(parsed[name], F.lit(0.0))
+    JSON with a loss comes first, then dictionary-style text. JSON is parsed once per line and
+    the regular expression only sees lines that contain its literal part.
+    """
+    kept = [c for c in lines.columns if c != line]
+    text = F.col("_text")
+    looks_json = F.startswith(text, F.lit("{")) & F.endswith(text, F.lit("}"))
+    no_loss = F.col("_json.loss").isNull() & F.contains(text, F.lit("'loss':"))
 
     def group(i: int) -> Column:
         return F.regexp_extract(text, DICT_LINE, i).try_cast("double")
 
     zero = F.lit(0.0)
-    from_json = F.struct(
-        number("step").cast("long").alias("step"),
-        number("epoch").alias("epoch"),
-        parsed["loss"].alias("loss"),
-        number("learning_rate").alias("learning_rate"),
-        number("grad_norm").alias("grad_norm"),
-        number("elapsed_seconds").alias("elapsed_seconds"),
-        F.lit("json").alias("style"),
-    )
-    from_text = F.struct(
-        F.lit(0).cast("long").alias("step"),
-        group(3).alias("epoch"),
-        group(1).alias("loss"),
-        group(2).alias("learning_rate"),
-        zero.alias("grad_norm"),
-        zero.alias("elapsed_seconds"),
-        F.lit("text").alias("style"),
+    is_json = F.col("_json.loss").isNotNull()
+
+    def pick(name: str, other: Column) -> Column:
+        return F.when(is_json, F.coalesce(F.col(f"_json.{name}"), zero)).otherwise(other)
+
+    return (
+        lines.select(*kept, strip(F.col(line)).alias("_text"))
+        .withColumn("_json", F.from_json(F.when(looks_json, text), LOG_METRIC, STRICT))
+        .withColumn("_dict", F.when(no_loss, F.array(group(1), group(2), group(3))))
+        .filter(is_json | F.col("_dict")[0].isNotNull())
+        .select(
+            *kept,
+            pick("step", zero).cast("long").alias("step"),
+            pick("epoch", F.col("_dict")[2]).alias("epoch"),
+            pick("loss", F.col("_dict")[0]).alias("loss"),
+            pick("learning_rate", F.col("_dict")[1]).alias("learning_rate"),
+            pick("grad_norm", zero).alias("grad_norm"),
+            pick("elapsed_seconds", zero).alias("elapsed_seconds"),
+            F.when(is_json, "json").otherwise("text").alias("style"),
+        )
     )
-    return F.when(parsed["loss"].isNotNull(), from_json).when(group(1).isNotNull(), from_text)
 
 
 def trainer_row(line: Column) -> Column:
-    """Struct of one trainer log row; null for blank lines."""
-    text = strip(line)
-    return F.when(text != "", F.from_json(text, TRAINER_ROW))
+    """Struct of one trainer log row."""
+    return F.from_json(line, TRAINER_ROW, PERMISSIVE)
 
 
 def sample_blocks(log: Column, keep: int = 3) -> Column:
-    """Last prediction samples of a whole log text: step, input, predict, label."""
-    found = F.arrays_zip(*[
-        F.regexp_extract_all(log, F.lit(SAMPLE_BLOCK), F.lit(i)).alias(f"g{i}")
-        for i in range(1, 5)
-    ])
-    last = F.slice(found, F.greatest(F.size(found) - (keep - 1), F.lit(1)), keep)
+    """Last prediction samples of a whole log text: step, input, predict, label.
+
+    The text is searched once; only the kept samples are taken apart.
+    """
+    found = F.regexp_extract_all(log, F.lit(SAMPLE_BLOCK), F.lit(0))
+    last = let(found, lambda f: F.slice(f, F.greatest(F.size(f) - (keep - 1), F.lit(1)), keep))
+
+    def part(sample: Column, i: int, name: str) -> Column:
+        return F.substring(F.regexp_extract(sample, SAMPLE_BLOCK, i), 1, SAMPLE_LIMITS[name])
+
     return F.transform(last, lambda s: F.struct(
-        s["g1"].alias("step"),
-        F.substring(s["g2"], 1, SAMPLE_LIMITS["input"]).alias("input"),
-        F.substring(s["g3"], 1, SAMPLE_LIMITS["predict"]).alias("predict"),
-        F.substring(s["g4"], 1, SAMPLE_LIMITS["label"]).alias("label"),
+        F.regexp_extract(s, SAMPLE_BLOCK, 1).alias("step"),
+        part(s, 2, "input").alias("input"),
+        part(s, 3, "predict").alias("predict"),
+        part(s, 4, "label").alias("label"),
     ))

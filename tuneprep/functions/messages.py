@@ -63,8 +63,10 @@ def trim_messages(messages: Column) -> Column:
     ).cast(MESSAGES)
 
 
-def has_text(messages: Column) -> Column:
-    return F.exists(messages, lambda m: F.coalesce(strip(m["content"]), F.lit("")) != "")
+def has_text(messages: Column, stripped: bool = False) -> Column:
+    """Any message with more than whitespace; ``stripped`` says contents are trimmed already."""
+    return F.exists(messages, lambda m: F.coalesce(
+        m["content"] if stripped else strip(m["content"]), F.lit("")) != "")
 
 
 def text_length(messages: Column, role: str | None = None) -> Column:

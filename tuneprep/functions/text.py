@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import fnmatch
+import json
+import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -15,12 +18,32 @@ def strip(col: Column) -> Column:
     return F.btrim(col, F.lit(WHITESPACE))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once and use it several times in ``body``."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def contains_any(col: Column, terms: list[str]) -> Column:
     """True when any term is a substring."""
-    hit = F.lit(False)
-    for term in terms:
-        hit = hit | F.contains(col, F.lit(term))
-    return hit
+    return col.rlike("|".join(re.escape(t) for t in terms))
+
+
+def first_contained(text: Column, entries: list[tuple[str, object]],
+                    kind: str = "string") -> Column:
+    """Value of the first pattern (in list order) contained in the text, or null.
+
+    The list is one JSON constant, folded by the optimizer, so the plan stays small.
+    """
+    rows = json.dumps([{"p": p, "v": v} for p, v in entries], ensure_ascii=False)
+    table = F.from_json(F.lit(rows), f"array<struct<p:string,v:{kind}>>")
+    return let(text, lambda t: F.get(
+        F.filter(table, lambda e: F.contains(t, e["p"])), 0)["v"])
+
+
+def longest_contained(text: Column, entries: list[tuple[str, object]],
+                      kind: str = "string") -> Column:
+    """Value of the longest contained pattern; equal lengths go to the earlier entry."""
+    return first_contained(text, sorted(entries, key=lambda e: -len(e[0])), kind)
 
 
 def cjk_chars(col: Column) -> Column:
@@ -29,13 +52,22 @@ def cjk_chars(col: Column) -> Column:
 
 
 def base_name(path: Column) -> Column:
-    return F.element_at(F.split(path, "/"), -1)
+    return F.substring_index(path, "/", -1)
 
 
 def matches_glob(name: Column, patterns: list[str]) -> Column:
     """Shell-style match of a whole file name against any pattern."""
-    regex = "|".join(fnmatch.translate(p).replace("\\z", "\\Z") for p in patterns)
-    return name.rlike(f"^(?:{regex})$")
+    hit = F.lit(False)
+    for pattern in patterns:
+        tail = pattern[1:]
+        if not set(pattern) & set("*?["):
+            test = name == pattern
+        elif pattern[0] == "*" and not set(tail) & set("*?["):
+            test = F.endswith(name, F.lit(tail))
+        else:
+            test = name.rlike("^" + fnmatch.translate(pattern).replace("\\z", "\\Z"))
+        hit = hit | test
+    return hit
 
 
 def round_even(value: Column, digits: int) -> Column:

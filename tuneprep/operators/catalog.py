@@ -22,8 +22,7 @@ def tag_models(models: DataFrame, architecture: str | None = None) -> DataFrame:
         models = models.withColumn("tags", F.coalesce(tags, F.array().cast("array<string>")))
     arch = F.col(architecture) if architecture else F.array_join("tags", ",")
     return (
-        models.withColumn("license_class", C.licence_class(F.col("license")))
-        .withColumn("license_label", C.licence_label(F.col("license")))
+        C.with_licence(models)
         .withColumn("compatibility", C.compatibility(F.col("model_id"), arch))
     )
 

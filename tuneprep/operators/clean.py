@@ -39,11 +39,13 @@ def _outcome(no_messages: Column, blank: Column, length: Column, opts: CleanOpti
 def classify(records: DataFrame, opts: CleanOptions = CleanOptions()) -> DataFrame:
     """Add ``outcome`` (checks before de-duplication) and replace messages by trimmed ones."""
     messages = F.coalesce(F.col("messages"), F.array().cast(MESSAGES))
-    trimmed = M.trim_messages(messages) if opts.trim_whitespace else messages
-    return records.withColumn(
-        "outcome",
-        _outcome(F.size(messages) == 0, ~M.has_text(messages), M.text_length(trimmed), opts),
-    ).withColumn("messages", trimmed)
+    if opts.trim_whitespace:
+        messages = M.trim_messages(messages)
+    ready = F.col("messages")
+    blank = ~M.has_text(ready, stripped=opts.trim_whitespace)
+    return records.withColumn("messages", messages).withColumn(
+        "outcome", _outcome(F.size(ready) == 0, blank, M.text_length(ready), opts)
+    )
 
 
 def clean(records: DataFrame, opts: CleanOptions = CleanOptions()) -> DataFrame:

@@ -27,25 +27,23 @@ COMPARE_COLUMNS = [
 UPDATE_FIELDS = ["final_loss", "best_loss", "training_duration_seconds", "vram_peak_gb"]
 
 
-def config_fields(config_json: Column) -> dict[str, Column]:
-    """The six stored settings and the chat template, with defaults for missing keys."""
+def with_config(rows: DataFrame, config: str = "config_json") -> DataFrame:
+    """Add the six stored settings and the chat template, with defaults for missing keys."""
     names = {k: CONFIG_ALIASES.get(k, [k]) for k in EXPERIMENT_DEFAULTS}
     kinds = {k: "double" if isinstance(v, float) else "bigint"
              for k, v in EXPERIMENT_DEFAULTS.items()}
     fields = [f"{a} {kinds[k]}" for k, aliases in names.items() for a in aliases]
-    parsed = F.from_json(config_json, ", ".join([*fields, "chat_template string"]))
-    out = {
-        k: F.coalesce(*[parsed[a] for a in aliases], F.lit(EXPERIMENT_DEFAULTS[k]).cast(kinds[k]))
-        for k, aliases in names.items()
-    }
-    out["chat_template"] = F.coalesce(parsed["chat_template"], F.lit(""))
-    return out
-
-
-def with_config(rows: DataFrame, config: str = "config_json") -> DataFrame:
-    fields = config_fields(F.col(config))
-    kept = [c for c in rows.columns if c not in fields]
-    return rows.select(*kept, *[c.alias(n) for n, c in fields.items()])
+    schema = ", ".join([*fields, "chat_template string"])
+    kept = [c for c in rows.columns if c not in names and c != "chat_template"]
+    return rows.withColumn(
+        "_c", F.from_json(F.col(config), schema, {"mode": "PERMISSIVE"})
+    ).select(
+        *kept,
+        *[F.coalesce(*[F.col(f"_c.{a}") for a in aliases],
+                     F.lit(EXPERIMENT_DEFAULTS[k]).cast(kinds[k])).alias(k)
+          for k, aliases in names.items()],
+        F.coalesce(F.col("_c.chat_template"), F.lit("")).alias("chat_template"),
+    )
 
 
 def insert_experiments(base: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tuneprep.functions.harvest import reply_items
-from tuneprep.functions.text import contains_any, strip
+from tuneprep.functions.text import contains_any, let, strip
 from tuneprep.operators.clean import CleanOptions, cap_first, clean, dedup_prefix
 from tuneprep.operators.formats import to_messages
 from tuneprep.operators.ranking import exact_rank, with_ord_bucket
@@ -100,7 +100,7 @@ def harvest(replies: DataFrame, text: str = "text", keep: str = "reply_id",
     items = (
         replies.filter(F.contains(F.col(text), F.lit("[")))
         .select(keep, F.posexplode(reply_items(F.col(text))).alias("item", "json"))
-        .withColumn("r", F.from_json("json", ANY_RECORD))
+        .withColumn("r", F.from_json("json", ANY_RECORD, {"mode": "PERMISSIVE"}))
         .select(keep, "item", "r.*")
     )
     if validate or min_answer is not None:
@@ -124,18 +124,16 @@ def harvest_to_chats(replies: DataFrame, target: int | None = None, text: str =
 def route_datasets(requests: DataFrame, description: str = "description",
                    limit: int = terms.ROUTE_LIMIT) -> DataFrame:
     """Candidate data sets per description: keyword routes, then the defaults, then the cap."""
-    lowered = F.lower(F.col(description))
-
     def rows(entries: list[tuple[str, str]]) -> Column:
         return F.array(*[F.struct(F.lit(i).alias("id"), F.lit(n).alias("name"))
                          for i, n in entries])
 
     none = F.array().cast("array<struct<id:string,name:string>>")
-    routed = [
-        F.when(contains_any(lowered, keywords), rows(entries)).otherwise(none)
-        for keywords, entries in terms.ROUTES
-    ]
-    found = F.slice(F.concat(*routed, rows(terms.DEFAULT_ROUTES)), 1, limit)
+    found = let(F.lower(F.col(description)), lambda text: F.slice(F.concat(
+        *[F.when(contains_any(text, keywords), rows(entries)).otherwise(none)
+          for keywords, entries in terms.ROUTES],
+        rows(terms.DEFAULT_ROUTES),
+    ), 1, limit))
     kept = [c for c in requests.columns if c != description]
     return requests.select(*kept, F.posexplode(found).alias("rank", "d")).select(
         *kept, F.col("rank") + 1, "d.id", "d.name"

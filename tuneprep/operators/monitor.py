@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tuneprep.functions.text import round_even
-from tuneprep.functions.logs import metric_of_line, sample_blocks, trainer_row
+from tuneprep.functions.text import round_even, strip
+from tuneprep.functions.logs import parsed_metrics, sample_blocks, trainer_row
 from tuneprep.operators.ranking import blocked_lag, top_k_per_key
 
 RECENT = 10
@@ -16,11 +16,7 @@ def parse_log(lines: DataFrame, tail_lines: int | None = None) -> DataFrame:
     """(experiment_id, ord, line) to metric rows; ``tail_lines`` looks at each log's end only."""
     if tail_lines is not None:
         lines = top_k_per_key(lines, ["experiment_id"], [F.col("ord").desc()], tail_lines, ["ord"])
-    return (
-        lines.select("experiment_id", "ord", metric_of_line(F.col("line")).alias("m"))
-        .filter(F.col("m").isNotNull())
-        .select("experiment_id", "ord", "m.*")
-    )
+    return parsed_metrics(lines.select("experiment_id", "ord", "line"))
 
 
 def log_tail(lines: DataFrame, n: int = 20) -> DataFrame:
@@ -97,8 +93,8 @@ def run_summary(lines: DataFrame) -> DataFrame:
 
     First and last loss come from rows with a loss; steps, epoch and time from the last row.
     """
-    rows = lines.select("run_id", "ord", trainer_row(F.col("line")).alias("t")).filter(
-        F.col("t").isNotNull()
+    rows = lines.filter(strip(F.col("line")) != "").select(
+        "run_id", "ord", trainer_row(F.col("line")).alias("t")
     )
     with_loss = F.when(F.col("t.loss").isNotNull(), F.col("ord"))
     return rows.groupBy("run_id").agg(

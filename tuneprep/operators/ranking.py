@@ -11,6 +11,7 @@ SALTS = 64
 HEX_DIGITS = 4  # 65,536 order-preserving buckets of a hexadecimal hash
 ORD_BUCKETS = 65_536
 SPARSE = 64
+HOT_ROWS = 1_000_000
 
 
 def top_k_per_key(df: DataFrame, keys: list[str], order: list[Column], k: int,
@@ -142,14 +143,24 @@ def nth_key(bucketed: DataFrame, key: Column, position: Column) -> Column:
 
 
 def salted_join(many: DataFrame, one: DataFrame, key: str, spread_on: list[str],
-                how: str = "inner", salts: int = 16) -> DataFrame:
+                how: str = "inner", salts: int = SALTS, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Join where ``many`` may hold very frequent keys and ``one`` has a row per key.
 
-    The rows of a key are spread over ``salts`` tasks and its single partner row is repeated.
+    Keys with more than ``hot_rows`` rows are spread over ``salts`` tasks and only their partner
+    row is repeated. There are at most (rows / ``hot_rows``) such keys, so their list is
+    broadcast; it comes from a count that is combined map-side.
     """
+    hot = F.broadcast(
+        many.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+        .filter(F.col("_n") > hot_rows).select(key, F.lit(True).alias("_hot"))
+    )
     salt = F.pmod(F.xxhash64(*[F.col(c) for c in spread_on]), F.lit(salts)).cast("int")
-    repeated = one.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return many.withColumn("_salt", salt).join(repeated, [key, "_salt"], how).drop("_salt")
+    spread = many.join(hot, key, "left").withColumn(
+        "_salt", F.when(F.col("_hot"), salt).otherwise(0)).drop("_hot")
+    copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(
+        F.array(F.lit(0)))
+    partners = one.join(hot, key, "left").withColumn("_salt", F.explode(copies)).drop("_hot")
+    return spread.join(partners, [key, "_salt"], how).drop("_salt")
 
 
 def blocked_lag(rows: DataFrame, key: str, order: str, value: str, out: str,

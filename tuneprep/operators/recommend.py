@@ -93,16 +93,18 @@ def recommend(requests: DataFrame, k: int = 5, cards: list[Card] | None = None)
         .withColumn("_tags", _by_key(F.col("task"), terms.TASK_TAGS, "chat"))
         .withColumn("_cap", cap)
     )
+    table = card_column(cards)
     eligible = F.filter(
-        card_column(cards),
-        lambda c: (c["params_b"] <= F.col("_cap")) & (_least_vram(c) <= F.col("vram_gb")),
+        table, lambda c: (c["params_b"] <= F.col("_cap")) & (_least_vram(c) <= F.col("vram_gb"))
     )
     scored = F.transform(eligible, lambda c: F.struct(
-        (-_score(c)).alias("sort_score"), c["ord"].alias("ord"), c.alias("card")
+        (-_score(c)).alias("sort_score"), c["ord"].alias("ord")
     ))
-    top = F.slice(F.array_sort(scored), 1, k)
-    rows = prepared.select("*", F.posexplode(top).alias("_pos", "_s"))
-    card, score = F.col("_s.card"), -F.col("_s.sort_score")
+    top = F.slice(F.sort_array(scored), 1, k)
+    rows = prepared.select("*", F.posexplode(top).alias("_pos", "_s")).withColumn(
+        "_card", F.get(table, F.col("_s.ord"))
+    )
+    card, score = F.col("_card"), -F.col("_s.sort_score")
     source = F.get(card["sources"], 0)
     fallback = F.struct(F.lit(SECOND_HUB).alias("platform"), card["display_name"].alias("id"))
     source = F.coalesce(source, fallback)

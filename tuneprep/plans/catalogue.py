@@ -61,10 +61,8 @@ hits AS (SELECT m.model_id, p.card FROM v_models m JOIN patterns p
 @query(f"SELECT model_id, {LICENCE_CLASS} AS license_class, {LICENCE_LABEL} AS license_label "
        "FROM v_models")
 def license_class(t: Tables) -> DataFrame:
-    return t.models().select(
-        "model_id", C.licence_class(F.col("license")).alias("license_class"),
-        C.licence_label(F.col("license")).alias("license_label"),
-    )
+    tagged = C.with_licence(t.models().select("model_id", "license"))
+    return tagged.drop("license")
 
 
 @query(f"""
