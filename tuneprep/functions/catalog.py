@@ -20,16 +20,16 @@ from tuneprep.rules.cards import Card, DEFAULT_SETTINGS, METHODS, MethodSettings
 
 
 def licence_class(licence: Column) -> Column:
-    text = F.lower(licence)  # outer whitespace does not matter: no term starts or ends with it
-    return (
-        F.when(licence.isNull() | (licence == ""), "unknown")
+    """Class of a licence text; outer whitespace is irrelevant to the substring tests."""
+    return let(F.lower(licence), lambda text: (
+        F.when(text.isNull() | (text == ""), "unknown")
         .when(contains_any(text, terms.FORBIDDEN_LICENCES), "forbidden")
         .when(contains_any(text, terms.RESTRICTED_LICENCES), "restricted")
         .when(contains_any(text, terms.COMMERCIAL_LICENCES), "commercial")
         .when(contains_any(text, terms.RESTRICTED_HINTS), "restricted")
         .when(contains_any(text, terms.FORBIDDEN_HINTS), "forbidden")
         .otherwise("unknown")
-    )
+    ))
 
 
 def licence_label(licence: Column, kind: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tuneprep.functions.text import let, strip
+from tuneprep.functions.text import let, once, strip
 from tuneprep.rules.terms import DICT_LINE, SAMPLE_BLOCK, SAMPLE_LIMITS
 from tuneprep.schema import LOG_METRIC, TRAINER_ROW
 
@@ -21,7 +21,6 @@ def parsed_metrics(lines: DataFrame, line: str = "line") -> DataFrame:
     """
     kept = [c for c in lines.columns if c != line]
     text = F.col("_text")
-    looks_json = F.startswith(text, F.lit("{")) & F.endswith(text, F.lit("}"))
     no_loss = F.col("_json.loss").isNull() & F.contains(text, F.lit("'loss':"))
 
     def group(i: int) -> Column:
@@ -33,9 +32,15 @@ def parsed_metrics(lines: DataFrame, line: str = "line") -> DataFrame:
     def pick(name: str, other: Column) -> Column:
         return F.when(is_json, F.coalesce(F.col(f"_json.{name}"), zero)).otherwise(other)
 
+
+    def read(t: Column) -> Column:
+        looks_json = F.startswith(t, F.lit("{")) & F.endswith(t, F.lit("}"))
+        parsed = F.from_json(F.when(looks_json, t), LOG_METRIC, STRICT)
+        return F.struct(t.alias("_text"), parsed.alias("_json"))
+
     return (
-        lines.select(*kept, strip(F.col(line)).alias("_text"))
-        .withColumn("_json", F.from_json(F.when(looks_json, text), LOG_METRIC, STRICT))
+        lines.select(*kept, once(strip(F.col(line)), read).alias("_r"))
+        .select(*kept, "_r.*")
         .withColumn("_dict", F.when(no_loss, F.array(group(1), group(2), group(3))))
         .filter(is_json | F.col("_dict")[0].isNotNull())
         .select(

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import fnmatch
 import json
-import re
 from collections.abc import Callable
 
 from pyspark.sql import Column
@@ -23,9 +22,21 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), 0)
 
 
+def once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``let`` as an outer explode of one element, for use in a select.
+
+    The optimizer does not push filters on the result below the explode, so an expensive
+    expression that is also filtered on is evaluated one time per row instead of twice.
+    """
+    return F.explode_outer(F.transform(F.array(value), body))
+
+
 def contains_any(col: Column, terms: list[str]) -> Column:
-    """True when any term is a substring."""
-    return col.rlike("|".join(re.escape(t) for t in terms))
+    """True when any term is a substring; bind computed text with ``let`` first."""
+    hit = F.lit(False)
+    for term in terms:
+        hit = hit | F.contains(col, F.lit(term))
+    return hit
 
 
 def first_contained(text: Column, entries: list[tuple[str, object]],
@@ -57,17 +68,21 @@ def base_name(path: Column) -> Column:
 
 def matches_glob(name: Column, patterns: list[str]) -> Column:
     """Shell-style match of a whole file name against any pattern."""
-    hit = F.lit(False)
-    for pattern in patterns:
-        tail = pattern[1:]
-        if not set(pattern) & set("*?["):
-            test = name == pattern
-        elif pattern[0] == "*" and not set(tail) & set("*?["):
-            test = F.endswith(name, F.lit(tail))
-        else:
-            test = name.rlike("^" + fnmatch.translate(pattern).replace("\\z", "\\Z"))
-        hit = hit | test
-    return hit
+
+    def matches(n: Column) -> Column:
+        hit = F.lit(False)
+        for pattern in patterns:
+            tail = pattern[1:]
+            if not set(pattern) & set("*?["):
+                test = n == pattern
+            elif pattern[0] == "*" and not set(tail) & set("*?["):
+                test = F.endswith(n, F.lit(tail))
+            else:
+                test = n.rlike("^" + fnmatch.translate(pattern).replace("\\z", "\\Z"))
+            hit = hit | test
+        return hit
+
+    return let(name, matches)
 
 
 def round_even(value: Column, digits: int) -> Column:

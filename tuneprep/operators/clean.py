@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tuneprep.functions import messages as M
-from tuneprep.functions.text import strip
+from tuneprep.functions.text import once, strip
 from tuneprep.operators.formats import PART_TURNS, assemble_chats, with_part
 from tuneprep.operators.ranking import keep_first, nth_key, with_ord_bucket
 from tuneprep.schema import MESSAGES
@@ -41,11 +41,14 @@ def classify(records: DataFrame, opts: CleanOptions = CleanOptions()) -> DataFra
     messages = F.coalesce(F.col("messages"), F.array().cast(MESSAGES))
     if opts.trim_whitespace:
         messages = M.trim_messages(messages)
-    ready = F.col("messages")
-    blank = ~M.has_text(ready, stripped=opts.trim_whitespace)
-    return records.withColumn("messages", messages).withColumn(
-        "outcome", _outcome(F.size(ready) == 0, blank, M.text_length(ready), opts)
-    )
+    kept = [c for c in records.columns if c != "messages"]
+
+    def judge(m: Column) -> Column:
+        blank = ~M.has_text(m, stripped=opts.trim_whitespace)
+        outcome = _outcome(F.size(m) == 0, blank, M.text_length(m), opts)
+        return F.struct(m.alias("messages"), outcome.alias("outcome"))
+
+    return records.select(*kept, once(messages, judge).alias("_r")).select(*kept, "_r.*")
 
 
 def clean(records: DataFrame, opts: CleanOptions = CleanOptions()) -> DataFrame:

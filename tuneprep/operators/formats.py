@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tuneprep.functions import messages as M
+from tuneprep.functions.text import once
 from tuneprep.schema import MESSAGES
 
 ALPACA_PAIRS = [
@@ -86,10 +87,10 @@ def to_messages(df: DataFrame, fmt: str | None = None, compat: bool = False,
             label == "conversation",
             M.conversation_messages(F.col("conversations"), _turn_fields(df), keep_system),
         )
-    out = df.select(*keep, F.coalesce(messages, empty).alias("messages"))
     if fmt == "sharegpt":
-        return out
-    return out.filter(F.size("messages") > 0)
+        return df.select(*keep, F.coalesce(messages, empty).alias("messages"))
+    converted = once(F.coalesce(messages, empty), lambda m: m).alias("messages")
+    return df.select(*keep, converted).filter(F.size("messages") > 0)
 
 
 def to_alpaca(df: DataFrame, keep: list[str] | None = None) -> DataFrame:
@@ -105,9 +106,10 @@ def to_alpaca(df: DataFrame, keep: list[str] | None = None) -> DataFrame:
     else:
         return df.select(*keep, F.lit("").alias("instruction"), F.lit("").alias("input"),
                          F.lit("").alias("output")).filter(F.lit(False))
-    return df.select(
-        *keep, user.alias("instruction"), F.lit("").alias("input"), assistant.alias("output")
-    ).filter((F.col("instruction") != "") & (F.col("output") != ""))
+    pair = F.struct(user.alias("instruction"), F.lit("").alias("input"), assistant.alias("output"))
+    return df.select(*keep, once(pair, lambda p: p).alias("_p")).select(*keep, "_p.*").filter(
+        (F.col("instruction") != "") & (F.col("output") != "")
+    )
 
 
 def with_part(turns: DataFrame, part_turns: int = PART_TURNS) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tuneprep.functions.harvest import reply_items
-from tuneprep.functions.text import contains_any, let, strip
+from tuneprep.functions.text import contains_any, let, once, strip
 from tuneprep.operators.clean import CleanOptions, cap_first, clean, dedup_prefix
 from tuneprep.operators.formats import to_messages
 from tuneprep.operators.ranking import exact_rank, with_ord_bucket
@@ -97,10 +97,14 @@ def harvest(replies: DataFrame, text: str = "text", keep: str = "reply_id",
     ``validate`` keeps items that have both instruction and output (and, with ``min_answer``,
     an output longer than that). Only replies with a bracket reach the Python worker.
     """
+
+    def parse(item: Column) -> Column:
+        return F.from_json(item, ANY_RECORD, {"mode": "PERMISSIVE"})
+
     items = (
         replies.filter(F.contains(F.col(text), F.lit("[")))
         .select(keep, F.posexplode(reply_items(F.col(text))).alias("item", "json"))
-        .withColumn("r", F.from_json("json", ANY_RECORD, {"mode": "PERMISSIVE"}))
+        .select(keep, "item", once(F.col("json"), parse).alias("r"))
         .select(keep, "item", "r.*")
     )
     if validate or min_answer is not None:
@@ -135,7 +139,7 @@ def route_datasets(requests: DataFrame, description: str = "description",
         rows(terms.DEFAULT_ROUTES),
     ), 1, limit))
     kept = [c for c in requests.columns if c != description]
-    return requests.select(*kept, F.posexplode(found).alias("rank", "d")).select(
+    return requests.select(*kept, F.posexplode_outer(found).alias("rank", "d")).select(
         *kept, F.col("rank") + 1, "d.id", "d.name"
     ).toDF(*kept, "rank", "id", "name")
 

@@ -83,9 +83,13 @@ def history_rows(metrics: DataFrame) -> DataFrame:
 
 
 def sample_outputs(logs: DataFrame, keep: int = 3) -> DataFrame:
-    """(log_id, text) to the last prediction samples of each log."""
-    return logs.select("log_id", F.posexplode(sample_blocks(F.col("text"), keep)).alias("n", "s")) \
-        .select("log_id", "n", "s.*")
+    """(log_id, text) to the last prediction samples of each log.
+
+    The outer explode keeps the optimizer from adding a size filter that repeats the search.
+    """
+    samples = F.posexplode_outer(sample_blocks(F.col("text"), keep)).alias("n", "s")
+    return logs.select("log_id", samples).filter(F.col("n").isNotNull()).select(
+        "log_id", "n", "s.*")
 
 
 def run_summary(lines: DataFrame) -> DataFrame:

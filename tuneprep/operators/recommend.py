@@ -101,7 +101,9 @@ def recommend(requests: DataFrame, k: int = 5, cards: list[Card] | None = None)
         (-_score(c)).alias("sort_score"), c["ord"].alias("ord")
     ))
     top = F.slice(F.sort_array(scored), 1, k)
-    rows = prepared.select("*", F.posexplode(top).alias("_pos", "_s")).withColumn(
+    rows = prepared.select("*", F.posexplode_outer(top).alias("_pos", "_s")).filter(
+        F.col("_pos").isNotNull()
+    ).withColumn(
         "_card", F.get(table, F.col("_s.ord"))
     )
     card, score = F.col("_card"), -F.col("_s.sort_score")

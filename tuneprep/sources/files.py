@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tuneprep.functions.text import strip
+from tuneprep.functions.text import once, strip
 from tuneprep.operators.formats import detect_schema_format, to_messages
 
 WRAPPER_KEYS = ["data", "items", "examples", "records", "rows"]
@@ -94,9 +94,8 @@ def read_parquet(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def parse_qa_line(line: Column) -> Column:
-    """Struct(question, answer, instruction, output) of a tab-separated line; null if blank."""
-    text = strip(line)
+def parse_qa_line(text: Column) -> Column:
+    """Struct(question, answer, instruction, output) of a stripped line; null if it is empty."""
     parts = F.split(text, "\t")
     pair = F.size(parts) >= 2
     return F.when(text != "", F.struct(
@@ -115,7 +114,7 @@ def read_tsv_qa(spark: SparkSession, path: str) -> DataFrame:
 def parse_qa_lines(lines: DataFrame, column: str) -> DataFrame:
     kept = [c for c in lines.columns if c != column]
     return (
-        lines.withColumn("_qa", parse_qa_line(F.col(column)))
+        lines.select(*kept, once(strip(F.col(column)), parse_qa_line).alias("_qa"))
         .filter(F.col("_qa").isNotNull())
         .select(*kept, "_qa.*")
     )
