@@ -69,12 +69,14 @@ def sample_blocks(log: Column, keep: int = 3) -> Column:
     found = F.regexp_extract_all(log, F.lit(SAMPLE_BLOCK), F.lit(0))
     last = let(found, lambda f: F.slice(f, F.greatest(F.size(f) - (keep - 1), F.lit(1)), keep))
 
-    def part(sample: Column, i: int, name: str) -> Column:
-        return F.substring(F.regexp_extract(sample, SAMPLE_BLOCK, i), 1, SAMPLE_LIMITS[name])
-
-    return F.transform(last, lambda s: F.struct(
-        F.regexp_extract(s, SAMPLE_BLOCK, 1).alias("step"),
-        part(s, 2, "input").alias("input"),
-        part(s, 3, "predict").alias("predict"),
-        part(s, 4, "label").alias("label"),
-    ))
+    def parts(sample: Column) -> Column:
+        # No group can hold a quote, so a quote separates them safely.
+        return F.split(F.regexp_replace(sample, SAMPLE_BLOCK, '$1"$2"$3"$4'), '"')
+
+    def row(p: Column) -> Column:
+        return F.struct(p[0].alias("step"), *[
+            F.substring(p[i], 1, size).alias(name)
+            for i, (name, size) in enumerate(SAMPLE_LIMITS.items(), 1)
+        ])
+
+    return F.transform(F.transform(last, parts), row)

@@ -45,7 +45,7 @@ SELECT ord, CASE WHEN ord % 7 IN (2, 3, 4, 5) THEN 2 ELSE 1 END AS n_messages,
             WHEN ord % 7 = 3 THEN 'user:' || chr(10) || chr(10) || text || chr(10)
                                   || 'assistant:' || text
             ELSE 'user:' || text || chr(10) || 'assistant:' || text END AS chat
-FROM v_docs WHERE length(text) > 0""")
+FROM v_docs WHERE length(text) > 0""", longs=("n_messages",))
 def mixed_to_messages(t: Tables) -> DataFrame:
     return _flat(FM.to_messages(t.mixed()))
 
@@ -53,7 +53,7 @@ def mixed_to_messages(t: Tables) -> DataFrame:
 @query("""
 SELECT ord, 2 AS n_messages,
        'user:' || instruction || chr(10) || 'assistant:' || output AS chat
-FROM v_pairs""")
+FROM v_pairs""", longs=("n_messages",))
 def alpaca_to_messages(t: Tables) -> DataFrame:
     return _flat(FM.to_messages(t.pairs(), fmt="alpaca"))
 
@@ -71,7 +71,7 @@ def conv_to_messages(t: Tables) -> DataFrame:
 @query("""
 SELECT ord, 2 AS n_messages,
        'user:' || instruction || chr(10) || 'assistant:' || output AS chat
-FROM v_pairs""")
+FROM v_pairs""", longs=("n_messages",))
 def qa_to_messages(t: Tables) -> DataFrame:
     return _flat(FM.to_messages(t.questions(), fmt="raw"))
 
@@ -188,13 +188,13 @@ def clean_doc_stats(t: Tables) -> DataFrame:
 
 
 @query(f"""WITH {_CHATS},{_judged(10)}
-SELECT ord, 0 AS part, len(m) AS n_messages, chat FROM judged WHERE outcome = 'kept'""")
+SELECT ord, 0 AS part, len(m) AS n_messages, chat FROM judged WHERE outcome = 'kept'""", longs=("part",))
 def clean_chats(t: Tables) -> DataFrame:
     return _flat(CL.clean_turns(t.turns()), "part")
 
 
 @query(f"""WITH {_DOCS},{_judged(10)}
-SELECT ord, 1 AS n_messages, chat FROM judged WHERE outcome = 'kept'""")
+SELECT ord, 1 AS n_messages, chat FROM judged WHERE outcome = 'kept'""", longs=("n_messages",))
 def dedup_exact(t: Tables) -> DataFrame:
     return _flat(CL.clean(t.doc_records()))
 
@@ -371,7 +371,7 @@ SELECT ord AS reply_id, 0 AS item,
        CASE WHEN ord % 6 <> 5 THEN output END AS output,
        CASE WHEN ord % 6 = 5 THEN instruction END AS question,
        CASE WHEN ord % 6 = 5 THEN output END AS answer
-FROM v_pairs WHERE ord % 6 NOT IN (2, 3)""")
+FROM v_pairs WHERE ord % 6 NOT IN (2, 3)""", longs=("item",))
 def harvest_json(t: Tables) -> DataFrame:
     return G.harvest(t.replies()).select(
         "reply_id", F.col("item").cast("long").alias("item"), "instruction", "output", "question",
@@ -392,7 +392,7 @@ WITH items AS (SELECT ord * 1000000 AS ord, trim(instruction, {WS}) AS u, trim(o
 kept AS (SELECT * FROM items WHERE length(u) + length(a) BETWEEN 20 AND 8192
          QUALIFY row_number() OVER (PARTITION BY u, a ORDER BY ord) = 1)
 SELECT ord, 2 AS n_messages, 'user:' || u || chr(10) || 'assistant:' || a AS chat
-FROM kept ORDER BY ord LIMIT 100""")
+FROM kept ORDER BY ord LIMIT 100""", longs=("n_messages",))
 def harvest_to_chats(t: Tables) -> DataFrame:
     return _flat(G.harvest_to_chats(t.replies(), target=100))
 

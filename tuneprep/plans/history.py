@@ -173,7 +173,7 @@ SELECT id, CASE WHEN k % 4 = 1 THEN k % 64 ELSE 16 END AS lora_rank,
        CASE WHEN k % 4 = 2 THEN 2 ELSE 4 END AS batch_size,
        CASE WHEN k % 4 = 3 THEN 512 ELSE 2048 END AS max_seq_length,
        CASE WHEN k % 4 = 3 THEN 'chatml' ELSE '' END AS chat_template
-FROM c""")
+FROM c""", longs=("lora_alpha", "batch_size", "max_seq_length"))
 def exp_config(t: Tables) -> DataFrame:
     return E.with_config(t.experiments().select("id", "config_json")).drop("config_json")
 
@@ -248,7 +248,7 @@ SELECT r.experiment_id, coalesce(x.status, 'running') AS status, s1 AS current_s
        CASE WHEN s1 > 0 AND x.dataset_size > 0 AND rate > 0
             THEN (x.dataset_size * 100 - s1) / rate ELSE 0 END AS estimated_remaining_seconds,
        points
-FROM rates r LEFT JOIN v_experiments x ON x.id = r.experiment_id""")
+FROM rates r LEFT JOIN v_experiments x ON x.id = r.experiment_id""", longs=("total_epochs",))
 def progress(t: Tables) -> DataFrame:
     runs = t.experiments().select(
         F.col("id").alias("experiment_id"), "status",

@@ -48,7 +48,7 @@ FROM v_models, (VALUES ('qlora'), ('lora'), ('full')) m(method),
      (VALUES (1), (4)) b(batch_size), (VALUES (1024), (2048)) s(max_seq_length)"""
 
 
-@query(_budget_sql())
+@query(_budget_sql(), longs=("batch_size", "max_seq_length"))
 def memory_budget(t: Tables) -> DataFrame:
     rows = B.memory_budgets(t.models().select("model_id", "params_b"))
     names = [*_parts("", "", "", ""), "total_estimate_gb"]
@@ -74,7 +74,7 @@ def feasibility_matrix(t: Tables) -> DataFrame:
 SELECT model_id, CASE WHEN vram_gb >= size_gb THEN 'lora' ELSE 'qlora' END AS by_need,
        CASE WHEN vram_gb >= 8 THEN 'lora' ELSE 'qlora' END AS by_bound,
        CASE WHEN params_b < 10 THEN 16 ELSE 32 END AS sweep_rank
-FROM v_models""")
+FROM v_models""", longs=("sweep_rank",))
 def sweep_method(t: Tables) -> DataFrame:
     runs = t.models().select("model_id", "params_b", "vram_gb", F.col("size_gb").alias("lora_vram_gb"))
     return B.sweep_method(runs).select("model_id", "by_need", "by_bound",
@@ -110,7 +110,8 @@ SELECT model_id, 'qlora' AS finetuning_type,
            AS gradient_accumulation_steps,
        CASE WHEN vram_gb < 8 THEN 512 WHEN vram_gb < 12 THEN 1024 WHEN vram_gb < 24 THEN 2048
             ELSE 4096 END AS max_seq_length
-FROM v_models""")
+FROM v_models""",
+       longs=("lora_rank", "lora_alpha", "num_train_epochs", "per_device_train_batch_size", "gradient_accumulation_steps", "max_seq_length"))
 def smart_params(t: Tables) -> DataFrame:
     rows = B.smart_params(t.models().select("model_id", "params_b", "vram_gb", "dataset_size"))
     whole = ["lora_rank", "lora_alpha", "num_train_epochs", "per_device_train_batch_size",
@@ -148,7 +149,8 @@ checked AS (SELECT *, {_total(_parts("finetuning_type", "2", "per_device_train_b
 SELECT model_id, finetuning_type, {", ".join(terms.CONFIG_KEYS)},
        round(total, 9) AS total_estimate_gb,
        round_even(total * 100, 0) / 100 <= vram_gb * CAST(0.85 AS DOUBLE) AS is_feasible
-FROM checked""")
+FROM checked""",
+       longs=("num_train_epochs", "lora_alpha", "per_device_train_batch_size", "gradient_accumulation_steps", "save_steps"))
 def config_resolve(t: Tables) -> DataFrame:
     rows = B.resolve_config(_configs(t))
     return rows.select("model_id", "finetuning_type", *terms.CONFIG_KEYS,
