@@ -93,6 +93,8 @@ def test_card_table(spark, tmp_path):
     assert [c.id for c in load_cards(str(file))] == ["a"]
     assert len(load_cards(str(tmp_path / "none.json"))) == 26
     assert len({d[2] for d in BUILTIN_DATASETS}) >= 3
+    assert K.builtin_datasets(spark).count() == 10
+    assert {r.id for r in K.builtin_datasets(spark, "客服").collect()} == {"ecs-zh", "gcq-zh"}
 
 
 def test_recommendation(spark):

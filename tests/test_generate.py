@@ -64,3 +64,10 @@ def test_variants_and_mixing(spark):
     assert {p.ord_b for p in pairs} == set(range(6))
     assert G.mix_pairs(rows, target=2).count() == 2
     assert G.mix_pairs(rows.limit(1)).count() == 0
+
+
+def test_single_object_reply(spark):
+    replies = spark.createDataFrame([(0, '```json\n{"question": "q", "answer": "a"}\n```')],
+                                    "reply_id bigint, text string")
+    assert G.harvest(replies).count() == 0
+    assert [r.question for r in G.harvest(replies, single=True).collect()] == ["q"]

@@ -28,7 +28,7 @@ def test_top_k(spark):
 def test_keep_first(spark):
     rows = skewed(spark)
     want = rows.groupBy("k").agg(F.min("ord").alias("ord"))
-    same(RK.keep_first(rows, "ord", {"_k": F.col("k")}).select("k", "ord"), want)
+    same(RK.keep_first(rows, ["ord"], {"_k": F.col("k")}).select("k", "ord"), want)
 
 
 def test_salted_join(spark):

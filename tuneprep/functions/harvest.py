@@ -44,8 +44,11 @@ def _parse_list(text: str) -> list | None:
     return value if isinstance(value, list) else None
 
 
-def find_records(text: str | None) -> list:
-    """Items of the first list that holds only records; otherwise of the unfenced reply."""
+def find_records(text: str | None, single: bool = False) -> list:
+    """Items of the first list that holds only records; otherwise of the unfenced reply.
+
+    With ``single`` an unfenced reply that is one object counts as a list of one.
+    """
     if not text:
         return []
     for start, end in _spans(text):
@@ -57,16 +60,20 @@ def find_records(text: str | None) -> list:
                 return items
             break
     bare = FENCE_CLOSE.sub("", FENCE_OPEN.sub("", text.strip()))
+    if single and bare.startswith("{"):
+        return _parse_list(f"[{bare}]") or []
     return _parse_list(bare) or []
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def _records_json(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: [
-        json.dumps(i, ensure_ascii=False) for i in find_records(t) if isinstance(i, dict)
-    ])
+def reply_items(text: Column, single: bool = False) -> Column:
+    """JSON text of each harvested object."""
+
+    def objects(reply: str | None) -> list[str]:
+        found = find_records(reply, single)
+        return [json.dumps(i, ensure_ascii=False) for i in found if isinstance(i, dict)]
 
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def items(texts: pd.Series) -> pd.Series:
+        return texts.map(objects)
 
-def reply_items(text: Column) -> Column:
-    """JSON text of each harvested object."""
-    return _records_json(text)
+    return items(text)

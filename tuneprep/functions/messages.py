@@ -86,9 +86,9 @@ def role_count(messages: Column, role: str) -> Column:
 
 
 def fingerprint(messages: Column) -> Column:
-    """Equality key of the whole message list."""
+    """Equality key of the whole message list: 32 bytes of SHA-256."""
     ordered = F.transform(messages, lambda m: F.struct(m["content"], m["role"]))
-    return F.sha2(F.to_json(ordered), 256)
+    return F.unhex(F.sha2(F.to_json(ordered), 256))
 
 
 def _last(items: Column, keep, text) -> Column:

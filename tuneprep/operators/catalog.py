@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tuneprep.functions import catalog as C
 from tuneprep.functions.text import base_name, matches_glob, strip
 from tuneprep.operators.ranking import top_k_per_key
-from tuneprep.rules.cards import Card, default_cards
+from tuneprep.rules.cards import BUILTIN_DATASETS, Card, default_cards
 from tuneprep.rules.terms import DEFAULT_IGNORE
 
 PRIORITY = {"online": 0, "cache": 1, "local": 2}
@@ -109,7 +111,7 @@ def detail_merge(remote: DataFrame, local: DataFrame, key: str = "model_id") ->
 
 def search_cards(cards: DataFrame, query: str = "", tag: str = "", min_params: float = 0,
                  max_params: float = 999) -> DataFrame:
-    """Cards with the tag, in the size range and naming the query anywhere."""
+    """Cards with the tag, in the size range and naming the query anywhere; smallest first."""
     rows = cards.filter(F.col("params_b").between(min_params, max_params))
     if tag:
         rows = rows.filter(F.array_contains("tags", tag))
@@ -123,7 +125,7 @@ def search_cards(cards: DataFrame, query: str = "", tag: str = "", min_params: f
             F.exists("patterns", has) | has(F.lower("display_name")) | has(F.col("family"))
             | F.exists("tags", has)
         )
-    return rows
+    return rows.orderBy("params_b", "ord")
 
 
 def best_method(models: DataFrame, cards: list[Card] | None = None) -> DataFrame:
@@ -173,3 +175,13 @@ def card_table(spark, cards: list[Card] | None = None) -> DataFrame:
     return spark.range(1).select(F.inline(C.card_column(cards or default_cards())))
 
 
+
+
+def builtin_datasets(spark, category: str | None = None) -> DataFrame:
+    """The built-in data-set list, optionally of one category."""
+    columns = ["id", "name", "category", "format", "record_count", "size_mb", "license", "tags"]
+    rows = json.dumps([dict(zip(columns, r)) for r in BUILTIN_DATASETS], ensure_ascii=False)
+    schema = ("array<struct<id:string,name:string,category:string,format:string,"
+              "record_count:bigint,size_mb:double,license:string,tags:array<string>>>")
+    table = spark.range(1).select(F.inline(F.from_json(F.lit(rows), schema)))
+    return table.filter(F.col("category") == category) if category else table

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tuneprep.functions import messages as M
 from tuneprep.functions.text import once, strip
 from tuneprep.operators.formats import PART_TURNS, assemble_chats, with_part
-from tuneprep.operators.ranking import keep_first, nth_key, with_ord_bucket
+from tuneprep.operators.ranking import exact_rank, keep_first, nth_key, with_ord_bucket
 from tuneprep.schema import MESSAGES
 
 OUTCOMES = ["total", "kept", "removed", "empty", "too_short", "too_long", "duplicate"]
@@ -51,12 +51,13 @@ def classify(records: DataFrame, opts: CleanOptions = CleanOptions()) -> DataFra
     return records.select(*kept, once(messages, judge).alias("_r")).select(*kept, "_r.*")
 
 
-def clean(records: DataFrame, opts: CleanOptions = CleanOptions()) -> DataFrame:
-    """Surviving records; among equal ones the smallest ``ord`` stays."""
+def clean(records: DataFrame, opts: CleanOptions = CleanOptions(),
+          order: tuple[str, ...] = ("ord",)) -> DataFrame:
+    """Surviving records; among equal ones the first in ``order`` stays."""
     passed = classify(records, opts).filter(F.col("outcome") == "pass").drop("outcome")
     if not opts.remove_duplicates:
         return passed
-    return keep_first(passed, "ord", {"_fp": M.fingerprint(F.col("messages"))})
+    return keep_first(passed, list(order), {"_fp": M.fingerprint(F.col("messages"))})
 
 
 def _stats_from(groups: DataFrame, opts: CleanOptions) -> DataFrame:
@@ -143,11 +144,12 @@ def clean_turns(turns: DataFrame, opts: CleanOptions = CleanOptions()) -> DataFr
     """
     passed = classify_turns(turns, opts).filter(F.col("outcome") == "pass")
     if opts.remove_duplicates:
-        span = F.struct("ord", "first_turn", "last_turn")
-        passed = passed.groupBy("fp").agg(F.min(span).alias("s")).select("s.*")
+        passed = passed.groupBy("fp").agg(
+            F.min_by("first_turn", "ord").alias("first_turn"),
+            F.min_by("last_turn", "ord").alias("last_turn"), F.min("ord").alias("ord"),
+        )
     blocks = passed.select("ord", F.explode(F.sequence(
-        F.floor(F.col("first_turn") / PART_TURNS).cast("long"),
-        F.floor(F.col("last_turn") / PART_TURNS).cast("long"),
+        F.expr(f"first_turn div {PART_TURNS}"), F.expr(f"last_turn div {PART_TURNS}"),
     )).alias("part"))
     content = F.coalesce(F.col("content"), F.lit(""))
     content = strip(content) if opts.trim_whitespace else content
@@ -170,20 +172,26 @@ def clean_turn_stats(turns: DataFrame, opts: CleanOptions = CleanOptions()) -> D
 # --- Simple filters ------------------------------------------------------------------------
 
 
-def dedup_prefix(rows: DataFrame, text: str, n: int, ord_col: str = "ord") -> DataFrame:
-    """First row per leading ``n`` characters of a text column."""
-    return keep_first(rows, ord_col, {"_prefix": F.substring(F.col(text), 1, n)})
+def dedup_prefix(rows: DataFrame, text: str, n: int, *order: str) -> DataFrame:
+    """First row (by ``order``, default ord) per leading ``n`` characters of a text column."""
+    return keep_first(rows, list(order or ("ord",)), {"_prefix": F.substring(F.col(text), 1, n)})
 
 
-def cap_first(rows: DataFrame, n: int, ord_col: str = "ord") -> DataFrame:
-    """The ``n`` rows with the smallest ``ord_col``.
+def cap_first(rows: DataFrame, n: int, *order: str) -> DataFrame:
+    """The first ``n`` rows in ``order`` (default ord).
 
-    Small caps are a top-n; larger ones filter by the cut-off key so that no task gathers them.
+    Small caps are a top-n. Larger ones filter by the cut-off key, or by exact positions when
+    several columns make the order, so that no task gathers the result.
     """
+    ord_col, *more = order or ("ord",)
     if n <= SMALL_LIMIT:
-        return rows.orderBy(ord_col).limit(n)
+        return rows.orderBy(ord_col, *more).limit(n)
+    if more:
+        ranked = exact_rank(with_ord_bucket(rows, ord_col), [F.col(ord_col), *map(F.col, more)],
+                            "_pos")
+        return ranked.filter(F.col("_pos") < n).drop("_pos", "n")
     cut = nth_key(with_ord_bucket(rows.select(ord_col), ord_col), F.col(ord_col), F.lit(n))
-    return rows.filter(cut.isNull() | (F.col(ord_col) < cut))
+    return rows.filter(F.coalesce(F.col(ord_col) < cut, F.lit(True)))
 
 
 def min_answer_length(rows: DataFrame, n: int, column: str = "output") -> DataFrame:

@@ -49,7 +49,7 @@ def with_config(rows: DataFrame, config: str = "config_json") -> DataFrame:
 def insert_experiments(base: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(table after the insert, rejected rows). An id already present, or repeated within the
     batch, is rejected; ``new.ord`` gives the batch order."""
-    accepted = keep_first(new, "ord", {"id": F.col("id")}).join(base.select("id"), "id", "left_anti")
+    accepted = keep_first(new, ["ord"], {"id": F.col("id")}).join(base.select("id"), "id", "left_anti")
     rejected = new.join(accepted.select("ord"), "ord", "left_anti")
     prepared = with_config(accepted).withColumn("status", F.lit("initialized")).drop("ord")
     return base.unionByName(prepared, allowMissingColumns=True), rejected

@@ -114,7 +114,7 @@ def to_alpaca(df: DataFrame, keep: list[str] | None = None) -> DataFrame:
 
 def with_part(turns: DataFrame, part_turns: int = PART_TURNS) -> DataFrame:
     """Add ``part``: the block of ``part_turns`` consecutive turns a turn belongs to."""
-    return turns.withColumn("part", F.floor(F.col("turn") / part_turns).cast("long"))
+    return turns.withColumn("part", F.expr(f"turn div {part_turns}"))
 
 
 def assemble_chats(turns: DataFrame, fields: tuple[str, str] = ("role", "content"),

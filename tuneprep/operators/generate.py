@@ -14,6 +14,7 @@ from tuneprep.operators.formats import to_messages
 from tuneprep.operators.ranking import exact_rank, with_ord_bucket
 from tuneprep.rules import terms
 from tuneprep.schema import ANY_RECORD
+from tuneprep.session import checkpointed
 
 BATCH = 30
 DOCUMENT_BATCH = 20
@@ -91,19 +92,21 @@ def document_prompts(docs: DataFrame, text: str = "text", count: int = DOCUMENT_
 
 
 def harvest(replies: DataFrame, text: str = "text", keep: str = "reply_id",
-            validate: bool = False, min_answer: int | None = None) -> DataFrame:
+            validate: bool = False, min_answer: int | None = None,
+            single: bool = False) -> DataFrame:
     """One row per record found in a reply, with its position and parsed fields.
 
     ``validate`` keeps items that have both instruction and output (and, with ``min_answer``,
-    an output longer than that). Only replies with a bracket reach the Python worker.
+    an output longer than that); ``single`` also takes replies that are one object. Only replies
+    with a brace reach the Python worker.
     """
 
     def parse(item: Column) -> Column:
         return F.from_json(item, ANY_RECORD, {"mode": "PERMISSIVE"})
 
     items = (
-        replies.filter(F.contains(F.col(text), F.lit("[")))
-        .select(keep, F.posexplode(reply_items(F.col(text))).alias("item", "json"))
+        replies.filter(F.contains(F.col(text), F.lit("{")))
+        .select(keep, F.posexplode(reply_items(F.col(text), single)).alias("item", "json"))
         .select(keep, "item", once(F.col("json"), parse).alias("r"))
         .select(keep, "item", "r.*")
     )
@@ -115,14 +118,14 @@ def harvest(replies: DataFrame, text: str = "text", keep: str = "reply_id",
 
 
 def harvest_to_chats(replies: DataFrame, target: int | None = None, text: str = "text",
-                     keep: str = "reply_id", min_length: int = 20, max_length: int = 8192,
-                     per_reply: int = 1_000_000) -> DataFrame:
-    """Harvest, convert to messages, clean and cap; ``ord`` follows (reply, position)."""
-    items = harvest(replies, text, keep).withColumn(
-        "ord", F.col(keep) * per_reply + F.col("item")
-    )
-    chats = clean(to_messages(items), CleanOptions(min_length=min_length, max_length=max_length))
-    return chats if target is None else cap_first(chats, target)
+                     keep: str = "reply_id", min_length: int = 20,
+                     max_length: int = 8192) -> DataFrame:
+    """Harvest, convert to messages, clean and cap; rows are ordered by (reply, position)."""
+    items = harvest(replies, text, keep)
+    order = (keep, "item")
+    opts = CleanOptions(min_length=min_length, max_length=max_length)
+    chats = clean(to_messages(items, keep=list(order)), opts, order)
+    return chats if target is None else cap_first(chats, target, *order)
 
 
 def route_datasets(requests: DataFrame, description: str = "description",
@@ -167,21 +170,25 @@ def mix_pairs(rows: DataFrame, seed: int = 1, target: int | None = None,
               question: str = "instruction", answer: str = "output") -> DataFrame:
     """Each row's question with the answer of the row ``seed`` places further on (cyclic).
 
-    Pairs of equal rows are left out. Positions are exact ranks, so this is one equi-join on a
-    unique number rather than a product.
+    Pairs of equal rows are left out. Only ids are ranked; pairing and fetching the texts are
+    equi-joins on unique numbers.
     """
-    ranked = exact_rank(
-        with_ord_bucket(rows.select("ord", question, answer), "ord"), [F.col("ord")]
+    ranked = checkpointed(
+        exact_rank(with_ord_bucket(rows.select("ord"), "ord"), [F.col("ord")])
     )
     shift = F.when(F.col("n") > 1, 1 + F.pmod(F.lit(seed - 1), F.col("n") - 1)).otherwise(1)
-    left = ranked.select(
-        F.col("ord").alias("ord_a"), F.col("pos").alias("pos_a"), F.col(question).alias("user"),
-        F.col(answer).alias("_own"), F.pmod(F.col("pos") + shift, F.col("n")).alias("pos"),
-    )
-    right = ranked.select("pos", F.col("ord").alias("ord_b"), F.col(question).alias("_other"),
-                          F.col(answer).alias("assistant"))
+    left = ranked.select(F.col("ord").alias("ord_a"), F.col("pos").alias("pos_a"),
+                         F.pmod(F.col("pos") + shift, F.col("n")).alias("pos"))
+    right = ranked.select(F.col("ord").alias("ord_b"), "pos")
+
+    def text(side: str, own: str, other: str) -> DataFrame:
+        return rows.select(F.col("ord").alias(f"ord_{side}"), F.col(question).alias(own),
+                           F.col(answer).alias(other))
+
     pairs = (
         left.join(right, "pos")
+        .join(text("a", "user", "_own"), "ord_a")
+        .join(text("b", "_other", "assistant"), "ord_b")
         .filter((F.col("user") != F.col("_other")) | (F.col("_own") != F.col("assistant")))
         .select("pos_a", "ord_a", "ord_b", "user", "assistant")
     )

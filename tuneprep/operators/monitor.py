@@ -29,11 +29,12 @@ def progress(metrics: DataFrame, runs: DataFrame | None = None) -> DataFrame:
 
     ``runs`` adds status, total_steps and total_epochs per experiment_id where known.
     """
-    point = F.struct("step", "epoch", "loss", "elapsed_seconds")
+    # One max_by per number keeps the aggregate hash-based; a struct would need a sort.
+    fields = ["step", "epoch", "loss", "elapsed_seconds"]
     overall = metrics.groupBy("experiment_id").agg(
-        F.max_by(point, "ord").alias("last"), F.min("loss").alias("best_loss"),
+        *[F.max_by(f, "ord").alias(f) for f in fields], F.min("loss").alias("best_loss"),
         F.count(F.lit(1)).alias("points"),
-    )
+    ).select("experiment_id", "best_loss", "points", F.struct(*fields).alias("last"))
     newest = top_k_per_key(metrics, ["experiment_id"], [F.col("ord").desc()], RECENT, ["ord"],
                            rank="r")
 

@@ -37,22 +37,19 @@ def top_k_per_key(df: DataFrame, keys: list[str], order: list[Column], k: int,
     return out if rank else out.drop(name)
 
 
-def keep_first(df: DataFrame, ord_col: str, keys: dict[str, Column],
-               where: Column | None = None) -> DataFrame:
-    """Rows whose ``ord_col`` is the smallest of their key; ``ord_col`` is unique.
+def keep_first(df: DataFrame, order: list[str], keys: dict[str, Column]) -> DataFrame:
+    """First row of every key in ``order``, a list of columns that is unique together.
 
-    Only (key, ord) pairs are grouped, with partial aggregation, so copies of one key collapse
-    before the shuffle. The rows themselves are joined on the unique ``ord_col`` and therefore
+    Only (key, order) pairs are grouped, with partial aggregation, so copies of one key collapse
+    before the shuffle. The rows themselves are joined on the unique order columns and therefore
     spread evenly whatever the key frequencies are.
     """
-    source = df if where is None else df.filter(where)
-    firsts = (
-        source.select(F.col(ord_col), *[c.alias(n) for n, c in keys.items()])
-        .groupBy(*keys)
-        .agg(F.min(ord_col).alias(ord_col))
-        .select(ord_col)
-    )
-    return source.join(firsts, ord_col, "left_semi")
+    firsts = df.select(*order, *[c.alias(n) for n, c in keys.items()]).groupBy(*keys)
+    if len(order) == 1:
+        firsts = firsts.agg(F.min(order[0]).alias(order[0])).select(order[0])
+    else:
+        firsts = firsts.agg(F.min(F.struct(*order)).alias("_first")).select("_first.*")
+    return df.join(firsts, order, "left_semi")
 
 
 def hash_order(id_col: str, seed: int) -> Column:
@@ -61,10 +58,11 @@ def hash_order(id_col: str, seed: int) -> Column:
 
 
 def with_ord_bucket(df: DataFrame, ord_col: str) -> DataFrame:
-    """Add ``_bucket``: ascending ranges of a unique BIGINT column, none of them large.
+    """Add ``_bucket``: ascending ranges of a BIGINT column, none of them large.
 
-    Dense ids (range at most ``SPARSE`` times the row count) are cut into equal widths: a bucket
-    then holds at most ``SPARSE * n / ORD_BUCKETS`` rows. Sparse or clustered ids are range
+    Values should be unique, or repeat a bounded number of times. Dense ids (range at most
+    ``SPARSE`` times the row count) are cut into equal widths: a bucket then holds at most
+    ``SPARSE * n / ORD_BUCKETS`` distinct values. Sparse or clustered ids are range
     partitioned by Spark's sampled bounds instead, and that assignment is checkpointed because a
     second evaluation could sample other bounds.
     """
@@ -73,10 +71,9 @@ def with_ord_bucket(df: DataFrame, ord_col: str) -> DataFrame:
         return df.withColumn("_bucket", F.lit(0).cast("long"))
     if hi - lo < SPARSE * n:
         width = (hi - lo) // ORD_BUCKETS + 1
-        bucket = F.floor((F.col(ord_col) - lo) / F.lit(width)).cast("long")
-        return df.withColumn("_bucket", bucket)
+        return df.withColumn("_bucket", F.expr(f"(`{ord_col}` - {lo}) div {width}"))
     ranges = checkpointed(
-        df.select(ord_col)
+        df.select(ord_col).distinct()
         .repartitionByRange(ord_col)
         .withColumn("_bucket", F.spark_partition_id().cast("long"))
     )
@@ -131,12 +128,11 @@ def nth_key(bucketed: DataFrame, key: Column, position: Column) -> Column:
                 & (F.col("target") < F.col("start") + F.col("cnt")))
         .select("_bucket", (F.col("target") - F.col("start")).alias("skip"))
     )
-    bucket = target.select("_bucket").scalar()
-    skip = target.select("skip").scalar()
+    spot = target.select(F.struct("_bucket", "skip")).scalar()
     return (
-        bucketed.filter(F.col("_bucket") == bucket)
+        bucketed.filter(F.col("_bucket") == spot["_bucket"])
         .select(key.alias("_key"), F.row_number().over(Window.orderBy(key)).alias("_rn"))
-        .filter(F.col("_rn") - 1 == skip)
+        .filter(F.col("_rn") - 1 == spot["skip"])
         .select("_key")
         .scalar()
     )
@@ -165,12 +161,12 @@ def salted_join(many: DataFrame, one: DataFrame, key: str, spread_on: list[str],
 
 def blocked_lag(rows: DataFrame, key: str, order: str, value: str, out: str,
                 width: int = 65_536) -> DataFrame:
-    """Previous ``value`` of the same key in ``order`` (a number, unique within the key).
+    """Previous ``value`` of the same key in ``order`` (a BIGINT, unique within the key).
 
     Rows are windowed per (key, block of ``width`` order values); the first row of a block takes
     the last value of the key's previous block, from a table with one row per block.
     """
-    blocked = rows.withColumn("_block", F.floor(F.col(order) / width).cast("long"))
+    blocked = rows.withColumn("_block", F.expr(f"`{order}` div {width}"))
     within = Window.partitionBy(key, "_block").orderBy(order)
     across = Window.partitionBy(key).orderBy("_block")
     tails = (

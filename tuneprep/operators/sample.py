@@ -26,7 +26,7 @@ def split_train_val(rows: DataFrame, ratio: float = 0.9, shuffle: bool = True, s
         key = F.col(id_col)
         bucketed = with_ord_bucket(ids, id_col).withColumn("_key", key)
     cut = nth_key(bucketed, F.col("_key"), F.floor(F.col("n") * F.lit(float(ratio))))
-    train = cut.isNull() | (key < cut)
+    train = F.coalesce(key < cut, F.lit(True))  # no cut-off: every row is train
     return rows.withColumn("split", F.when(train, "train").otherwise("val"))
 
 

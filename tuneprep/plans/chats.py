@@ -387,14 +387,15 @@ def harvest_valid_items(t: Tables) -> DataFrame:
 
 
 @query(f"""
-WITH items AS (SELECT ord * 1000000 AS ord, trim(instruction, {WS}) AS u, trim(output, {WS}) AS a
+WITH items AS (SELECT ord, trim(instruction, {WS}) AS u, trim(output, {WS}) AS a
                FROM v_pairs WHERE ord % 6 NOT IN (2, 3)),
 kept AS (SELECT * FROM items WHERE length(u) + length(a) BETWEEN 20 AND 8192
          QUALIFY row_number() OVER (PARTITION BY u, a ORDER BY ord) = 1)
 SELECT ord, 2 AS n_messages, 'user:' || u || chr(10) || 'assistant:' || a AS chat
 FROM kept ORDER BY ord LIMIT 100""", longs=("n_messages",))
 def harvest_to_chats(t: Tables) -> DataFrame:
-    return _flat(G.harvest_to_chats(t.replies(), target=100))
+    chats = G.harvest_to_chats(t.replies(), target=100)
+    return _flat(chats.withColumnRenamed("reply_id", "ord"))
 
 
 def _routes_sql() -> str:

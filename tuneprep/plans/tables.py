@@ -61,6 +61,8 @@ class Tables:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.dir = sf_dir.rstrip("/")
+        # The tables hold zone-less UTC times; read them as such whatever the session says.
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
 
     def raw(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
@@ -89,7 +91,7 @@ class Tables:
             F.col("ord").alias("conv"), "turn", F.col("content").alias("output")
         )
         return user.join(reply, ["conv", "turn"]).select(
-            (F.col("conv") * 1000 + F.col("turn") - 1).alias("ord"), "instruction",
+            (F.col("conv") * 1_000_000 + F.col("turn") - 1).alias("ord"), "instruction",
             F.lit("").alias("input"), "output",
         )
 
@@ -354,7 +356,7 @@ _LOSS = "CAST(CAST(value AS DECIMAL(12,2)) AS VARCHAR)"
 VIEWS = {
     "v_turns": "SELECT conv_id AS ord, turn, role, text AS content FROM conversations",
     "v_pairs": """
-        SELECT u.conv_id * 1000 + u.turn AS ord, u.text AS instruction, '' AS input,
+        SELECT u.conv_id * 1000000 + u.turn AS ord, u.text AS instruction, '' AS input,
                a.text AS output
         FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1
         WHERE u.role = 'user' AND a.role = 'assistant'""",

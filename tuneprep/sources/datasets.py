@@ -46,6 +46,13 @@ def save_dataset(records: DataFrame, base: str, name: str, fmt: str = "sharegpt"
     return f"{path}/data"
 
 
+def _file_format(spark: SparkSession, path: str) -> str:
+    """File format of a folder, from the suffix of its files."""
+    names = list_files(spark, path).select(F.substring_index("path", ".", -1).alias("suffix"))
+    suffix = names.filter(F.col("suffix").isin("json", "parquet", "orc", "csv")).first()
+    return suffix["suffix"] if suffix else "parquet"
+
+
 def load_dataset(spark: SparkSession, base: str, name: str) -> SavedDataset:
     """Data and metadata; the format is detected when the metadata lacks it."""
     path = f"{base.rstrip('/')}/{name}"
@@ -55,7 +62,8 @@ def load_dataset(spark: SparkSession, base: str, name: str) -> SavedDataset:
     if path_exists(spark, f"{path}/meta"):
         row = spark.read.schema(f"{META}, file_format string").json(f"{path}/meta").first()
         meta = row.asDict() if row else {}
-    data = spark.read.format(meta.get("file_format") or "parquet").load(f"{path}/data")
+    file_format = meta.get("file_format") or _file_format(spark, f"{path}/data")
+    data = spark.read.format(file_format).load(f"{path}/data")
     fmt = meta.get("format") or detect_schema_format(data.schema)
     return SavedDataset(meta.get("name") or name, fmt, data.count(), data)
 

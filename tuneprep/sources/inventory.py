@@ -74,7 +74,7 @@ def library_totals(inventory: DataFrame) -> DataFrame:
 
 
 def checkpoint_inventory(files: DataFrame) -> DataFrame:
-    """Per ``checkpoint-<step>`` folder: step, size and newest change."""
+    """Per ``checkpoint-<step>`` folder: step, size and newest change; latest step first."""
     folder = F.regexp_extract("path", r"^(.*/checkpoint-\d+)/", 1)
     return (
         files.withColumn("path", folder)
@@ -85,4 +85,5 @@ def checkpoint_inventory(files: DataFrame) -> DataFrame:
             F.max("modificationTime").alias("modified"),
         )
         .withColumn("step", F.regexp_extract("path", r"checkpoint-(\d+)$", 1).cast("long"))
+        .orderBy(F.col("step").desc(), "path")
     )
