@@ -133,3 +133,19 @@ def assemble_chats(turns: DataFrame, fields: tuple[str, str] = ("role", "content
         F.transform(ordered, lambda t: F.struct(t[who].alias(who), t[what].alias(what)))
         .alias(out)
     )
+
+
+def turns_to_alpaca(turns: DataFrame) -> DataFrame:
+    """Instruction rows straight from turn rows: last user and last assistant text per chat.
+
+    Two aggregates that combine map-side, so a chat of any length needs no array.
+    """
+
+    def last(role: str) -> Column:
+        return F.max_by("content", F.when(F.col("role") == role, F.col("turn")))
+
+    return turns.groupBy("ord").agg(
+        last("user").alias("instruction"), last("assistant").alias("output")
+    ).select("ord", "instruction", F.lit("").alias("input"), "output").filter(
+        (F.col("instruction") != "") & (F.col("output") != "")
+    )

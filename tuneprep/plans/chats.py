@@ -93,6 +93,11 @@ def conv_to_alpaca(t: Tables) -> DataFrame:
     return FM.to_alpaca(t.conversations())
 
 
+@query(_LAST_PAIR.replace("GROUP BY ord, turn // 4096", "GROUP BY ord"))
+def turns_to_alpaca(t: Tables) -> DataFrame:
+    return FM.turns_to_alpaca(t.turns())
+
+
 @query("""
 SELECT ord, turn // 4096 AS part, count(*) AS n_messages,
        string_agg(role || ':' || content, chr(10) ORDER BY turn) AS chat

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tuneprep.operators.catalog import filter_files
+from tuneprep.operators.formats import turns_to_alpaca
 from tuneprep.plans.registry import query
 from tuneprep.plans.tables import Tables
 from tuneprep.session import scratch_path
@@ -57,14 +58,14 @@ SELECT ord, instruction, output, 'alpaca' AS format, count(*) OVER () AS record_
 WHERE instruction IS NOT NULL AND output IS NOT NULL""")
 def save_load(t: Tables) -> DataFrame:
     base = scratch_path(t.spark, "datasets")
-    D.save_dataset(t.chats().select("ord", "messages"), base, "chats", "alpaca")
+    D.save_dataset(turns_to_alpaca(t.turns()), base, "chats", "alpaca")
     loaded = D.load_dataset(t.spark, base, "chats")
     return loaded.data.select("ord", "instruction", "output", F.lit(loaded.format).alias("format"),
                               F.lit(loaded.record_count).cast("long").alias("record_count"))
 
 
 @query("""
-SELECT 'chats' AS id, 'chats' AS name, 'sharegpt' AS format, count(DISTINCT ord) AS record_count,
+SELECT 'chats' AS id, 'chats' AS name, 'sharegpt' AS format, count(DISTINCT (ord, turn // 4096)) AS record_count,
        true AS has_size FROM v_turns
 UNION ALL SELECT 'docs', 'docs', 'sharegpt', count(*), true FROM v_docs""")
 def list_datasets(t: Tables) -> DataFrame:
