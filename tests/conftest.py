@@ -6,7 +6,7 @@ from tuneprep import build_session
 @pytest.fixture(scope="session")
 def spark():
     session = build_session("tests", "local[8]", **{
-        "spark.sql.shuffle.partitions": "8", "spark.driver.memory": "8g",
+        "spark.sql.shuffle.partitions": "4", "spark.driver.memory": "8g",
         "spark.ui.showConsoleProgress": "false",
     })
     session.sparkContext.setLogLevel("ERROR")

@@ -22,7 +22,8 @@ def test_top_k(spark):
     order = [F.col("v").desc(), F.col("ord")]
     w = Window.partitionBy("k").orderBy(*order)
     want = rows.withColumn("r", F.row_number().over(w)).filter("r <= 7")
-    same(RK.top_k_per_key(rows, ["k"], order, 7, ["ord"], rank="r"), want)
+    same(RK.top_k_per_key(rows, ["k"], order, 7, rank="r"), want)
+    same(RK.top_k_per_key(rows.repartition(13), ["k"], order, 7, rank="r", salts=3), want)
 
 
 def test_keep_first(spark):

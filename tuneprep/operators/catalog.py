@@ -46,7 +46,7 @@ def merged_search(models: DataFrame, limit: int = 30, licence: str | None = None
         rows = rows.filter(match | (F.col("source") != filtered_source) if compat else match)
     per_source = limit if sources and len(sources) == 1 else limit // 2 + 1
     order = [F.col("downloads").desc(), F.col("model_id")]
-    capped = top_k_per_key(rows, ["source"], order, per_source, ["model_id"])
+    capped = top_k_per_key(rows, ["source"], order, per_source)
     return tag_models(capped.orderBy(*order).limit(limit))
 
 
@@ -77,7 +77,7 @@ def enriched_search(rows: DataFrame, limit: int = 20,
         level = F.when(F.col("origin") == origin, F.lit(value)).otherwise(level)
     levelled = rows.withColumn("_level", level)
     order = [F.col("_level"), F.col("downloads").desc(), F.col("model_id")]
-    best = top_k_per_key(levelled, ["search_id"], order, limit, ["model_id"], rank="rank")
+    best = top_k_per_key(levelled, ["search_id"], order, limit, rank="rank")
     chosen = (
         best.withColumn("_best", F.min("_level").over(Window.partitionBy("search_id")))
         .filter(F.col("_level") == F.col("_best"))

@@ -122,8 +122,7 @@ def append_metrics(metrics: DataFrame, path: str) -> None:
 
 def metric_history(metrics: DataFrame, limit: int = 500) -> DataFrame:
     """First ``limit`` metric rows of each experiment in step order."""
-    return top_k_per_key(metrics, ["experiment_id"], [F.col("step"), F.col("ord")], limit,
-                         ["ord"])
+    return top_k_per_key(metrics, ["experiment_id"], [F.col("step"), F.col("ord")], limit)
 
 
 def compare_experiments(requested: DataFrame, group: str, order: str = "req_ord") -> DataFrame:

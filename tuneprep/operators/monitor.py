@@ -15,13 +15,13 @@ RECENT = 10
 def parse_log(lines: DataFrame, tail_lines: int | None = None) -> DataFrame:
     """(experiment_id, ord, line) to metric rows; ``tail_lines`` looks at each log's end only."""
     if tail_lines is not None:
-        lines = top_k_per_key(lines, ["experiment_id"], [F.col("ord").desc()], tail_lines, ["ord"])
+        lines = top_k_per_key(lines, ["experiment_id"], [F.col("ord").desc()], tail_lines)
     return parsed_metrics(lines.select("experiment_id", "ord", "line"))
 
 
 def log_tail(lines: DataFrame, n: int = 20) -> DataFrame:
     """Last ``n`` lines of each log."""
-    return top_k_per_key(lines, ["experiment_id"], [F.col("ord").desc()], n, ["ord"])
+    return top_k_per_key(lines, ["experiment_id"], [F.col("ord").desc()], n)
 
 
 def progress(metrics: DataFrame, runs: DataFrame | None = None) -> DataFrame:
@@ -35,8 +35,7 @@ def progress(metrics: DataFrame, runs: DataFrame | None = None) -> DataFrame:
         *[F.max_by(f, "ord").alias(f) for f in fields], F.min("loss").alias("best_loss"),
         F.count(F.lit(1)).alias("points"),
     ).select("experiment_id", "best_loss", "points", F.struct(*fields).alias("last"))
-    newest = top_k_per_key(metrics, ["experiment_id"], [F.col("ord").desc()], RECENT, ["ord"],
-                           rank="r")
+    newest = top_k_per_key(metrics, ["experiment_id"], [F.col("ord").desc()], RECENT, rank="r")
 
     def at(rank: int):
         return F.max(F.when(F.col("r") == rank, F.struct("step", "elapsed_seconds")))

@@ -15,14 +15,14 @@ HOT_ROWS = 1_000_000
 
 
 def top_k_per_key(df: DataFrame, keys: list[str], order: list[Column], k: int,
-                  spread_on: list[str], salts: int = SALTS, rank: str | None = None) -> DataFrame:
-    """First ``k`` rows of every key.
+                  rank: str | None = None, salts: int = SALTS) -> DataFrame:
+    """First ``k`` rows of every key, as a two-level reduction.
 
-    Each key is cut into ``salts`` slices and ranked per slice, so a key that holds a large
-    share of the table is sorted by many tasks; at most ``salts * k`` of its rows meet in the
-    second ranking. Spark's window group limit cuts to ``k`` per map task before each shuffle.
+    Spark's window group limit keeps ``k`` rows per key in each map task. The survivors of a key
+    are then ranked in ``salts`` slices, by the input partition they come from, and at most
+    ``salts * k`` of them meet in the second ranking. The slice does not affect the result.
     """
-    salt = F.pmod(F.xxhash64(*[F.col(c) for c in spread_on]), F.lit(salts))
+    salt = F.pmod(F.spark_partition_id(), F.lit(salts))
     slices = Window.partitionBy(*keys, "_salt").orderBy(*order)
     whole = Window.partitionBy(*keys).orderBy(*order)
     name = rank or "_rank"
