@@ -59,7 +59,8 @@ def longest_contained(text: Column, entries: list[tuple[str, object]],
 
 def cjk_chars(col: Column) -> Column:
     """Number of characters in U+4E00..U+9FFF."""
-    return F.regexp_count(col, F.lit("[\\x{4E00}-\\x{9FFF}]")).cast("long")
+    others = F.regexp_replace(col, "[\\x{4E00}-\\x{9FFF}]+", "")
+    return (F.length(col) - F.length(others)).cast("long")
 
 
 def base_name(path: Column) -> Column:

@@ -10,11 +10,13 @@ from pyspark.sql import functions as F
 from tuneprep.functions import messages as M
 from tuneprep.functions.text import once, strip
 from tuneprep.operators.formats import PART_TURNS, assemble_chats, with_part
-from tuneprep.operators.ranking import exact_rank, keep_first, nth_key, with_ord_bucket
+from tuneprep.operators.ranking import (
+    exact_rank, first_rows, keep_first, nth_key, with_ord_bucket,
+)
 from tuneprep.schema import MESSAGES
 
 OUTCOMES = ["total", "kept", "removed", "empty", "too_short", "too_long", "duplicate"]
-SMALL_LIMIT = 10_000
+SMALL_LIMIT = 1000
 
 
 @dataclass(frozen=True)
@@ -180,12 +182,12 @@ def dedup_prefix(rows: DataFrame, text: str, n: int, *order: str) -> DataFrame:
 def cap_first(rows: DataFrame, n: int, *order: str) -> DataFrame:
     """The first ``n`` rows in ``order`` (default ord).
 
-    Small caps are a top-n. Larger ones filter by the cut-off key, or by exact positions when
-    several columns make the order, so that no task gathers the result.
+    Small caps are a top-n on the order columns. Larger ones filter by the cut-off key, or by exact
+    positions when several columns make the order, so that no task gathers the result.
     """
     ord_col, *more = order or ("ord",)
     if n <= SMALL_LIMIT:
-        return rows.orderBy(ord_col, *more).limit(n)
+        return first_rows(rows, [ord_col, *more], n)
     if more:
         ranked = exact_rank(with_ord_bucket(rows, ord_col), [F.col(ord_col), *map(F.col, more)],
                             "_pos")

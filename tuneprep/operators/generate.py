@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from tuneprep.functions.harvest import reply_items
 from tuneprep.functions.text import contains_any, let, once, strip
-from tuneprep.operators.clean import CleanOptions, cap_first, clean, dedup_prefix
+from tuneprep.operators.clean import SMALL_LIMIT, CleanOptions, cap_first, clean, dedup_prefix
 from tuneprep.operators.formats import to_messages
-from tuneprep.operators.ranking import exact_rank, with_ord_bucket
+from tuneprep.operators.ranking import exact_rank, top_k_per_key, with_ord_bucket
 from tuneprep.rules import terms
 from tuneprep.schema import ANY_RECORD
 from tuneprep.session import checkpointed
@@ -20,6 +20,7 @@ BATCH = 30
 DOCUMENT_BATCH = 20
 MIN_DOCUMENT = 50
 MAX_DOCUMENT = 8000
+# Fixed value: text that marks a cut document.
 TRUNCATED = "\n...(文档已截断)"
 
 # Our own prompt wording; pass other templates to render_prompts to replace it.
@@ -125,7 +126,11 @@ def harvest_to_chats(replies: DataFrame, target: int | None = None, text: str =
     order = (keep, "item")
     opts = CleanOptions(min_length=min_length, max_length=max_length)
     chats = clean(to_messages(items, keep=list(order)), opts, order)
-    return chats if target is None else cap_first(chats, target, *order)
+    if target is None:
+        return chats
+    if target <= SMALL_LIMIT:
+        return top_k_per_key(chats, [], [F.col(c) for c in order], target)
+    return cap_first(chats, target, *order)
 
 
 def route_datasets(requests: DataFrame, description: str = "description",

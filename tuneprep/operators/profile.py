@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tuneprep.functions import messages as M
 from tuneprep.functions.text import cjk_chars
+from tuneprep.operators.ranking import first_rows
 from tuneprep.rules.terms import LENGTH_BUCKETS
 
 HINT_MESSAGES = 1000
@@ -91,7 +92,7 @@ def language_hint(turns: DataFrame, max_messages: int | None = HINT_MESSAGES) ->
     """
     text = turns.select("ord", "turn", F.coalesce(F.col("content"), F.lit("")).alias("content"))
     if max_messages is not None:
-        text = text.orderBy("ord", "turn").limit(max_messages)
+        text = first_rows(text, ["ord", "turn"], max_messages)
     return (
         text.agg(
             F.coalesce(F.sum(cjk_chars(F.col("content"))), F.lit(0).cast("long")).alias("cjk"),

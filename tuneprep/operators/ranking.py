@@ -21,6 +21,7 @@ def top_k_per_key(df: DataFrame, keys: list[str], order: list[Column], k: int,
     Spark's window group limit keeps ``k`` rows per key in each map task. The survivors of a key
     are then ranked in ``salts`` slices, by the input partition they come from, and at most
     ``salts * k`` of them meet in the second ranking. The slice does not affect the result.
+    With no ``keys`` it is a top-n that reads its input once, for computed tables.
     """
     salt = F.pmod(F.spark_partition_id(), F.lit(salts))
     slices = Window.partitionBy(*keys, "_salt").orderBy(*order)
@@ -37,6 +38,19 @@ def top_k_per_key(df: DataFrame, keys: list[str], order: list[Column], k: int,
     return out if rank else out.drop(name)
 
 
+def first_rows(rows: DataFrame, order: list[str], n: int) -> DataFrame:
+    """First ``n`` rows in ``order``, columns that are unique together; for stored tables.
+
+    The top-n runs on the order columns alone. Rows are then read up to the largest first column
+    (a filter that reaches the file scan) and matched against the ``n`` keys, which bound the
+    broadcast. Texts of rows that do not make it are never moved.
+    """
+    keys = rows.select(*order).orderBy(*order).limit(n)
+    cut = keys.agg(F.max(order[0])).scalar()
+    near = rows.filter(F.col(order[0]) <= cut)
+    return near if len(order) == 1 else near.join(F.broadcast(keys), order, "left_semi")
+
+
 def keep_first(df: DataFrame, order: list[str], keys: dict[str, Column]) -> DataFrame:
     """First row of every key in ``order``, a list of columns that is unique together.
 
