@@ -68,22 +68,18 @@ def base_name(path: Column) -> Column:
 
 
 def matches_glob(name: Column, patterns: list[str]) -> Column:
-    """Shell-style match of a whole file name against any pattern."""
-
-    def matches(n: Column) -> Column:
-        hit = F.lit(False)
-        for pattern in patterns:
-            tail = pattern[1:]
-            if not set(pattern) & set("*?["):
-                test = n == pattern
-            elif pattern[0] == "*" and not set(tail) & set("*?["):
-                test = F.endswith(n, F.lit(tail))
-            else:
-                test = n.rlike("^" + fnmatch.translate(pattern).replace("\\z", "\\Z"))
-            hit = hit | test
-        return hit
-
-    return let(name, matches)
+    """Shell-style match of a whole file name; bind computed names with ``let`` first."""
+    hit = F.lit(False)
+    for pattern in patterns:
+        tail = pattern[1:]
+        if not set(pattern) & set("*?["):
+            test = name == pattern
+        elif pattern[0] == "*" and not set(tail) & set("*?["):
+            test = F.endswith(name, F.lit(tail))
+        else:
+            test = name.rlike("^" + fnmatch.translate(pattern).replace("\\z", "\\Z"))
+        hit = hit | test
+    return hit
 
 
 def round_even(value: Column, digits: int) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tuneprep.functions import catalog as C
-from tuneprep.functions.text import base_name, matches_glob, strip
+from tuneprep.functions.text import base_name, let, matches_glob, strip
 from tuneprep.operators.ranking import top_k_per_key
 from tuneprep.rules.cards import BUILTIN_DATASETS, Card, default_cards
 from tuneprep.rules.terms import DEFAULT_IGNORE
@@ -164,10 +164,13 @@ def detect_templates(models: DataFrame, config: str | None = None,
 def filter_files(files: DataFrame, allow: list[str] | None = None,
                  ignore: list[str] | None = None, path: str = "path") -> DataFrame:
     """Files whose base name passes the ignore patterns, then the allow patterns."""
-    name = base_name(F.col(path))
     ignore = DEFAULT_IGNORE if ignore is None else ignore
-    rows = files.filter(~matches_glob(name, ignore)) if ignore else files
-    return rows.filter(matches_glob(name, allow)) if allow else rows
+
+    def wanted(name: Column) -> Column:
+        keep = ~matches_glob(name, ignore)
+        return keep & matches_glob(name, allow) if allow else keep
+
+    return files.filter(let(base_name(F.col(path)), wanted))
 
 
 def card_table(spark, cards: list[Card] | None = None) -> DataFrame:

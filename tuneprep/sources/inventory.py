@@ -6,11 +6,11 @@ well as a directory walk.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tuneprep.functions.catalog import licence_class
-from tuneprep.functions.text import base_name, matches_glob, once
+from tuneprep.functions.text import base_name, matches_glob
 
 # --- Fixed values: top-level files that mark a downloaded model ---
 MODEL_FILES = ["*.safetensors", "*.gguf", "config.json"]
@@ -31,20 +31,16 @@ def library_inventory(files: DataFrame, root: str) -> DataFrame:
 
     Names starting with a dot are left out.
     """
-
-    def parts(inner: Column) -> Column:
-        return F.struct(
-            F.substring_index(inner, "/", 1).alias("model_dir"),
-            base_name(inner).alias("name"),
-            (F.substring_index(inner, "/", 2) == inner).alias("top"),
-        )
-
-    inner = F.substring_index("path", f"{root.rstrip('/')}/", -1)
+    inner, name = F.col("_inner"), F.col("_name")
     return (
-        files.select("length", once(inner, parts).alias("f"))
-        .filter(~F.startswith("f.name", F.lit(".")))
-        .select("f.model_dir", "length",
-                (F.col("f.top") & matches_glob(F.col("f.name"), MODEL_FILES)).alias("_model"))
+        files.select("length", F.substring_index("path", f"{root.rstrip('/')}/", -1).alias("_inner"))
+        .select(
+            "length", F.substring_index(inner, "/", 1).alias("model_dir"),
+            base_name(inner).alias("_name"),
+            (F.substring_index(inner, "/", 2) == inner).alias("_top"),
+        )
+        .filter(~F.startswith(name, F.lit(".")))
+        .withColumn("_model", F.col("_top") & matches_glob(name, MODEL_FILES))
         .groupBy("model_dir")
         .agg(
             (F.sum("length") / float(1024 ** 3)).alias("size_gb"),
