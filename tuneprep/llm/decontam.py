@@ -24,9 +24,9 @@ from pyspark.sql import functions as F
 from tuneprep.llm.common import frozen, let, plain_columns, with_default
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BROADCAST_ROWS = 500_000
+END = 0
 
 NO_HITS = "array<struct<item:string,start:int,stop:int,exact:boolean>>"
 
@@ -66,10 +66,14 @@ def item_words(items: DataFrame, item_id: str = "item_id", text: str = "text") -
 
 def build_index(docs: DataFrame, terms: DataFrame, doc_id: str = "doc_id",
                 text: str = "text") -> DataFrame:
-    """Postings (term, row, pos) of the words that occur in ``terms(word, term)``."""
+    """Postings (term, row, pos) of the words that occur in ``terms(word, term)``.
+
+    Each row ends with an empty word, the term ``END``; its position is the row's length.
+    """
     base = plain_columns(docs, {"doc_id": doc_id, "text": text})
     tokens = (base.select(row_key(F.col("doc_id"), F.col("text")).alias("row"),
-                          F.posexplode(raw_words(F.col("text"))).alias("pos", "raw"))
+                          F.posexplode(F.array_append(raw_words(F.col("text")), F.lit("")))
+                          .alias("pos", "raw"))
               .select("row", "pos", lower_ascii(F.col("raw")).alias("word")))
     return frozen(tokens.join(_small(terms), "word").select("term", "row", "pos"), "index")
 
@@ -160,14 +164,22 @@ def _covered(stretches: Column) -> Column:
 def find_matches(docs: DataFrame, items: DataFrame, window: int = 10, slop: int = 2,
                  share: float = 0.8, doc_id: str = "doc_id", text: str = "text",
                  item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """(row, matches) of the documents with matches; ``row`` is ``row_key`` of id and text.
+    """(row, matches) of the documents with matches; ``row`` is ``row_key`` of id and text."""
+    return search(docs, items, window, slop, share, doc_id, text, item_id, item_text)[1]
+
+
+def search(docs: DataFrame, items: DataFrame, window: int, slop: int, share: float, doc_id: str,
+           text: str, item_id: str, item_text: str) -> tuple[DataFrame, DataFrame]:
+    """The index, and (row, matches) of the documents with matches.
 
     ``matches``: item, start, stop (word positions, stop exclusive), exact. A window with at least
     ``share`` of its words within ``slop`` places more on either side is a proximity match.
     """
     known = item_words(items, item_id, item_text)
     terms = frozen(known.select(F.explode("words").alias("word")).distinct()
-                   .withColumn("term", F.xxhash64("word")), "terms")
+                   .withColumn("term", F.xxhash64("word"))
+                   .union(docs.sparkSession.range(1).select(F.lit(""), F.lit(END).cast("bigint"))),
+                   "terms")
     index = build_index(docs, terms, doc_id, text)
     anchors = anchor_pairs(known, index, terms, window)
     names = known.select("item", F.col("item_id").cast("string").alias("name"), "words")
@@ -176,20 +188,21 @@ def find_matches(docs: DataFrame, items: DataFrame, window: int = 10, slop: int
         .alias("candidates")), "candidates")
     base = plain_columns(docs, {"doc_id": doc_id, "text": text})
     keyed = base.select(row_key(F.col("doc_id"), F.col("text")).alias("row"), "text")
-    found = keyed.join(candidates, "row").select("row", let(words_of(F.col("text")), lambda w: (
+    # Texts are shuffled for it at every size; Spark adds a runtime filter on large inputs.
+    found = keyed.join(candidates.hint("merge"), "row").select("row", let(words_of(F.col("text")), lambda w: (
         F.array_distinct(F.flatten(F.transform("candidates", lambda c: let(
             F.when(c["straight"], _runs(w, c, window)).otherwise(F.array().cast(NO_HITS)),
             lambda runs: F.when(F.size(runs) > 0, runs).otherwise(
                 _near(w, c, window, slop, share)))))))).alias("matches"))
-    return found.where(F.size("matches") > 0).dropDuplicates(["row"])
+    return index, found.where(F.size("matches") > 0).dropDuplicates(["row"])
 
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = 10, slop: int = 2,
                   share: float = 0.8, doc_id: str = "doc_id", text: str = "text",
                   item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """One row per document: words, hit words, items by exact and by proximity matches."""
-    found = frozen(find_matches(docs, items, window, slop, share, doc_id, text, item_id,
-                                item_text), "matches")
+    index, found = search(docs, items, window, slop, share, doc_id, text, item_id, item_text)
+    found = frozen(found, "matches")
     exact = F.filter("matches", lambda m: m["exact"])
     names = F.filter(F.transform(exact, lambda m: m["item"]), lambda x: x.isNotNull())
     ids = F.sort_array(F.array_distinct(names))
@@ -198,11 +211,11 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 10, slop: int
         F.size(F.array_distinct(F.transform(F.filter("matches", lambda m: ~m["exact"]),
                                             lambda m: m["item"]))).cast("long").alias("n_near"))
     none = F.array().cast("array<string>")
+    lengths = index.where(F.col("term") == END).groupBy("row").agg(
+        F.max("pos").cast("long").alias("n_words"))
     base = plain_columns(docs, {"doc_id": doc_id, "text": text})
-    return (base.select("doc_id", row_key(F.col("doc_id"), F.col("text")).alias("row"),
-                        F.regexp_count(with_default(F.col("text")), F.lit(WORD)).cast("long")
-                        .alias("n_words"))
-            .join(summed, "row", "left")
+    return (base.select("doc_id", row_key(F.col("doc_id"), F.col("text")).alias("row"))
+            .join(lengths, "row").join(summed, "row", "left")
             .select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"),
                     F.size(F.coalesce("ids", none)).cast("long").alias("n_items"),
                     F.sha2(F.array_join(F.coalesce("ids", none), ","), 256).alias("items_sha256"),
@@ -217,4 +230,4 @@ def clean_documents(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id",
     hit = frozen(found.where(F.exists("matches", lambda m: m["exact"]))
                  .select(F.col("row").alias("_hit")), "contaminated")
     keyed = docs.withColumn("_row", row_key(F.col(f"`{doc_id}`"), F.col(f"`{text}`")))
-    return keyed.join(hit, keyed["_row"] == hit["_hit"], "left_anti").drop("_row")
+    return keyed.join(hit.hint("merge"), keyed["_row"] == hit["_hit"], "left_anti").drop("_row")
