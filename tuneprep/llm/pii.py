@@ -278,7 +278,7 @@ def redact(docs: DataFrame, options: PiiOptions = PiiOptions(), doc_id: str = "d
              .dropDuplicates(["_id", "_hash"]))
     value = F.col(f"`{text}`")
     keyed = docs.withColumn("_key", F.xxhash64(with_default(value)))
-    return (keyed.join(found, (F.col("_key") == F.col("_hash"))
+    return (keyed.join(found.hint("merge"), (F.col("_key") == F.col("_hash"))
                        & F.col(f"`{doc_id}`").eqNullSafe(F.col("_id")), "left")
             .withColumn(text, F.when(F.col("_spans").isNull(), value)
                         .otherwise(redacted(value, F.col("_spans"))))

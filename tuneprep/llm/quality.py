@@ -144,7 +144,7 @@ def apply_rules(docs: DataFrame, options: QualityOptions = QualityOptions(),
         F.col("_lines"), F.xxhash64(normal_line(x))) | (F.btrim(x, F.lit(SPACES)) == "")), "\n")
     cleaned = F.when(F.size("_lines") == 0, F.col(f"`{text}`")).otherwise(kept_lines)
     keyed = docs.withColumn("_text_key", F.xxhash64(value))
-    return (keyed.join(verdict, (F.col("_text_key") == F.col("_hash"))
+    return (keyed.join(verdict.hint("merge"), (F.col("_text_key") == F.col("_hash"))
                        & F.col(f"`{doc_id}`").eqNullSafe(F.col("_id"))
                        & F.col(f"`{host}`").eqNullSafe(F.col("_host")))
             .withColumn(text, cleaned).select(*[f"`{c}`" for c in docs.columns]))
