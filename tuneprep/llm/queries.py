@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tuneprep.llm.chat import digests, format_chats
 from tuneprep.llm.common import read_table
 from tuneprep.llm.decontam import contamination
+from tuneprep.llm.html import extract
 from tuneprep.llm.packing import pack
 from tuneprep.llm.pii import pii_report
 from tuneprep.llm.quality import judged
@@ -33,6 +34,12 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         "base_failed", "kept", "removed_words")
 
 
+@query
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return extract(read_table(spark, sf_dir, "pages"))
+
+
 @query
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
