@@ -3,19 +3,65 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tuneprep.llm.common import frozen, read_table
+from tuneprep.llm.decontam import clean_documents
+from tuneprep.llm.packing import pack
+from tuneprep.llm.pii import redact
 from tuneprep.llm.quality import apply_rules
+from tuneprep.llm.simhash import near_duplicates
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def _documents(docs: DataFrame) -> DataFrame:
+    """The columns of ``documents``; ``n_chars`` follows the text."""
+    return docs.withColumn("n_chars", F.length("text").cast("bigint")).select(*COLUMNS)
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop rejected documents and take lines above their host's limit out of the others."""
-    return apply_rules(docs)
+    return _documents(apply_rules(docs))
+
+
+def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the document with the smallest id of each group of linked fingerprints.
+
+    Of repeated rows with that id one stays. Rows without an id stay only where no row of the
+    group has one, and then one of them.
+    """
+    found = near_duplicates(docs)
+    keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(
+        F.col("doc_id").alias("_id"), F.col("fingerprint").alias("_fp")).distinct()
+    return _documents(docs.join(keep.hint("merge"), docs["doc_id"].eqNullSafe(keep["_id"]))
+                      .dropDuplicates(["doc_id", "_fp"]))
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents with a passage of a benchmark item."""
+    return _documents(clean_documents(docs, read_table(spark, sf_dir, "benchmark")))
+
+
+def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replace personal data in every text."""
+    return _documents(redact(docs))
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Places of all pieces in sequences of 2048 tokens."""
+    return pack(docs)
 
 
-STAGES = [("quality_rules", quality_stage)]
+STAGES = [
+    ("quality_rules", quality_stage),
+    ("simhash_near_dedup", near_dup_stage),
+    ("benchmark_decontamination", decontamination_stage),
+    ("pii", pii_stage),
+    ("best_fit_packing", packing_stage),
+]
 
-#: Fingerprints, boosted trees and packing are not SQL; tests/llm holds brute-force versions.
+#: Fingerprints, boosted trees and packing are not SQL; tests/llm holds a brute-force version.
 ORACLE_SQL = None
 
 

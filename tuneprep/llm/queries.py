@@ -4,18 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tuneprep.llm.chat import digests, format_chats
 from tuneprep.llm.common import read_table
 from tuneprep.llm.decontam import contamination
 from tuneprep.llm.html import extract
+from tuneprep.llm.ngrams import score
 from tuneprep.llm.packing import pack
 from tuneprep.llm.pii import pii_report
 from tuneprep.llm.quality import judged
 from tuneprep.llm.simhash import near_duplicates
 from tuneprep.llm.substrings import without_repeats
+from tuneprep.llm.token_counts import count_edited
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -34,6 +36,12 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         "base_failed", "kept", "removed_words")
 
 
+@query
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Losses of every document under models of good documents and of all others."""
+    return score(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 @query
 def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
@@ -74,6 +82,26 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_report(read_table(spark, sf_dir, "documents"))
 
 
+def sample_edits(doc_id: Column, text: Column, source: Column) -> Column:
+    """Four edits of a document that depend on its own columns: insert, delete, replace, append."""
+    size = F.coalesce(F.length(text), F.lit(0))
+    edits = [(F.pmod(doc_id * 7919, size + 1), F.lit(0), F.concat(F.lit(" ["), source, F.lit("] "))),
+             (F.floor(size / 3), F.lit(40), F.lit("")),
+             (F.floor(size / 2), F.lit(10), F.lit("'re\nnew ")),
+             (size, F.lit(0), F.lit(" end."))]
+    return F.array(*[F.struct(F.lit(k).cast("bigint").alias("seq"), start.cast("bigint").alias("start"),
+                              length.cast("bigint").alias("length"), value.alias("text"))
+                     for k, (start, length, value) in enumerate(edits)])
+
+
+@query
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of every document before and after four edits of it."""
+    docs = read_table(spark, sf_dir, "documents")
+    return count_edited(docs.select("doc_id", "text", sample_edits(
+        F.col("doc_id"), F.col("text"), F.col("source")).alias("edits")))
+
+
 @query
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document that no smaller document's 13-word windows cover."""
