@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tuneprep.llm.common import frozen, read_table
@@ -28,14 +28,15 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the document with the smallest id of each group of linked fingerprints.
 
-    Of repeated rows with that id one stays. Rows without an id stay only where no row of the
-    group has one, and then one of them.
+    Rows with one id are one document, of which the row with the smallest text hash stays. Rows
+    without an id cannot be named as a group's document and stay.
     """
-    found = near_duplicates(docs)
-    keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(
-        F.col("doc_id").alias("_id"), F.col("fingerprint").alias("_fp")).distinct()
-    return _documents(docs.join(keep.hint("merge"), docs["doc_id"].eqNullSafe(keep["_id"]))
-                      .dropDuplicates(["doc_id", "_fp"]))
+    keep = near_duplicates(docs).where("doc_id = component_id").select(
+        F.col("doc_id").alias("_id")).distinct()
+    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
+    first = (docs.join(keep.hint("merge"), docs["doc_id"] == keep["_id"])
+             .withColumn("_rank", rank).where("_rank = 1"))
+    return _documents(first).union(_documents(docs.where("doc_id IS NULL")))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
