@@ -5,16 +5,15 @@ from collections import Counter
 
 import numpy as np
 import samples
-from tokenizers import Tokenizer
 
 from tuneprep.llm.packing import pack, plan_bins
-from tuneprep.llm.tokens import WordEncoder, token_file
+from tuneprep.llm.tokens import TextEncoder
 
 
 def test_pack(spark):
     rows = [(k, t) for k, t, _ in samples.documents()] + [(k and k + 10**6, t) for k, t in samples.ROWS]
     got = pack(samples.table(spark, rows)).collect()
-    tokenizer = Tokenizer.from_file(token_file())
+    tokenizer = TextEncoder().tokenizer
     ids = {k: tokenizer.encode(t or "", add_special_tokens=False).ids + [0]
            for k, t in rows if k is not None}
     bins, covered = {}, Counter()
@@ -54,9 +53,10 @@ def test_bins_use_every_piece_and_beat_best_fit():
     assert sum(t for t, _ in bins) <= gaps.sum()
 
 
-def test_word_encoder_is_the_tokenizer():
-    encoder = WordEncoder()
-    for text in ["", " a", "a  b", "it's\n\nso ", "x\ty z", "<|endoftext|> q", "é 😀\nfoo\n bar", "a\0b c",
-                 "\n\nq w", "don't we've  1234 ok."]:
-        want = encoder.tokenizer.encode(text, add_special_tokens=False).ids
-        assert np.frombuffer(encoder.encode(text), "<u4").tolist() == want
+def test_encoder_gives_the_ids_of_the_tokenizer():
+    encoder = TextEncoder()
+    marks = [c for c in map(chr, range(1, 0x30000, 3)) if not 0xD800 <= ord(c) < 0xE000]
+    texts = ["", " a", "a  b", "it's\n\nso ", "x\ty z", "<|endoftext|> q", "a\0b c", "\n\nq w",
+             "don't we've  1234 ok.", "y" * 20_000, *[f"a{c}1 {c}{c} {c}b'{c}s" for c in marks]]
+    want = [e.ids for e in encoder.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert [np.frombuffer(encoder.encode(t), "<u4").tolist() for t in texts] == want
