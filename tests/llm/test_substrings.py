@@ -40,7 +40,7 @@ def test_documents(spark):
 
 
 def test_several_rounds_and_a_full_sketch(spark):
-    check(spark, mixed(), max_bits=13)
+    check(spark, mixed(), max_bits=16)
 
 
 def test_small_chunks(spark, monkeypatch):
