@@ -147,10 +147,7 @@ def sketch(base: DataFrame, size: int, bits: int, classes: int, turn: int) -> di
 
 
 def repeated(base: DataFrame, size: int, bits: int, classes: int, turn: int) -> DataFrame:
-    """(id, spot) of the windows that also start in a document with a smaller id.
-
-    ``spot`` holds the checksum of the text above the window's position.
-    """
+    """(id, spot): the windows (first hash) of a document that start in one with a smaller id."""
     shared = base.sparkSession.sparkContext.broadcast(sketch(base, size, bits, classes, turn))
     span = max(1, (1 << bits) // PARTS)
 
@@ -171,23 +168,22 @@ def repeated(base: DataFrame, size: int, bits: int, classes: int, turn: int) ->
                 keep = met_twice(h1)
                 if classes > 1:
                     keep &= h2.view(np.uint32) % classes == turn
-                checks = np.array([zlib.crc32(batch["text"].iat[start + k].encode(
-                    "utf-8", "surrogatepass")) for k in range(len(texts))], dtype=np.int64)
-                number = number[keep]
-                found.append((h1[keep].view(np.int64), h2[keep], ids[start + number],
-                              (checks[number] << 32) | at[keep]))
+                found.append((h1[keep].view(np.int64), h2[keep], ids[start + number[keep]]))
             if not found:
                 continue
-            h1, h2, doc, spot = (np.concatenate(c) for c in zip(*found))
+            h1, h2, doc = (np.concatenate(c) for c in zip(*found))
             order = np.lexsort((doc, h2, h1))
-            h1, h2, doc, spot = h1[order], h2[order], doc[order], spot[order]
-            new = np.ones(len(h1), bool)
+            h1, h2, doc = h1[order], h2[order], doc[order]
+            new, again = np.ones(len(h1), bool), np.zeros(len(h1), bool)
             new[1:] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
-            first = doc[np.flatnonzero(new)][np.cumsum(new) - 1] if len(doc) else doc
+            again[1:] = ~new[1:] & (doc[1:] == doc[:-1])
+            first = doc[np.flatnonzero(new)][np.cumsum(new) - 1]
             known = doc > first
-            # One row per window and batch; what else has its id may be removed with it or not.
-            key = np.where(known, spot ^ doc, h1)
-            yield pd.DataFrame({"known": known, "h1": key, "h2": h2, "id": doc, "spot": spot})
+            # One row per window and batch goes to the window's place; the others are dealt evenly.
+            key = np.where(known, _mixed((h1 ^ doc).view(np.uint64)).view(np.int64), h1)
+            rows = pd.DataFrame({"known": known, "h1": key, "h2": h2, "id": doc,
+                                 "spot": np.where(known, h1, 0)})
+            yield rows[~again]
 
     def resolved(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last = None
@@ -202,7 +198,8 @@ def repeated(base: DataFrame, size: int, bits: int, classes: int, turn: int) ->
             firsts = np.concatenate([[last[1] if last else 0], doc[new]])
             out = known | (doc > firsts[number])
             last = ((known[-1], h1[-1], h2[-1]), firsts[number[-1]])
-            yield batch.loc[out, ["id", "spot"]]
+            spot = np.where(known, batch["spot"].to_numpy(), h1)
+            yield pd.DataFrame({"id": doc[out], "spot": spot[out]})
 
     rows = base.mapInPandas(suspects, "known boolean, h1 bigint, h2 int, id bigint, spot bigint")
     return (rows.repartition("h1", "h2").sortWithinPartitions("known", "h1", "h2", "id")
@@ -233,8 +230,8 @@ def without_repeats(docs: DataFrame, size: int = 13, max_bits: int = 29, doc_id:
                 words = raw.split()
                 keep = np.ones(len(words), bool)
                 if marks is not None and len(marks):
-                    marks = np.asarray(marks, dtype=np.int64)
-                    at = marks[(marks >> 32) & 0xFFFFFFFF == zlib.crc32(raw)] & 0xFFFFFFFF
+                    h1, _, _, at = hashed_windows([words], size)
+                    at = at[np.isin(h1.view(np.int64), np.asarray(marks, dtype=np.int64))]
                     edges = np.zeros(len(words) + 1, np.int64)
                     np.add.at(edges, at, 1)
                     np.add.at(edges, np.minimum(at + size, len(words)), -1)
