@@ -1,8 +1,10 @@
+import pytest
 from helpers import THREE, chat, records, stats, turns
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
 from tuneprep.operators import clean as CL
+from tuneprep.operators import ranking
 from tuneprep.operators.profile import (
     language_hint, length_histogram, record_length_stats, record_measures, record_turns,
     role_length_stats, turn_measures,
@@ -76,14 +78,27 @@ def test_order_of_turns_matters(spark):
     assert stats(CL.clean_turn_stats(turns(spark, a + b)))["duplicate"] == 0
 
 
-def test_large_cap_uses_cut_off(spark, monkeypatch):
-    monkeypatch.setattr(CL, "SMALL_LIMIT", 3)
-    rows = spark.range(100).withColumnRenamed("id", "ord")
-    assert [r["ord"] for r in CL.cap_first(rows, 7).orderBy("ord").collect()] == list(range(7))
-    assert CL.cap_first(rows, 100).count() == 100
-    assert CL.cap_first(rows, 500).count() == 100
-    sparse = rows.selectExpr("ord * ord * 1000000 AS ord")
-    assert CL.cap_first(sparse, 7).count() == 7
+@pytest.mark.parametrize("top_keys", [100_000, 2])
+def test_cap_returns_exactly_n_rows(spark, monkeypatch, top_keys):
+    monkeypatch.setattr(ranking, "TOP_KEYS", top_keys)
+    keys = [None, 1, 1, 2, 2, 3, *range(10, 1010)]
+    rows = spark.createDataFrame([(k, f"t{i}") for i, k in enumerate(keys)], "ord bigint, text string")
+    rows = rows.repartition(4)
+    for n in (0, 1, 2, 3, 4, 999, 1000, 1001, 5000):
+        got = [r["ord"] for r in CL.cap_first(rows, n).collect()]
+        assert sorted(got, key=lambda k: (k is not None, k)) == keys[:n]
+    copies = spark.createDataFrame([(5,)] * 50, "ord bigint").repartition(4)
+    assert CL.cap_first(copies, 7).count() == 7
+    assert CL.cap_first(copies.limit(0), 7).count() == 0
+
+
+def test_turn_numbers_of_any_size(spark):
+    rows = [(0, 0, "user", "one two three"), (0, 2_000_000_000, "assistant", "four five six"),
+            (1, 1, "user", "one two three"), (1, 2, "assistant", "four five six"),
+            (2, 0, "user", "one two three"), (2, 1, "assistant", "four five six")]
+    data = turns(spark, rows)
+    assert stats(CL.clean_turn_stats(data))["duplicate"] == 2
+    assert [(r["ord"], len(r["messages"])) for r in CL.clean_turns(data).collect()] == [(0, 2)]
 
 
 @settings(max_examples=5, deadline=None,

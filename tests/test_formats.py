@@ -70,11 +70,20 @@ def test_round_trip(spark):
     assert texts(FM.to_messages(FM.to_alpaca(single))) == texts(single)
 
 
-def test_long_chat_is_cut_into_parts(spark):
-    rows = [(7, i, "user", f"t{i}") for i in range(25)]
-    parts = FM.assemble_chats(turns(spark, rows), part_turns=10).orderBy("part").collect()
-    assert [len(p["messages"]) for p in parts] == [10, 10, 5]
-    assert [m["content"] for p in parts for m in p["messages"]] == [f"t{i}" for i in range(25)]
+def test_long_chat_is_one_row(spark):
+    rows = [(7, i, "user" if i % 2 == 0 else "assistant", f"t{i}") for i in range(9000)]
+    data = turns(spark, rows).repartition(6)
+    chats = FM.assemble_chats(data)
+    got = chats.collect()
+    assert [[m["content"] for m in r["messages"]] for r in got] == [[f"t{i}" for i in range(9000)]]
+    pair = [(r.ord, r.instruction, r.output) for r in FM.to_alpaca(chats).collect()]
+    assert pair == [(7, "t8998", "t8999")]
+    assert pair == [(r.ord, r.instruction, r.output) for r in FM.turns_to_alpaca(data).collect()]
+
+
+def test_turn_rows_need_no_sort_of_texts(spark, capsys):
+    FM.turns_to_alpaca(turns(spark, [(1, 0, "user", "a")])).explain()
+    assert "SortAggregate" not in capsys.readouterr().out
 
 
 def test_rendering(spark):

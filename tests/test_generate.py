@@ -41,7 +41,11 @@ def test_prompts(spark):
 def test_document_prompts(spark):
     docs = spark.createDataFrame([("a" * 49,), ("b" * 50,), ("c" * 8001,)], "text string")
     got = G.document_prompts(docs, template="{document}").collect()
-    assert [len(r.prompt) for r in got] == [50, 8000 + len(G.TRUNCATED)]
+    assert [(r.chunk, len(r.prompt)) for r in got] == [(0, 50), (0, 8000), (1, 1)]
+    small = G.document_prompts(docs, template="{document}", max_chars=30).collect()
+    assert sum(len(r.prompt) for r in small) == 8051
+    cut = G.document_prompts(docs, template="{document}", cut=True).collect()
+    assert [len(r.prompt) for r in cut] == [50, 8000 + len(G.TRUNCATED)]
 
 
 def test_routes(spark):

@@ -12,6 +12,7 @@ NAMES = [
     "conv_to_messages", "turns_to_alpaca", "role_length_stats", "length_histogram", "mix_pairs",
     "harvest_to_chats", "variant_expand", "metric_history", "log_tail", "parse_log_tail",
     "progress", "run_summary", "loss_deltas", "exp_detail", "exp_delete", "exp_update",
+    "conv_to_alpaca", "messages_to_alpaca", "render_chat", "harvest_to_chats_all", "doc_prompts",
     "exp_insert", "stream_progress", "checkpoint_inventory", "list_datasets", "save_load",
 ]
 

@@ -131,15 +131,6 @@ def best_method(card: Column, vram_gb: Column) -> Column:
     )
 
 
-def template_signature(name: str) -> str:
-    """Opening characters of a template's example text, lower-cased."""
-    markup = terms.CHAT_MARKUP[name]
-    (u_open, u_close), (a_open, _) = markup["user"], markup["assistant"]
-    user_text, assistant_text = terms.TEMPLATE_PLACEHOLDERS[name]
-    example = u_open + user_text + u_close + markup["joiner"] + a_open + assistant_text
-    return example[: terms.SIGNATURE_LENGTH].lower()
-
-
 def chat_template(model_id: Column, config_template: Column | None = None,
                   longest: bool = False) -> Column:
     """Struct(template_name, confidence, source) for a model id and optional config text."""
@@ -148,8 +139,9 @@ def chat_template(model_id: Column, config_template: Column | None = None,
     by_config = F.lit(None).cast("string")
     if config_template is not None:
         prefix = F.lower(F.substring(config_template, 1, terms.SIGNATURE_LENGTH))
-        for name in reversed(list(terms.CHAT_MARKUP)):
-            hit = (config_template != "") & (prefix == F.lit(template_signature(name)))
+        for name, example in reversed(terms.CHAT_TEMPLATES.items()):
+            start = F.lit(example[: terms.SIGNATURE_LENGTH].lower())
+            hit = (config_template != "") & (prefix == start)
             by_config = F.when(hit, F.lit(name)).otherwise(by_config)
     hits = F.struct(
         by_config.alias("config"), lookup(lowered, terms.TEMPLATE_BY_PATTERN).alias("id"),

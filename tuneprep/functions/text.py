@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import fnmatch
 import json
+import string
 from collections.abc import Callable
 
 from pyspark.sql import Column
@@ -95,3 +96,14 @@ def step_table(value: Column, steps: list[tuple], otherwise, *, inclusive: bool
         test = value <= F.lit(bound) if inclusive else value < F.lit(bound)
         out = F.when(test, F.lit(entry)) if out is None else out.when(test, F.lit(entry))
     return out.otherwise(F.lit(otherwise))
+
+
+def fill_template(template: str, values: dict[str, Column]) -> Column:
+    """Concatenate a ``{name}`` template with columns; values are never re-scanned."""
+    pieces = []
+    for literal, name, _, _ in string.Formatter().parse(template):
+        if literal:
+            pieces.append(F.lit(literal))
+        if name is not None:
+            pieces.append(values[name].cast("string"))
+    return F.concat(*pieces)

@@ -4,19 +4,16 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tuneprep.functions import messages as M
 from tuneprep.functions.text import once, strip
-from tuneprep.operators.formats import PART_TURNS, assemble_chats, with_part
-from tuneprep.operators.ranking import (
-    exact_rank, first_rows, keep_first, nth_key, with_ord_bucket,
-)
+from tuneprep.operators.formats import assemble_chats
+from tuneprep.operators.ranking import first_rows, keep_first
 from tuneprep.schema import MESSAGES
 
 OUTCOMES = ["total", "kept", "removed", "empty", "too_short", "too_long", "duplicate"]
-SMALL_LIMIT = 1000
 
 
 @dataclass(frozen=True)
@@ -103,35 +100,50 @@ def clean_stats(records: DataFrame, opts: CleanOptions = CleanOptions()) -> Data
 
 def _turn_digests(content: Column) -> list[Column]:
     """Four 60-bit slices of a hash that covers position, role and text of one turn."""
-    digest = F.sha2(F.to_json(F.struct(F.col("turn"), F.col("role"), content.alias("text"))), 256)
+    digest = F.sha2(F.to_json(F.struct(F.col("_place"), F.col("role"), content.alias("text"))), 256)
     return [
         F.conv(F.substring(digest, 1 + 15 * i, 15), 16, 10).cast("decimal(19,0)")
         for i in range(4)
     ]
 
 
+def placed_turns(turns: DataFrame) -> DataFrame:
+    """Add ``_place``, the zero-based position of a turn in its chat.
+
+    Where the turn numbers of a chat have no gaps, it is the difference to the first one; only
+    chats with gaps are ranked.
+    """
+    bounds = turns.groupBy("ord").agg(
+        F.min("turn").alias("_first"),
+        (F.max("turn") - F.min("turn") + 1 == F.count("turn")).alias("_dense"))
+    marked = turns.join(bounds, "ord")
+    dense = marked.filter(F.col("_dense")).withColumn("_place", F.col("turn") - F.col("_first"))
+    rank = F.row_number().over(Window.partitionBy("ord").orderBy("turn"))
+    gaps = marked.filter(~F.coalesce("_dense", F.lit(False))).withColumn(
+        "_place", (rank - 1).cast("long"))
+    return dense.unionByName(gaps).drop("_first", "_dense")
+
+
 def classify_turns(turns: DataFrame, opts: CleanOptions = CleanOptions()) -> DataFrame:
     """One row per chat with ``outcome`` and an order-aware fingerprint, from turn rows.
 
     Everything is a sum, maximum or count, so a chat of any size is combined map-side and no
-    array is built. Turn numbers are taken as positions.
+    array is built. Positions count from the chat's first turn.
     """
     content = F.coalesce(F.col("content"), F.lit(""))
     content = strip(content) if opts.trim_whitespace else content
     slices = _turn_digests(F.col("_text"))
     return (
-        turns.select("ord", "turn", "role", content.alias("_text"))
+        placed_turns(turns).select("ord", "_place", "turn", "role", content.alias("_text"))
         .groupBy("ord")
         .agg(
             F.sum(F.length("_text").cast("long")).alias("length"),
             F.max(strip(F.col("_text")) != "").alias("has_text"),
             F.count(F.lit(1)).alias("n_turns"),
-            F.min("turn").alias("first_turn"),
-            F.max("turn").alias("last_turn"),
             *[F.sum(s).alias(f"d{i}") for i, s in enumerate(slices)],
         )
         .select(
-            "ord", "length", "n_turns", "first_turn", "last_turn",
+            "ord", "length", "n_turns",
             F.struct("n_turns", "d0", "d1", "d2", "d3").alias("fp"),
             _outcome(F.lit(False), ~F.col("has_text"), F.col("length"), opts).alias("outcome"),
         )
@@ -139,23 +151,13 @@ def classify_turns(turns: DataFrame, opts: CleanOptions = CleanOptions()) -> Dat
 
 
 def clean_turns(turns: DataFrame, opts: CleanOptions = CleanOptions()) -> DataFrame:
-    """Surviving chats of a turn table as (ord, part, messages).
-
-    The per-chat checks come first; turns are then joined on (chat, block of turns), which is
-    also the grouping key of the assembly, so an oversized chat is never brought together.
-    """
+    """Surviving chats of a turn table as (ord, messages); the per-chat checks come first."""
     passed = classify_turns(turns, opts).filter(F.col("outcome") == "pass")
     if opts.remove_duplicates:
-        passed = passed.groupBy("fp").agg(
-            F.min_by("first_turn", "ord").alias("first_turn"),
-            F.min_by("last_turn", "ord").alias("last_turn"), F.min("ord").alias("ord"),
-        )
-    blocks = passed.select("ord", F.explode(F.sequence(
-        F.expr(f"first_turn div {PART_TURNS}"), F.expr(f"last_turn div {PART_TURNS}"),
-    )).alias("part"))
+        passed = passed.groupBy("fp").agg(F.min("ord").alias("ord"))
     content = F.coalesce(F.col("content"), F.lit(""))
     content = strip(content) if opts.trim_whitespace else content
-    kept = with_part(turns).join(blocks, ["ord", "part"], "left_semi")
+    kept = turns.join(passed.select("ord"), "ord", "left_semi")
     return assemble_chats(kept.withColumn("content", content))
 
 
@@ -180,20 +182,11 @@ def dedup_prefix(rows: DataFrame, text: str, n: int, *order: str) -> DataFrame:
 
 
 def cap_first(rows: DataFrame, n: int, *order: str) -> DataFrame:
-    """The first ``n`` rows in ``order`` (default ord).
+    """Exactly the first ``n`` rows in ``order`` (default ord), nulls first.
 
-    Small caps are a top-n on the order columns. Larger ones filter by the cut-off key, or by exact
-    positions when several columns make the order, so that no task gathers the result.
+    Ties of the order columns go by a hash of the whole row.
     """
-    ord_col, *more = order or ("ord",)
-    if n <= SMALL_LIMIT:
-        return first_rows(rows, [ord_col, *more], n)
-    if more:
-        ranked = exact_rank(with_ord_bucket(rows, ord_col), [F.col(ord_col), *map(F.col, more)],
-                            "_pos")
-        return ranked.filter(F.col("_pos") < n).drop("_pos", "n")
-    cut = nth_key(with_ord_bucket(rows.select(ord_col), ord_col), F.col(ord_col), F.lit(n))
-    return rows.filter(F.coalesce(F.col(ord_col) < cut, F.lit(True)))
+    return first_rows(rows, list(order or ("ord",)), n)
 
 
 def min_answer_length(rows: DataFrame, n: int, column: str = "output") -> DataFrame:

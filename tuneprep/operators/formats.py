@@ -16,7 +16,6 @@ ALPACA_PAIRS = [
 ]
 QUESTION_FIELDS = ["question", "prompt", "query"]
 ANSWER_FIELDS = ["answer", "response", "reply"]
-PART_TURNS = 4096
 
 
 def detect_schema_format(schema: T.StructType) -> str:
@@ -112,24 +111,17 @@ def to_alpaca(df: DataFrame, keep: list[str] | None = None) -> DataFrame:
     )
 
 
-def with_part(turns: DataFrame, part_turns: int = PART_TURNS) -> DataFrame:
-    """Add ``part``: the block of ``part_turns`` consecutive turns a turn belongs to."""
-    return turns.withColumn("part", F.expr(f"turn div {part_turns}"))
-
-
 def assemble_chats(turns: DataFrame, fields: tuple[str, str] = ("role", "content"),
-                   out: str = "messages", part_turns: int = PART_TURNS) -> DataFrame:
+                   out: str = "messages") -> DataFrame:
     """(ord, turn, role, content) rows to one array per chat, ordered by turn.
 
-    A chat is grouped together with the block number of its turns, so the array one task builds
-    holds at most ``part_turns`` turns; longer chats come as consecutive parts of the same ord.
+    Each task collects the turns it has of a chat; these partial arrays meet in the chat's row,
+    however many turns it has. Use the operators on turn rows where an array is not wanted.
     """
-    if "part" not in turns.columns:
-        turns = with_part(turns, part_turns)
     who, what = fields
     item = F.struct("turn", F.col("role").alias(who), F.col("content").alias(what))
-    ordered = F.array_sort(F.collect_list(item))
-    return turns.groupBy("ord", "part").agg(
+    ordered = F.sort_array(F.collect_list(item))
+    return turns.groupBy("ord").agg(
         F.transform(ordered, lambda t: F.struct(t[who].alias(who), t[what].alias(what)))
         .alias(out)
     )
@@ -138,14 +130,16 @@ def assemble_chats(turns: DataFrame, fields: tuple[str, str] = ("role", "content
 def turns_to_alpaca(turns: DataFrame) -> DataFrame:
     """Instruction rows straight from turn rows: last user and last assistant text per chat.
 
-    Two aggregates that combine map-side, so a chat of any length needs no array.
+    The last turn numbers are found first, by a hash aggregate on numbers alone; only the texts of
+    those turns are then brought together, so a chat of any length needs no array and no sort.
     """
-
-    def last(role: str) -> Column:
-        return F.max_by("content", F.when(F.col("role") == role, F.col("turn")))
-
-    return turns.groupBy("ord").agg(
-        last("user").alias("instruction"), last("assistant").alias("output")
-    ).select("ord", "instruction", F.lit("").alias("input"), "output").filter(
+    roles = F.col("role").isin("user", "assistant")
+    last = (turns.filter(roles).groupBy("ord", "role").agg(F.max("turn").alias("turn")))
+    texts = turns.join(last, ["ord", "role", "turn"], "left_semi").select("ord", "role", "content")
+    pairs = texts.filter(F.col("role") == "user").select("ord", F.col("content").alias("instruction"))
+    answers = texts.filter(F.col("role") == "assistant").select(
+        "ord", F.col("content").alias("output"))
+    return pairs.join(answers, "ord").select(
+        "ord", "instruction", F.lit("").alias("input"), "output").filter(
         (F.col("instruction") != "") & (F.col("output") != "")
     )

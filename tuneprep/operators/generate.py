@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import string
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tuneprep.functions.harvest import reply_items
-from tuneprep.functions.text import contains_any, let, once, strip
-from tuneprep.operators.clean import SMALL_LIMIT, CleanOptions, cap_first, clean, dedup_prefix
+from tuneprep.functions.text import contains_any, fill_template, let, once, strip
+from tuneprep.operators.clean import CleanOptions, cap_first, clean, dedup_prefix
 from tuneprep.operators.formats import to_messages
 from tuneprep.operators.ranking import exact_rank, top_k_per_key, with_ord_bucket
 from tuneprep.rules import terms
@@ -19,7 +17,8 @@ from tuneprep.session import checkpointed
 BATCH = 30
 DOCUMENT_BATCH = 20
 MIN_DOCUMENT = 50
-MAX_DOCUMENT = 8000
+# Default size of a document window.
+WINDOW_CHARS = 8000
 # Fixed value: text that marks a cut document.
 TRUNCATED = "\n...(文档已截断)"
 
@@ -55,17 +54,6 @@ def batch_plan(requests: DataFrame, target: str = "target_count", batch: int = B
     )
 
 
-def fill_template(template: str, values: dict[str, Column]) -> Column:
-    """Concatenate a ``{name}`` template with columns; values are never re-scanned."""
-    pieces = []
-    for literal, name, _, _ in string.Formatter().parse(template):
-        if literal:
-            pieces.append(F.lit(literal))
-        if name is not None:
-            pieces.append(values[name].cast("string"))
-    return F.concat(*pieces)
-
-
 def render_prompts(requests: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
     """Add ``prompt`` from data_type, count, scenario and examples; unknown types use chat."""
     templates = templates or PROMPTS
@@ -80,16 +68,25 @@ def render_prompts(requests: DataFrame, templates: dict[str, str] | None = None)
 
 
 def document_prompts(docs: DataFrame, text: str = "text", count: int = DOCUMENT_BATCH,
-                     template: str = DOCUMENT_PROMPT) -> DataFrame:
-    """Prompts for documents of at least 50 characters; longer than 8000 are marked as cut."""
+                     template: str = DOCUMENT_PROMPT, max_chars: int = WINDOW_CHARS,
+                     cut: bool = False) -> DataFrame:
+    """Prompts for documents of at least 50 characters, one per window of ``max_chars``.
+
+    Adds ``chunk`` (from 0) and ``prompt``; every character of a document is in one prompt. With
+    ``cut`` a document has one prompt, and a longer one is marked as cut after ``max_chars``.
+    """
     body = F.col(text)
-    shown = F.when(
-        F.length(body) > MAX_DOCUMENT,
-        F.concat(F.substring(body, 1, MAX_DOCUMENT), F.lit(TRUNCATED)),
-    ).otherwise(body)
-    return docs.filter(F.length(body) >= MIN_DOCUMENT).withColumn(
-        "prompt", fill_template(template, {"count": F.lit(count), "document": shown})
-    )
+    long_enough = docs.filter(F.length(body) >= MIN_DOCUMENT)
+    if cut:
+        shown = F.when(F.length(body) > max_chars, F.concat(
+            F.substring(body, 1, max_chars), F.lit(TRUNCATED))).otherwise(body)
+        rows = long_enough.withColumn("chunk", F.lit(0)).withColumn("_shown", shown)
+    else:
+        chunks = F.sequence(F.lit(0), ((F.length(body) - 1) / max_chars).cast("int"))
+        rows = long_enough.withColumn("chunk", F.explode(chunks)).withColumn(
+            "_shown", F.substring(body, F.col("chunk") * max_chars + 1, F.lit(max_chars)))
+    prompt = fill_template(template, {"count": F.lit(count), "document": F.col("_shown")})
+    return rows.withColumn("prompt", prompt).drop("_shown")
 
 
 def harvest(replies: DataFrame, text: str = "text", keep: str = "reply_id",
@@ -119,20 +116,29 @@ def harvest(replies: DataFrame, text: str = "text", keep: str = "reply_id",
 
 
 def harvest_to_chats(replies: DataFrame, target: int | None = None, text: str = "text",
-                     keep: str = "reply_id", min_length: int = 20,
-                     max_length: int = 8192) -> DataFrame:
-    """Harvest, convert to messages, clean and cap; rows are ordered by (reply, position)."""
-    items = harvest(replies, text, keep)
+                     keep: str = "reply_id", min_length: int = 20, max_length: int = 8192,
+                     min_answer: int | None = None) -> DataFrame:
+    """Harvest, convert to messages, clean and cap; rows are ordered by (reply, position).
+
+    The harvested rows are written once (a reliable checkpoint), so replies are parsed once.
+    """
+    items = checkpointed(harvest(replies, text, keep, min_answer=min_answer))
     order = (keep, "item")
     opts = CleanOptions(min_length=min_length, max_length=max_length)
     chats = clean(to_messages(items, keep=list(order)), opts, order)
     if target is None:
         return chats
-    if target <= SMALL_LIMIT:
-        return top_k_per_key(chats, [], [F.col(c) for c in order], target)
     return cap_first(chats, target, *order)
 
 
+def harvest_summary(chats: DataFrame, target: int) -> DataFrame:
+    """One row: wanted and found chats, what is missing, and whether there are enough."""
+    return chats.agg(F.count(F.lit(1)).alias("found")).select(
+        F.lit(target).cast("long").alias("target"), "found",
+        F.greatest(F.lit(target) - F.col("found"), F.lit(0)).cast("long").alias("shortfall"),
+        (F.col("found") >= target).alias("success"))
+
+
 def route_datasets(requests: DataFrame, description: str = "description",
                    limit: int = terms.ROUTE_LIMIT) -> DataFrame:
     """Candidate data sets per description: keyword routes, then the defaults, then the cap."""

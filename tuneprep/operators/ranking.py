@@ -12,6 +12,7 @@ HEX_DIGITS = 4  # 65,536 order-preserving buckets of a hexadecimal hash
 ORD_BUCKETS = 65_536
 SPARSE = 64
 HOT_ROWS = 1_000_000
+TOP_KEYS = 100_000
 
 
 def top_k_per_key(df: DataFrame, keys: list[str], order: list[Column], k: int,
@@ -39,16 +40,31 @@ def top_k_per_key(df: DataFrame, keys: list[str], order: list[Column], k: int,
 
 
 def first_rows(rows: DataFrame, order: list[str], n: int) -> DataFrame:
-    """First ``n`` rows in ``order``, columns that are unique together; for stored tables.
+    """Exactly the first ``n`` rows in ``order`` (nulls first; ties by a hash of the row).
 
-    The top-n runs on the order columns alone. Rows are then read up to the largest first column
-    (a filter that reaches the file scan) and matched against the ``n`` keys, which bound the
-    broadcast. Texts of rows that do not make it are never moved.
+    The cut-off key is found on the order columns and the hash alone; rows up to it are then read,
+    so texts of rows that do not make it are never moved. Up to ``TOP_KEYS`` the keys are a top-n;
+    above that they are range partitioned and counted, with the same result. Rows equal to the
+    last one in every column may be more than fit; of these the number that fits is taken.
     """
-    keys = rows.select(*order).orderBy(*order).limit(n)
-    cut = keys.agg(F.max(order[0])).scalar()
-    near = rows.filter(F.col(order[0]) <= cut)
-    return near if len(order) == 1 else near.join(F.broadcast(keys), order, "left_semi")
+    if n <= 0:
+        return rows.limit(0)
+    key = F.struct(*order, F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns]).alias("_tie"))
+    keys = rows.select(key.alias("_key"))
+    if n <= TOP_KEYS:
+        first = keys.orderBy("_key").limit(n)
+    else:
+        ranged = checkpointed(keys.repartitionByRange("_key").withColumn(
+            "_bucket", F.spark_partition_id().cast("long")))
+        first = exact_rank(ranged, [F.col("_key")], "_pos").filter(F.col("_pos") < n)
+    last = first.groupBy("_key").agg(F.count(F.lit(1)).alias("n")).agg(
+        F.max(F.struct("_key", "n")).alias("last"))
+    edge = last.select("last._key").scalar()
+    below = rows.filter((key < edge) & (F.col(order[0]).isNull() | (F.col(order[0])
+                                                                   <= edge[order[0]])))
+    equal = top_k_per_key(rows.filter(key == edge), [], [F.lit(0)], n, rank="_rank")
+    return below.unionByName(
+        equal.filter(F.col("_rank") <= last.select("last.n").scalar()).drop("_rank"))
 
 
 def keep_first(df: DataFrame, order: list[str], keys: dict[str, Column]) -> DataFrame:
@@ -157,13 +173,11 @@ def salted_join(many: DataFrame, one: DataFrame, key: str, spread_on: list[str],
     """Join where ``many`` may hold very frequent keys and ``one`` has a row per key.
 
     Keys with more than ``hot_rows`` rows are spread over ``salts`` tasks and only their partner
-    row is repeated. There are at most (rows / ``hot_rows``) such keys, so their list is
-    broadcast; it comes from a count that is combined map-side.
+    row is repeated. The list of such keys comes from a count that is combined map-side; how it
+    is joined is left to Spark, by its size.
     """
-    hot = F.broadcast(
-        many.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-        .filter(F.col("_n") > hot_rows).select(key, F.lit(True).alias("_hot"))
-    )
+    hot = many.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter(
+        F.col("_n") > hot_rows).select(key, F.lit(True).alias("_hot"))
     salt = F.pmod(F.xxhash64(*[F.col(c) for c in spread_on]), F.lit(salts)).cast("int")
     spread = many.join(hot, key, "left").withColumn(
         "_salt", F.when(F.col("_hot"), salt).otherwise(0)).drop("_hot")

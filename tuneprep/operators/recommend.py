@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tuneprep.functions.catalog import best_method, card_column
+from tuneprep.functions.catalog import best_method, card_column, match_card
+from tuneprep.functions.text import fill_template
 from tuneprep.rules import terms
 from tuneprep.rules.cards import Card, FIRST_HUB, SECOND_HUB, default_cards
 
@@ -73,11 +74,9 @@ def _reason(card: Column, score: Column) -> Column:
     least = _least_vram(card)
     need = least.cast("long").cast("string")
     have = F.bround(F.col("vram_gb"), 0).cast("long").cast("string")
-    a, b, c = terms.REASON_AMPLE
-    t, u = terms.REASON_TIGHT
-    memory = F.when(
-        F.col("vram_gb") >= least * 2, F.concat(F.lit(a), need, F.lit(b), have, F.lit(c))
-    ).otherwise(F.concat(F.lit(t), need, F.lit(u)))
+    values = {"need": need, "have": have}
+    memory = F.when(F.col("vram_gb") >= least * 2, fill_template(terms.REASON_AMPLE, values)) \
+        .otherwise(fill_template(terms.REASON_TIGHT, values))
     params = F.concat(card["params_b"].cast("string"), F.lit(terms.REASON_PARAMS))
     return F.concat_ws(terms.REASON_JOINER, tier, language, params, memory)
 
@@ -118,5 +117,9 @@ def recommend(requests: DataFrame, k: int = 5, cards: list[Card] | None = None)
         source["platform"].alias("source_platform"),
         score.alias("score"),
         _reason(card, score).alias("reason"),
-        best_method(card, F.col("vram_gb"))["method"].alias("method"),
-    )
+        source["id"].alias("_source"),
+    ).withColumn(
+        # The settings are those of the card that the listed source matches.
+        "_best", best_method(match_card(F.col("_source"), cards), F.col("vram_gb"))
+    ).withColumn("method", F.col("_best.method")).withColumn(
+        "config", F.col("_best.config")).drop("_source", "_best")

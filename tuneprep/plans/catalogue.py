@@ -193,7 +193,8 @@ def _template_sql() -> str:
                      for i, (p, v) in enumerate(terms.TEMPLATE_BY_PATTERN))
     configs = " ".join(
         f"WHEN config_template <> '' AND lower(left(config_template, {terms.SIGNATURE_LENGTH})) = "
-        f"{sql_text(C.template_signature(n))} THEN {sql_text(n)}" for n in terms.CHAT_MARKUP)
+        f"{sql_text(x[:terms.SIGNATURE_LENGTH].lower())} THEN {sql_text(n)}"
+        for n, x in terms.CHAT_TEMPLATES.items())
     return f"""
 WITH names(pattern, template, pos) AS (VALUES {rows}),
 by_id AS (SELECT model_id, arg_min(template, pos) AS hit FROM v_models, names
@@ -226,10 +227,9 @@ def _recommend_sql() -> str:
     en = ", ".join(sql_text(f) for f in terms.LANGUAGE_FAMILIES["en"])
     tiers = " ".join(f"WHEN score >= {b} THEN {sql_text(s)}" for b, s in terms.SCORE_TIERS)
     zh = " OR ".join(f"list_contains(tags, {sql_text(z)})" for z in terms.ZH_TAGS)
-    a, b, c = (sql_text(x) for x in terms.REASON_AMPLE)
-    d, e = (sql_text(x) for x in terms.REASON_TIGHT)
+    ample, tight = sql_text(terms.REASON_AMPLE), sql_text(terms.REASON_TIGHT)
     return f"""
-WITH {_CARD_ROWS}, {_METHOD_ROWS},
+WITH {_PATTERNS}, {_CARD_ROWS}, {_METHOD_ROWS},
 r AS (SELECT *, CASE level {caps} ELSE {terms.DEFAULT_LEVEL_PARAMS} END AS cap,
              {_preference_sql(terms.LANGUAGE_FAMILIES, "language", "zh")} AS fams,
              {_preference_sql(terms.TASK_TAGS, "task", "chat")} AS prefs FROM v_requests),
@@ -249,8 +249,15 @@ s AS (SELECT *, CAST(
                ELSE 0 END
         + CASE WHEN has1 THEN 3 ELSE 0 END + CASE WHEN has2 THEN 2 ELSE 0 END AS DOUBLE) AS score
       FROM e),
-k AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY score DESC, card) AS rnk FROM s)
-SELECT request_id, rnk AS rank, name AS display_name, src AS model_id,
+k AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY score DESC, card) AS rnk FROM s),
+same AS (SELECT c.card, p.card AS match FROM cards c JOIN patterns p
+         ON contains(lower(c.src), p.pattern)
+         QUALIFY row_number() OVER (PARTITION BY c.card ORDER BY length(p.pattern) DESC, p.card) = 1),
+best AS (SELECT k.request_id, k.card, arg_max(q.method, q.pos) AS best_method,
+                arg_max(q.lr, q.pos) AS best_lr, arg_max(coalesce(q.rank, -1), q.pos) AS best_rank
+         FROM k JOIN same USING (card) JOIN methods q ON q.card = same.match
+         WHERE q.min_vram <= k.vram_gb AND k.rnk <= 5 GROUP BY k.request_id, k.card)
+SELECT k.request_id, rnk AS rank, name AS display_name, src AS model_id,
        platform AS source_platform, score,
        concat_ws({sql_text(terms.REASON_JOINER)}, CASE {tiers} END,
            CASE WHEN language IN ('zh', 'mixed') AND ({zh}) THEN {sql_text(terms.REASON_ZH)}
@@ -258,14 +265,22 @@ SELECT request_id, rnk AS rank, name AS display_name, src AS model_id,
                 THEN {sql_text(terms.REASON_EN)} END,
            params_b || {sql_text(terms.REASON_PARAMS)},
            CASE WHEN vram_gb >= min_vram * 2
-                THEN {a} || CAST(min_vram AS BIGINT) || {b}
-                     || CAST(round_even(vram_gb, 0) AS BIGINT) || {c}
-                ELSE {d} || CAST(min_vram AS BIGINT) || {e} END) AS reason
-FROM k WHERE rnk <= 5"""
+                THEN replace(replace({ample}, '{{need}}', CAST(CAST(min_vram AS BIGINT) AS VARCHAR)),
+                     '{{have}}', CAST(CAST(round_even(vram_gb, 0) AS BIGINT) AS VARCHAR))
+                ELSE replace({tight}, '{{need}}', CAST(CAST(min_vram AS BIGINT) AS VARCHAR))
+                END) AS reason,
+       CASE WHEN same.match IS NULL THEN 'qlora' ELSE coalesce(best_method, 'insufficient') END
+           AS method,
+       CASE WHEN same.match IS NULL THEN CAST(0.0002 AS DOUBLE) ELSE best_lr END AS lr,
+       CASE WHEN same.match IS NULL THEN 16 WHEN best_rank >= 0 THEN best_rank END AS lora_rank
+FROM k LEFT JOIN same USING (card) LEFT JOIN best ON best.request_id = k.request_id
+     AND best.card = k.card
+WHERE rnk <= 5"""
 
 
 @query(_recommend_sql())
 def recommend(t: Tables) -> DataFrame:
     ranked = R.recommend(t.requests(), 5)
     return ranked.select("request_id", F.col("rank").cast("long").alias("rank"), "display_name",
-                         "model_id", "source_platform", "score", "reason")
+                         "model_id", "source_platform", "score", "reason", "method",
+                         F.col("config.lr").alias("lr"), F.col("config.lora_rank").alias("lora_rank"))

@@ -59,13 +59,12 @@ def alpaca_to_messages(t: Tables) -> DataFrame:
 
 
 @query("""
-SELECT ord, turn // 4096 AS part, count(*) AS n_messages,
+SELECT ord, count(*) AS n_messages,
        string_agg(CASE WHEN role = 'assistant' THEN 'assistant:' ELSE 'user:' END || content,
                   chr(10) ORDER BY turn) AS chat
-FROM v_turns GROUP BY ord, turn // 4096""")
+FROM v_turns GROUP BY ord""")
 def conv_to_messages(t: Tables) -> DataFrame:
-    return _flat(FM.to_messages(t.conversations(), fmt="conversation", keep=["ord", "part"]),
-                 "part")
+    return _flat(FM.to_messages(t.conversations(), fmt="conversation"))
 
 
 @query("""
@@ -79,7 +78,7 @@ def qa_to_messages(t: Tables) -> DataFrame:
 _LAST_PAIR = """
 SELECT ord, arg_max(content, turn) FILTER (role = 'user') AS instruction, '' AS input,
        arg_max(content, turn) FILTER (role = 'assistant') AS output
-FROM v_turns GROUP BY ord, turn // 4096
+FROM v_turns GROUP BY ord
 HAVING count(*) FILTER (role = 'user') > 0 AND count(*) FILTER (role = 'assistant') > 0"""
 
 
@@ -93,17 +92,17 @@ def conv_to_alpaca(t: Tables) -> DataFrame:
     return FM.to_alpaca(t.conversations())
 
 
-@query(_LAST_PAIR.replace("GROUP BY ord, turn // 4096", "GROUP BY ord"))
+@query(_LAST_PAIR)
 def turns_to_alpaca(t: Tables) -> DataFrame:
     return FM.turns_to_alpaca(t.turns())
 
 
 @query("""
-SELECT ord, turn // 4096 AS part, count(*) AS n_messages,
+SELECT ord, count(*) AS n_messages,
        string_agg(role || ':' || content, chr(10) ORDER BY turn) AS chat
-FROM v_turns GROUP BY ord, turn // 4096""")
+FROM v_turns GROUP BY ord""")
 def assemble_chats(t: Tables) -> DataFrame:
-    return _flat(t.chats(), "part")
+    return _flat(t.chats())
 
 
 def _render_sql() -> str:
@@ -116,7 +115,7 @@ def _render_sql() -> str:
         cases.append(f"SELECT ord, {sql_text(name)} AS template, "
                      f"string_agg({line}, {joiner} ORDER BY turn) AS rendered "
                      f"FROM v_turns WHERE ord % {len(terms.CHAT_MARKUP)} = {i} "
-                     f"GROUP BY ord, turn // 4096")
+                     f"GROUP BY ord")
     return "\nUNION ALL\n".join(cases)
 
 
@@ -193,9 +192,9 @@ def clean_doc_stats(t: Tables) -> DataFrame:
 
 
 @query(f"""WITH {_CHATS},{_judged(10)}
-SELECT ord, 0 AS part, len(m) AS n_messages, chat FROM judged WHERE outcome = 'kept'""", longs=("part",))
+SELECT ord, len(m) AS n_messages, chat FROM judged WHERE outcome = 'kept'""")
 def clean_chats(t: Tables) -> DataFrame:
-    return _flat(CL.clean_turns(t.turns()), "part")
+    return _flat(CL.clean_turns(t.turns()))
 
 
 @query(f"""WITH {_DOCS},{_judged(10)}
@@ -360,14 +359,24 @@ def fewshot_prompts(t: Tables) -> DataFrame:
     return G.render_prompts(requests).select("ord", "prompt")
 
 
+@query(f"""
+SELECT ord, chunk, {_template_sql(G.DOCUMENT_PROMPT, {
+    "count": "20", "document": "substr(text, CAST(chunk * 8000 + 1 AS BIGINT), 8000)"})} AS prompt
+FROM (SELECT ord, text, unnest(range((length(text) + 7999) // 8000)) AS chunk FROM v_docs
+      WHERE length(text) >= 50)""", longs=("chunk",))
+def doc_prompts(t: Tables) -> DataFrame:
+    prompts = G.document_prompts(t.documents().select("ord", "text"))
+    return prompts.select("ord", F.col("chunk").cast("long").alias("chunk"), "prompt")
+
+
 @query(f"""
 SELECT ord, {_template_sql(G.DOCUMENT_PROMPT, {
     "count": "20",
     "document": "CASE WHEN length(text) > 8000 THEN left(text, 8000) || "
                 + sql_text(G.TRUNCATED) + " ELSE text END"})} AS prompt
 FROM v_docs WHERE length(text) >= 50""")
-def doc_prompts(t: Tables) -> DataFrame:
-    return G.document_prompts(t.documents().select("ord", "text")).select("ord", "prompt")
+def doc_prompts_cut(t: Tables) -> DataFrame:
+    return G.document_prompts(t.documents().select("ord", "text"), cut=True).select("ord", "prompt")
 
 
 @query("""
@@ -391,18 +400,37 @@ def harvest_valid_items(t: Tables) -> DataFrame:
     return G.harvest(t.replies(), min_answer=100).select("reply_id", "instruction", "output")
 
 
-@query(f"""
+_HARVEST_SQL = f"""
 WITH items AS (SELECT ord, trim(instruction, {WS}) AS u, trim(output, {WS}) AS a
                FROM v_pairs WHERE ord % 6 NOT IN (2, 3)),
 kept AS (SELECT * FROM items WHERE length(u) + length(a) BETWEEN 20 AND 8192
-         QUALIFY row_number() OVER (PARTITION BY u, a ORDER BY ord) = 1)
-SELECT ord, 2 AS n_messages, 'user:' || u || chr(10) || 'assistant:' || a AS chat
-FROM kept ORDER BY ord LIMIT 100""", longs=("n_messages",))
+         QUALIFY row_number() OVER (PARTITION BY u, a ORDER BY ord) = 1)"""
+_HARVESTED = ("SELECT ord, 2 AS n_messages, "
+              "'user:' || u || chr(10) || 'assistant:' || a AS chat FROM kept")
+
+
+@query(f"{_HARVEST_SQL} {_HARVESTED} ORDER BY ord LIMIT 100", longs=("n_messages",))
 def harvest_to_chats(t: Tables) -> DataFrame:
     chats = G.harvest_to_chats(t.replies(), target=100)
     return _flat(chats.withColumnRenamed("reply_id", "ord"))
 
 
+@query(f"{_HARVEST_SQL} {_HARVESTED}", longs=("n_messages",))
+def harvest_to_chats_all(t: Tables) -> DataFrame:
+    return _flat(G.harvest_to_chats(t.replies()).withColumnRenamed("reply_id", "ord"))
+
+
+@query("""
+WITH items AS (SELECT ord, trim(instruction, """ + WS + """) AS u, trim(output, """ + WS + """) AS a
+               FROM v_pairs WHERE ord % 6 IN (0, 1, 4) AND length(output) > 10),
+kept AS (SELECT DISTINCT u, a FROM items WHERE length(u) + length(a) BETWEEN 15 AND 8192)
+SELECT 1000000 AS target, count(*) AS found, 1000000 - count(*) AS shortfall,
+       count(*) >= 1000000 AS success FROM kept""", longs=("target",))
+def harvest_shortfall(t: Tables) -> DataFrame:
+    chats = G.harvest_to_chats(t.replies(), min_length=15, min_answer=10)
+    return G.harvest_summary(chats, 1_000_000)
+
+
 def _routes_sql() -> str:
     def rows(entries):
         return "[" + ", ".join(f"{{'id': {sql_text(i)}, 'name': {sql_text(n)}}}"
