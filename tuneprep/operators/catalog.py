@@ -145,14 +145,14 @@ def best_method(models: DataFrame, cards: list[Card] | None = None) -> DataFrame
 
 
 def families(cards: DataFrame) -> DataFrame:
-    """Distinct families in name order."""
-    return cards.select("family").distinct().orderBy("family")
+    """Distinct families."""
+    return cards.select("family").distinct()
 
 
 def lookup_first(rows: DataFrame, key: str, value: str, ord_col: str = "ord") -> DataFrame:
     """Value of the first row per key."""
-    return rows.groupBy(key).agg(F.min_by(value, ord_col).alias(value),
-                                 F.min(ord_col).alias(ord_col))
+    firsts = rows.groupBy(key).agg(F.min(ord_col).alias(ord_col))
+    return firsts.join(rows.select(key, ord_col, value), [key, ord_col]).select(key, value, ord_col)
 
 
 def detect_templates(models: DataFrame, config: str | None = None,

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tuneprep.operators.ranking import keep_first, salted_join, top_k_per_key
+from tuneprep.operators.ranking import salted_join, top_k_per_key
 from tuneprep.rules.terms import EXPERIMENT_DEFAULTS
 
 # Names under which a configuration may carry the same setting.
@@ -24,6 +24,11 @@ COMPARE_COLUMNS = [
     "id", "model_name", "dataset_name", "finetuning_type", "final_loss", "best_loss",
     "training_duration_seconds", "lora_rank", "learning_rate", "num_epochs", "status",
 ]
+# --- Fixed values: what an inserted experiment has where nothing is given ---
+INSERT_DEFAULTS = {
+    "model_name": "", "dataset_name": "", "dataset_size": 0, "finetuning_type": "lora",
+    "preset": "standard", "config_json": "{}", "tags": "[]",
+}
 UPDATE_FIELDS = ["final_loss", "best_loss", "training_duration_seconds", "vram_peak_gb"]
 
 
@@ -48,10 +53,23 @@ def with_config(rows: DataFrame, config: str = "config_json") -> DataFrame:
 
 def insert_experiments(base: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(table after the insert, rejected rows). An id already present, or repeated within the
-    batch, is rejected; ``new.ord`` gives the batch order."""
-    accepted = keep_first(new, ["ord"], {"id": F.col("id")}).join(base.select("id"), "id", "left_anti")
-    rejected = new.join(accepted.select("ord"), "ord", "left_anti")
-    prepared = with_config(accepted).withColumn("status", F.lit("initialized")).drop("ord")
+    batch, is rejected; ``new.ord`` (unique) gives the batch order. Missing values of an accepted
+    row take ``INSERT_DEFAULTS``; it was last updated when it was created."""
+    firsts = new.groupBy("id").agg(F.min("ord").alias("ord")).join(
+        base.select("id"), "id", "left_anti").select("ord", F.lit(True).alias("_ok"))
+    flagged = new.join(firsts, "ord", "left")
+    rejected = flagged.filter(F.col("_ok").isNull()).drop("_ok")
+    accepted = flagged.filter(F.col("_ok"))
+
+    def given(name: str, default: object) -> Column:
+        return F.coalesce(F.col(name), F.lit(default)) if name in new.columns else F.lit(default)
+
+    created = F.unix_micros(F.current_timestamp()) / 1e6
+    created = F.coalesce(F.col("created_at"), created) if "created_at" in new.columns else created
+    filled = accepted.withColumns({k: given(k, v) for k, v in INSERT_DEFAULTS.items()}).withColumn(
+        "created_at", created)
+    prepared = with_config(filled).withColumns({
+        "status": F.lit("initialized"), "updated_at": F.col("created_at")}).drop("ord", "_ok")
     return base.unionByName(prepared, allowMissingColumns=True), rejected
 
 
@@ -66,11 +84,13 @@ def update_experiments(base: DataFrame, updates: DataFrame) -> DataFrame:
     def last(name: str) -> Column:
         return F.max_by(name, F.when(F.col(name).isNotNull(), F.col("ord"))).alias(f"_{name}")
 
-    folded = updates.groupBy("id").agg(
-        F.max_by("status", "ord").alias("_status"),
-        F.max_by("updated_at", "ord").alias("_updated_at"),
+    # Numbers are folded by a hash aggregate; the status text is fetched from the last update.
+    numbers = updates.groupBy("id").agg(
+        F.max("ord").alias("ord"), F.max_by("updated_at", "ord").alias("_updated_at"),
         *[last(f) for f in fields],
     )
+    folded = numbers.join(updates.select("id", "ord", F.col("status").alias("_status")),
+                          ["id", "ord"]).drop("ord")
     changed = [*fields, "status", "updated_at"]
     return base.join(folded, "id", "left").select(*[
         F.coalesce(F.col(f"_{c}"), F.col(c)).alias(c) if c in changed else F.col(c)
@@ -81,11 +101,19 @@ def update_experiments(base: DataFrame, updates: DataFrame) -> DataFrame:
 def experiment_details(experiments: DataFrame, checkpoints: DataFrame) -> DataFrame:
     """Experiments with their checkpoints, one row per checkpoint (nulls when there is none).
 
+    ``config`` (a map) and ``tags`` (a list) are decoded; what cannot be read is empty.
     Kept flat because an experiment's checkpoint list has no bound; sort by (id, step desc).
     """
     listed = checkpoints.select(
         F.col("experiment_id").alias("id"), "step", "path", "size_mb", F.col("loss").alias("ckpt_loss")
     )
+    decoded = experiments.withColumn("config", F.coalesce(
+        F.from_json("config_json", "map<string,string>"), F.create_map().cast("map<string,string>")
+    )).drop("config_json")
+    if "tags" in experiments.columns:
+        decoded = decoded.withColumn("tags", F.coalesce(
+            F.from_json("tags", "array<string>"), F.array().cast("array<string>")))
+    experiments = decoded
     joined = salted_join(listed, experiments, "id", ["path"])
     bare = experiments.join(listed.select("id").distinct(), "id", "left_anti")
     return joined.unionByName(bare, allowMissingColumns=True)
@@ -131,15 +159,24 @@ def compare_experiments(requested: DataFrame, group: str, order: str = "req_ord"
     Ties go to the experiment requested first.
     """
 
-    def best(value: str) -> Column:
-        usable = F.when(F.coalesce(F.col(value), F.lit(0.0)) != 0, F.struct(value, order))
-        return F.min_by("id", usable)
+    def best(value: str, name: str) -> DataFrame:
+        usable = requested.filter(F.coalesce(F.col(value), F.lit(0.0)) != 0)
+        first = top_k_per_key(usable.select(group, value, order, "id"), [group],
+                              [F.col(value), F.col(order)], 1)
+        return first.select(F.col(group).alias("_g"), F.col("id").alias(name))
 
-    return requested.groupBy(group).agg(
-        F.count(F.lit(1)).alias("experiments"),
-        best("final_loss").alias("best_loss_exp"),
-        best("training_duration_seconds").alias("fastest_exp"),
-    )
+    out = requested.groupBy(group).agg(F.count(F.lit(1)).alias("experiments"))
+    for value, name in (("final_loss", "best_loss_exp"),
+                        ("training_duration_seconds", "fastest_exp")):
+        out = out.join(best(value, name), F.col(group).eqNullSafe(F.col("_g")), "left").drop("_g")
+    return out
+
+
+def compared_rows(requested: DataFrame, experiments: DataFrame) -> DataFrame:
+    """The compared columns of the requested ids (id, req_ord); unknown ids are dropped."""
+    stored = with_config(experiments) if "lora_rank" not in experiments.columns else experiments
+    return requested.select("id", "req_ord").join(stored.select(*COMPARE_COLUMNS), "id").select(
+        "req_ord", *COMPARE_COLUMNS)
 
 
 def statistics(experiments: DataFrame) -> DataFrame:

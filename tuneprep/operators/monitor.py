@@ -101,11 +101,13 @@ def run_summary(lines: DataFrame) -> DataFrame:
         "run_id", "ord", trainer_row(F.col("line")).alias("t")
     )
     with_loss = F.when(F.col("t.loss").isNotNull(), F.col("ord"))
-    return rows.groupBy("run_id").agg(
+    # Numbers only, by a hash aggregate; the last row's text values are fetched afterwards.
+    losses = rows.groupBy("run_id").agg(
         F.min_by("t.loss", with_loss).alias("initial_loss"),
-        F.max_by("t.loss", with_loss).alias("final_loss"),
-        F.max_by("t", "ord").alias("last"),
-    ).select(
+        F.max_by("t.loss", with_loss).alias("final_loss"), F.max("ord").alias("ord"),
+    )
+    return losses.join(rows.select("run_id", "ord", F.col("t").alias("last")),
+                       ["run_id", "ord"]).select(
         "run_id", "initial_loss", "final_loss",
         F.coalesce("last.elapsed_time", F.lit("?")).alias("duration"),
         F.coalesce("last.current_steps", F.lit(0).cast("long")).alias("steps"),

@@ -71,14 +71,15 @@ def keep_first(df: DataFrame, order: list[str], keys: dict[str, Column]) -> Data
     """First row of every key in ``order``, a list of columns that is unique together.
 
     Only (key, order) pairs are grouped, with partial aggregation, so copies of one key collapse
-    before the shuffle. The rows themselves are joined on the unique order columns and therefore
+    before the shuffle (several order columns go by the two-level top-k). The rows themselves are joined on the unique order columns and therefore
     spread evenly whatever the key frequencies are.
     """
     firsts = df.select(*order, *[c.alias(n) for n, c in keys.items()]).groupBy(*keys)
     if len(order) == 1:
         firsts = firsts.agg(F.min(order[0]).alias(order[0])).select(order[0])
     else:
-        firsts = firsts.agg(F.min(F.struct(*order)).alias("_first")).select("_first.*")
+        pairs = df.select(*order, *[c.alias(n) for n, c in keys.items()])
+        firsts = top_k_per_key(pairs, list(keys), [F.col(c) for c in order], 1).select(*order)
     return df.join(firsts, order, "left_semi")
 
 

@@ -34,11 +34,15 @@ WITH new AS (SELECT event_id AS ord, 'exp_' || (user_id * 200) AS id,
                     CAST(event_id AS DOUBLE) AS created_at FROM events),
 good AS (SELECT * FROM new WHERE id NOT IN (SELECT id FROM v_experiments)
          QUALIFY row_number() OVER (PARTITION BY id ORDER BY ord) = 1)
-SELECT id, model_id, status, NULL::BIGINT AS lora_rank, created_at FROM v_experiments
-UNION ALL SELECT id, model_id, 'initialized', lora_rank, created_at FROM good""")
+SELECT id, model_id, model_name, dataset_name, dataset_size, finetuning_type, preset, status,
+       NULL::BIGINT AS lora_rank, created_at, updated_at, tags FROM v_experiments
+UNION ALL SELECT id, model_id, '', '', 0, 'lora', 'standard', 'initialized', lora_rank, created_at,
+       created_at, '[]' FROM good""")
 def exp_insert(t: Tables) -> DataFrame:
     table, _ = E.insert_experiments(t.experiments(), _new_experiments(t))
-    return table.select("id", "model_id", "status", "lora_rank", "created_at")
+    return table.select("id", "model_id", "model_name", "dataset_name", "dataset_size",
+                        "finetuning_type", "preset", "status", "lora_rank", "created_at",
+                        "updated_at", "tags")
 
 
 @query("""
@@ -80,11 +84,17 @@ def exp_update(t: Tables) -> DataFrame:
 
 
 @query("""
-SELECT e.id, e.status, c.step, c.path, c.size_mb, c.loss AS ckpt_loss
+SELECT e.id, e.status, json_extract_string(e.config_json, '$.lora_alpha') AS lora_alpha,
+       json_extract_string(e.config_json, '$.chat_template') AS chat_template,
+       array_to_string(CAST(e.tags AS JSON)::VARCHAR[], '+') AS tags,
+       c.step, c.path, c.size_mb, c.loss AS ckpt_loss
 FROM v_experiments e LEFT JOIN v_checkpoints c ON c.experiment_id = e.id""")
 def exp_detail(t: Tables) -> DataFrame:
     details = E.experiment_details(t.experiments(), t.checkpoints())
-    return details.select("id", "status", "step", "path", "size_mb", "ckpt_loss")
+    return details.select(
+        "id", "status", F.try_element_at("config", F.lit("lora_alpha")).alias("lora_alpha"),
+        F.try_element_at("config", F.lit("chat_template")).alias("chat_template"),
+        F.array_join("tags", "+").alias("tags"), "step", "path", "size_mb", "ckpt_loss")
 
 
 @query(f"""
@@ -98,18 +108,24 @@ _DOOMED = "SELECT id FROM v_experiments WHERE status = 'failed'"
 
 
 @query(f"""
-SELECT 'experiments' AS tbl, count(*) AS n FROM v_experiments WHERE id NOT IN ({_DOOMED})
-UNION ALL SELECT 'checkpoints', count(*) FROM v_checkpoints WHERE experiment_id NOT IN ({_DOOMED})
-UNION ALL SELECT 'metrics', count(*) FROM v_metrics WHERE experiment_id NOT IN ({_DOOMED})""")
+SELECT 'experiments' AS tbl, id, NULL::BIGINT AS step, status AS info FROM v_experiments
+WHERE id NOT IN ({_DOOMED})
+UNION ALL SELECT 'checkpoints', experiment_id, step, path FROM v_checkpoints
+WHERE experiment_id NOT IN ({_DOOMED})
+UNION ALL SELECT 'metrics', experiment_id, step, CAST(ord AS VARCHAR) FROM v_metrics
+WHERE experiment_id NOT IN ({_DOOMED})""")
 def exp_delete(t: Tables) -> DataFrame:
     experiments = t.experiments()
     ids = experiments.filter(F.col("status") == "failed").select("id")
-    left = E.delete_experiments(ids, experiments, t.checkpoints(), t.metrics())
-    out = None
-    for name, table in zip(("experiments", "checkpoints", "metrics"), left):
-        row = table.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("tbl"), "n")
-        out = row if out is None else out.unionByName(row)
-    return out
+    kept, checkpoints, metrics = E.delete_experiments(ids, experiments, t.checkpoints(), t.metrics())
+    none = F.lit(None).cast("bigint")
+    owner = F.col("experiment_id").alias("id")
+    return (
+        kept.select(F.lit("experiments").alias("tbl"), "id", none.alias("step"),
+                    F.col("status").alias("info"))
+        .union(checkpoints.select(F.lit("checkpoints"), owner, "step", "path"))
+        .union(metrics.select(F.lit("metrics"), owner, "step", F.col("ord").cast("string")))
+    )
 
 
 @query("""
@@ -133,6 +149,20 @@ def exp_compare(t: Tables) -> DataFrame:
     return E.compare_experiments(requested, "dataset_name")
 
 
+@query(f"""
+WITH cfg AS (SELECT *, CAST(replace(id, 'exp_', '') AS BIGINT) AS k FROM v_experiments)
+SELECT c_custkey AS req_ord, id, model_name, dataset_name, finetuning_type, final_loss, best_loss,
+       training_duration_seconds, CASE WHEN k % 4 = 1 THEN k % 64 ELSE 16 END AS lora_rank,
+       CAST(0.0002 AS DOUBLE) AS learning_rate,
+       CASE WHEN k % 4 = 1 THEN 7 WHEN k % 4 = 2 THEN k % 9 ELSE 3 END AS num_epochs, status
+FROM customer JOIN cfg ON id = 'exp_' || c_custkey""")
+def exp_compare_rows(t: Tables) -> DataFrame:
+    key = F.col("c_custkey")
+    requested = t.raw("customer").select(
+        F.concat(F.lit("exp_"), key.cast("string")).alias("id"), key.alias("req_ord"))
+    return E.compared_rows(requested, t.experiments())
+
+
 @query("""
 SELECT count(*) AS total_experiments,
        count(*) FILTER (status = 'completed') AS completed_experiments,

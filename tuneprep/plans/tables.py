@@ -160,6 +160,7 @@ class Tables:
             (key % 24).cast("double").alias("vram_peak_gb"),
             created.alias("created_at"),
             created.alias("updated_at"),
+            F.when(key % 3 == 0, '["kept", "best"]').otherwise("[]").alias("tags"),
         )
 
     def metrics(self) -> DataFrame:
@@ -381,7 +382,8 @@ VIEWS = {
                     * CAST(0.5 AS DOUBLE) END AS best_loss,
                CAST(o_orderkey % 7200 AS DOUBLE) AS training_duration_seconds,
                CAST(o_orderkey % 24 AS DOUBLE) AS vram_peak_gb,
-               epoch(o_orderdate) AS created_at, epoch(o_orderdate) AS updated_at
+               epoch(o_orderdate) AS created_at, epoch(o_orderdate) AS updated_at,
+               CASE WHEN o_orderkey % 3 = 0 THEN '["kept", "best"]' ELSE '[]' END AS tags
         FROM orders""",
     "v_metrics": f"""
         SELECT {_EXP} AS experiment_id, event_id AS ord, event_id + 1 AS step,

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import functools
+import shutil
 import tempfile
 import uuid
 
@@ -21,6 +24,10 @@ DEFAULT_CONF = {
 }
 
 
+# Scratch folders of one process share this name.
+RUN = uuid.uuid4().hex
+
+
 def build_session(app: str = "tuneprep", master: str | None = None, **conf: str) -> SparkSession:
     """Create (or reuse) a session; leave the shuffle partition count to the cluster."""
     builder = SparkSession.builder.appName(app)
@@ -34,12 +41,31 @@ def build_session(app: str = "tuneprep", master: str | None = None, **conf: str)
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A new, unused folder under ``spark.checkpoint.dir`` (the cluster's shared folder).
 
-    A local temporary folder is taken only where the setting is absent, as in tests.
+    Where the setting is absent, a local session takes a temporary folder that is removed at the
+    end of the process; on a cluster, whose executors would not see it, this raises.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = tempfile.mkdtemp(prefix="tuneprep-")
-    return f"{base.rstrip('/')}/tuneprep/{label}-{uuid.uuid4().hex}"
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        base = _local_folder()
+    return f"{base.rstrip('/')}/tuneprep-{RUN}/{label}-{uuid.uuid4().hex}"
+
+
+@functools.cache
+def _local_folder() -> str:
+    folder = tempfile.mkdtemp(prefix="tuneprep-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete what this process wrote below ``spark.checkpoint.dir``; results read from it end."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/tuneprep-{RUN}")
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def checkpointed(df: DataFrame) -> DataFrame:

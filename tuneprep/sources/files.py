@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,13 +46,15 @@ def _unwrap(df: DataFrame) -> DataFrame:
     return df
 
 
-def _json_lines(spark: SparkSession, path: str, schema: T.StructType | None) -> DataFrame:
+def _json_lines(spark: SparkSession, paths: list[str], schema: T.StructType | None) -> DataFrame:
     if schema is None:
-        schema = spark.read.option("mode", "DROPMALFORMED").json(path).schema
+        schema = spark.read.option("mode", "DROPMALFORMED").json(paths).schema
+    if isinstance(schema, str):
+        schema = T._parse_datatype_string(schema)
     full = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
     return (
-        spark.read.text(path)
+        spark.read.text(paths)
         .filter(strip(F.col("value")) != "")
         .select(F.from_json("value", full, options).alias("r"))
         .filter(F.col(f"r.{CORRUPT}").isNull())
@@ -60,30 +63,51 @@ def _json_lines(spark: SparkSession, path: str, schema: T.StructType | None) ->
     )
 
 
+def _json_shapes(spark: SparkSession, path: str) -> dict[bool, list[str]]:
+    """Paths of the files with JSON lines (True) and of those that are one document (False).
+
+    A file holds lines when some line of it is a JSON object on its own. Files without text are
+    left out. There is one row per file, as in the listing that the driver has anyway.
+    """
+    line = strip(F.col("value"))
+    lone = F.startswith(line, F.lit("{")) & F.try_parse_json(line).isNotNull()
+    files = spark.read.text(path).filter(line != "").groupBy(
+        F.col("_metadata.file_path").alias("file")).agg(F.max(lone).alias("lines"))
+    shapes: dict[bool, list[str]] = {True: [], False: []}
+    for row in files.collect():
+        shapes[row["lines"]].append(unquote(row["file"]))
+    return shapes
+
+
 def read_json(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
-    """JSON lines (bad lines skipped), a JSON array, or one document with a wrapper key.
+    """JSON lines (bad lines skipped), JSON arrays, or documents with a wrapper key.
 
-    Lines are read in parallel; an array or a pretty-printed document is one unsplittable text.
+    Each file is read by its own shape. Lines are read in parallel; an array or a pretty-printed
+    document is one unsplittable text. A document on one line with nothing but the wrapper key is
+    opened as well.
     """
-    first = spark.read.text(path).select(strip(F.col("value")).alias("v")).filter("v <> ''").first()
-    if first is None:
+    shapes = _json_shapes(spark, path)
+    found = []
+    if shapes[True]:
+        lines = _json_lines(spark, shapes[True], schema)
+        only = lines.columns
+        found.append(_unwrap(lines) if len(only) == 1 and only[0] in WRAPPER_KEYS else lines)
+    if shapes[False]:
+        whole = spark.read.option("multiLine", "true").option("mode", "DROPMALFORMED")
+        whole = (whole.schema(schema) if schema is not None else whole).json(shapes[False])
+        if whole.columns:
+            found.append(whole if schema is not None else _unwrap(whole))
+    if not found:
         raise ImportFailed("no records in the file")
-    whole = spark.read.option("multiLine", "true")
-    if first["v"].startswith("{"):
-        try:
-            lines = _json_lines(spark, path, schema)
-        except Exception:  # no line parses on its own, so no schema can be inferred
-            lines = None
-        if lines is not None and lines.columns and lines.take(1):
-            only = lines.columns
-            return _unwrap(lines) if len(only) == 1 and only[0] in WRAPPER_KEYS else lines
-        return _unwrap(whole.json(path))
-    return (whole.schema(schema) if schema is not None else whole).json(path)
+    return found[0] if len(found) == 1 else found[0].unionByName(found[1], allowMissingColumns=True)
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None,
              multiline: bool = True) -> DataFrame:
-    """CSV with a header; quoted fields may span lines unless ``multiline`` is off."""
+    """CSV with a header; quoted fields may span lines.
+
+    Without ``multiline`` files are split between tasks, and such fields are not read right.
+    """
     reader = spark.read.option("header", "true").option("escape", '"') \
         .option("multiLine", str(multiline).lower())
     reader = reader.schema(schema) if schema is not None else reader.option("inferSchema", "true")
