@@ -145,13 +145,33 @@ def test_stream_equals_batch(spark, tmp_path, points):
         time.sleep(0.01)
     stream = (spark.readStream.schema(both.schema).option("maxFilesPerTrigger", 2)
               .parquet(str(tmp_path / "in" / "*")))
-    SP.write_snapshots(SP.stream_progress(stream), str(tmp_path / "out"), str(tmp_path / "c"),
+    SP.write_snapshots(stream, str(tmp_path / "out"), str(tmp_path / "c"),
                        availableNow=True).awaitTermination()
-    got = SP.latest_snapshots(spark.read.parquet(str(tmp_path / "out")).drop("batch"))
+    got = SP.latest_snapshots(spark, str(tmp_path / "out"))
     batch = MO.progress(MO.parse_log(both)).select(*got.columns)
     assert sorted(got.collect()) == sorted(batch.collect())
 
 
+def test_stream_follows_new_segments(spark, tmp_path):
+    folder = tmp_path / "logs" / "e1"
+    folder.mkdir(parents=True)
+    text = "{{'loss': {}, 'learning_rate': 0.1, 'epoch': 1.0}}\n"
+
+    def follow():
+        SP.write_snapshots(SP.log_stream(spark, str(tmp_path / "logs" / "*")), str(tmp_path / "out"),
+                           str(tmp_path / "c"), availableNow=True).awaitTermination()
+        return SP.latest_snapshots(spark, str(tmp_path / "out")).collect()
+
+    (folder / "b.log").write_text('{"step": 7, "epoch": 1, "loss": 0.5, "elapsed_seconds": 9}\n'
+                                  + text.format(0.75))
+    assert [(r.current_loss, r.best_loss, r.points) for r in follow()] == [(0.75, 0.5, 2)]
+    for i in range(3):
+        time.sleep(0.02)
+        (folder / f"a{i}.log").write_text(text.format(0.25 * (i + 1)) * 20)
+        assert [(r.current_loss, r.best_loss, r.points) for r in follow()] == [
+            (0.25 * (i + 1), 0.25, 22 + 20 * i)]
+
+
 def test_metric_stream(spark, tmp_path):
     (tmp_path / "logs" / "e1").mkdir(parents=True)
     (tmp_path / "logs" / "e1" / "training.log").write_text("\n".join(LINES))

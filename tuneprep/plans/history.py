@@ -298,9 +298,9 @@ def stream_progress(t: Tables) -> DataFrame:
     source.write.parquet(lines)
     stream = t.spark.readStream.schema(source.schema).option("maxFilesPerTrigger", 1).parquet(lines)
     out = scratch_path(t.spark, "snapshots")
-    SP.write_snapshots(SP.stream_progress(stream), out, scratch_path(t.spark, "offsets"),
+    SP.write_snapshots(stream, out, scratch_path(t.spark, "offsets"),
                        availableNow=True).awaitTermination()
-    return SP.latest_snapshots(t.spark.read.parquet(out).drop("batch"))
+    return SP.latest_snapshots(t.spark, out)
 
 
 @query(f"""

@@ -1,121 +1,76 @@
-"""Live training progress from growing log files."""
+"""Live training progress from growing sets of log files."""
 
 from __future__ import annotations
 
-import sys
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-from tuneprep.operators.monitor import RECENT, parse_log
 
-# Ship this module's functions with the task, so executors need no copy of the package.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
+from tuneprep.operators.monitor import RECENT, parse_log, progress
+from tuneprep.operators.ranking import top_k_per_key
+from tuneprep.sources.files import delete_path, path_exists
 
 POINT = ["ord", "step", "epoch", "loss", "elapsed_seconds"]
-PARTIAL = (
-    "experiment_id string, ord bigint, step bigint, epoch double, loss double, "
-    "elapsed_seconds double, points bigint, best_loss double"
-)
-STATE = (
-    "points bigint, best_loss double, ord array<bigint>, step array<bigint>, "
-    "epoch array<double>, loss array<double>, elapsed_seconds array<double>"
-)
-SNAPSHOT = (
-    "experiment_id string, current_step bigint, current_epoch bigint, current_loss double, "
-    "best_loss double, elapsed_seconds double, steps_per_second double, points bigint"
-)
+SNAPSHOT = [
+    "experiment_id", "current_step", "current_epoch", "current_loss", "best_loss",
+    "elapsed_seconds", "steps_per_second", "points",
+]
+SEGMENT_LINES = 1 << 20
 
 
 def log_stream(spark: SparkSession, path: str) -> DataFrame:
-    """Log lines of ``<path>/<experiment_id>/*``; line order follows the logged step."""
-    return spark.readStream.text(path).select(
-        F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/[^/]+$", 1).alias("experiment_id"),
-        F.coalesce(F.get_json_object("value", "$.step").try_cast("long"), F.lit(0).cast("long"))
-        .alias("ord"),
-        F.col("value").alias("line"),
-    )
-
+    """Lines of the log segments ``<path>/<experiment_id>/*``, ordered by (segment, position).
 
-def _partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Per Arrow batch and experiment: the newest points, with count and best loss on one."""
-    for batch in batches:
-        groups = batch.groupby("experiment_id", sort=False)
-        newest = (
-            batch.sort_values("ord").groupby("experiment_id", sort=False).tail(RECENT)
-            [["experiment_id", *POINT]].copy()
-        )
-        lead = ~newest.duplicated("experiment_id")
-        newest["points"] = newest["experiment_id"].map(groups.size()).where(lead, 0)
-        newest["best_loss"] = newest["experiment_id"].map(groups["loss"].min())
-        yield newest
-
-
-def _advance(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Merge partial rows into an experiment's ring of recent points."""
-    if state.exists:
-        points, best, *rings = state.get
-        ring = pd.DataFrame(dict(zip(POINT, [list(r) for r in rings])))
-    else:
-        points, best, ring = 0, float("inf"), pd.DataFrame(columns=POINT)
-    for frame in frames:
-        points += int(frame["points"].sum())
-        best = min(best, float(frame["best_loss"].min()))
-        merged = frame[POINT] if ring.empty else pd.concat([ring, frame[POINT]])
-        ring = merged.sort_values("ord", kind="stable").tail(RECENT)
-    columns = {c: ring[c].tolist() for c in POINT}
-    state.update((
-        points, best, [int(v) for v in columns["ord"]], [int(v) for v in columns["step"]],
-        [float(v) for v in columns["epoch"]], [float(v) for v in columns["loss"]],
-        [float(v) for v in columns["elapsed_seconds"]],
-    ))
-    last = ring.iloc[-1]
-    rate = 0.0
-    if len(ring) >= 2:
-        first = ring.iloc[0] if len(ring) >= RECENT else ring.iloc[-2]
-        seconds = float(last["elapsed_seconds"] - first["elapsed_seconds"])
-        if seconds > 0:
-            rate = float(last["step"] - first["step"]) / seconds
-    yield pd.DataFrame([{
-        "experiment_id": key[0], "current_step": int(last["step"]),
-        "current_epoch": int(last["epoch"]), "current_loss": float(last["loss"]),
-        "best_loss": best, "elapsed_seconds": float(last["elapsed_seconds"]),
-        "steps_per_second": rate, "points": points,
-    }])
-
-
-def stream_progress(lines: DataFrame) -> DataFrame:
-    """Streaming (experiment_id, ord, line) to updated snapshots per experiment.
-
-    Rows are reduced to at most ten points per experiment and Arrow batch before the shuffle,
-    so a busy experiment sends little to its state task. The state is ten points and two numbers.
+    A segment is a closed file: a log grows by further segments, as log rotation makes them; a
+    file that is written to after it was read is not read again. Segments are ordered by their
+    modification time and numbered apart up to ``SEGMENT_LINES`` lines.
     """
-    return (
-        parse_log(lines)
-        .select("experiment_id", *POINT)
-        .mapInPandas(_partial, PARTIAL)
-        .groupBy("experiment_id")
-        .applyInPandasWithState(_advance, SNAPSHOT, STATE, "update",
-                                GroupStateTimeout.NoTimeout)
+    segments = spark.readStream.option("wholetext", "true").text(path).select(
+        F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/[^/]+$", 1).alias("experiment_id"),
+        F.unix_millis(F.col("_metadata.file_modification_time")).alias("_written"),
+        F.posexplode(F.split("value", "\\R")).alias("_at", "line"),
     )
+    return segments.select(
+        "experiment_id", (F.col("_written") * SEGMENT_LINES + F.col("_at")).alias("ord"), "line")
+
+
+def _merged(batch: DataFrame, before: str | None) -> tuple[DataFrame, DataFrame]:
+    """(newest points, totals) per experiment after one micro-batch of parsed points."""
+    newest = top_k_per_key(batch, ["experiment_id"], [F.col("ord").desc()], RECENT)
+    totals = batch.groupBy("experiment_id").agg(
+        F.count(F.lit(1)).alias("points"), F.min("loss").alias("best_loss"))
+    if before is None:
+        return newest, totals
+    read = batch.sparkSession.read
+    newest = top_k_per_key(newest.unionByName(read.parquet(f"{before}/points")),
+                           ["experiment_id"], [F.col("ord").desc()], RECENT)
+    totals = totals.unionByName(read.parquet(f"{before}/totals")).groupBy("experiment_id").agg(
+        F.sum("points").alias("points"), F.min("best_loss").alias("best_loss"))
+    return newest, totals
+
+
+def write_snapshots(lines: DataFrame, path: str, checkpoint: str, **trigger):
+    """Start the update stream of (experiment_id, ord, line): one compact table, kept current.
+
+    A micro-batch is reduced to ten points and two numbers per experiment before the shuffle and
+    merged with the version of the batch before; a repeated batch writes the same version again.
+    Only the last two versions stay. No Python runs on the executors.
+    """
 
-
-def write_snapshots(snapshots: DataFrame, path: str, checkpoint: str, **trigger):
-    """Start the update stream: each micro-batch appends its snapshots to a Parquet folder."""
-
-    def append(batch: DataFrame, batch_id: int) -> None:
-        out = f"{path}/batch={batch_id}"
-        batch.write.mode("overwrite").parquet(out)
+    def merge(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        points = parse_log(batch).select("experiment_id", *POINT).persist()
+        before = f"{path}/version={batch_id - 1}"
+        for name, table in zip(("points", "totals"), _merged(
+                points, before if path_exists(spark, f"{before}/totals/_SUCCESS") else None)):
+            table.write.mode("overwrite").parquet(f"{path}/version={batch_id}/{name}")
+        points.unpersist()
+        if path_exists(spark, f"{path}/version={batch_id - 2}"):
+            delete_path(spark, f"{path}/version={batch_id - 2}")
 
     return (
-        snapshots.writeStream.outputMode("update")
-        .option("checkpointLocation", checkpoint)
+        lines.writeStream.option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"processingTime": "10 seconds"}))
-        .foreachBatch(append)
+        .foreachBatch(merge)
         .start()
     )
 
@@ -130,10 +85,13 @@ def write_metrics(lines: DataFrame, path: str, checkpoint: str, **trigger):
     )
 
 
-def latest_snapshots(snapshots: DataFrame) -> DataFrame:
-    """Newest snapshot per experiment out of the appended ones."""
-    names = [f.split()[0] for f in SNAPSHOT.split(", ")]
-    values = [n for n in names if n != "experiment_id"]
-    return snapshots.groupBy("experiment_id").agg(
-        F.max_by(F.struct(*values), "points").alias("s")
-    ).select("experiment_id", "s.*")
+def latest_snapshots(spark: SparkSession, path: str) -> DataFrame:
+    """Snapshot per experiment out of the newest complete version; the versions are few."""
+    version = F.regexp_extract("path", r"version=(\d+)/", 1).cast("int").alias("v")
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option(
+        "pathGlobFilter", "*.parquet").load(path).select(version).distinct().collect()
+    last = next(v for v in sorted((r["v"] for r in found), reverse=True)
+                if path_exists(spark, f"{path}/version={v}/totals/_SUCCESS"))
+    points = spark.read.parquet(f"{path}/version={last}/points")
+    totals = spark.read.parquet(f"{path}/version={last}/totals")
+    return progress(points).drop("best_loss", "points").join(totals, "experiment_id").select(SNAPSHOT)
