@@ -1,0 +1,106 @@
+"""SQL counterparts of the queries that SQL can express."""
+
+SPACE = r"[\x20\x09-\x0D]"
+TRIM = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+_WORDS = rf"""
+words AS (SELECT doc_id, coalesce(text, '') AS text, source,
+                 list_filter(regexp_split_to_array(coalesce(text, ''), '{SPACE}+'),
+                             lambda x: x <> '') AS w FROM documents)"""
+
+
+def _windows(size: int) -> str:
+    return f"""
+windows AS (SELECT doc_id, pos, array_to_string(w[pos:pos + {size - 1}], ' ') AS gram
+            FROM words, unnest(range(1, len(w) - {size - 2})) AS u(pos))"""
+
+
+def _covered(size: int, source: str) -> str:
+    """Number of words of a document inside the windows that start at ``source``'s positions."""
+    return f"""
+covered AS (SELECT doc_id, CAST(sum(least({size}, coalesce(next - pos, {size}))) AS BIGINT) AS n
+            FROM (SELECT doc_id, pos, lead(pos) OVER (PARTITION BY doc_id ORDER BY pos) AS next
+                  FROM {source}) GROUP BY doc_id)"""
+
+
+QUALITY = rf"""
+WITH {_WORDS},{_windows(8)},
+twice AS (SELECT doc_id, pos FROM windows
+          QUALIFY count(*) OVER (PARTITION BY doc_id, gram) > 1),{_covered(8, "twice")},
+lines AS (SELECT doc_id, source, text, line,
+                 regexp_replace(trim(lower(line), {TRIM}), '{SPACE}+', ' ', 'g') AS same,
+                 len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n
+          FROM words, unnest(string_split(text, chr(10))) AS u(line)
+          WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+hosts AS (SELECT source, count(DISTINCT text) AS docs FROM words GROUP BY source),
+frequent AS (SELECT l.source, l.same, min(l.doc_id) AS first_doc FROM lines l JOIN hosts h
+             ON l.source IS NOT DISTINCT FROM h.source GROUP BY l.source, l.same, h.docs
+             HAVING count(DISTINCT l.text) > greatest(50, 0.005 * h.docs)),
+gone AS (SELECT l.doc_id, CAST(sum(l.n) AS BIGINT) AS n FROM lines l JOIN frequent f
+         ON l.same = f.same AND l.source IS NOT DISTINCT FROM f.source
+         WHERE l.doc_id <> f.first_doc GROUP BY l.doc_id),
+counts AS (SELECT doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars,
+                  len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols FROM words),
+dups AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM lines GROUP BY doc_id),
+judged AS (SELECT c.*, coalesce(d.n, 0) AS n_dup_lines, coalesce(v.n, 0) AS n_repeat_words,
+                  coalesce(g.n, 0) AS removed_words,
+                  c.n_words < 20 OR 100 * coalesce(v.n, 0) > 30 * c.n_words AS base_failed
+           FROM counts c LEFT JOIN dups d USING (doc_id) LEFT JOIN covered v USING (doc_id)
+           LEFT JOIN gone g USING (doc_id))
+SELECT *, NOT base_failed AND NOT (n_words - removed_words < 20
+                                   OR n_words - removed_words < 0.3 * n_words) AS kept
+FROM judged"""
+
+SUBSTRINGS = f"""
+WITH {_WORDS},{_windows(13)},
+hits AS (SELECT doc_id, pos FROM windows
+         QUALIFY min(doc_id) OVER (PARTITION BY gram) < doc_id),
+gone AS (SELECT DISTINCT doc_id, p FROM hits, unnest(range(pos, pos + 13)) AS u(p)),
+each AS (SELECT doc_id, w[p] AS word, p FROM words, unnest(range(1, len(w) + 1)) AS u(p)),
+kept AS (SELECT e.doc_id, string_agg(word, ' ' ORDER BY e.p) AS text, count(*) AS n
+         FROM each e ANTI JOIN gone g ON e.doc_id = g.doc_id AND e.p = g.p GROUP BY e.doc_id)
+SELECT d.doc_id, len(d.w) AS n_words, len(d.w) - coalesce(k.n, 0) AS n_removed,
+       sha256(coalesce(k.text, '')) AS kept_sha256
+FROM words d LEFT JOIN kept k USING (doc_id)"""
+
+_TOKENS = ("regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', "
+           "'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')")
+
+DECONTAMINATION = f"""
+WITH words AS (SELECT doc_id, {_TOKENS} AS w FROM documents),
+items AS (SELECT item_id, {_TOKENS} AS w FROM benchmark),
+grams AS (SELECT DISTINCT item_id, least(10, len(w)) AS size,
+                 array_to_string(w[pos:pos + least(10, len(w)) - 1], ' ') AS gram
+          FROM items, unnest(range(1, greatest(len(w) - 10, 0) + 2)) AS u(pos) WHERE len(w) > 0),
+sizes AS (SELECT DISTINCT size FROM grams),
+windows AS (SELECT doc_id, size, pos, array_to_string(w[pos:pos + size - 1], ' ') AS gram
+            FROM words, sizes, unnest(range(1, len(w) - size + 2)) AS u(pos)),
+hits AS (SELECT doc_id, pos, size, item_id FROM windows JOIN grams USING (size, gram)),
+found AS (SELECT doc_id, count(*) AS n, string_agg(i, ',' ORDER BY i) AS ids
+          FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS i FROM hits) GROUP BY doc_id),
+inside AS (SELECT doc_id, count(DISTINCT p) AS n FROM hits, unnest(range(pos, pos + size)) AS u(p)
+           GROUP BY doc_id)
+SELECT d.doc_id, len(d.w) AS n_words, coalesce(i.n, 0) AS n_hit, coalesce(f.n, 0) AS n_items,
+       sha256(coalesce(f.ids, '')) AS items_sha256, coalesce(i.n, 0) > 0 AS contaminated
+FROM words d LEFT JOIN inside i USING (doc_id) LEFT JOIN found f USING (doc_id)"""
+
+CHATS = r"""
+WITH turns AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]'
+    UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+sized AS (SELECT *, length(text) + len(regexp_extract_all(text,
+        '<\\*(<SYS>>|</SYS>>|/?s>)|\[\\*/?(INST|ROLE)\]|\[\\*END\]'))
+      + CASE role WHEN 'system' THEN 15 WHEN 'user' THEN 15 WHEN 'assistant' THEN 7
+                  ELSE 18 + length(role) END AS size FROM turns)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text))
+           AS turns_sha256,
+       length(coalesce(string_agg(text, '' ORDER BY turn, text) FILTER (role = 'assistant'), ''))
+           AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, text) FILTER (role = 'assistant'), ''))
+           AS loss_sha256,
+       CAST(sum(size) AS BIGINT) AS formatted_chars,
+       regexp_full_match(string_agg(role, ' ' ORDER BY turn, role, text),
+                         '(system )?user( assistant user)*( assistant)?') AS valid
+FROM sized GROUP BY conv_id"""

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tuneprep.llm import oracles
 from tuneprep.llm.chat import digests, format_chats
 from tuneprep.llm.common import read_table
 from tuneprep.llm.decontam import contamination
@@ -20,7 +21,12 @@ from tuneprep.llm.substrings import without_repeats
 from tuneprep.llm.token_counts import count_edited
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op5_chat_formatting": oracles.CHATS,
+    "op7_quality_rules": oracles.QUALITY,
+    "op9_substring_dedup": oracles.SUBSTRINGS,
+    "op10_benchmark_decontamination": oracles.DECONTAMINATION,
+}
 
 
 def query(fn: Callable[[SparkSession, str], DataFrame]):
@@ -113,4 +119,4 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark windows found in every document."""
     return contamination(read_table(spark, sf_dir, "documents"),
-                         read_table(spark, sf_dir, "benchmark"))
+                         read_table(spark, sf_dir, "benchmark")).drop("n_near")
