@@ -61,9 +61,11 @@ def trainer_row(line: Column) -> Column:
     return F.from_json(line, TRAINER_ROW, PERMISSIVE)
 
 
-def sample_blocks(log: Column, keep: int = 3) -> Column:
+def sample_blocks(log: Column, keep: int = 3, limits: dict[str, int] | None = None) -> Column:
     """Last prediction samples of a whole log text: step, input, predict, label.
 
+    ``limits`` cuts the named texts to so many characters; without it they are whole.
+
     The text is searched once; only the kept samples are taken apart.
     """
     found = F.regexp_extract_all(log, F.lit(SAMPLE_BLOCK), F.lit(0))
@@ -75,8 +77,8 @@ def sample_blocks(log: Column, keep: int = 3) -> Column:
 
     def row(p: Column) -> Column:
         return F.struct(p[0].alias("step"), *[
-            F.substring(p[i], 1, size).alias(name)
-            for i, (name, size) in enumerate(SAMPLE_LIMITS.items(), 1)
+            (F.substring(p[i], 1, limits[name]) if limits and name in limits else p[i]).alias(name)
+            for i, name in enumerate(SAMPLE_LIMITS, 1)
         ])
 
     return F.transform(F.transform(last, parts), row)

@@ -82,12 +82,13 @@ def history_rows(metrics: DataFrame) -> DataFrame:
     )
 
 
-def sample_outputs(logs: DataFrame, keep: int = 3) -> DataFrame:
-    """(log_id, text) to the last prediction samples of each log.
+def sample_outputs(logs: DataFrame, keep: int = 3,
+                   limits: dict[str, int] | None = None) -> DataFrame:
+    """(log_id, text) to the last prediction samples of each log, whole unless ``limits`` cuts them.
 
     The outer explode keeps the optimizer from adding a size filter that repeats the search.
     """
-    samples = F.posexplode_outer(sample_blocks(F.col("text"), keep)).alias("n", "s")
+    samples = F.posexplode_outer(sample_blocks(F.col("text"), keep, limits)).alias("n", "s")
     return logs.select("log_id", samples).filter(F.col("n").isNotNull()).select(
         "log_id", "n", "s.*")
 

@@ -9,7 +9,7 @@ from tuneprep.operators import experiments as E
 from tuneprep.operators import monitor as MO
 from tuneprep.plans.registry import query
 from tuneprep.plans.tables import Tables
-from tuneprep.rules.terms import DICT_LINE, SAMPLE_BLOCK
+from tuneprep.rules.terms import SAMPLE_LIMITS, DICT_LINE, SAMPLE_BLOCK
 from tuneprep.session import scratch_path
 from tuneprep.streaming import progress as SP
 
@@ -303,7 +303,7 @@ def stream_progress(t: Tables) -> DataFrame:
     return SP.latest_snapshots(t.spark, out)
 
 
-@query(f"""
+_SAMPLES = f"""
 WITH logs AS (SELECT ord AS log_id, string_agg(CASE WHEN i = 0 THEN 'start' || chr(10) ELSE
         'predict_' || (ord * 10 + i) || ' {{"x": 1,' || chr(10) || '"input": "'
         || replace(replace(text, '"', ''''), chr(92), '/') || '",' || chr(10) || '"predict": "p' || i
@@ -315,13 +315,26 @@ found AS (SELECT log_id, regexp_extract_all(log, '{SAMPLE_BLOCK}', 1) AS g1,
         regexp_extract_all(log, '{SAMPLE_BLOCK}', 3) AS g3,
         regexp_extract_all(log, '{SAMPLE_BLOCK}', 4) AS g4 FROM logs),
 each AS (SELECT log_id, len(g1) AS n, unnest(range(1, len(g1) + 1)) AS i, g1, g2, g3, g4 FROM found)
-SELECT log_id, i - greatest(n - 2, 1) AS n, g1[i] AS step, left(g2[i], 200) AS input,
-       left(g3[i], 500) AS predict, left(g4[i], 500) AS label
+"""
+
+
+@query(_SAMPLES + """
+SELECT log_id, i - greatest(n - 2, 1) AS n, g1[i] AS step, g2[i] AS input, g3[i] AS predict,
+       g4[i] AS label
 FROM each WHERE i > n - 3""")
 def sample_outputs(t: Tables) -> DataFrame:
     return MO.sample_outputs(t.sample_logs()).withColumn("n", F.col("n").cast("long"))
 
 
+@query(_SAMPLES + """
+SELECT log_id, i - greatest(n - 2, 1) AS n, g1[i] AS step, left(g2[i], 200) AS input,
+       left(g3[i], 500) AS predict, left(g4[i], 500) AS label
+FROM each WHERE i > n - 3""")
+def sample_outputs_cut(t: Tables) -> DataFrame:
+    found = MO.sample_outputs(t.sample_logs(), limits=SAMPLE_LIMITS)
+    return found.withColumn("n", F.col("n").cast("long"))
+
+
 _SUMMARY = """
 rows AS (SELECT run_id, ord, TRY_CAST(json_extract_string(line, '$.loss') AS DOUBLE) AS loss,
                 json_extract_string(line, '$.elapsed_time') AS elapsed,
