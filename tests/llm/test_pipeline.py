@@ -3,15 +3,13 @@
 import os
 
 import corpus_pipeline
+import numpy as np
 import samples
 from test_decontam import expected as contaminated
-from test_packing import test_bins_use_every_piece_and_beat_best_fit  # noqa: F401
 from test_quality import expected as counted
 from test_simhash import expected as grouped
 from test_simhash import plain_fingerprint
 
-import numpy as np
-
 
 def test_documents(spark):
     docs = spark.read.parquet(f"{samples.DATA}/documents.parquet")
