@@ -28,8 +28,9 @@ def _star(links: DataFrame, both: bool) -> DataFrame:
     pairs = links.select("a", "b")
     if both:
         pairs = pairs.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = pairs.groupBy("a").agg(F.min("b").alias("m")).select(
-        F.col("a").alias("u"), F.least("a", "m").alias("m"))
+    # Written first, so that the join's two sides are plain shuffles and a hot node can be split.
+    least = frozen(pairs.groupBy("a").agg(F.min("b").alias("m")).select(
+        F.col("a").alias("u"), F.least("a", "m").alias("m")), "least")
     joined = pairs.join(least, pairs["a"] == least["u"])
     if both:
         out = joined.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
