@@ -10,7 +10,7 @@ mean over a document is its score: below zero, the document looks more like the
   all others. Bigram counts are pruned alike for both models, by one limit on their joint count,
   so that at most ``max_bigrams`` are kept for a fold; the limit comes from a histogram of the counts.
 * No document is scored by models that have seen it: texts fall into ``FOLDS`` folds by their hash
-  (so exact copies share one), and a fold is scored by models of the other folds' counts.
+  (so exact copies share one), and a fold is scored by models of the next fold's counts.
 * Smoothing: absolute discounting of the kept bigrams, the rest of a history's mass backs off to
   unigrams with add-one smoothing. With it each model sums to one over the vocabulary.
 
@@ -158,13 +158,17 @@ def fit(counts: DataFrame, size: int, options: ModelOptions) -> Model:
     totals = np.zeros((2, size, 2))       # as predecessor, as token
     for place, part in (("h", F.shiftright("key", 32)), ("t", F.col("key").bitwiseAND(0xFFFFFFFF))):
         rows = counts.groupBy(part.alias("id")).agg(
-            F.sum("target").alias("target"), F.sum("background").alias("background")).collect()
-        for r in rows:                     # at most one row per word of the vocabulary
-            totals[0 if place == "h" else 1, r["id"]] = r["target"], r["background"]
+            F.sum("target").alias("target"), F.sum("background").alias("background")).toArrow()
+        # At most one row per word of the vocabulary.
+        at = rows["id"].to_numpy()
+        totals[0 if place == "h" else 1, at] = np.stack(
+            [rows["target"].to_numpy(), rows["background"].to_numpy()], axis=1)
     limit = pruning_limit(counts, options.max_bigrams)
-    kept = counts.where(F.col("target") + F.col("background") >= limit).toPandas().sort_values("key")
-    keys = kept["key"].to_numpy(dtype=np.int64)
-    n = kept[["target", "background"]].to_numpy(dtype=np.float64).reshape(-1, 2)
+    kept = counts.where(F.col("target") + F.col("background") >= limit).select(
+        "key", "target", "background").toArrow()
+    order = np.argsort(kept["key"].to_numpy())
+    keys = kept["key"].to_numpy()[order]
+    n = np.stack([kept["target"].to_numpy(), kept["background"].to_numpy()], axis=1)[order]
     unigram = (totals[1] + 1) / (totals[1].sum(axis=0) + size)
     above = keys >> 32
     discounted = np.maximum(n - options.discount, 0)
@@ -194,9 +198,8 @@ def score(docs: DataFrame, labels: DataFrame, options: ModelOptions = ModelOptio
         F.col("id").isNotNull().cast("int").alias("target"))
     counts = frozen(bigram_counts(tagged, ids), "bigrams")
     models = context.broadcast([
-        fit(counts.where(F.col("fold") != fold).groupBy("key").agg(
-            F.sum("target").alias("target"), F.sum("background").alias("background")),
-            len(words) + FIRST, options) for fold in range(FOLDS)])
+        fit(counts.where(F.col("fold") == (fold + 1) % FOLDS), len(words) + FIRST, options)
+        for fold in range(FOLDS)])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
