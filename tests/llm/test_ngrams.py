@@ -80,3 +80,20 @@ def test_empty(spark):
     assert score(samples.table(spark, []), labels).count() == 0
     got = score(samples.table(spark, samples.ROWS), labels).collect()
     assert len(got) == len(samples.ROWS)
+
+
+def test_all_words_and_bigrams_are_kept(spark):
+    rows = [(k, t) for k, t, _ in samples.documents()]
+    docs = samples.table(spark, rows)
+    good = {k for k, _ in rows if k % 3 == 0}
+    labels = spark.createDataFrame([(k, int(k in good)) for k, _ in rows], "doc_id bigint, quality int")
+    folded = [tuple(r) for r in docs.select("doc_id", "text", fold_of(F.col("text"))).collect()]
+    want = {k: v for k, *v in plain(folded, good, ModelOptions(vocabulary=10**9, max_bigrams=10**9))}
+    assert ModelOptions().vocabulary is None and ModelOptions().max_bigrams is None
+    for options in (ModelOptions(), ModelOptions(frequent=100)):
+        got = score(docs, labels, options).collect()
+        assert len(got) == len(rows)
+        for r in got:
+            n, target, background = want[r["doc_id"]]
+            assert r["n_tokens"] == n and r["target_loss"] == pytest.approx(target)
+            assert r["difference"] == pytest.approx(target - background)

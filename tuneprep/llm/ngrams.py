@@ -4,18 +4,21 @@ Method: a target and a background model of the same order, smoothing and pruning
 vocabulary; a token's loss difference depends on the token and its predecessor alone, and their
 mean over a document is its score: below zero, the document looks more like the target.
 
-* Vocabulary: the ``vocabulary`` most frequent words of all documents, target and background
-  together; other words are one unknown word. Sentence-like marks are not split off.
+* Vocabulary: every word of all documents, target and background together, by its 64-bit hash;
+  with ``vocabulary`` set only the most frequent ones, others are one unknown word. Sentence-like
+  marks are not split off.
 * Counts cover every token of every document. Target: the documents labelled good; background:
-  all others. Bigram counts are pruned alike for both models, by one limit on their joint count,
-  so that at most ``max_bigrams`` are kept for a fold; the limit comes from a histogram of the counts.
+  all others. Both models keep every bigram; with ``max_bigrams`` set they are pruned alike, by one
+  limit on their joint count in a fold.
 * No document is scored by models that have seen it: texts fall into ``FOLDS`` folds by their hash
   (so exact copies share one), and a fold is scored by models of the next fold's counts.
 * Smoothing: absolute discounting of the kept bigrams, the rest of a history's mass backs off to
   unigrams with add-one smoothing. With it each model sums to one over the vocabulary.
 
-What is broadcast is bounded by ``vocabulary`` and ``max_bigrams`` for any input. Tasks count
-locally before each shuffle. One shuffle carries the texts, to join them with their labels.
+The model is a written table (fold, before, word, losses) of all bigrams that a fold's documents
+have. The ``frequent`` bigrams of a fold are broadcast and summed in the scan, so no hot key is
+shuffled; every other occurrence joins the table. Tasks count locally before the counts are
+shuffled. One more shuffle carries the texts, to join them with their labels.
 
 Defined results: a null or empty text has no tokens and null scores; a repeated row counts and is
 scored each time; several labels of one document are read as target if one is; without target or
@@ -45,11 +48,13 @@ FOLDS = 2
 
 @dataclass(frozen=True)
 class ModelOptions:
-    """Size bounds of both models and the discount."""
+    """Size bounds of both models (``None``: everything is kept), the discount, and the number of
+    bigrams of a fold that are broadcast; the last has no influence on the result."""
 
-    vocabulary: int = 50_000
-    max_bigrams: int = 500_000
+    vocabulary: int | None = None
+    max_bigrams: int | None = None
     discount: float = 0.75
+    frequent: int = 500_000
 
 
 def words_of(text: str | None) -> list[str]:
@@ -79,48 +84,62 @@ def top_words(docs: DataFrame, limit: int) -> list[str]:
     return [r["word"] for r in counts.orderBy(F.desc("n"), "word").limit(limit).collect()]
 
 
-def encoded(text: str | None, ids: dict[str, int]) -> np.ndarray:
+def encoded(text: str | None, known: np.ndarray | None) -> np.ndarray:
+    """Hashes of the words; ``UNKNOWN`` for those outside ``known`` (sorted hashes), if given."""
     words = words_of(text)
-    return np.fromiter((ids.get(w, UNKNOWN) for w in words), np.int64, len(words))
+    if not words:
+        return np.empty(0, np.int64)
+    tokens = pd.util.hash_array(np.array(words, object), categorize=False).view(np.int64)
+    if known is None:
+        return tokens
+    return np.where(np.isin(tokens, known), tokens, UNKNOWN)
 
 
-def bigrams_of(tokens: np.ndarray) -> np.ndarray:
-    """Keys predecessor << 32 | token; the first token follows BEGIN."""
+def before_of(tokens: np.ndarray) -> np.ndarray:
+    """The predecessor of each token; the first token follows BEGIN."""
     before = np.empty_like(tokens)
     before[:1] = BEGIN
     before[1:] = tokens[:-1]
-    return (before << 32) | tokens
+    return before
+
+
+def mixed(before: np.ndarray, token: np.ndarray) -> np.ndarray:
+    """One key of each bigram."""
+    a, b = before.view(np.uint64), token.view(np.uint64)
+    a = (a ^ (a >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+    a = (a + b) * np.uint64(0xBF58476D1CE4E5B9)
+    return a ^ (a >> np.uint64(29))
 
 
 def fold_of(text: Column) -> Column:
     return F.pmod(F.xxhash64(text), F.lit(FOLDS)).cast("int")
 
 
-def bigram_counts(tagged: DataFrame, ids) -> DataFrame:
-    """(fold, key, target, background) over all tokens of ``tagged(text, fold, target)``."""
+def bigram_counts(tagged: DataFrame, known) -> DataFrame:
+    """(before, token, t0, b0, t1, b1, ...): target and background counts of each fold."""
+    names = [f"{side}{fold}" for fold in range(FOLDS) for side in "tb"]
+
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for fold, part in batch.groupby("fold"):
-                keys = [bigrams_of(encoded(t, ids.value)) for t in part["text"]]
-                sizes = [len(k) for k in keys]
-                if not sum(sizes):
-                    continue
-                flag = np.repeat(part["target"].to_numpy(dtype=np.int64), sizes)
-                found, where = np.unique(np.concatenate(keys), return_inverse=True)
-                target = np.bincount(where, weights=flag, minlength=len(found)).astype(np.int64)
-                every = np.bincount(where, minlength=len(found))
-                yield pd.DataFrame({"fold": np.int32(fold), "key": found, "target": target,
-                                    "background": every - target})
-
-    return tagged.mapInPandas(
-        count, "fold int, key bigint, target bigint, background bigint").groupBy(
-        "fold", "key").agg(F.sum("target").alias("target"),
-                           F.sum("background").alias("background"))
+            tokens = [encoded(t, known.value) for t in batch["text"]]
+            sizes = [len(k) for k in tokens]
+            if not sum(sizes):
+                continue
+            before, token = np.concatenate([before_of(t) for t in tokens]), np.concatenate(tokens)
+            _, first, where = np.unique(mixed(before, token), return_index=True, return_inverse=True)
+            column = np.repeat(2 * batch["fold"].to_numpy() + 1 - batch["target"].to_numpy(), sizes)
+            yield pd.DataFrame({"before": before[first], "token": token[first]} | {
+                name: np.bincount(where[column == k], minlength=len(first)).astype(np.int64)
+                for k, name in enumerate(names)})
+
+    return tagged.mapInPandas(count, "before bigint, token bigint, " + ", ".join(
+        f"{n} bigint" for n in names)).groupBy("before", "token").agg(
+            *[F.sum(n).alias(n) for n in names])
 
 
 def pruning_limit(counts: DataFrame, most: int) -> int:
-    """The smallest joint count from which on at most ``most`` bigrams are kept."""
-    exact = F.least(F.col("target") + F.col("background"), F.lit(1 << 20))
+    """The smallest joint count ``n`` from which on at most ``most`` bigrams are kept."""
+    exact = F.least(F.col("n"), F.lit(1 << 20))
     size = F.when(exact < 1024, exact).otherwise(F.lit(1024) * F.floor(exact / 1024))
     steps = counts.groupBy(size.alias("size")).agg(F.count("*").alias("n")).collect()
     limit, total = (1 << 20) + 1, 0
@@ -132,53 +151,50 @@ def pruning_limit(counts: DataFrame, most: int) -> int:
     return limit
 
 
-@dataclass
-class Model:
-    """Loss of both models: per kept bigram, and per predecessor and token for all others.
+def model_table(counts: DataFrame, size: int, options: ModelOptions) -> DataFrame:
+    """(fold, before, token, n, target, background): losses of every bigram of a fold's documents.
 
-    ``keys`` are sorted. A loss is a negative natural logarithm; columns: target, background.
+    ``n`` is its count in the fold's own documents, the losses are those of the next fold's models.
+    A loss is a negative natural logarithm.
     """
-
-    keys: np.ndarray
-    seen: np.ndarray
-    history: np.ndarray
-    token: np.ndarray
-
-    def losses(self, keys: np.ndarray) -> np.ndarray:
-        out = self.history[keys >> 32] + self.token[keys & 0xFFFFFFFF]
-        if len(self.keys):
-            at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-            hit = self.keys[at] == keys
-            out[hit] = self.seen[at[hit]]
-        return out
-
-
-def fit(counts: DataFrame, size: int, options: ModelOptions) -> Model:
-    """Both models over ``size`` token ids, from all bigram counts."""
-    totals = np.zeros((2, size, 2))       # as predecessor, as token
-    for place, part in (("h", F.shiftright("key", 32)), ("t", F.col("key").bitwiseAND(0xFFFFFFFF))):
-        rows = counts.groupBy(part.alias("id")).agg(
-            F.sum("target").alias("target"), F.sum("background").alias("background")).toArrow()
-        # At most one row per word of the vocabulary.
-        at = rows["id"].to_numpy()
-        totals[0 if place == "h" else 1, at] = np.stack(
-            [rows["target"].to_numpy(), rows["background"].to_numpy()], axis=1)
-    limit = pruning_limit(counts, options.max_bigrams)
-    kept = counts.where(F.col("target") + F.col("background") >= limit).select(
-        "key", "target", "background").toArrow()
-    order = np.argsort(kept["key"].to_numpy())
-    keys = kept["key"].to_numpy()[order]
-    n = np.stack([kept["target"].to_numpy(), kept["background"].to_numpy()], axis=1)[order]
-    unigram = (totals[1] + 1) / (totals[1].sum(axis=0) + size)
-    above = keys >> 32
-    discounted = np.maximum(n - options.discount, 0)
-    mass = np.zeros((size, 2))
-    np.add.at(mass, above, discounted)
-    safe = np.maximum(totals[0], 1)
-    backoff = np.where(totals[0] > 0, 1 - mass / safe, 1.0)
-    token = -np.log(unigram)
-    seen = -np.log(discounted / safe[above] + backoff[above] * unigram[keys & 0xFFFFFFFF])
-    return Model(keys, seen, -np.log(backoff), token)
+    limits = [0] * FOLDS
+    if options.max_bigrams is not None:
+        limits = [pruning_limit(counts.select((F.col(f"t{k}") + F.col(f"b{k}")).alias("n"))
+                                .where("n > 0"), options.max_bigrams) for k in range(FOLDS)]
+    sides = [(k, f"{side}{k}") for k in range(FOLDS) for side in "tb"]
+    kept = {name: F.when(F.col(f"t{k}") + F.col(f"b{k}") >= limits[k],
+                         F.greatest(F.col(name) - options.discount, F.lit(0.0))).otherwise(0.0)
+            for k, name in sides}
+    totals = counts.agg(*[F.coalesce(F.sum(n), F.lit(0)).alias(n) for _, n in sides]).first()
+    history = counts.groupBy("before").agg(
+        *[F.sum(n).alias(f"h_{n}") for _, n in sides],
+        *[F.sum(kept[n]).alias(f"m_{n}") for _, n in sides])
+    history = history.select("before", *[F.greatest(f"h_{n}", F.lit(1)).alias(f"h_{n}")
+                                         for _, n in sides], *[
+        F.when(F.col(f"h_{n}") > 0, 1 - F.col(f"m_{n}") / F.col(f"h_{n}")).otherwise(1.0)
+        .alias(f"r_{n}") for _, n in sides])
+    unigram = counts.groupBy("token").agg(*[
+        ((F.sum(n) + 1) / F.lit(float(totals[n] + size))).alias(f"u_{n}") for _, n in sides])
+    own = [F.col(f"t{k}") + F.col(f"b{k}") for k in range(FOLDS)]
+    loss = {n: -F.log(kept[n] / F.col(f"h_{n}") + F.col(f"r_{n}") * F.col(f"u_{n}"))
+            for _, n in sides}
+    per_fold = F.array(*[F.struct(
+        F.lit(k).alias("fold"), own[k].alias("n"), loss[f"t{(k + 1) % FOLDS}"].alias("target"),
+        loss[f"b{(k + 1) % FOLDS}"].alias("background")) for k in range(FOLDS)])
+    return frozen(counts.join(history, "before").join(unigram, "token")
+                  .select("before", "token", F.explode(per_fold).alias("x")).where("x.n > 0")
+                  .select("x.fold", "before", "token", "x.n", "x.target", "x.background"), "model")
+
+
+def frequent_losses(model: DataFrame, most: int) -> tuple[np.ndarray, ...]:
+    """(key, before, token, losses) of at most ``most`` frequent bigrams, by key."""
+    rows = model.where(F.col("n") >= pruning_limit(model, most)).select(
+        "before", "token", "target", "background").toArrow()
+    before, token = (rows[c].to_numpy() for c in ("before", "token"))
+    key = mixed(before, token)
+    order = np.argsort(key)
+    losses = np.stack([rows["target"].to_numpy(), rows["background"].to_numpy()], axis=1)
+    return key[order], before[order], token[order], losses[order]
 
 
 def score(docs: DataFrame, labels: DataFrame, options: ModelOptions = ModelOptions(),
@@ -189,32 +205,61 @@ def score(docs: DataFrame, labels: DataFrame, options: ModelOptions = ModelOptio
     """
     base = plain_columns(docs, {"doc_id": doc_id, "text": text})
     context = docs.sparkSession.sparkContext
-    words = top_words(base, options.vocabulary)
-    ids = context.broadcast({w: i + FIRST for i, w in enumerate(words)})
+    words = None if options.vocabulary is None else top_words(base, options.vocabulary)
+    known = context.broadcast(None if words is None else np.sort(
+        pd.util.hash_array(np.array(words, object), categorize=False).view(np.int64)))
     good = plain_columns(labels, {"id": doc_id, "label": label}).where("label = 1").select(
         "id").distinct()
     tagged = base.join(good.hint("merge"), base["doc_id"] == good["id"], "left").select(
         "text", fold_of(F.col("text")).alias("fold"),
         F.col("id").isNotNull().cast("int").alias("target"))
-    counts = frozen(bigram_counts(tagged, ids), "bigrams")
-    models = context.broadcast([
-        fit(counts.where(F.col("fold") == (fold + 1) % FOLDS), len(words) + FIRST, options)
-        for fold in range(FOLDS)])
+    counts = frozen(bigram_counts(tagged, known), "bigrams")
+    size = FIRST + (counts.select("token").distinct().count() if words is None else len(words))
+    model = model_table(counts, size, options)
+    frequent = context.broadcast([frequent_losses(model.where(F.col("fold") == fold),
+                                                  options.frequent) for fold in range(FOLDS)])
+    kind = base.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Per document a row (fold -1) with its length and the losses of frequent bigrams, and a
+        row for each occurrence of another bigram."""
         for batch in batches:
-            rows = []
-            for value, fold in zip(batch["text"], batch["fold"]):
-                keys = bigrams_of(encoded(value, ids.value))
-                losses = models.value[fold].losses(keys)
-                mean = losses.mean(axis=0) if len(keys) else (None, None)
-                rows.append((len(keys), *mean))
-            out = pd.DataFrame(rows, columns=["n_tokens", "target_loss", "background_loss"])
-            yield out.assign(doc_id=batch["doc_id"].to_numpy(),
-                             difference=out["target_loss"] - out["background_loss"]).astype(
-                {"target_loss": float, "background_loss": float, "difference": float})
-
-    kind = base.schema["doc_id"].dataType.simpleString()
-    folded = base.withColumn("fold", fold_of(F.col("text")))
-    return folded.mapInPandas(run, f"doc_id {kind}, n_tokens bigint, target_loss double, "
-                            "background_loss double, difference double")
+            lengths, sums, others = [], [], []
+            for row, value, fold in zip(batch["row"], batch["text"], batch["fold"]):
+                token = encoded(value, known.value)
+                before = before_of(token)
+                lengths.append(len(token))
+                keys, left, right, losses = frequent.value[fold]
+                hit = np.zeros(len(token), bool)
+                if len(keys):
+                    at = np.minimum(np.searchsorted(keys, mixed(before, token)), len(keys) - 1)
+                    hit = (left[at] == before) & (right[at] == token)
+                    sums.append(losses[at[hit]].sum(axis=0))
+                else:
+                    sums.append((0.0, 0.0))
+                others.append((row, fold, before[~hit], token[~hit]))
+            part = np.array(sums, float).reshape(-1, 2)
+            yield pd.DataFrame({
+                "row": batch["row"], "doc_id": batch["doc_id"], "n_tokens": lengths, "fold": -1,
+                "before": batch["row"], "token": batch["row"], "st": part[:, 0], "sb": part[:, 1]})
+            sizes = [len(x[2]) for x in others]
+            if sum(sizes):
+                yield pd.DataFrame({
+                    "row": np.repeat([x[0] for x in others], sizes), "doc_id": None,
+                    "n_tokens": 0, "fold": np.repeat([x[1] for x in others], sizes),
+                    "before": np.concatenate([x[2] for x in others]),
+                    "token": np.concatenate([x[3] for x in others]), "st": 0.0, "sb": 0.0})
+
+    rows = base.select("doc_id", "text", fold_of(F.col("text")).alias("fold")).withColumn(
+        "row", F.monotonically_increasing_id()).mapInPandas(
+            run, f"row bigint, doc_id {kind}, n_tokens bigint, fold int, before bigint, "
+            "token bigint, st double, sb double")
+    rest = model.select("fold", "before", "token", "target", "background")
+    summed = rows.join(rest.hint("merge"), ["fold", "before", "token"], "left").groupBy("row").agg(
+        F.max("doc_id").alias("doc_id"), F.sum("n_tokens").alias("n_tokens"),
+        F.sum(F.col("st") + F.coalesce("target", F.lit(0.0))).alias("target"),
+        F.sum(F.col("sb") + F.coalesce("background", F.lit(0.0))).alias("background"))
+    mean = [F.when(F.col("n_tokens") > 0, F.col(c) / F.col("n_tokens")).alias(f"{c}_loss")
+            for c in ("target", "background")]
+    return summed.select("doc_id", "n_tokens", *mean).withColumn(
+        "difference", F.col("target_loss") - F.col("background_loss"))
