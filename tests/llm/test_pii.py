@@ -74,3 +74,21 @@ def test_redaction_and_empty_tables(spark):
     same = out.where("doc_id < 100 OR doc_id IS NULL")
     assert same.exceptAll(docs.where("doc_id < 100 OR doc_id IS NULL")).count() == 0
     assert pii_report(samples.table(spark, [])).where(F.lit(True)).count() == 0
+
+
+def test_many_obfuscated_spans_are_added(spark):
+    rows = [(i, (f"please mail to user{i}@host{i % 7}.example.org today",
+                 f"server ip {i % 200}.{i % 9}.1.{i % 250} is up",
+                 f"please call +49 30 {1000000 + 7 * i} today")[i % 3]) for i in range(900)]
+    rows += [(1000 + i, f"please mail to user{i} (at) host{i % 7} (dot) org today") for i in range(300)]
+    rows += [(2000 + i, f"server ip {i % 200},{i % 9},1,{i % 250} is up") for i in range(300)]
+    rows += [(3000 + i, f"please call 0049 30 {1000000 + 7 * i} today") for i in range(300)]
+    rows += [(4000 + i, f"lot 7{i:03d} 1234 5679, part 900,{i % 999},777,1 went well") for i in range(300)]
+    options = PiiOptions(min_positive=10, min_held_out=10)
+    got = {r["doc_id"]: r for r in find_pii(samples.table(spark, rows), options).collect()}
+    kinds = {k: [s["kind"] for s in r["added"]] for k, r in got.items()}
+    # A number that passes as a card is a base span already.
+    missed = {start: [i for i in range(300) if kind not in kinds[start + i] and not got[start + i]["base"]]
+              for start, kind in ((1000, 0), (2000, 1), (3000, 3))}
+    assert missed == {1000: [], 2000: [], 3000: []}
+    assert not any(kinds[4000 + i] for i in range(300))

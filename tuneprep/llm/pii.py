@@ -2,11 +2,13 @@
 
 Method: generators with high recall propose spans, which may overlap; boosted trees score them by
 features of their format and context; thresholds calibrated on held-out candidates choose spans.
-The trees learn from the base patterns: a candidate on a base span of its kind is positive, any
-other is negative. They are fitted on a sample of at most ``sample_rows`` candidates (those with
-the smallest hashes); every candidate of every document is then scored. A kind's threshold is the
-lowest score from which on at least ``precision`` of its held-out candidates are positive; a kind
-with too few candidates gets no further spans.
+The trees learn from the base patterns: a candidate on a base span of its kind is positive, and so
+is its copy rewritten into an obfuscated form. A candidate on no base span of its kind but with
+the form of its kind (``_plausible``) is what the trees may add; it has no label. Any other is negative. The
+trees are fitted on at most ``sample_rows`` candidates, as many of each kind (those with the
+smallest hashes); every candidate of every document is then scored. A kind's threshold is the
+lowest score from which on at least ``precision`` of all its held-out labelled candidates are
+positive; a kind with too few of them gets no further spans.
 
 Each text is read once; what moves afterwards are spans and features. Positions are code points.
 
@@ -18,6 +20,7 @@ candidates to fit, or an empty table, only base spans remain; other columns are
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -137,14 +140,54 @@ def _features(kind: int, m: Column) -> list[Column]:
     ]
 
 
+def _in_context(kind: int, m: Column) -> Column:
+    return F.rlike(F.lower(m["left"]), F.lit(CONTEXT[kind]))
+
+
+def _plausible(kind: int, m: Column) -> Column:
+    """The form of the kind, whether or not a base pattern has it.
+
+    Numbers with commas and digits without a sign are so only after a word of their kind.
+    """
+    match = m["match"]
+    if kind == 0:
+        plain = F.regexp_replace(F.regexp_replace(match, AT, "@"), DOT, ".")
+        return F.rlike(plain, F.lit(r"@[^@]+\.[A-Za-z]{2,}$"))
+    if kind == 1:
+        return (F.rlike(match, F.lit(rf"^{OCTET}(?:[.,]{OCTET}){{3}}$"))
+                & (~F.contains(match, F.lit(",")) | _in_context(kind, m)))
+    if kind == 2:
+        return _valid(kind, match)
+    signed = F.rlike(match, F.lit(r"^(?:\+|00)"))
+    size = F.length(F.regexp_replace(digits_of(match), "^00", ""))
+    return size.between(9, 15) & (signed | _in_context(kind, m))
+
+
+def _rewritten(kind: int, m: Column) -> Column:
+    """The match in an obfuscated form."""
+    match = m["match"]
+    if kind == 0:
+        return F.regexp_replace(F.regexp_replace(match, "@", " (at) "), r"\.(?=[^.(]*$)", " (dot) ")
+    if kind == 1:
+        return F.when(_in_context(kind, m), F.translate(match, ".", ",")).otherwise(match)
+    if kind == 2:
+        return F.regexp_replace(match, r"[\x20-]", ".")
+    bare = _in_context(kind, m) & (F.pmod(F.xxhash64(match), F.lit(2)) == 0)
+    return F.when(bare, F.regexp_replace(match, r"^\+", "")).otherwise(
+        F.regexp_replace(match, r"^\+", "00"))
+
+
 def candidates(text: Column) -> Column:
-    """Proposed spans of all generators, with their features."""
+    """Proposed spans of all generators, with their features and those of the rewritten match."""
     def of_kind(kind: int, pattern: str, needed: str) -> Column:
         found = F.transform(find_all(text, pattern), lambda m: F.struct(
             F.lit(kind).alias("kind"), m["start"].alias("start"), m["stop"].alias("stop"),
-            F.array(*_features(kind, m)).alias("x")))
+            _plausible(kind, m).alias("plausible"), F.array(*_features(kind, m)).alias("x"),
+            F.array(*_features(kind, {"match": _rewritten(kind, m), "left": m["left"],
+                                      "right": m["right"]})).alias("y")))
         return F.when(F.rlike(text, F.lit(needed)), found).otherwise(F.array()).cast(
-            "array<struct<kind:int,start:int,stop:int,x:array<double>>>")
+            "array<struct<kind:int,start:int,stop:int,plausible:boolean,x:array<double>,"
+            "y:array<double>>>")
 
     return F.concat(*[of_kind(kind, pattern, needed)
                       for kind, (pattern, needed) in enumerate(zip(GENERATORS, NEEDED))])
@@ -173,15 +216,23 @@ def scored(scanned: DataFrame, options: PiiOptions) -> DataFrame | None:
 
     rows = scanned.where(F.size("candidates") > 0).select("row_id", "doc_id", "base", F.explode(
         "candidates").alias("c"))
+    free = ~F.exists("base", lambda b: _meets(b, F.col("c")))
+    own = F.exists("base", lambda b: (b["kind"] == F.col("c.kind")) & _meets(b, F.col("c")))
     labelled = rows.select(
         "row_id", "c.kind", "c.start", "c.stop", array_to_vector("c.x").alias("features"),
-        _number(F.exists("base", lambda b: (b["kind"] == F.col("c.kind"))
-                         & _meets(b, F.col("c")))).alias("label"),
-        (~F.exists("base", lambda b: _meets(b, F.col("c")))).alias("free"),
-        F.xxhash64("doc_id", "c.kind", "c.start", "c.stop").alias("order"))
-    sample = frozen(labelled.select("kind", "features", "label", "order").orderBy(
-        "order", "kind", "label").limit(options.sample_rows).coalesce(1), "pii-sample")
-    fit, held = sample.where("pmod(order, 4) > 0"), sample.where("pmod(order, 4) = 0")
+        array_to_vector("c.y").alias("rewritten"),
+        F.when(own, 1.0).when(~F.col("c.plausible"), 0.0).alias("label"),
+        free.alias("free"), F.xxhash64("doc_id", "c.kind", "c.start", "c.stop").alias("order"))
+    known = labelled.where(F.col("label").isNotNull())
+    # Positive candidates enter twice, as they are and rewritten.
+    twice = known.select("kind", "features", "label", "order").unionAll(
+        known.where("label = 1").select("kind", F.col("rewritten").alias("features"), "label", "order"))
+    each = options.sample_rows // len(KINDS)
+    fit = frozen(reduce(DataFrame.unionAll, [
+        twice.where((F.col("kind") == kind) & F.expr("pmod(order, 4) > 0")).orderBy(
+            "order", "label").limit(each)
+        for kind in range(len(KINDS))]).coalesce(1), "pii-sample")
+    held = twice.where("pmod(order, 4) = 0")
     seen = {r["label"]: r["n"] for r in fit.groupBy("label").agg(F.count("*").alias("n")).collect()}
     if min(seen.get(0.0, 0), seen.get(1.0, 0)) < options.min_positive:
         return None
@@ -190,9 +241,10 @@ def scored(scanned: DataFrame, options: PiiOptions) -> DataFrame | None:
     def with_score(df: DataFrame) -> DataFrame:
         return model.transform(df).withColumn("score", vector_to_array("probability")[1])
 
-    # At most 4 kinds times 101 score steps.
+    # At most 4 kinds times 101 score steps. A positive candidate and its copy count as one.
+    share = F.when(F.col("label") == 1, 0.5).otherwise(1.0)
     steps = (with_score(held).groupBy("kind", F.floor(F.col("score") * 100).alias("step"))
-             .agg(F.count("*").alias("n"), F.sum("label").alias("good")).collect())
+             .agg(F.sum(share).alias("n"), F.sum(share * F.col("label")).alias("good")).collect())
     limits = {kind: _threshold([(r["step"], r["n"], r["good"]) for r in steps if r["kind"] == kind],
                                options) for kind in range(len(KINDS))}
     limit = F.get(F.array(*[F.lit(limits[k]) for k in range(len(KINDS))]), F.col("kind"))
@@ -200,7 +252,7 @@ def scored(scanned: DataFrame, options: PiiOptions) -> DataFrame | None:
                                        limit.alias("limit"))
 
 
-def _threshold(steps: list[tuple[int, int, float]], options: PiiOptions) -> float:
+def _threshold(steps: list[tuple[int, float, float]], options: PiiOptions) -> float:
     """The lowest score from which on the held-out precision holds; 2 if there is none."""
     best, n, good = 2.0, 0, 0.0
     for step, count, positive in sorted(steps, reverse=True):
