@@ -11,7 +11,8 @@ ROWS = [
     (None, None), (4, " \n\t "), (5, LONG), (6, LONG), (7, "x" * 50_000), (8, "Ünïcödé 中文 😀 words"),
 ]
 EXTRA = ["id", "row", "fp", "words", "lines", "host", "kept", "spots", "file", "length", "rank",
-         "edits", "piece", "term", "kind", "base", "fold", "key"]
+         "edits", "piece", "term", "kind", "base", "fold", "key", "gram", "place", "score", "bucket",
+         "d", "r", "v", "cells", "n_words", "weight", "cluster"]
 
 
 def documents():

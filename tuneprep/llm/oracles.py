@@ -104,3 +104,83 @@ SELECT conv_id, count(*) AS n_turns,
        regexp_full_match(string_agg(role, ' ' ORDER BY turn, role, text),
                          '(system )?user( assistant user)*( assistant)?') AS valid
 FROM sized GROUP BY conv_id"""
+
+
+#: Words, features and their CRC-32 buckets; the checksum runs over the bytes of each distinct
+#: feature, position by position, with the usual table made by rule.
+RESAMPLING = rf"""
+WITH RECURSIVE bits AS (SELECT i, CAST(i AS BIGINT) AS v, 0 AS k FROM range(256) AS r(i)
+  UNION ALL SELECT i, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END, k + 1
+  FROM bits WHERE k < 8),
+crc_table AS MATERIALIZED (SELECT list(v ORDER BY i) AS t FROM bits WHERE k = 8),
+texts AS (SELECT 0 AS side, doc_id, text FROM documents
+          UNION ALL SELECT 1, item_id, text FROM benchmark),
+words AS MATERIALIZED (SELECT side, doc_id, list_filter(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM texts),
+grams AS MATERIALIZED (SELECT side, doc_id, feature, count(*) AS n FROM (
+    SELECT side, doc_id, unnest(w) AS feature FROM words
+    UNION ALL SELECT side, doc_id, w[p] || ' ' || w[p + 1]
+    FROM words, unnest(range(1, len(w))) AS u(p)
+    UNION ALL SELECT side, doc_id, w[p] || ' ' || w[p + 1] || ' ' || w[p + 2]
+    FROM words, unnest(range(1, len(w) - 1)) AS u(p)) GROUP BY ALL),
+named AS MATERIALIZED (SELECT feature, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT),
+    list_transform(range(1, octet_length(encode(feature)) + 1),
+                   lambda i: CAST(ascii(substr(hexed, 2 * i - 1, 1)) AS BIGINT) * 256
+                             + ascii(substr(hexed, 2 * i, 1)))),
+    lambda a, h: xor(a >> 8, t[1 + (xor(a, 16 * (h // 256 - CASE WHEN h // 256 > 57 THEN 55 ELSE 48 END)
+                     + h % 256 - CASE WHEN h % 256 > 57 THEN 55 ELSE 48 END) & 255)])),
+    4294967295) % 10000 AS bucket
+  FROM (SELECT DISTINCT feature, hex(encode(feature)) AS hexed FROM grams), crc_table),
+counts AS (SELECT g.side, bucket, sum(n) AS n FROM grams g JOIN named USING (feature) GROUP BY ALL),
+totals AS (SELECT coalesce(sum(n) FILTER (side = 0), 0) AS s, coalesce(sum(n) FILTER (side = 1), 0) AS t
+           FROM counts),
+gains AS MATERIALIZED (SELECT b.i AS bucket, CAST(floor(1000 * ln(
+    (coalesce(y.n, 0) + 1)::DOUBLE * (totals.s + 10000)::DOUBLE
+    / ((coalesce(x.n, 0) + 1)::DOUBLE * (totals.t + 10000)::DOUBLE))) AS BIGINT) AS gain
+  FROM range(10000) AS b(i) CROSS JOIN totals
+  LEFT JOIN counts x ON x.bucket = b.i AND x.side = 0
+  LEFT JOIN counts y ON y.bucket = b.i AND y.side = 1),
+weights AS (SELECT doc_id, CAST(sum(n) AS BIGINT) AS n_features, CAST(sum(n * gain) AS BIGINT) AS weight
+            FROM grams JOIN named USING (feature) JOIN gains USING (bucket) WHERE side = 0
+            GROUP BY doc_id),
+scored AS (SELECT w.doc_id, len(w) AS n_words, coalesce(n_features, 0) AS n_features,
+    coalesce(weight, 0) AS weight, coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || left(
+        sha256('42:' || w.doc_id), 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score
+  FROM words w LEFT JOIN weights x ON x.doc_id = w.doc_id WHERE side = 0),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, doc_id) AS r,
+                  count(*) FILTER (n_words >= 20) OVER () AS eligible FROM scored)
+SELECT doc_id, n_features, weight, score,
+       CASE WHEN n_words >= 20 AND r <= 5 * eligible // 100 THEN r END AS rank FROM ranked"""
+
+
+def _clustering(rounds: int = 10) -> str:
+    """One pair of tables (assignment, moved centroids) per round over (vector, dimension) rows."""
+    steps = []
+    for k in range(rounds + 1):
+        steps.append(f"""
+a{k} AS MATERIALIZED (SELECT n, arg_min(c, away * 8 + c) AS c, min(away) AS away FROM (
+    SELECT n, c, sum((v.x - m.x) * (v.x - m.x)) AS away FROM comps v JOIN c{k} m USING (d)
+    GROUP BY n, c) GROUP BY n)""")
+        if k < rounds:
+            steps.append(f"""
+c{k + 1} AS MATERIALIZED (SELECT c, d, coalesce(CAST(floor(m.total / m.n) AS BIGINT), x) AS x
+  FROM c{k} LEFT JOIN (SELECT a.c, d, sum(v.x) AS total, count(*) AS n
+                       FROM a{k} a JOIN comps v USING (n) GROUP BY a.c, d) m USING (c, d))""")
+    return f"""
+WITH kept AS MATERIALIZED (SELECT vec_id, embedding, row_number() OVER (
+        ORDER BY sha256('3:' || vec_id), vec_id) - 1 AS n
+    FROM embeddings WHERE len(embedding) = 64
+    AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+comps AS MATERIALIZED (SELECT n, d, CAST(floor(1024 * CAST(embedding[d] AS DOUBLE)) AS BIGINT) AS x
+  FROM kept, unnest(range(1, 65)) AS u(d)),
+c0 AS MATERIALIZED (SELECT n AS c, d, x FROM comps WHERE n < 8),{",".join(steps)},
+named AS (SELECT c, sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY d)) AS centroid_sha256
+          FROM c{rounds} GROUP BY c)
+SELECT vec_id, CAST(a.c AS INTEGER) AS cluster, CAST(away AS BIGINT) AS distance,
+       CAST(sum(away) OVER (PARTITION BY a.c) AS BIGINT) AS cluster_inertia,
+       CAST(sum(away) OVER () AS BIGINT) AS inertia, centroid_sha256
+FROM a{rounds} a JOIN kept USING (n) JOIN named USING (c)"""
+
+
+CLUSTERING = _clustering()

@@ -12,6 +12,8 @@ from tuneprep.llm.chat import digests, format_chats
 from tuneprep.llm.common import read_table
 from tuneprep.llm.decontam import contamination
 from tuneprep.llm.html import extract
+from tuneprep.llm.importance import resample
+from tuneprep.llm.languages import language_report
 from tuneprep.llm.ngrams import score
 from tuneprep.llm.packing import pack
 from tuneprep.llm.pii import pii_report
@@ -19,6 +21,7 @@ from tuneprep.llm.quality import judged
 from tuneprep.llm.simhash import near_duplicates
 from tuneprep.llm.substrings import without_repeats
 from tuneprep.llm.token_counts import count_edited
+from tuneprep.llm.vafile import cluster
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {
@@ -26,6 +29,8 @@ ORACLES: dict[str, str] = {
     "op7_quality_rules": oracles.QUALITY,
     "op9_substring_dedup": oracles.SUBSTRINGS,
     "op10_benchmark_decontamination": oracles.DECONTAMINATION,
+    "op12_importance_resampling": oracles.RESAMPLING,
+    "op13_centroid_clustering": oracles.CLUSTERING,
 }
 
 
@@ -120,3 +125,21 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     """Benchmark windows found in every document."""
     return contamination(read_table(spark, sf_dir, "documents"),
                          read_table(spark, sf_dir, "benchmark")).drop("n_near")
+
+
+@query
+def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from the two thirds that are not held out."""
+    return language_report(read_table(spark, sf_dir, "documents"))
+
+
+@query
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weight of every document towards the benchmark, and the rank of the drawn ones."""
+    return resample(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cluster of every usable vector after ten rounds."""
+    return cluster(read_table(spark, sf_dir, "embeddings"))
