@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tuneprep.operators import experiments as E
 from tuneprep.operators import monitor as MO
+from tuneprep.operators import samples as S
 from tuneprep.plans.registry import query
 from tuneprep.plans.tables import Tables
 from tuneprep.rules.terms import SAMPLE_LIMITS, DICT_LINE, SAMPLE_BLOCK
@@ -323,7 +324,7 @@ SELECT log_id, i - greatest(n - 2, 1) AS n, g1[i] AS step, g2[i] AS input, g3[i]
        g4[i] AS label
 FROM each WHERE i > n - 3""")
 def sample_outputs(t: Tables) -> DataFrame:
-    return MO.sample_outputs(t.sample_logs()).withColumn("n", F.col("n").cast("long"))
+    return S.sample_outputs(t.sample_lines())
 
 
 @query(_SAMPLES + """
@@ -331,8 +332,7 @@ SELECT log_id, i - greatest(n - 2, 1) AS n, g1[i] AS step, left(g2[i], 200) AS i
        left(g3[i], 500) AS predict, left(g4[i], 500) AS label
 FROM each WHERE i > n - 3""")
 def sample_outputs_cut(t: Tables) -> DataFrame:
-    found = MO.sample_outputs(t.sample_logs(), limits=SAMPLE_LIMITS)
-    return found.withColumn("n", F.col("n").cast("long"))
+    return S.sample_outputs(t.sample_lines(), limits=SAMPLE_LIMITS)
 
 
 _SUMMARY = """

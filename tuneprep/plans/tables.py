@@ -344,8 +344,19 @@ class Tables:
                 F.lit(' {"x": 1,\n"input": "'), body, F.lit('",\n"predict": "p'),
                 i.cast("string"), F.lit('", "label": "'), body, F.lit('"}\n'),
             )).otherwise("start\n"))
-        return self.documents().select(F.col("ord").alias("log_id"),
-                                       F.array_join(block, "").alias("text"))
+        return _spread(self.documents()).select(F.col("ord").alias("log_id"),
+                                                F.array_join(block, "").alias("text"))
+
+    def sample_lines(self) -> DataFrame:
+        """The lines of the prediction logs."""
+        return self.sample_logs().select(
+            "log_id", F.posexplode(F.split("text", "\n")).alias("ord", "line"))
+
+
+def _spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores before they are multiplied; tables of more partitions stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 # SQL text of the same projections -----------------------------------------------------------
