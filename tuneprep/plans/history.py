@@ -293,13 +293,14 @@ SELECT experiment_id, s1 AS current_step, CAST(trunc(p1) AS BIGINT) AS current_e
        l1 AS current_loss, best_loss, e1 AS elapsed_seconds, rate AS steps_per_second, points
 FROM rates""")
 def stream_progress(t: Tables) -> DataFrame:
-    """The log lines of all events, replayed as a file stream to the end."""
-    lines = scratch_path(t.spark, "log-lines")
-    source = t.log_lines()
-    source.write.parquet(lines)
-    stream = t.spark.readStream.schema(source.schema).option("maxFilesPerTrigger", 1).parquet(lines)
+    """The log lines of all events, written as growing logs and followed to their end."""
+    logs = scratch_path(t.spark, "logs")
+    # A set number of partitions: one file per experiment takes time, however few bytes it has.
+    parts = int(t.spark.conf.get("spark.sql.shuffle.partitions"))
+    lines = t.log_lines().repartition(parts, "experiment_id")
+    lines.sortWithinPartitions("experiment_id", "ord").select("experiment_id", "line").write.partitionBy("experiment_id").text(logs)
     out = scratch_path(t.spark, "snapshots")
-    SP.write_snapshots(stream, out, scratch_path(t.spark, "offsets"),
+    SP.write_snapshots(SP.log_stream(t.spark, f"{logs}/*"), out, scratch_path(t.spark, "offsets"),
                        availableNow=True).awaitTermination()
     return SP.latest_snapshots(t.spark, out)
 

@@ -36,6 +36,13 @@ def delete_path(spark: SparkSession, path: str) -> bool:
     return fs.delete(target, True)
 
 
+def numbered_folders(spark: SparkSession, path: str, name: str) -> list[int]:
+    """Numbers n of the folders ``<path>/<name>=<n>``."""
+    target, fs = _hadoop_path(spark, path)
+    found = [s.getPath().getName() for s in fs.listStatus(target)] if fs.exists(target) else []
+    return sorted(int(f.removeprefix(f"{name}=")) for f in found if f.startswith(f"{name}="))
+
+
 def _unwrap(df: DataFrame) -> DataFrame:
     """Open ``{"data": [...]}`` style documents; other rows stay as they are."""
     for key in WRAPPER_KEYS:
