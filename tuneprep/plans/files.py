@@ -5,6 +5,9 @@ The input tables are first written as files into the shared scratch folder, then
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,14 +30,43 @@ def read_json(t: Tables) -> DataFrame:
     return S.read_json(t.spark, path).select("ord", "text", "lang", "source")
 
 
-@query("SELECT ord, instruction, output FROM v_pairs")
-def read_csv(t: Tables) -> DataFrame:
+def _as_arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The texts of a task as the lines of one JSON array."""
+    before = "["
+    for batch in batches:
+        for value in batch.column("value").to_pylist():
+            yield pa.RecordBatch.from_pydict({"value": [before + value]})
+            before = ", "
+    yield pa.RecordBatch.from_pydict({"value": ["]" if before == ", " else "[]"]})
+
+
+@query("SELECT ord, text, lang, source FROM v_docs")
+def read_json_array(t: Tables) -> DataFrame:
+    """Documents as pretty-printed array files, each read by many tasks."""
+    path = scratch_path(t.spark, "arrays.json")
+    texts = t.documents().select(F.to_json(F.struct("*"), {"pretty": "true"}).alias("value"))
+    texts.mapInArrow(_as_arrays, "value string").write.text(path)
+    return S.read_json(t.spark, path, "ord bigint, text string, lang string, source string")
+
+
+def _csv_pairs(t: Tables) -> str:
     path = scratch_path(t.spark, "rows.csv")
     t.pairs().select("ord", "instruction", "output").write \
         .option("header", "true").option("escape", '"').option("quoteAll", "true") \
         .option("ignoreLeadingWhiteSpace", "false").option("ignoreTrailingWhiteSpace", "false") \
         .csv(path)
-    return S.read_csv(t.spark, path, schema="ord bigint, instruction string, output string")
+    return path
+
+
+@query("SELECT ord, instruction, output FROM v_pairs")
+def read_csv(t: Tables) -> DataFrame:
+    return S.read_csv(t.spark, _csv_pairs(t), schema="ord bigint, instruction string, output string")
+
+
+@query("SELECT ord, instruction, output FROM v_pairs")
+def read_csv_split(t: Tables) -> DataFrame:
+    """The same files, cut at any line."""
+    return S.read_csv(t.spark, _csv_pairs(t), "ord bigint, instruction string, output string", True)
 
 
 @query("""

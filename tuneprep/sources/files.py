@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from dataclasses import dataclass
 from urllib.parse import unquote
 
@@ -11,6 +12,7 @@ from pyspark.sql import types as T
 
 from tuneprep.functions.text import once, strip
 from tuneprep.operators.formats import detect_schema_format, to_messages
+from tuneprep.sources.records import CsvRows, JsonArray, split_records
 
 WRAPPER_KEYS = ["data", "items", "examples", "records", "rows"]
 CORRUPT = "_corrupt_record"
@@ -53,16 +55,34 @@ def _unwrap(df: DataFrame) -> DataFrame:
     return df
 
 
+def _strings(df: DataFrame):
+    """A one-column table as the JVM's data set of strings, which its readers parse."""
+    return getattr(df._jdf, "as")(df.sparkSession._jvm.org.apache.spark.sql.Encoders.STRING())
+
+
 def _json_lines(spark: SparkSession, paths: list[str], schema: T.StructType | None) -> DataFrame:
     if schema is None:
         schema = spark.read.option("mode", "DROPMALFORMED").json(paths).schema
+    return _parsed_json(spark.read.text(paths), schema)
+
+
+def _json_array(spark: SparkSession, paths: list[str], schema: T.StructType | None) -> DataFrame:
+    """Objects of array files, each file read by many tasks."""
+    records = split_records(spark, paths, JsonArray()).select("value")
+    if schema is None:
+        reader = spark.read.option("mode", "DROPMALFORMED")
+        schema = DataFrame(reader._jreader.json(_strings(records)), spark).schema
+    return _parsed_json(records, schema)
+
+
+def _parsed_json(texts: DataFrame, schema: T.StructType | str) -> DataFrame:
+    """Rows of JSON texts in a ``value`` column; bad ones are skipped."""
     if isinstance(schema, str):
         schema = T._parse_datatype_string(schema)
     full = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
     return (
-        spark.read.text(paths)
-        .filter(strip(F.col("value")) != "")
+        texts.filter(strip(F.col("value")) != "")
         .select(F.from_json("value", full, options).alias("r"))
         .filter(F.col(f"r.{CORRUPT}").isNull())
         .select("r.*")
@@ -70,55 +90,93 @@ def _json_lines(spark: SparkSession, paths: list[str], schema: T.StructType | No
     )
 
 
-def _json_shapes(spark: SparkSession, path: str) -> dict[bool, list[str]]:
-    """Paths of the files with JSON lines (True) and of those that are one document (False).
+def _json_shapes(spark: SparkSession, path: str) -> dict[str, list[str]]:
+    """Paths of the files that hold an array, JSON lines, or one document.
 
-    A file holds lines when some line of it is a JSON object on its own. Files without text are
-    left out. There is one row per file, as in the listing that the driver has anyway.
+    An array starts with its bracket. A file holds lines when some line of it is a JSON object on
+    its own. Files without text are left out. There is one row per file, as in the listing that
+    the driver has anyway; fragments are short, whatever the lines are.
     """
-    line = strip(F.col("value"))
-    lone = F.startswith(line, F.lit("{")) & F.try_parse_json(line).isNotNull()
-    files = spark.read.text(path).filter(line != "").groupBy(
-        F.col("_metadata.file_path").alias("file")).agg(F.max(lone).alias("lines"))
-    shapes: dict[bool, list[str]] = {True: [], False: []}
-    for row in files.collect():
-        shapes[row["lines"]].append(unquote(row["file"]))
+    file, text = F.col("_metadata.file_path").alias("file"), strip(F.col("value"))
+    shapes: dict[str, list[str]] = {"array": [], "lines": [], "document": []}
+    heads = spark.read.option("lineSep", JsonArray.separator).text(path).filter(text != "").select(
+        file, F.substring(text, 1, 1).alias("start"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("row"))
+    others = []
+    for row in heads.groupBy("file").agg(
+            F.min_by("start", F.struct("block", "row")).alias("start")).collect():
+        (shapes["array"] if row["start"] == "[" else others).append(unquote(row["file"]))
+    if others:
+        lone = F.startswith(text, F.lit("{")) & F.try_parse_json(text).isNotNull()
+        for row in spark.read.text(others).filter(text != "").groupBy(file).agg(
+                F.max(lone).alias("lines")).collect():
+            shapes["lines" if row["lines"] else "document"].append(unquote(row["file"]))
     return shapes
 
 
 def read_json(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
     """JSON lines (bad lines skipped), JSON arrays, or documents with a wrapper key.
 
-    Each file is read by its own shape. Lines are read in parallel; an array or a pretty-printed
-    document is one unsplittable text. A document on one line with nothing but the wrapper key is
-    opened as well.
+    Each file is read by its own shape. Lines and arrays are read in parallel, whether an array is
+    pretty-printed or one line; a document is one unsplittable text. A document on one line with
+    nothing but the wrapper key is opened as well.
     """
     shapes = _json_shapes(spark, path)
     found = []
-    if shapes[True]:
-        lines = _json_lines(spark, shapes[True], schema)
+    if shapes["lines"]:
+        lines = _json_lines(spark, shapes["lines"], schema)
         only = lines.columns
         found.append(_unwrap(lines) if len(only) == 1 and only[0] in WRAPPER_KEYS else lines)
-    if shapes[False]:
+    if shapes["array"]:
+        found.append(_json_array(spark, shapes["array"], schema))
+    if shapes["document"]:
         whole = spark.read.option("multiLine", "true").option("mode", "DROPMALFORMED")
-        whole = (whole.schema(schema) if schema is not None else whole).json(shapes[False])
-        if whole.columns:
-            found.append(whole if schema is not None else _unwrap(whole))
+        whole = (whole.schema(schema) if schema is not None else whole).json(shapes["document"])
+        found.append(whole if schema is not None else _unwrap(whole))
+    found = [df for df in found if df.columns]
     if not found:
         raise ImportFailed("no records in the file")
-    return found[0] if len(found) == 1 else found[0].unionByName(found[1], allowMissingColumns=True)
+    return functools.reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), found)
+
+
+def _largest_file(spark: SparkSession, path: str) -> int:
+    """Bytes of the largest file at a path."""
+    target, fs = _hadoop_path(spark, path)
+    sizes, todo = [0], [s for s in fs.globStatus(target) or []]
+    while todo:
+        status = todo.pop()
+        if status.isDirectory():
+            todo += list(fs.listStatus(status.getPath()))
+        else:
+            sizes.append(status.getLen())
+    return max(sizes)
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None,
-             multiline: bool = True) -> DataFrame:
+             split: bool | None = None) -> DataFrame:
     """CSV with a header; quoted fields may span lines.
 
-    Without ``multiline`` files are split between tasks, and such fields are not read right.
+    ``split`` reads each file by many tasks. By default that is done when a file is larger than
+    one task's share of bytes; the rows are the same either way.
     """
-    reader = spark.read.option("header", "true").option("escape", '"') \
-        .option("multiLine", str(multiline).lower())
-    reader = reader.schema(schema) if schema is not None else reader.option("inferSchema", "true")
-    return reader.csv(path)
+    options = {"header": "true", "escape": '"', "multiLine": "true"}
+    if split is None:
+        share = spark.conf.get("spark.sql.files.maxPartitionBytes").lower().rstrip("b")
+        unit = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30}.get(share[-1:], 1)
+        split = _largest_file(spark, path) > int(share.rstrip("kmg")) * unit
+    if not split:
+        reader = spark.read.options(**options)
+        reader = reader.schema(schema) if schema is not None else reader.option("inferSchema", "true")
+        return reader.csv(path)
+    records = split_records(spark, [path], CsvRows()).where("NOT first").select(
+        F.rtrim("value", F.lit("\r")).alias("value"))
+    reader = spark.read.options(**options | {"header": "false"})
+    if schema is not None:
+        return DataFrame(reader.schema(schema)._jreader.csv(_strings(records)), spark)
+    names = spark.read.options(**options).csv(path).columns
+    found = DataFrame(reader.option("inferSchema", "true")._jreader.csv(_strings(records)), spark)
+    return found.toDF(*names) if found.columns else spark.createDataFrame(
+        [], T.StructType([T.StructField(n, T.StringType()) for n in names]))
 
 
 def read_parquet(spark: SparkSession, path: str) -> DataFrame:
