@@ -12,6 +12,7 @@ from tuneprep.plans.registry import query
 from tuneprep.plans.tables import Tables
 from tuneprep.rules.terms import SAMPLE_LIMITS, DICT_LINE, SAMPLE_BLOCK
 from tuneprep.session import scratch_path
+from tuneprep.sources.store import ExperimentStore
 from tuneprep.streaming import progress as SP
 
 # --- Store -----------------------------------------------------------------------------------
@@ -56,6 +57,17 @@ def exp_insert_rejected(t: Tables) -> DataFrame:
     return rejected.select("id", "ord")
 
 
+def _updates(t: Tables) -> DataFrame:
+    """Update requests, many per id: one per event."""
+    key = F.col("event_id")
+    return t.raw("events").select(
+        F.concat(F.lit("exp_"), F.col("user_id").cast("string")).alias("id"), key.alias("ord"),
+        F.col("event_type").alias("status"), key.cast("double").alias("updated_at"),
+        F.when(key % 3 == 0, F.col("value")).alias("final_loss"),
+        F.when(key % 5 == 0, F.col("value") / 2.0).alias("vram_peak_gb"),
+    )
+
+
 @query("""
 WITH u AS (SELECT 'exp_' || user_id AS id, event_id AS ord, event_type AS status,
                   CAST(event_id AS DOUBLE) AS updated_at,
@@ -72,13 +84,7 @@ SELECT e.id, coalesce(f.status, e.status) AS status,
        coalesce(f.updated_at, e.updated_at) AS updated_at
 FROM v_experiments e LEFT JOIN f ON f.id = e.id""")
 def exp_update(t: Tables) -> DataFrame:
-    key = F.col("event_id")
-    updates = t.raw("events").select(
-        F.concat(F.lit("exp_"), F.col("user_id").cast("string")).alias("id"), key.alias("ord"),
-        F.col("event_type").alias("status"), key.cast("double").alias("updated_at"),
-        F.when(key % 3 == 0, F.col("value")).alias("final_loss"),
-        F.when(key % 5 == 0, F.col("value") / 2.0).alias("vram_peak_gb"),
-    )
+    updates = _updates(t)
     return E.update_experiments(t.experiments(), updates).select(
         "id", "status", "final_loss", "best_loss", "vram_peak_gb", "updated_at"
     )
@@ -98,6 +104,38 @@ def exp_detail(t: Tables) -> DataFrame:
         F.array_join("tags", "+").alias("tags"), "step", "path", "size_mb", "ckpt_loss")
 
 
+@query(f"""
+WITH new AS (SELECT event_id AS ord, 'exp_' || (user_id * 200) AS id FROM events),
+added AS (SELECT id, arg_min('model_' || (ord % 7), ord) AS model_id FROM new
+          WHERE id NOT IN (SELECT id FROM v_experiments) GROUP BY id),
+latest AS (SELECT 'exp_' || user_id AS id, arg_max(event_type, event_id) AS status FROM events GROUP BY 1),
+rows AS (SELECT e.id, model_id, coalesce(u.status, e.status) AS status
+         FROM (SELECT id, model_id, status FROM v_experiments
+               UNION ALL SELECT id, model_id, 'initialized' FROM added) e
+         LEFT JOIN latest u ON u.id = e.id),
+gone AS (SELECT id FROM rows WHERE status = 'failed' OR status = 'click')
+SELECT 'experiments' AS tbl, id, NULL::BIGINT AS step, model_id || status AS info FROM rows
+WHERE id NOT IN (SELECT id FROM gone)
+UNION ALL SELECT 'checkpoints', experiment_id, step, path FROM v_checkpoints
+WHERE experiment_id NOT IN (SELECT id FROM gone)
+UNION ALL SELECT 'metrics', experiment_id, step, CAST(ord AS VARCHAR) FROM v_metrics
+WHERE experiment_id NOT IN (SELECT id FROM gone)""")
+def exp_store(t: Tables) -> DataFrame:
+    """Insert, update and delete in a stored history, as read again afterwards."""
+    store = ExperimentStore(t.spark, scratch_path(t.spark, "store"), buckets=16)
+    store.create(experiments=t.experiments(), checkpoints=t.checkpoints(), metrics=t.metrics())
+    store.insert(_new_experiments(t))
+    store.update(_updates(t))
+    store.delete(store.table("experiments").where("status IN ('failed', 'click')").select("id"))
+    none, owner = F.lit(None).cast("bigint"), F.col("experiment_id").alias("id")
+    return (
+        store.table("experiments").select(F.lit("experiments").alias("tbl"), "id", none.alias("step"),
+                                          F.concat("model_id", "status").alias("info"))
+        .union(store.table("checkpoints").select(F.lit("checkpoints"), owner, "step", "path"))
+        .union(store.table("metrics").select(F.lit("metrics"), owner, "step", F.col("ord").cast("string")))
+    )
+
+
 @query(f"""
 SELECT {", ".join(E.LIST_COLUMNS)} FROM v_experiments WHERE status = 'completed'
 ORDER BY created_at DESC, id LIMIT 50 OFFSET 10""")
