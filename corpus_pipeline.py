@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tuneprep.llm.common import frozen, read_table
@@ -10,7 +10,7 @@ from tuneprep.llm.decontam import clean_documents
 from tuneprep.llm.packing import pack
 from tuneprep.llm.pii import redact
 from tuneprep.llm.quality import apply_rules
-from tuneprep.llm.simhash import near_duplicates
+from tuneprep.llm.simhash import representatives
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -26,17 +26,11 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest id of each group of linked fingerprints.
+    """Keep one row of each group of linked fingerprints: the smallest id, null ids last.
 
-    Rows with one id are one document, of which the row with the smallest text hash stays. Rows
-    without an id cannot be named as a group's document and stay.
+    Rows that share an id but are no near copies of one another all stay.
     """
-    keep = near_duplicates(docs).where("doc_id = component_id").select(
-        F.col("doc_id").alias("_id")).distinct()
-    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
-    first = (docs.join(keep.hint("merge"), docs["doc_id"] == keep["_id"])
-             .withColumn("_rank", rank).where("_rank = 1"))
-    return _documents(first).union(_documents(docs.where("doc_id IS NULL")))
+    return _documents(representatives(docs))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

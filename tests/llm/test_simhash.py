@@ -66,3 +66,15 @@ def test_chain_and_empty(spark):
     assert simhash.near_duplicates(samples.table(spark, [])).count() == 0
     with pytest.raises(ValueError):
         simhash.links(spark.createDataFrame([(1,)], "fp bigint"), 4)
+
+
+def test_representatives_by_row(spark):
+    """Rows that share an id, null ids, near copies and equal rows."""
+    near = " ".join(f"w{i}" for i in range(400))
+    rows = [(1, "a text of its own, said once"), (1, "another text with the same id, unlike it"),
+            (2, near), (3, near + " x"), (3, near + " x"), (None, near), (None, "nobody named this one"),
+            (None, "nobody named this one"), (None, "nor this, which is not like the others"), (7, ""), (8, None)]
+    got = simhash.representatives(samples.table(spark, rows)).collect()
+    assert sorted(((r["doc_id"], r["text"]) for r in got), key=repr) == sorted(
+        [rows[0], rows[1], rows[2], rows[6], rows[8], rows[9]], key=repr)
+    assert set(samples.EXTRA) <= set(got[0].asDict())

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +13,7 @@ from tuneprep.session import scratch_path
 SPACE_CLASS = r"[\x20\x09-\x0D]+"
 SPACES = " \t\n\x0b\x0c\r"
 
-__all__ = ["SPACE_CLASS", "SPACES", "frozen", "let", "read_table", "row_hash", "space_words",
+__all__ = ["SPACE_CLASS", "SPACES", "frozen", "let", "map_with_ids", "read_table", "row_hash", "space_words",
            "with_default"]
 
 
@@ -47,6 +48,17 @@ def space_words(text: Column) -> Column:
                .otherwise(F.split(t, SPACE_CLASS)))
 
 
+def map_with_ids(df: DataFrame, run: Callable, key: str, schema: str) -> DataFrame:
+    """``mapInPandas`` that passes an id column as text, and gives it its own type again.
+
+    Pandas makes doubles of whole numbers where one is null, and long ids then lose digits.
+    ``schema`` has ``{}`` in the id's place.
+    """
+    kind = df.schema[key].dataType
+    return df.withColumn(key, F.col(key).cast("string")).mapInPandas(
+        run, schema.format("string")).withColumn(key, F.col(key).cast(kind))
+
+
 def plain_columns(df: DataFrame, names: dict[str, str]) -> DataFrame:
     """Only the named columns (new name -> column), so other columns cannot clash."""
     return df.select(*[F.col(f"`{source}`").alias(new) for new, source in names.items()])

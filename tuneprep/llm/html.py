@@ -25,7 +25,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from tuneprep.llm.common import plain_columns
+from tuneprep.llm.common import map_with_ids, plain_columns
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
@@ -262,5 +262,5 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", page:
                                 "n_chars": [len(t) for t in texts]})
 
     base = plain_columns(pages, {"page_id": page_id, "url": url, "html": page})
-    kinds = base.schema["page_id"].dataType.simpleString(), base.schema["url"].dataType.simpleString()
-    return base.mapInPandas(run, f"page_id {kinds[0]}, url {kinds[1]}, text string, n_chars bigint")
+    kind = base.schema["url"].dataType.simpleString()
+    return map_with_ids(base, run, "page_id", f"page_id {{}}, url {kind}, text string, n_chars bigint")

@@ -37,7 +37,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tuneprep.llm.common import frozen, plain_columns
+from tuneprep.llm.common import frozen, map_with_ids, plain_columns
 
 UNKNOWN = 0
 BEGIN = 1
@@ -218,7 +218,6 @@ def score(docs: DataFrame, labels: DataFrame, options: ModelOptions = ModelOptio
     model = model_table(counts, size, options)
     frequent = context.broadcast([frequent_losses(model.where(F.col("fold") == fold),
                                                   options.frequent) for fold in range(FOLDS)])
-    kind = base.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Per document a row (fold -1) with its length and the losses of frequent bigrams, and a
@@ -250,10 +249,11 @@ def score(docs: DataFrame, labels: DataFrame, options: ModelOptions = ModelOptio
                     "before": np.concatenate([x[2] for x in others]),
                     "token": np.concatenate([x[3] for x in others]), "st": 0.0, "sb": 0.0})
 
-    rows = base.select("doc_id", "text", fold_of(F.col("text")).alias("fold")).withColumn(
-        "row", F.monotonically_increasing_id()).mapInPandas(
-            run, f"row bigint, doc_id {kind}, n_tokens bigint, fold int, before bigint, "
-            "token bigint, st double, sb double")
+    numbered = base.select("doc_id", "text", fold_of(F.col("text")).alias("fold")).withColumn(
+        "row", F.monotonically_increasing_id())
+    rows = map_with_ids(
+        numbered, run, "doc_id", "row bigint, doc_id {}, n_tokens bigint, fold int, before bigint, "
+        "token bigint, st double, sb double")
     rest = model.select("fold", "before", "token", "target", "background")
     summed = rows.join(rest.hint("merge"), ["fold", "before", "token"], "left").groupBy("row").agg(
         F.max("doc_id").alias("doc_id"), F.sum("n_tokens").alias("n_tokens"),

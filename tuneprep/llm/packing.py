@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tuneprep.llm.common import frozen, plain_columns
+from tuneprep.llm.common import frozen, map_with_ids, plain_columns
 from tuneprep.llm.tokens import encoder
 
 END_MARK = b"\0\0\0\0"
@@ -55,9 +55,8 @@ def pieces(docs: DataFrame, capacity: int, path: str | None, doc_id: str,
             yield out.astype({"doc_id": batch["doc_id"].dtype})
 
     base = plain_columns(docs, {"doc_id": doc_id, "text": text})
-    kind = base.schema["doc_id"].dataType.simpleString()
-    cut = base.mapInPandas(
-        run, f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint")
+    cut = map_with_ids(
+        base, run, "doc_id", "doc_id {}, piece int, start bigint, length bigint, ids_crc32 bigint")
     return frozen(cut.withColumn("file", F.spark_partition_id()), "pieces")
 
 
@@ -165,7 +164,6 @@ def pack(docs: DataFrame, capacity: int = 2048, path: str | None = None,
             yield batch.drop(columns=["rank", "file"]).assign(
                 sequence_id=t["bin"][at] + rank - t["rank"][at], offset=t["offset"][at])
 
-    kind = cut.schema["doc_id"].dataType.simpleString()
-    return ranked.mapInPandas(
-        place, f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint, "
+    return map_with_ids(
+        ranked, place, "doc_id", "doc_id {}, piece int, start bigint, length bigint, ids_crc32 bigint, "
         "sequence_id bigint, offset bigint")

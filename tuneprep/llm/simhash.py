@@ -24,10 +24,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tuneprep.llm.common import frozen, plain_columns
+from tuneprep.llm.common import frozen, map_with_ids, plain_columns
 from tuneprep.llm.components import components
 
 HALF = 31
@@ -58,15 +58,16 @@ def fingerprint(text: str | None, shingle: int) -> int:
 
 def fingerprints(docs: DataFrame, shingle: int = 3, doc_id: str = "doc_id",
                  text: str = "text") -> DataFrame:
-    """(doc_id, fp) per row; ``fp`` is the fingerprint as a signed long."""
+    """(doc_id, text_hash, fp) per row; ``fp`` is the fingerprint as a signed long."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             values = np.array([fingerprint(t, shingle) for t in batch["text"]], dtype=np.uint64)
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "fp": values.view(np.int64)})
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "text_hash": batch["text_hash"],
+                                "fp": values.view(np.int64)})
 
-    base = plain_columns(docs, {"doc_id": doc_id, "text": text})
-    kind = base.schema["doc_id"].dataType.simpleString()
-    return base.mapInPandas(run, f"doc_id {kind}, fp bigint")
+    base = plain_columns(docs, {"doc_id": doc_id, "text": text}).withColumn(
+        "text_hash", F.xxhash64("text"))
+    return map_with_ids(base, run, "doc_id", "doc_id {}, text_hash bigint, fp bigint")
 
 
 def _syndrome(values: np.ndarray) -> np.ndarray:
@@ -189,11 +190,11 @@ def links(fps: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFrame:
                            "a bigint, b bigint").distinct()
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 3, max_distance: int = MAX_DISTANCE,
-                    doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per input row: ``doc_id``, ``fingerprint`` (16 hex digits), ``component_id``.
+def linked(docs: DataFrame, shingle: int = 3, max_distance: int = MAX_DISTANCE,
+           doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, text_hash, fp, root, component_id) per input row.
 
-    ``component_id`` is the smallest id reachable over links of at most ``max_distance`` bits.
+    ``root`` is a fingerprint that names the component, ``component_id`` the smallest id in it.
     """
     rows = frozen(fingerprints(docs, shingle, doc_id, text), "fingerprints")
     distinct = frozen(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fp")
@@ -201,7 +202,32 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, max_distance: int = MAX_D
     rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left").select(
         "fp", "least", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = frozen(rooted.join(least, "root").select(F.col("fp").alias("_fp"), "component_id"),
-                     "classes")
-    return rows.join(classes, rows["fp"] == classes["_fp"]).select(
+    classes = frozen(rooted.join(least, "root").select(F.col("fp").alias("_fp"), "root",
+                                                       "component_id"), "classes")
+    return rows.join(classes, rows["fp"] == classes["_fp"]).drop("_fp")
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 3, max_distance: int = MAX_DISTANCE,
+                    doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per input row: ``doc_id``, ``fingerprint`` (16 hex digits), ``component_id``.
+
+    ``component_id`` is the smallest id reachable over links of at most ``max_distance`` bits.
+    """
+    return linked(docs, shingle, max_distance, doc_id, text).select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def representatives(docs: DataFrame, shingle: int = 3, max_distance: int = MAX_DISTANCE) -> DataFrame:
+    """The input rows without near copies: of each component one row stays, with all its columns.
+
+    It is the row with the smallest id (null ids last), and the smallest text hash among rows of
+    that id; of equal rows one. Rows that share an id without being near copies all stay.
+    """
+    place = F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "text_hash")
+    keep = linked(docs, shingle, max_distance).groupBy("root").agg(F.min(place).alias("k")).select(
+        F.col("k.doc_id").alias("_kept_id"), F.col("k.text_hash").alias("_kept_hash")).distinct()
+    own = docs.withColumn("_own_hash", F.xxhash64("text"))
+    met = own.join(keep.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_kept_id"))
+                   & (F.col("_own_hash") == F.col("_kept_hash")))
+    rank = F.row_number().over(Window.partitionBy("doc_id", "_own_hash").orderBy(F.lit(0)))
+    return met.withColumn("_rank", rank).where("_rank = 1").select(*docs.columns)

@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tuneprep.llm.common import frozen, plain_columns, with_default
+from tuneprep.llm.common import frozen, map_with_ids, plain_columns, with_default
 
 PARTS = 256                 # parts per sketch row
 BYTES_PER_WORD = 6
@@ -242,7 +242,7 @@ def without_repeats(docs: DataFrame, size: int = 13, max_bits: int = 29, doc_id:
             out = pd.DataFrame(rows, columns=["doc_id", "n_words", "n_removed", "kept"])
             yield out.astype({"doc_id": batch["doc_id"].dtype})
 
-    kind = docs.schema[doc_id].dataType.simpleString()
-    return base.join(spots, "id", "left").select("doc_id", "text", "spots").mapInPandas(
-        cut, f"doc_id {kind}, n_words bigint, n_removed bigint, kept string")
+    marked = base.join(spots, "id", "left").select("doc_id", "text", "spots")
+    return map_with_ids(
+        marked, cut, "doc_id", "doc_id {}, n_words bigint, n_removed bigint, kept string")
 

@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tuneprep.llm.common import plain_columns, with_default
+from tuneprep.llm.common import map_with_ids, plain_columns, with_default
 from tuneprep.llm.tokens import encoder
 
 RUN_START = re.compile(r"(?<=\S)(?=\s)")
@@ -179,9 +179,8 @@ def build_trees(docs: DataFrame, path: str | None = None, leaf_chars: int = LEAF
     base = plain_columns(docs, {"doc_id": doc_id, "text": text}).select(
         "doc_id", with_default(F.col("text")).alias("text")).withColumn(
             "text_hash", F.xxhash64("text"))
-    kind = base.schema["doc_id"].dataType.simpleString()
-    return base.mapInPandas(run, f"doc_id {kind}, text_hash bigint, n_tokens bigint, "
-                            "leaf_chars array<bigint>, leaf_tokens array<bigint>")
+    return map_with_ids(base, run, "doc_id", "doc_id {}, text_hash bigint, n_tokens bigint, "
+                        "leaf_chars array<bigint>, leaf_tokens array<bigint>")
 
 
 def apply_edits(docs: DataFrame, trees: DataFrame, edits: DataFrame, path: str | None = None,
@@ -215,9 +214,9 @@ def apply_edits(docs: DataFrame, trees: DataFrame, edits: DataFrame, path: str |
     rows = base.join(kept, (base["text_hash"] == kept["_hash"])
                      & base["doc_id"].eqNullSafe(kept["_id"]))
     rows = rows.join(changes, rows["doc_id"] == changes["_doc"], "left")
-    kind = base.schema["doc_id"].dataType.simpleString()
-    return rows.select("doc_id", "text", "leaf_chars", "leaf_tokens", "edits").mapInPandas(
-        run, f"doc_id {kind}, text string, n_tokens bigint, leaf_chars array<bigint>, "
+    rows = rows.select("doc_id", "text", "leaf_chars", "leaf_tokens", "edits")
+    return map_with_ids(
+        rows, run, "doc_id", "doc_id {}, text string, n_tokens bigint, leaf_chars array<bigint>, "
         "leaf_tokens array<bigint>, encoded_chars bigint")
 
 
@@ -247,7 +246,6 @@ def count_edited(docs: DataFrame, path: str | None = None, leaf_chars: int = LEA
     base = plain_columns(docs, {"doc_id": doc_id, "text": text, "edits": edits}).select(
         "doc_id", with_default(F.col("text")).alias("text"),
         F.col("edits").cast(f"array<{EDIT}>").alias("edits"))
-    kind = base.schema["doc_id"].dataType.simpleString()
-    return base.mapInPandas(run, f"doc_id {kind}, n_chars bigint, n_tokens bigint, n_edits bigint, "
-                            "edited_chars bigint, edited_tokens bigint, n_leaves bigint, "
-                            "encoded_chars bigint")
+    return map_with_ids(base, run, "doc_id", "doc_id {}, n_chars bigint, n_tokens bigint, "
+                        "n_edits bigint, edited_chars bigint, edited_tokens bigint, "
+                        "n_leaves bigint, encoded_chars bigint")
