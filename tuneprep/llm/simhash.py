@@ -224,10 +224,14 @@ def representatives(docs: DataFrame, shingle: int = 3, max_distance: int = MAX_D
     that id; of equal rows one. Rows that share an id without being near copies all stay.
     """
     place = F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "text_hash")
-    keep = linked(docs, shingle, max_distance).groupBy("root").agg(F.min(place).alias("k")).select(
-        F.col("k.doc_id").alias("_kept_id"), F.col("k.text_hash").alias("_kept_hash")).distinct()
-    own = docs.withColumn("_own_hash", F.xxhash64("text"))
-    met = own.join(keep.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_kept_id"))
-                   & (F.col("_own_hash") == F.col("_kept_hash")))
-    rank = F.row_number().over(Window.partitionBy("doc_id", "_own_hash").orderBy(F.lit(0)))
-    return met.withColumn("_rank", rank).where("_rank = 1").select(*docs.columns)
+    keep = linked(docs, shingle, max_distance).groupBy("root").agg(F.min(place).alias("k"))
+    # Plain values as keys: the join's shuffle then serves the ranking of equal rows as well.
+    names = {"_no_id": "k.z", "_named": "k.doc_id", "_hash_of": "k.text_hash"}
+    kept = keep.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(f"{n}_kept")
+                         for n, c in names.items()]).distinct()
+    own = docs.withColumns({n: F.coalesce(c.cast("string"), F.lit("")) for n, c in zip(
+        names, (F.col("doc_id").isNull(), F.col("doc_id"), F.xxhash64("text")))})
+    met = own.join(kept.hint("merge"), [own[n] == kept[f"{n}_kept"] for n in names])
+    rank = F.row_number().over(Window.partitionBy(*names).orderBy(F.lit(0)))
+    return met.withColumn("_rank", rank).where("_rank = 1").select(
+        *[F.col(f"`{c}`") for c in docs.columns])
