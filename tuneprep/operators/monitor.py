@@ -102,17 +102,20 @@ def run_summary(lines: DataFrame) -> DataFrame:
         "run_id", "ord", trainer_row(F.col("line")).alias("t")
     )
     with_loss = F.when(F.col("t.loss").isNotNull(), F.col("ord"))
-    # Numbers only, by a hash aggregate; the last row's text values are fetched afterwards.
-    losses = rows.groupBy("run_id").agg(
+    # Numbers only, by a hash aggregate that reads each line once.
+    numbers = rows.groupBy("run_id").agg(
         F.min_by("t.loss", with_loss).alias("initial_loss"),
         F.max_by("t.loss", with_loss).alias("final_loss"), F.max("ord").alias("ord"),
+        F.max_by("t.current_steps", "ord").alias("steps"), F.max_by("t.epoch", "ord").alias("epochs"),
     )
-    return losses.join(rows.select("run_id", "ord", F.col("t").alias("last")),
-                       ["run_id", "ord"]).select(
-        "run_id", "initial_loss", "final_loss",
-        F.coalesce("last.elapsed_time", F.lit("?")).alias("duration"),
-        F.coalesce("last.current_steps", F.lit(0).cast("long")).alias("steps"),
-        F.coalesce("last.epoch", F.lit(0.0)).alias("epochs"),
+    # The last line's text value: only the lines of these positions are parsed again.
+    last = lines.select("run_id", "ord", "line").join(
+        numbers.select("run_id", "ord"), ["run_id", "ord"], "left_semi").select(
+        "run_id", trainer_row(F.col("line"))["elapsed_time"].alias("duration"))
+    return numbers.join(last, "run_id").select(
+        "run_id", "initial_loss", "final_loss", F.coalesce("duration", F.lit("?")).alias("duration"),
+        F.coalesce("steps", F.lit(0).cast("long")).alias("steps"),
+        F.coalesce("epochs", F.lit(0.0)).alias("epochs"),
     )
 
 

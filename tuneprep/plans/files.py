@@ -10,11 +10,13 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tuneprep.operators.catalog import filter_files
 from tuneprep.operators.formats import turns_to_alpaca
 from tuneprep.plans.registry import query
 from tuneprep.plans.tables import Tables
+from tuneprep.schema import MESSAGES
 from tuneprep.session import scratch_path
 from tuneprep.sources import datasets as D
 from tuneprep.sources import files as S
@@ -108,6 +110,35 @@ def list_datasets(t: Tables) -> DataFrame:
     )
 
 
+@query("SELECT 'docs' AS id, count(*) AS record_count FROM v_docs")
+def remove_dataset(t: Tables) -> DataFrame:
+    """What is listed after one of two data sets was removed."""
+    base = scratch_path(t.spark, "datasets")
+    D.save_dataset(t.chats().select("ord", "messages"), base, "chats")
+    D.save_dataset(t.doc_records(), base, "docs")
+    D.remove_dataset(t.spark, base, "chats")
+    return D.list_datasets(t.spark, base).select("id", "record_count")
+
+
+@query("""
+SELECT string_agg(role || ':' || content, chr(10) ORDER BY turn) AS chat, 'data' AS file_name,
+       'sharegpt' AS formatting, 'messages' AS messages_column, 'user' AS user_tag
+FROM v_turns GROUP BY ord""")
+def trainer_export(t: Tables) -> DataFrame:
+    """The exported files, read as their registry row tells."""
+    path = scratch_path(t.spark, "export")
+    D.export_for_trainer(t.chats(), path, "mine")
+    entry = t.spark.read.json(f"{path}/dataset_info").first()["mine"]
+    data = t.spark.read.schema(T.StructType([T.StructField(entry.columns.messages, MESSAGES)])).json(
+        f"{path}/{entry.file_name}")
+    line = F.transform(entry.columns.messages, lambda m: F.concat_ws(
+        ":", m[entry.tags.role_tag], m[entry.tags.content_tag]))
+    return data.select(
+        F.array_join(line, "\n").alias("chat"), F.lit(entry.file_name).alias("file_name"),
+        F.lit(entry.formatting).alias("formatting"),
+        F.lit(entry.columns.messages).alias("messages_column"), F.lit(entry.tags.user_tag).alias("user_tag"))
+
+
 _INVENTORY = """
 split AS (SELECT string_split(substr(path, 9), '/') AS p, length FROM v_files),
 inv AS (SELECT p[1] AS model_dir, sum(length) / 1073741824 AS size_gb, count(*) AS file_count,

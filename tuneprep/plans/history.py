@@ -374,6 +374,18 @@ def sample_outputs_cut(t: Tables) -> DataFrame:
     return S.sample_outputs(t.sample_lines(), limits=SAMPLE_LIMITS)
 
 
+@query("""
+SELECT experiment_id, ord, step, loss FROM v_metrics
+UNION ALL SELECT experiment_id, ord, step + 1000000, loss / 2 FROM v_metrics""")
+def metric_append(t: Tables) -> DataFrame:
+    """Metric rows appended to a stored table twice."""
+    path, columns = scratch_path(t.spark, "metrics"), ["experiment_id", "ord", "step", "loss"]
+    E.append_metrics(t.metrics().select(columns), path)
+    E.append_metrics(t.metrics().select(columns).withColumns(
+        {"step": F.col("step") + 1_000_000, "loss": F.col("loss") / 2}), path)
+    return t.spark.read.parquet(path)
+
+
 _SUMMARY = """
 rows AS (SELECT run_id, ord, TRY_CAST(json_extract_string(line, '$.loss') AS DOUBLE) AS loss,
                 json_extract_string(line, '$.elapsed_time') AS elapsed,
