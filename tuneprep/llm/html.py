@@ -2,23 +2,28 @@
 
 Method: text length and punctuation are summed per root-to-leaf tag path and divided by the
 path's number of text blocks; both ratios are smoothed over the blocks in page order, fused by
-their geometric mean, and the paths above a threshold are the content paths. The element that
-holds the text of the content paths is the article; its blocks are the main text.
+their geometric mean, and the paths above a threshold are the content paths. Blocks on content
+paths are the article; what stands with them in the same element (headings, lists, short
+paragraphs) belongs to it. Several elements with content paths are all returned.
 
 Parts that are never article text are left out before: scripts, styles, forms, menus, page
-headers and footers, sidebars, and elements whose class, id or role names such a part.
+headers and footers, sidebars, and elements whose class, id or role names such a part, unless
+they hold nearly all of the page's text. Words that name article parts as well (``WEAK``) only
+halve the score of their paths.
 
 Each page is its own row of work; nothing is shuffled. Defined results: null, empty and
 text-free pages give an empty text; unclosed and misnested tags are closed as browsers do for
-paragraphs, list items and table cells; repeated rows give equal rows; an empty table gives an
-empty table; other columns are ignored.
+paragraphs, list items and table cells; very long and deeply nested pages take time in proportion
+to their length; paths of equal score are content alike; repeated rows give equal rows; an empty
+table gives an empty table; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import html
 import re
-from collections import defaultdict
+from bisect import bisect_left
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -45,10 +50,12 @@ NEVER = RAW | {"head", "nav", "footer", "aside", "form", "button", "select", "sv
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert",
          "menu", "menubar", "form", "alertdialog"}
 NAMED = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|alert|banner|breadcrumbs?|comment\w*|consent|cookies?|"
-    r"disclaimer|disqus|footer|gdpr|login|masthead|menu|modal|nav|navbar|navigation|newsletter|"
-    r"notice|paywall|pagination|popup|promo\w*|related|repl(?:y|ies)|respond|shar(?:e|ing)|"
-    r"sidebar|signup|social|sponsor\w*|subscribe|toolbar|widget)(?:$|[\s_-])", re.I)
+    r"(?:^|[\s_-])(?:ads?|advert\w*|breadcrumbs?|comment\w*|consent|cookies?|"
+    r"disqus|footer|gdpr|login|masthead|menu|modal|nav|navbar|navigation|newsletter|"
+    r"notice|paywall|pagination|popup|promo\w*|repl(?:y|ies)|shar(?:e|ing)|"
+    r"sidebar|signup|sponsor\w*|subscribe|toolbar)(?:$|[\s_-])", re.I)
+WEAK = re.compile(
+    r"(?:^|[\s_-])(?:alert|banner|disclaimer|related|respond|social|widget)(?:$|[\s_-])", re.I)
 PAGE_PARTS = re.compile(r"(?:^|[\s_-])header(?:$|[\s_-])", re.I)
 OUTER = {"html", "body", "main", "article"}
 PARAGRAPH_ENDS = {"p", "div", "article", "section", "ul", "ol", "dl", "table", "pre", "blockquote",
@@ -57,44 +64,61 @@ PARAGRAPH_ENDS = {"p", "div", "article", "section", "ul", "ol", "dl", "table", "
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"},
              "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+#: Parts of a text; the element around them is what the text stands in.
+STRUCTURE = HEADINGS | {"p", "ul", "ol", "li", "dl", "dt", "dd", "table", "thead", "tbody", "tfoot",
+                        "tr", "td", "th", "caption", "blockquote", "pre", "figure", "figcaption"}
+LOOSE = {"", "html", "body"}
 PUNCTUATION = re.compile(r"[.,;:!?，。；：！？、…]")
 
 
 class Node:
-    """One element: label, parent, and whether its text can be content."""
+    """One element. ``path`` numbers its tag path, ``[start, end)`` the elements in it, ``base`` is
+    the element that a text in it stands in, ``article`` the outermost article around it."""
 
-    __slots__ = ("tag", "label", "parent", "skip", "article")
+    __slots__ = ("tag", "path", "parent", "skip", "article", "base", "named", "weak", "start", "end")
 
-    def __init__(self, tag: str, label: str, parent: Node | None, skip: bool):
-        self.tag, self.label, self.parent = tag, label, parent
+    def __init__(self, tag: str, path: int, parent: Node | None, skip: bool, named: bool, weak: bool,
+                 start: int):
+        self.tag, self.path, self.parent, self.named, self.start = tag, path, parent, named, start
+        self.end = None
         self.skip = skip or (parent is not None and parent.skip)
-        self.article = tag in ("article", "main") or (parent is not None and parent.article)
+        self.weak = weak or (parent is not None and parent.weak)
+        above = parent.article if parent is not None else None
+        self.article = above if above is not None else (self if tag == "article" else None)
+        inner = parent is not None and (tag in STRUCTURE or tag in INLINE)
+        self.base = parent.base if inner else self
 
+    def holds(self, other: Node) -> bool:
+        return self.start <= other.start < self.end
 
-def _unwanted(tag: str, attributes: str, inside_article: bool, by_name: bool) -> bool:
-    if tag in NEVER or (tag == "header" and not inside_article):
-        return True
+
+def _verdict(tag: str, attributes: str, inside: bool) -> tuple[bool, bool, bool]:
+    """Whether an element is never text, names a page part, and has a weak name."""
+    if tag in NEVER or (tag == "header" and not inside):
+        return True, False, False
     if not attributes:
-        return False
+        return False, False, False
     found = {k.lower(): next((v for v in values if v), "")
              for k, *values in ATTRIBUTE.findall(attributes)}
     if "hidden" in found or found.get("aria-hidden", "").lower() == "true":
-        return True
+        return True, False, False
     if re.search(r"display\s*:\s*none", found.get("style", ""), re.I):
-        return True
-    if tag in OUTER or not by_name:
-        return False
-    if found.get("role", "").lower() in ROLES:
-        return True
+        return True, False, False
+    if tag in OUTER:
+        return False, False, False
     names = f"{found.get('class', '')} {found.get('id', '')}"
-    return bool(NAMED.search(names) or (not inside_article and PAGE_PARTS.search(names)))
+    named = found.get("role", "").lower() in ROLES or bool(
+        NAMED.search(names) or (not inside and PAGE_PARTS.search(names)))
+    return False, named, bool(WEAK.search(names))
 
 
-def blocks_of(page: str, by_name: bool = True) -> list[tuple[Node, str, int]]:
-    """(element, text, characters inside links) of the content candidates, in page order."""
-    top = Node("", "", None, False)
-    stack, out, parts, linked, links = [top], [], [], 0, 0
-    owner = top
+def blocks_of(page: str) -> tuple[list[tuple[Node, str, int]], list[Node]]:
+    """(element, text, characters inside links) of the blocks in page order; named elements."""
+    top = Node("", 0, None, False, False, False, 0)
+    stack, solid, opened = [top], [0], Counter()
+    out, named, parts, linked, links = [], [], [], 0, 0
+    paths: dict[tuple[int, str], int] = {}
+    owner, made, mains = top, 1, 0
 
     def flush() -> None:
         nonlocal parts, linked
@@ -103,35 +127,35 @@ def blocks_of(page: str, by_name: bool = True) -> list[tuple[Node, str, int]]:
             out.append((owner, text, linked))
         parts, linked = [], 0
 
-    def holder() -> Node:
-        return next(n for n in reversed(stack) if n.tag not in INLINE)
-
     def close_to(at: int) -> None:
-        nonlocal owner, links
+        nonlocal owner, links, mains
         for node in stack[at:]:
             links -= node.tag == "a"
-        if any(n.tag not in INLINE for n in stack[at:]):
+            mains -= node.tag == "main"
+            opened[node.tag] -= 1
+            node.end = made
+        if solid[-1] >= at:
             flush()
+            while solid[-1] >= at:
+                solid.pop()
+            owner = stack[solid[-1]]
         del stack[at:]
-        owner = holder()
 
-    at, raw_end = 0, None
+    at = 0
     for token in TOKEN.finditer(page):
-        if token.start() < at or (raw_end is not None and token.start() < raw_end):
+        if token.start() < at:
             continue
         if token.start() > at and not stack[-1].skip:
             text = html.unescape(page[at:token.start()])
             parts.append(text)
             linked += len(text) if links > 0 else 0
-        at, raw_end = token.end(), None
+        at = token.end()
         tag = (token[2] or token[5] or "").lower()
         if not tag:
             continue
         if token[1] or token[4]:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    close_to(i)
-                    break
+            if opened[tag] > 0:
+                close_to(next(i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == tag))
             continue
         attributes = token[3] or token[6] or ""
         if tag in VOID:
@@ -141,43 +165,79 @@ def blocks_of(page: str, by_name: bool = True) -> list[tuple[Node, str, int]]:
                 flush()
             continue
         ends = CLOSED_BY.get(tag, set()) | ({"p"} if tag in PARAGRAPH_ENDS else set())
-        if ends:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag in ends:
-                    close_to(i)
-                    break
-                if stack[i].tag not in INLINE and stack[i].tag != "p":
-                    break
+        for i in reversed(solid) if ends else ():
+            if i > 0 and stack[i].tag in ends:
+                close_to(i)
+                break
+            if stack[i].tag != "p":
+                break
         if tag not in INLINE and tag not in RAW:
             flush()
-        parent = stack[-1]
-        skip = _unwanted(tag, attributes, parent.article, by_name)
-        names = re.search(r"\bclass\s*=\s*[\"']?([^\"'>]*)", attributes, re.I)
-        node = Node(tag, f"{tag}.{names[1]}" if names else tag, parent, skip)
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
             at = end.end() if end else len(page)
             continue
         if attributes.endswith("/") and tag in ("svg", "path", "object"):
             continue
+        parent = stack[-1]
+        skip, page_part, weak = _verdict(tag, attributes, mains > 0 or parent.article is not None)
+        path = parent.path
+        if tag not in INLINE:
+            names = re.search(r"\bclass\s*=\s*[\"']?([^\"'>]*)", attributes, re.I)
+            path = paths.setdefault((path, f"{tag}.{names[1]}" if names else tag), len(paths) + 1)
+        node = Node(tag, path, parent, skip, page_part, weak, made)
+        made += 1
+        if page_part:
+            named.append(node)
         stack.append(node)
+        opened[tag] += 1
         links += tag == "a"
-        owner = holder()
+        mains += tag == "main"
+        if tag not in INLINE:
+            solid.append(len(stack) - 1)
+            owner = node
     if at < len(page) and not stack[-1].skip:
         parts.append(html.unescape(page[at:]))
     flush()
+    for node in stack:
+        node.end = made
+    return out, named
+
+
+class Sizes:
+    """Text length and number of the blocks inside an element."""
+
+    def __init__(self, blocks: list[tuple[Node, str, int]]):
+        order = sorted((n.start, len(t)) for n, t, _ in blocks)
+        self.starts = [k for k, _ in order]
+        self.sums = np.concatenate([[0], np.cumsum([v for _, v in order])])
+
+    def number(self, node: Node) -> int:
+        return bisect_left(self.starts, node.end) - bisect_left(self.starts, node.start)
+
+    def text(self, node: Node) -> int:
+        return int(self.sums[bisect_left(self.starts, node.end)]
+                   - self.sums[bisect_left(self.starts, node.start)])
+
+
+def without_parts(blocks: list[tuple[Node, str, int]], named: list[Node],
+                  most: float) -> list[tuple[Node, str, int]]:
+    """The blocks outside of named page parts that hold less than ``most`` of the page's text."""
+    sizes = Sizes(blocks)
+    total, covered, out = sizes.sums[-1], -1, []
+    gone = []
+    for node in sorted((n for n in named if sizes.text(n) < most * total), key=lambda n: n.start):
+        if node.end > covered:
+            gone.append((node.start, node.end))
+            covered = node.end
+    starts = [a for a, _ in gone]
+    for block in blocks:
+        i = bisect_left(starts, block[0].start + 1) - 1
+        if i < 0 or block[0].start >= gone[i][1]:
+            out.append(block)
     return out
 
 
-def path_of(node: Node) -> str:
-    labels = []
-    while node.parent is not None:
-        if node.tag not in INLINE:
-            labels.append(node.label)
-        node = node.parent
-    return "/".join(reversed(labels))
-
-
 def _smooth(values: np.ndarray, radius: int) -> np.ndarray:
     """Gaussian smoothing in page order; the weights at both ends are renormalised."""
     kernel = np.exp(-0.5 * np.square(np.arange(-radius, radius + 1) / max(radius / 2, 0.5)))
@@ -185,71 +245,92 @@ def _smooth(values: np.ndarray, radius: int) -> np.ndarray:
     return around / np.convolve(np.ones(len(values)), kernel)[radius:radius + len(values)]
 
 
-def content_paths(paths: list[str], texts: list[str], links: list[int], radius: int,
-                  threshold: float) -> set[str]:
-    """Paths whose fused ratio reaches ``threshold`` standard deviations (or is the largest)."""
-    length, marks, blocks = defaultdict(float), defaultdict(float), defaultdict(int)
-    for path, text, linked in zip(paths, texts, links):
-        length[path] += max(len(text) - linked, 0)
-        marks[path] += len(PUNCTUATION.findall(text))
-        blocks[path] += 1
-    fused = np.sqrt(_smooth(np.array([length[p] / blocks[p] for p in paths]), radius)
-                    * (0.1 + _smooth(np.array([marks[p] / blocks[p] for p in paths]), radius)))
+def path_scores(blocks: list[tuple[Node, str, int]], radius: int) -> tuple[dict[int, float], float]:
+    """Mean fused ratio of each path that has text outside of links, and their deviation."""
+    length, marks, number = defaultdict(float), defaultdict(float), defaultdict(int)
+    for node, text, linked in blocks:
+        length[node.path] += max(len(text) - linked, 0)
+        marks[node.path] += len(PUNCTUATION.findall(text))
+        number[node.path] += 1
+    paths = [node.path for node, _, _ in blocks]
+    fused = np.sqrt(_smooth(np.array([length[p] / number[p] for p in paths]), radius)
+                    * (0.1 + _smooth(np.array([marks[p] / number[p] for p in paths]), radius)))
     score, total = defaultdict(float), defaultdict(float)
-    for path, value, text in zip(paths, fused, texts):
-        score[path] += value * len(text)
-        total[path] += len(text)
-    mean = {p: score[p] / total[p] for p in score}
-    limit = min(threshold * float(np.std(fused)), max(mean.values()))
-    return {p for p in mean if mean[p] >= limit and length[p] > 0}
-
-
-def _ancestors(node: Node) -> list[Node]:
-    out = []
-    while node is not None:
-        out.append(node)
-        node = node.parent
-    return out[::-1]
-
-
-def _container(nodes: list[Node], sizes: list[int], share: float) -> Node:
-    """The article with most of the text, or the deepest element with ``share`` of it."""
-    weight: dict[int, float] = defaultdict(float)
-    depth: dict[int, int] = {}
-    element: dict[int, Node] = {}
-    for node, size in zip(nodes, sizes):
-        for level, above in enumerate(_ancestors(node)):
-            weight[id(above)] += size
-            depth[id(above)], element[id(above)] = level, above
-    total = sum(sizes)
-    articles = [k for k in element if element[k].tag == "article"] or [
-        k for k in element if element[k].tag == "main"]
-    if articles:
-        best = max(articles, key=lambda k: (weight[k], -depth[k]))
-        if weight[best] >= 0.5 * total or element[best].tag == "article":
-            return element[best]
-    return element[max((k for k in element if weight[k] >= share * total), key=lambda k: depth[k])]
-
-
-def main_text(page: str | None, radius: int = 2, threshold: float = 1.0,
-              share: float = 0.8) -> str:
-    """Main text of one page; blocks joined by one space."""
-    for by_name in (True, False):
-        found = blocks_of(page or "", by_name)
-        if not found:
-            continue
-        nodes, texts, links = (list(c) for c in zip(*found))
-        paths = [path_of(n) for n in nodes]
-        chosen = content_paths(paths, texts, links, radius, threshold)
-        picked = [i for i, p in enumerate(paths) if p in chosen]
-        if not picked:
-            continue
-        home = _container([nodes[i] for i in picked], [len(texts[i]) for i in picked], share)
-        loose = home.tag in ("", "html", "body")
-        return " ".join(t for n, p, t in zip(nodes, paths, texts)
-                        if home in _ancestors(n) and (
-                            not loose or p in chosen or n.tag in HEADINGS or n.tag == "p"))
-    return ""
+    for (node, text, _), value in zip(blocks, fused):
+        score[node.path] += (0.5 if node.weak else 1.0) * value * len(text)
+        total[node.path] += len(text)
+    return {p: score[p] / total[p] for p in score if length[p] > 0}, float(np.std(fused))
+
+
+def content_paths(blocks: list[tuple[Node, str, int]], radius: int, threshold: float,
+                  least: float) -> set[int]:
+    """Paths whose score reaches ``threshold`` deviations and ``least`` times the best score."""
+    scores, deviation = path_scores(blocks, radius)
+    best = max(scores.values(), default=0.0)
+    limit = max(min(threshold * deviation, best), least * best)
+    return {p for p, v in scores.items() if v >= limit}
+
+
+def _home(node: Node, sizes: Sizes) -> Node:
+    """The element that a block's text stands in: its article, or what holds it and others."""
+    if node.article is not None:
+        return node.article
+    if node.base is node and node.parent is not None and sizes.number(node) < 2:
+        return node.parent.base
+    return node.base
+
+
+def _common(a: Node, b: Node) -> Node:
+    while not a.holds(b):
+        a = a.parent
+    return a
+
+
+def main_text(page: str | None, radius: int = 2, threshold: float = 1.0, least: float = 0.3,
+              share: float = 0.7, most: float = 0.9) -> str:
+    """Main text of one page; blocks joined by one space.
+
+    The element around all content blocks is taken whole if they are ``share`` of its text;
+    otherwise each content block's own element, and what stands between them.
+    """
+    blocks = without_parts(*blocks_of(page or ""), most)
+    chosen = content_paths(blocks, radius, threshold, least) if blocks else set()
+    picked = [i for i, (node, _, _) in enumerate(blocks) if node.path in chosen]
+    if not picked:
+        return ""
+    sizes = Sizes(blocks)
+    homes = sorted({id(h): h for h in (_home(blocks[i][0], sizes) for i in picked)}.values(),
+                   key=lambda h: h.start)
+    home = _common(homes[0], homes[-1])
+    around = home.tag not in LOOSE
+    whole = around and sum(len(blocks[i][1]) for i in picked) >= share * sizes.text(home)
+    tops: list[Node] = []
+    for h in homes:
+        if h.tag not in LOOSE and not (tops and tops[-1].holds(h)):
+            tops.append(h)
+    starts = [h.start for h in tops]
+    loose = any(h.tag in LOOSE for h in homes)
+
+    def belongs(i: int, node: Node, text: str, linked: int) -> bool:
+        if node.path in chosen:
+            return True
+        if node.weak or (linked >= 0.8 * len(text) and node.tag not in HEADINGS | {"p"}):
+            return False
+        if whole and home.holds(node):
+            return True
+        k = bisect_left(starts, node.start + 1) - 1
+        if k >= 0 and tops[k].holds(node):
+            return True
+        if loose and node.base.tag in LOOSE and node.tag in STRUCTURE:
+            return True
+        return around and home.holds(node) and picked[0] <= i <= picked[-1]
+
+    taken = [i for i, block in enumerate(blocks) if belongs(i, *block)]
+    for i in range(taken[0] - 1, -1, -1):
+        if blocks[i][0].tag not in HEADINGS:
+            break
+        taken.insert(0, i)
+    return " ".join(blocks[i][1] for i in taken)
 
 
 def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", page: str = "html",
