@@ -9,7 +9,7 @@ import duckdb
 import pytest
 
 import samples
-from tuneprep.llm.html import blocks_of, extract, main_text, path_scores
+from tuneprep.llm.html import blocks_of, extract, main_text, path_ratios, path_scores
 
 LINE = "This is a sentence of the story, with marks. "
 LONG, MIDDLE, SHORT = (LINE * 20).strip(), (LINE * 7).strip(), (LINE * 2).strip()
@@ -78,9 +78,8 @@ def test_path_scores():
         for p in size:
             mine = [(len(t) * (0.5 if n.weak else 1), len(t), f)
                     for (n, t, _), f in zip(found, fused) if n.path == p]
-            if size[p]:
-                want[p] = sum(w * f for w, _, f in mine) / sum(k for _, k, _ in mine)
-        scores, deviation = path_scores(found, 2)
+            want[p] = sum(w * f for w, _, f in mine) / sum(k for _, k, _ in mine)
+        scores, deviation = path_scores(found, path_ratios(found), 2)
         assert scores == pytest.approx(want)
         mean = sum(fused) / len(fused)
         assert deviation == pytest.approx(math.sqrt(sum((f - mean) ** 2 for f in fused) / len(fused)))

@@ -73,7 +73,8 @@ PUNCTUATION = re.compile(r"[.,;:!?，。；：！？、…]")
 
 class Node:
     """One element. ``path`` numbers its tag path, ``[start, end)`` the elements in it, ``base`` is
-    the element that a text in it stands in, ``article`` the outermost article around it."""
+    the element that a text in it stands in, ``article`` and ``weak`` the outermost article and the
+    outermost element with a weak name around it."""
 
     __slots__ = ("tag", "path", "parent", "skip", "article", "base", "named", "weak", "start", "end")
 
@@ -82,7 +83,8 @@ class Node:
         self.tag, self.path, self.parent, self.named, self.start = tag, path, parent, named, start
         self.end = None
         self.skip = skip or (parent is not None and parent.skip)
-        self.weak = weak or (parent is not None and parent.weak)
+        weaker = parent.weak if parent is not None else None
+        self.weak = weaker if weaker is not None else (self if weak else None)
         above = parent.article if parent is not None else None
         self.article = above if above is not None else (self if tag == "article" else None)
         inner = parent is not None and (tag in STRUCTURE or tag in INLINE)
@@ -245,30 +247,43 @@ def _smooth(values: np.ndarray, radius: int) -> np.ndarray:
     return around / np.convolve(np.ones(len(values)), kernel)[radius:radius + len(values)]
 
 
-def path_scores(blocks: list[tuple[Node, str, int]], radius: int) -> tuple[dict[int, float], float]:
-    """Mean fused ratio of each path that has text outside of links, and their deviation."""
+def path_ratios(blocks: list[tuple[Node, str, int]]) -> dict[int, tuple[float, float]]:
+    """Text length outside of links and punctuation of each path, per block."""
     length, marks, number = defaultdict(float), defaultdict(float), defaultdict(int)
     for node, text, linked in blocks:
         length[node.path] += max(len(text) - linked, 0)
         marks[node.path] += len(PUNCTUATION.findall(text))
         number[node.path] += 1
-    paths = [node.path for node, _, _ in blocks]
-    fused = np.sqrt(_smooth(np.array([length[p] / number[p] for p in paths]), radius)
-                    * (0.1 + _smooth(np.array([marks[p] / number[p] for p in paths]), radius)))
+    return {p: (length[p] / number[p], marks[p] / number[p]) for p in number}
+
+
+def path_scores(blocks: list[tuple[Node, str, int]], ratios: dict[int, tuple[float, float]],
+                radius: int) -> tuple[dict[int, float], float]:
+    """Mean smoothed and fused ratio of each path, and the deviation over the blocks."""
+    sizes, marks = (_smooth(np.array([ratios[node.path][k] for node, _, _ in blocks]), radius)
+                    for k in (0, 1))
+    fused = np.sqrt(sizes * (0.1 + marks))
     score, total = defaultdict(float), defaultdict(float)
     for (node, text, _), value in zip(blocks, fused):
-        score[node.path] += (0.5 if node.weak else 1.0) * value * len(text)
+        score[node.path] += (0.5 if node.weak is not None else 1.0) * value * len(text)
         total[node.path] += len(text)
-    return {p: score[p] / total[p] for p in score if length[p] > 0}, float(np.std(fused))
+    return {p: score[p] / total[p] for p in score}, float(np.std(fused))
 
 
 def content_paths(blocks: list[tuple[Node, str, int]], radius: int, threshold: float,
                   least: float) -> set[int]:
-    """Paths whose score reaches ``threshold`` deviations and ``least`` times the best score."""
-    scores, deviation = path_scores(blocks, radius)
-    best = max(scores.values(), default=0.0)
-    limit = max(min(threshold * deviation, best), least * best)
-    return {p for p, v in scores.items() if v >= limit}
+    """Paths whose score reaches ``threshold`` deviations, or is the best.
+
+    A path next to long text profits from the smoothing; its own fused ratio has to reach
+    ``least`` times the best one as well.
+    """
+    ratios = path_ratios(blocks)
+    scores, deviation = path_scores(blocks, ratios, radius)
+    own = {p: (length * (0.1 + marks)) ** 0.5 for p, (length, marks) in ratios.items()}
+    floor = least * max(own.values())
+    usable = {p: scores[p] for p in scores if own[p] > 0 and own[p] >= floor}
+    limit = min(threshold * deviation, max(usable.values(), default=0.0))
+    return {p for p, v in usable.items() if v >= limit}
 
 
 def _home(node: Node, sizes: Sizes) -> Node:
@@ -286,7 +301,7 @@ def _common(a: Node, b: Node) -> Node:
     return a
 
 
-def main_text(page: str | None, radius: int = 2, threshold: float = 1.0, least: float = 0.3,
+def main_text(page: str | None, radius: int = 2, threshold: float = 1.0, least: float = 0.15,
               share: float = 0.7, most: float = 0.9) -> str:
     """Main text of one page; blocks joined by one space.
 
@@ -310,11 +325,14 @@ def main_text(page: str | None, radius: int = 2, threshold: float = 1.0, least:
             tops.append(h)
     starts = [h.start for h in tops]
     loose = any(h.tag in LOOSE for h in homes)
+    trusted = {id(blocks[i][0].weak) for i in picked}
 
     def belongs(i: int, node: Node, text: str, linked: int) -> bool:
         if node.path in chosen:
             return True
-        if node.weak or (linked >= 0.8 * len(text) and node.tag not in HEADINGS | {"p"}):
+        if id(node.weak) not in trusted and node.weak is not None:
+            return False
+        if linked >= 0.8 * len(text) and node.tag not in HEADINGS | {"p"}:
             return False
         if whole and home.holds(node):
             return True
