@@ -3,12 +3,13 @@
 import random
 
 import samples
+from pyspark.sql import functions as F
 
 from tuneprep.llm.token_counts import EditedText, apply_edits, build_trees, count_edited, counter
 from tuneprep.llm.tokens import encoder
 
 PARTS = ["the", " ", "  ", "\n", " the", "'re", "'r", "e", "s", "'", "foo", "12", ".", "\t", ", ", "é",
-         "<|endoftext|>", " \n", "ing"]
+         "<|endoftext|>", " \n", "ing", "的", "中文", "。", "，", "！？", "カ", "・", "한", "1,5", "a.b"]
 
 
 def full(text):
@@ -37,6 +38,14 @@ def test_small_edit_encodes_little():
     assert state.encoded - before < 2000
 
 
+def test_text_without_spaces():
+    text = "这是一个很长的句子，没有空格。" * 70_000
+    state = EditedText(text, counter(None))
+    before = state.encoded
+    state.edit(500_000, 3, "，新的。")
+    assert before == len(text) and state.encoded - before < 2000
+
+
 def edited(text, edits):
     for start, length, new in edits:
         start = min(start, len(text))
@@ -62,6 +71,22 @@ def test_tables(spark):
     assert samples.by_row(again, ["doc_id", "n_tokens"]) == want
 
 
+def test_query_over_whole_table(spark):
+    """Stored trees against encoding every text and every edited text whole."""
+    from tuneprep.llm.queries import op8_token_counts, sample_edits
+
+    docs = spark.read.parquet(f"{samples.DATA}/documents.parquet")
+    rows = docs.select("doc_id", "text", sample_edits(
+        F.col("doc_id"), F.col("text"), F.col("source")).alias("e")).collect()
+    got = {r["doc_id"]: r for r in op8_token_counts(spark, samples.DATA).collect()}
+    assert len(got) == len(rows)
+    for key, text, edits in rows:
+        new = edited(text or "", [(e["start"], e["length"], e["text"]) for e in edits])
+        r = got[key]
+        assert (r["n_chars"], r["n_tokens"], r["n_edits"]) == (len(text or ""), full(text), 4)
+        assert (r["edited_chars"], r["edited_tokens"]) == (len(new), full(new))
+
+
 def test_edits_in_rows_and_empty(spark):
     schema = ("doc_id bigint, text string, edits array<struct<seq:bigint,start:bigint,length:bigint,"
               "text:string>>, n_tokens int")

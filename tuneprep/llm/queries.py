@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tuneprep.llm import oracles
 from tuneprep.llm.chat import digests, format_chats
-from tuneprep.llm.common import read_table
+from tuneprep.llm.common import frozen, read_table
 from tuneprep.llm.decontam import contamination
 from tuneprep.llm.html import extract
 from tuneprep.llm.importance import resample
@@ -20,7 +20,7 @@ from tuneprep.llm.pii import pii_report
 from tuneprep.llm.quality import judged
 from tuneprep.llm.simhash import near_duplicates
 from tuneprep.llm.substrings import without_repeats
-from tuneprep.llm.token_counts import count_edited
+from tuneprep.llm.token_counts import build_trees, edited_counts
 from tuneprep.llm.vafile import cluster
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -107,10 +107,12 @@ def sample_edits(doc_id: Column, text: Column, source: Column) -> Column:
 
 @query
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Token counts of every document before and after four edits of it."""
+    """Token counts of every document before and after four edits of it, from stored trees."""
     docs = read_table(spark, sf_dir, "documents")
-    return count_edited(docs.select("doc_id", "text", sample_edits(
-        F.col("doc_id"), F.col("text"), F.col("source")).alias("edits")))
+    trees = frozen(build_trees(docs), "trees")
+    edits = docs.select("doc_id", F.inline(sample_edits(
+        F.col("doc_id"), F.col("text"), F.col("source")))).distinct()
+    return edited_counts(docs, trees, edits)
 
 
 @query

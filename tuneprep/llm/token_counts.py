@@ -3,20 +3,24 @@
 Method: a document's pre-tokens are gathered into leaves of about ``leaf_chars`` characters; a
 segment tree holds the sums of characters and tokens above them. An edit finds its leaves by
 descending the character sums, re-encodes only the text of these leaves, and adds the changes to
-the sums above. Leaves begin where a run of white space begins: there the tokenizer starts a new
-pre-token whatever stands before or after it. So leaves are encoded apart; an edit that touches
-the first character of its leaves takes the leaf before with it, and one that leaves white space
-(or nothing) at their end takes the leaf after, as boundary context.
+the sums above. Leaves begin where a run of white space begins, or where a sentence mark follows
+a letter (texts of some languages have no spaces): there the tokenizer starts a new pre-token
+whatever stands before or after it. So leaves are encoded apart; an edit that touches the first
+character of its leaves takes the leaf before with it, and one after which the next leaf no longer
+begins at such a place takes that leaf, as boundary context.
 
 Trees are kept as one row per document (``build_trees``); ``apply_edits`` reads texts, trees and
-an edit table and returns the new texts with their trees; ``count_edited`` does both steps for
-edits that come with the rows. Positions are code points of the text as the edits before left it.
+an edit table and returns the new texts with their trees, ``edited_counts`` the counts before and
+after; ``count_edited`` does both steps for edits that come with the rows. Positions are code
+points of the text as the edits before left it. Only the texts' join with their trees and edits
+moves texts, once.
 
 Defined results: null and empty texts have no tokens and one empty leaf; edits beyond the end of a
 text act at its end, null parts of an edit count as 0 or empty; edits of a document are applied in
 the order of ``seq``, ties in the order of their values; documents without edits keep their trees;
-edits of unknown documents are ignored; rows of one id get the same edits each; an empty table
-gives an empty table; other columns are ignored.
+edits of unknown documents are ignored; rows of one id get the same edits each; a stretch without
+white space and marks is one leaf, however long; an empty table gives an empty table; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,7 +36,11 @@ from pyspark.sql import functions as F
 from tuneprep.llm.common import map_with_ids, plain_columns, with_default
 from tuneprep.llm.tokens import encoder
 
-RUN_START = re.compile(r"(?<=\S)(?=\s)")
+#: Places where a pre-token begins whatever is around: white space after another character, and
+#: marks after letters (Latin, kana, Han, Hangul). The apostrophe is none, it may begin "'s".
+SAFE = re.compile(
+    "(?<=\\S)(?=\\s)|(?<=[A-Za-z\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3])"
+    "(?=[.,;:!?\u3001\u3002\uff01\uff0c\uff1a\uff1b\uff1f])")
 LEAF_CHARS = 256
 EDIT = "struct<seq:bigint,start:bigint,length:bigint,text:string>"
 
@@ -41,7 +49,7 @@ def cut(text: str, leaf_chars: int) -> list[str]:
     """Leaves of at least ``leaf_chars`` characters each, but for the last."""
     out, start = [], 0
     while len(text) - start > leaf_chars:
-        found = RUN_START.search(text, start + leaf_chars)
+        found = SAFE.search(text, start + leaf_chars)
         if not found:
             break
         out.append(text[start:found.start()])
@@ -133,7 +141,7 @@ class EditedText:
         grown = len(text) - (stop - start)
         self.text = self.text[:start] + text + self.text[stop:]
         end = tree.start_of(last) + int(tree.chars[last]) + grown
-        while last + 1 < tree.n and (end == begin or self.text[end - 1].isspace()):
+        while last + 1 < tree.n and (end == begin or not SAFE.match(self.text, end)):
             last += 1
             end += int(tree.chars[last])
         region, places = self.text[begin:end], last - first + 1
@@ -183,6 +191,22 @@ def build_trees(docs: DataFrame, path: str | None = None, leaf_chars: int = LEAF
                         "leaf_chars array<bigint>, leaf_tokens array<bigint>")
 
 
+def _with_trees(docs: DataFrame, trees: DataFrame, edits: DataFrame, doc_id: str,
+                text: str) -> DataFrame:
+    """(doc_id, text, leaf_chars, leaf_tokens, edits): trees and edits meet before the texts."""
+    base = plain_columns(docs, {"doc_id": doc_id, "text": text}).select(
+        "doc_id", with_default(F.col("text")).alias("text")).withColumn(
+            "text_hash", F.xxhash64("text"))
+    kept = trees.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"),
+                        "leaf_chars", "leaf_tokens").dropDuplicates(["_id", "_hash"])
+    changes = edits.groupBy(F.col(f"`{doc_id}`").alias("_doc")).agg(F.collect_list(
+        F.struct("seq", "start", "length", "text").cast(EDIT)).alias("edits"))
+    small = kept.join(changes, kept["_id"] == changes["_doc"], "left")
+    rows = base.join(small, (base["text_hash"] == small["_hash"])
+                     & base["doc_id"].eqNullSafe(small["_id"]))
+    return rows.select("doc_id", "text", "leaf_chars", "leaf_tokens", "edits")
+
+
 def apply_edits(docs: DataFrame, trees: DataFrame, edits: DataFrame, path: str | None = None,
                 leaf_chars: int = LEAF_CHARS, doc_id: str = "doc_id",
                 text: str = "text") -> DataFrame:
@@ -204,22 +228,41 @@ def apply_edits(docs: DataFrame, trees: DataFrame, edits: DataFrame, path: str |
             names = ["text", "n_tokens", "leaf_chars", "leaf_tokens", "encoded_chars"]
             yield pd.DataFrame(out, columns=names).assign(doc_id=batch["doc_id"].to_numpy())
 
-    base = plain_columns(docs, {"doc_id": doc_id, "text": text}).select(
-        "doc_id", with_default(F.col("text")).alias("text")).withColumn(
-            "text_hash", F.xxhash64("text"))
-    kept = trees.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"),
-                        "leaf_chars", "leaf_tokens").dropDuplicates(["_id", "_hash"])
-    changes = edits.groupBy(F.col(f"`{doc_id}`").alias("_doc")).agg(F.collect_list(
-        F.struct("seq", "start", "length", "text").cast(EDIT)).alias("edits"))
-    rows = base.join(kept, (base["text_hash"] == kept["_hash"])
-                     & base["doc_id"].eqNullSafe(kept["_id"]))
-    rows = rows.join(changes, rows["doc_id"] == changes["_doc"], "left")
-    rows = rows.select("doc_id", "text", "leaf_chars", "leaf_tokens", "edits")
     return map_with_ids(
-        rows, run, "doc_id", "doc_id {}, text string, n_tokens bigint, leaf_chars array<bigint>, "
+        _with_trees(docs, trees, edits, doc_id, text), run, "doc_id",
+        "doc_id {}, text string, n_tokens bigint, leaf_chars array<bigint>, "
         "leaf_tokens array<bigint>, encoded_chars bigint")
 
 
+COUNTS = ["n_chars", "n_tokens", "n_edits", "edited_chars", "edited_tokens", "n_leaves",
+          "encoded_chars"]
+COUNT_SCHEMA = "doc_id {}, " + ", ".join(f"{c} bigint" for c in COUNTS)
+
+
+def _counts(state: EditedText, edits) -> tuple[int, ...]:
+    """``COUNTS`` of one document; what its tree took to build is not counted as encoded."""
+    before, todo, built = state.tree.total, _edits(edits), state.encoded
+    for change in todo:
+        state.edit(*change)
+    after = state.tree.total
+    return *before, len(todo), *after, state.tree.n, state.encoded - built
+
+
+def edited_counts(docs: DataFrame, trees: DataFrame, edits: DataFrame, path: str | None = None,
+                  leaf_chars: int = LEAF_CHARS, doc_id: str = "doc_id",
+                  text: str = "text") -> DataFrame:
+    """doc_id and ``COUNTS`` from kept trees and an edit table, as for ``apply_edits``."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        count = counter(path)
+        for batch in batches:
+            out = [_counts(EditedText(value, count, leaf_chars, (chars, tokens)), changes)
+                   for value, chars, tokens, changes in zip(
+                       batch["text"], batch["leaf_chars"], batch["leaf_tokens"], batch["edits"])]
+            yield pd.DataFrame(out, columns=COUNTS).assign(doc_id=batch["doc_id"].to_numpy())
+
+    return map_with_ids(_with_trees(docs, trees, edits, doc_id, text), run, "doc_id", COUNT_SCHEMA)
+
+
 def count_edited(docs: DataFrame, path: str | None = None, leaf_chars: int = LEAF_CHARS,
                  doc_id: str = "doc_id", text: str = "text", edits: str = "edits") -> DataFrame:
     """Counts before and after the edits in an array column; no shuffle.
@@ -230,22 +273,11 @@ def count_edited(docs: DataFrame, path: str | None = None, leaf_chars: int = LEA
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         count = counter(path)
         for batch in batches:
-            out = []
-            for value, changes in zip(batch["text"], batch["edits"]):
-                state = EditedText(value, count, leaf_chars)
-                before, todo = state.tree.total, _edits(changes)
-                for change in todo:
-                    state.edit(*change)
-                after = state.tree.total
-                out.append((before[0], before[1], len(todo), after[0], after[1], state.tree.n,
-                            state.encoded - before[0]))
-            names = ["n_chars", "n_tokens", "n_edits", "edited_chars", "edited_tokens", "n_leaves",
-                     "encoded_chars"]
-            yield pd.DataFrame(out, columns=names).assign(doc_id=batch["doc_id"].to_numpy())
+            out = [_counts(EditedText(value, count, leaf_chars), changes)
+                   for value, changes in zip(batch["text"], batch["edits"])]
+            yield pd.DataFrame(out, columns=COUNTS).assign(doc_id=batch["doc_id"].to_numpy())
 
     base = plain_columns(docs, {"doc_id": doc_id, "text": text, "edits": edits}).select(
         "doc_id", with_default(F.col("text")).alias("text"),
         F.col("edits").cast(f"array<{EDIT}>").alias("edits"))
-    return map_with_ids(base, run, "doc_id", "doc_id {}, n_chars bigint, n_tokens bigint, "
-                        "n_edits bigint, edited_chars bigint, edited_tokens bigint, "
-                        "n_leaves bigint, encoded_chars bigint")
+    return map_with_ids(base, run, "doc_id", COUNT_SCHEMA)
