@@ -1,5 +1,7 @@
 import pytest
 
+from pyspark.sql import functions as F
+
 from tuneprep.functions.harvest import find_records
 from tuneprep.operators import generate as G
 
@@ -70,6 +72,38 @@ def test_variants_and_mixing(spark):
     assert G.mix_pairs(rows.limit(1)).count() == 0
 
 
+def test_mixing_is_a_seeded_permutation(spark):
+    for n in (2, 3, 7, 64, 1000):
+        numbers = spark.range(n).select("id", F.lit(n).cast("long").alias("n"))
+        seen = set()
+        for seed in (1, 2):
+            rounds = G.swap_rounds(seed)
+            out = numbers.select("id", "n", G.swapped(F.col("id"), F.col("n"), rounds).alias("x"))
+            got = out.select("id", "x", G.swapped(F.col("x"), F.col("n"), rounds[::-1]).alias("back"))
+            got = sorted(got.collect())
+            assert sorted(r.x for r in got) == list(range(n))
+            assert all(r.back == r.id for r in got)
+            seen.add(tuple(r.x for r in got))
+            # No shift of one another: the differences of neighbours take many values.
+            steps = {(b.x - a.x) % n for a, b in zip(got, got[1:])}
+            assert n < 64 or len(steps) > n // 4
+        assert n < 7 or len(seen) == 2
+    big = spark.range(10**15, 10**15 + 500).select(
+        G.swapped(F.col("id"), F.lit(10**16), G.swap_rounds(3)).alias("x"))
+    values = [r.x for r in big.collect()]
+    assert len(set(values)) == 500 and all(0 <= x < 10**16 for x in values)
+
+
+def test_no_row_meets_its_own_answer(spark):
+    rows = spark.range(300).select(F.col("id").alias("ord"), F.concat(F.lit("q"), "id").alias("instruction"),
+                                   F.concat(F.lit("a"), "id").alias("output"))
+    for seed in (1, 5):
+        pairs = G.mix_pairs(rows, seed=seed).collect()
+        assert sorted(p.ord_a for p in pairs) == sorted(p.ord_b for p in pairs) == list(range(300))
+        assert all(p.ord_a != p.ord_b for p in pairs)
+        assert all(p.user == f"q{p.ord_a}" and p.assistant == f"a{p.ord_b}" for p in pairs)
+
+
 def test_single_object_reply(spark):
     replies = spark.createDataFrame([(0, '```json\n{"question": "q", "answer": "a"}\n```')],
                                     "reply_id bigint, text string")

@@ -4,6 +4,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tuneprep.operators import ranking as RK
+from tuneprep.operators.sample import preview_even, split_train_val
 
 
 def skewed(spark, n=5000):
@@ -66,3 +67,40 @@ def test_outlier_id_does_not_fill_one_bucket(spark):
         assert sizes.agg(F.max("count")).first()[0] < 1500
     finally:
         spark.conf.set(merge, "true")
+
+
+def clustered(spark):
+    """99 % of the ids lie within a sliver of the range, the rest is spread over all of BIGINT."""
+    return spark.range(9900).select((F.col("id") * 3 + 7).alias("ord")).union(
+        spark.range(100).select(((F.col("id") - 50) * (2 ** 63 // 51)).alias("ord")))
+
+
+def test_clustered_ids(spark, monkeypatch):
+    monkeypatch.setattr(RK, "BUCKET_ROWS", 40)
+    rows = clustered(spark)
+    bucketed = RK.with_ord_bucket(rows, "ord")
+    sizes = bucketed.groupBy("_bucket").agg(F.count("*").alias("n"), F.min("ord").alias("lo"),
+                                            F.max("ord").alias("hi")).orderBy("_bucket").collect()
+    assert sum(r.n for r in sizes) == 10_000 and max(r.n for r in sizes) <= 40
+    assert all(r._bucket <= r.lo for r in sizes)
+    assert all(a.hi < b._bucket for a, b in zip(sizes, sizes[1:]))
+    assert "Exchange hashpartitioning(_bucket" not in bucketed._jdf.queryExecution().toString()
+    w = Window.orderBy("ord")
+    same(RK.exact_rank(bucketed, [F.col("ord")]).drop("n"),
+         rows.withColumn("pos", F.row_number().over(w) - 1))
+
+
+def test_positions_on_clustered_ids(spark, monkeypatch):
+    monkeypatch.setattr(RK, "BUCKET_ROWS", 40)
+    rows = clustered(spark)
+    order = sorted(r.ord for r in rows.collect())
+    split = split_train_val(rows, 0.7, shuffle=False)
+    assert sorted(r.ord for r in split.filter("split = 'train'").collect()) == order[:7000]
+    got = {r.pos: r.ord for r in preview_even(rows, 9).collect()}
+    assert got == {i * 10_000 // 9: order[i * 10_000 // 9] for i in range(9)}
+
+
+def test_repeated_ids_end_the_search(spark, monkeypatch):
+    monkeypatch.setattr(RK, "BUCKET_ROWS", 10)
+    rows = spark.range(300).select(F.when(F.col("id") < 200, 5).otherwise(F.col("id") * 10 ** 9).alias("ord"))
+    assert RK.with_ord_bucket(rows, "ord").groupBy("_bucket").count().agg(F.max("count")).first()[0] == 200

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,6 +43,9 @@ DOCUMENT_PROMPT = (
     "Answer with a JSON array of objects with the keys instruction and output only."
 )
 
+#: Modulus of the hash in ``swapped``; products of two numbers below it fit into a BIGINT.
+PRIME = (1 << 31) - 1
+
 
 def batch_plan(requests: DataFrame, target: str = "target_count", batch: int = BATCH) -> DataFrame:
     """One row per model call: batch number and how many rows it should ask for."""
@@ -177,19 +182,48 @@ def expand_variants(rows: DataFrame, question: str = "instruction",
     return out if dedup_chars is None else dedup_prefix(out, question, dedup_chars)
 
 
+def swap_rounds(seed: int, rounds: int = 32) -> list[tuple[int, int, int]]:
+    """Constants of ``swapped``'s rounds: a mirror point, and a factor and a term of a hash."""
+    numbers = random.Random(seed)
+    return [(numbers.getrandbits(60), 1 + numbers.getrandbits(30), numbers.getrandbits(30))
+            for _ in range(rounds)]
+
+
+def swapped(x: Column, n: Column, rounds: list[tuple[int, int, int]]) -> Column:
+    """A permutation of the numbers below ``n`` (swap-or-not); reversed rounds give its inverse.
+
+    A round pairs each number with its mirror image, and a bit of a hash of the larger of both
+    decides whether they change places. It is one to one for every ``n``, without cycles to walk.
+    """
+    keys = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(a).cast("long").alias("a"),
+                              F.lit(b).cast("long").alias("b")) for k, a, b in rounds])
+
+    def turn(x: Column, r: Column) -> Column:
+        other = F.pmod(F.pmod(r["k"], n) - x, n)
+        mixed = F.pmod(F.pmod(F.greatest(x, other), F.lit(PRIME)) * r["a"] + r["b"], F.lit(PRIME))
+        bit = F.pmod(F.shiftright(F.pmod(mixed * mixed, F.lit(PRIME)), 14), F.lit(2))
+        return F.when(bit == 1, other).otherwise(x)
+
+    return F.aggregate(keys, x.cast("long"), turn)
+
+
 def mix_pairs(rows: DataFrame, seed: int = 1, target: int | None = None,
               question: str = "instruction", answer: str = "output") -> DataFrame:
-    """Each row's question with the answer of the row ``seed`` places further on (cyclic).
+    """Each row's question with the answer of another row, chosen by a seeded permutation.
 
-    Pairs of equal rows are left out. Only ids are ranked; pairing and fetching the texts are
-    equi-joins on unique numbers.
+    A pseudo-random order of all rows is closed to a circle, and a row takes the answer of the next
+    one: every question and every answer is used once, and with two rows or more none meets its
+    own. Pairs of equal rows are left out. Nothing is sorted by a random key; only ids are ranked,
+    and pairing and fetching the texts are equi-joins on unique numbers.
     """
     ranked = checkpointed(
         exact_rank(with_ord_bucket(rows.select("ord"), "ord"), [F.col("ord")])
     )
-    shift = F.when(F.col("n") > 1, 1 + F.pmod(F.lit(seed - 1), F.col("n") - 1)).otherwise(1)
-    left = ranked.select(F.col("ord").alias("ord_a"), F.col("pos").alias("pos_a"),
-                         F.pmod(F.col("pos") + shift, F.col("n")).alias("pos"))
+    turns, n = swap_rounds(seed), F.col("n")
+    place = swapped(F.col("pos"), n, turns[::-1])
+    left = ranked.select(F.col("ord").alias("ord_a"), F.col("pos").alias("pos_a"), "n",
+                         F.pmod(place + 1, n).alias("_next")).select(
+        "ord_a", "pos_a", swapped(F.col("_next"), n, turns).alias("pos"))
     right = ranked.select(F.col("ord").alias("ord_b"), "pos")
 
     def text(side: str, own: str, other: str) -> DataFrame:

@@ -11,6 +11,7 @@ SALTS = 64
 HEX_DIGITS = 4  # 65,536 order-preserving buckets of a hexadecimal hash
 ORD_BUCKETS = 65_536
 SPARSE = 64
+BUCKET_ROWS = 1 << 22
 HOT_ROWS = 1_000_000
 TOP_KEYS = 100_000
 
@@ -91,24 +92,41 @@ def hash_order(id_col: str, seed: int) -> Column:
 def with_ord_bucket(df: DataFrame, ord_col: str) -> DataFrame:
     """Add ``_bucket``: ascending ranges of a BIGINT column, none of them large.
 
-    Values should be unique, or repeat a bounded number of times. Dense ids (range at most
-    ``SPARSE`` times the row count) are cut into equal widths: a bucket then holds at most
-    ``SPARSE * n / ORD_BUCKETS`` distinct values. Sparse or clustered ids are range
-    partitioned by Spark's sampled bounds instead, and that assignment is checkpointed because a
-    second evaluation could sample other bounds.
+    Values should be unique, or repeat a bounded number of times; a null has no bucket. Dense ids
+    (range at most ``SPARSE`` times the row count) are cut into equal widths. Otherwise, or where
+    such a bucket may exceed ``BUCKET_ROWS``, the histogram is repeated inside the buckets that are
+    too large, between their own smallest and largest value, until none is: about one round more
+    for each order of magnitude by which ids are clustered. Buckets are named by their lower
+    bounds; there are at most ``ORD_BUCKETS`` and 20 for each ``BUCKET_ROWS`` rows. Rows never move.
     """
     lo, hi, n = df.agg(F.min(ord_col), F.max(ord_col), F.count(ord_col)).first()
     if not n:
         return df.withColumn("_bucket", F.lit(0).cast("long"))
-    if hi - lo < SPARSE * n:
-        width = (hi - lo) // ORD_BUCKETS + 1
-        return df.withColumn("_bucket", F.expr(f"(`{ord_col}` - {lo}) div {width}"))
-    ranges = checkpointed(
-        df.select(ord_col).distinct()
-        .repartitionByRange(ord_col)
-        .withColumn("_bucket", F.spark_partition_id().cast("long"))
-    )
-    return ranges if df.columns == [ord_col] else df.join(ranges, ord_col)
+    width = (hi - lo) // ORD_BUCKETS + 1
+    limit = min(BUCKET_ROWS, max(1024, n >> 10))
+
+    def lower(start: Column, step: Column) -> Column:
+        # Decimals, because a difference of two BIGINT values may not be one.
+        exact = F.col(ord_col) if hi - lo < 1 << 62 else F.col(ord_col).cast("decimal(38,0)")
+        return (exact - F.pmod(exact - start, step)).cast("long")
+
+    out = df.withColumn("_bucket", lower(F.lit(lo), F.lit(width)))
+    if hi - lo < SPARSE * n and (width == 1 or width <= BUCKET_ROWS):
+        return out
+    while True:
+        # Only numbers of large buckets come to the driver, at most n / limit rows.
+        large = (out.groupBy("_bucket").agg(F.count(F.lit(1)).alias("n"), F.min(ord_col).alias("lo"),
+                                            F.max(ord_col).alias("hi"))
+                 .filter((F.col("n") > limit) & (F.col("lo") < F.col("hi"))).collect())
+        if not large:
+            return out
+        steps = [(r["_bucket"], r["lo"],
+                  (r["hi"] - r["lo"]) // max(16, 4 * r["n"] // limit) + 1) for r in large]
+        inner = df.sparkSession.createDataFrame(steps, "_large bigint, _lo bigint, _step bigint")
+        out = (out.join(F.broadcast(inner), F.col("_bucket") == F.col("_large"), "left")
+               .withColumn("_bucket", F.when(F.col("_large").isNull(), F.col("_bucket"))
+                           .otherwise(lower(F.col("_lo"), F.col("_step"))))
+               .drop("_large", "_lo", "_step"))
 
 
 def with_hash_bucket(df: DataFrame, hash_col: str) -> DataFrame:
@@ -119,7 +137,8 @@ def with_hash_bucket(df: DataFrame, hash_col: str) -> DataFrame:
 def bucket_offsets(bucketed: DataFrame) -> DataFrame:
     """Rows per bucket with the number of rows before it (``start``) and the total (``n``).
 
-    The table has one row per bucket, at most 65,536, so its single-task window is bounded.
+    The table has one row per bucket (at most 65,536 and 20 for each ``BUCKET_ROWS`` rows of the
+    input), so its single-task window is bounded.
     """
     running = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     everything = Window.partitionBy()

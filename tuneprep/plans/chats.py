@@ -468,11 +468,29 @@ def variant_expand(t: Tables) -> DataFrame:
     return G.expand_variants(t.pairs()).select("ord", "instruction", "output")
 
 
-@query("""
+def _swaps(name: str, source: str, rounds: list[tuple[int, int, int]]) -> str:
+    """CTEs that apply the rounds to column ``x``, a number below ``n``; the last is ``name``."""
+    out = []
+    for i, (k, a, b) in enumerate(rounds):
+        last = i == len(rounds) - 1
+        out.append(f"""
+{name if last else f"{name}{i}"} AS (
+    SELECT ord, pos, n, CASE WHEN ((m * m) % {G.PRIME} // 16384) % 2 = 1 THEN y ELSE x END AS x
+    FROM (SELECT *, (greatest(x, y) % {G.PRIME} * {a} + {b}) % {G.PRIME} AS m
+          FROM (SELECT *, ({k} % n - x + n) % n AS y FROM {source})))""")
+        source = f"{name}{i}"
+    return ",".join(out)
+
+
+@query(f"""
 WITH ranked AS (SELECT *, row_number() OVER (ORDER BY ord) - 1 AS pos, count(*) OVER () AS n
-                FROM v_pairs)
+                FROM v_pairs),
+places AS (SELECT ord, pos, n, pos AS x FROM ranked),{
+    _swaps("place", "places", G.swap_rounds(17)[::-1])},
+following AS (SELECT ord, pos, n, (x + 1) % n AS x FROM place),{
+    _swaps("partner", "following", G.swap_rounds(17))}
 SELECT a.ord AS ord_a, b.ord AS ord_b, a.instruction AS "user", b.output AS assistant
-FROM ranked a JOIN ranked b ON b.pos = (a.pos + 1 + 16 % (a.n - 1)) % a.n
+FROM partner p JOIN ranked a ON a.pos = p.pos JOIN ranked b ON b.pos = p.x
 WHERE a.instruction <> b.instruction OR a.output <> b.output""")
 def mix_pairs(t: Tables) -> DataFrame:
     return G.mix_pairs(t.pairs(), seed=17)
