@@ -1,3 +1,5 @@
+import dataclasses
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -109,6 +111,26 @@ def test_recommendation(spark):
     assert "7.0B 参数" in got[0].reason and "显存充裕（需 6GB，有 12GB）" in got[0].reason
 
 
+def test_recommendation_for_unknown_keys_and_other_cards(spark):
+    schema = "id string, task string, language string, level string, vram_gb double"
+    rows = spark.createDataFrame([
+        ("known", "chat", "zh", "intermediate", 24.0), ("none", None, None, "intermediate", 24.0),
+        ("other", "x", "x", "intermediate", 24.0), ("level", "chat", "zh", None, 24.0),
+        ("memory", "chat", "zh", "expert", None), ("small", "chat", "zh", "expert", 0.5)], schema)
+    got = {}
+    for r in R.recommend(rows, 50).orderBy("id", "rank").collect():
+        got.setdefault(r.id, []).append((r.display_name, r.score, r.method))
+    assert got["none"] == got["other"] == got["known"]
+    assert {n for n, _, _ in got["level"]} == {n for n, _, _ in got["known"]}
+    points = dict((n, s) for n, s, _ in got["known"])
+    assert all(points[n] - s in (5.0, 10.0) for n, s, _ in got["level"])
+    assert "memory" not in got and "small" not in got
+    cards = default_cards()
+    bare = dataclasses.replace(cards[0], training={"full": cards[0].training["full"]})
+    only = R.recommend(rows, 50, [bare, cards[1]]).collect()
+    assert {r.display_name for r in only} == {cards[1].display_name}
+
+
 @pytest.mark.parametrize("params,method,batch,seq,want", [
     (7.0, "qlora", 2, 1024, [3.26, 0.39, 0.36, 0.00, 0.99, 5.00]),
     (7.0, "lora", 2, 2048, [13.04, 0.39, 0.72, 0.00, 2.46, 16.61]),

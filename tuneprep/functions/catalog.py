@@ -87,7 +87,7 @@ CARD_SCHEMA = (
 )
 
 
-def _config(values: MethodSettings) -> dict:
+def card_config(values: MethodSettings) -> dict:
     return {k: v for k, v in asdict(values).items() if k != "min_vram_gb"}
 
 
@@ -101,7 +101,7 @@ def card_column(cards: list[Card]) -> Column:
             **asdict(c), "ord": i,
             "sources": [{"platform": p, "id": s} for p, s in c.sources],
             "training": [
-                {"method": m, "min_vram_gb": s.min_vram_gb, "config": _config(s)}
+                {"method": m, "min_vram_gb": s.min_vram_gb, "config": card_config(s)}
                 for m, s in c.training.items()
             ],
         }
@@ -119,7 +119,7 @@ def best_method(card: Column, vram_gb: Column) -> Column:
     """Struct(method, config): most demanding method that fits, in qlora < lora < full order."""
     fitting = F.filter(card["training"], lambda m: m["min_vram_gb"] <= vram_gb)
     chosen = F.element_at(fitting, -1)
-    default_config = F.from_json(F.lit(json.dumps(_config(DEFAULT_SETTINGS))), CONFIG)
+    default_config = F.from_json(F.lit(json.dumps(card_config(DEFAULT_SETTINGS))), CONFIG)
     default = F.struct(F.lit(METHODS[0]).alias("method"), default_config.alias("config"))
     insufficient = F.struct(
         F.lit("insufficient").alias("method"), F.lit(None).cast(CONFIG).alias("config")

@@ -1,125 +1,137 @@
 """Model recommendation for a batch of requests.
 
-The card table is a short constant, so each request scores all cards inside its own row:
-filter, score, sort and cut are array expressions and no request is ever shuffled.
+What a card is worth does not depend on the request alone: its points for every language, task
+and level, its fixed reason texts and the settings that its listed source matches are worked out
+once per card. A request then looks them up by the places of its keys, adds the points for memory,
+sorts and cuts inside its own row; no request is ever shuffled.
 """
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tuneprep.functions.catalog import best_method, card_column, match_card
+from tuneprep.functions.catalog import CONFIG, best_method, card_config
 from tuneprep.functions.text import fill_template
 from tuneprep.rules import terms
 from tuneprep.rules.cards import Card, FIRST_HUB, SECOND_HUB, default_cards
 
-
-def _strings(values: list[str]) -> Column:
-    return F.array(*[F.lit(v) for v in values])
-
-
-def _by_key(key: Column, table: dict[str, list[str]], default: str) -> Column:
-    out = _strings(table[default])
-    for name, values in table.items():
-        out = F.when(key == name, _strings(values)).otherwise(out)
-    return out
-
-
-def _least_vram(card: Column) -> Column:
-    return F.element_at(F.filter(card["training"], lambda m: m["method"] == "qlora"), 1)[
-        "min_vram_gb"
-    ]
-
-
-def _level_score(level: Column, params: Column) -> Column:
-    return (
-        F.when((level == "beginner") & (params <= 3.0), 10.0)
-        .when((level == "beginner") & (params <= 7.0), 5.0)
-        .when(level == "intermediate", F.when(params.between(3.0, 14.0), 10.0).otherwise(5.0))
-        .when(level == "advanced", F.when(params.between(7.0, 40.0), 10.0).otherwise(5.0))
-        .otherwise(0.0)
-    )
-
-
-def _score(card: Column) -> Column:
-    vram = F.col("vram_gb")
-    place = F.array_position(F.col("_families"), card["family"])
-    language = (
-        F.when(place > 0, 35.0 - (place - 1) * 7.0)
-        .when(~F.array_contains(_strings(terms.LANGUAGE_FAMILIES["en"]), card["family"]), 10.0)
-        .otherwise(0.0)
-    )
-    task = F.least(F.lit(30.0), 10.0 * F.size(F.array_intersect(F.col("_tags"), card["tags"])))
-    ratio = _least_vram(card) / F.greatest(vram, F.lit(1.0))
-    fit = F.when(ratio <= 0.3, 20.0).when(ratio <= 0.5, 15.0).when(ratio <= 0.7, 10.0) \
-        .otherwise(5.0)
-    hubs = (
-        F.when(F.exists(card["sources"], lambda s: s["platform"] == FIRST_HUB), 3.0).otherwise(0.0)
-        + F.when(F.exists(card["sources"], lambda s: s["platform"] == SECOND_HUB), 2.0)
-        .otherwise(0.0)
-    )
-    return F.round(language + task + fit + _level_score(F.col("level"), card["params_b"]) + hubs, 1)
+LANGUAGES, TASKS = list(terms.LANGUAGE_FAMILIES), list(terms.TASK_TAGS)
+LEVELS = list(terms.LEVEL_MAX_PARAMS)
+TABLE = (
+    "array<struct<ord:int,least:double,allowed:array<boolean>,language:array<double>,"
+    "task:array<double>,level:array<double>,hubs:double,display_name:string,platform:string,"
+    "source:string,params:string,need:string,zh:boolean,en:boolean,"
+    f"listed:struct<training:array<struct<method:string,min_vram_gb:double,config:{CONFIG}>>>>>"
+)
+
+
+def _language_points(card: Card, language: str) -> float:
+    families = terms.LANGUAGE_FAMILIES[language]
+    if card.family in families:
+        return terms.LANGUAGE_POINTS - terms.LANGUAGE_STEP * families.index(card.family)
+    return 0.0 if card.family in terms.LANGUAGE_FAMILIES["en"] else terms.OTHER_FAMILY_POINTS
+
+
+def _task_points(card: Card, task: str) -> float:
+    shared = set(terms.TASK_TAGS[task]) & set(card.tags)
+    return min(terms.TASK_MOST, terms.TASK_POINTS * len(shared))
+
+
+def _level_points(card: Card, level: str | None) -> float:
+    for low, high, points in terms.LEVEL_POINTS.get(level, []):
+        if low <= card.params_b <= high:
+            return points
+    return 0.0
+
+
+def _matched(source: str, cards: list[Card]) -> Card | None:
+    """The card whose longest pattern is contained in the id; of equal lengths the first."""
+    found = [(-len(p), i) for i, c in enumerate(cards) for p in c.patterns if p in source.lower()]
+    return cards[min(found)[1]] if found else None
+
+
+def _entry(place: int, card: Card, cards: list[Card]) -> dict:
+    """One card as the look-up table has it; entry 0 of an array is for keys without a row."""
+    least = card.training["qlora"].min_vram_gb if "qlora" in card.training else None
+    platform, source = card.sources[0] if card.sources else (SECOND_HUB, card.display_name)
+    hubs = {p for p, _ in card.sources}
+    listed = _matched(source, cards)
+    caps = [terms.DEFAULT_LEVEL_PARAMS, *terms.LEVEL_MAX_PARAMS.values()]
+    return {
+        "ord": place, "least": least, "allowed": [card.params_b <= cap for cap in caps],
+        "language": [_language_points(card, x) for x in (terms.DEFAULT_LANGUAGE, *LANGUAGES)],
+        "task": [_task_points(card, x) for x in (terms.DEFAULT_TASK, *TASKS)],
+        "level": [_level_points(card, x) for x in (None, *LEVELS)],
+        "hubs": terms.FIRST_HUB_POINTS * (FIRST_HUB in hubs) + terms.SECOND_HUB_POINTS * (
+            SECOND_HUB in hubs),
+        "display_name": card.display_name, "platform": platform, "source": source,
+        "params": f"{float(card.params_b)}{terms.REASON_PARAMS}",
+        "need": None if least is None else str(int(least)),
+        "zh": not set(card.tags).isdisjoint(terms.ZH_TAGS), "en": terms.EN_TAG in card.tags,
+        "listed": listed and {"training": [
+            {"method": m, "min_vram_gb": x.min_vram_gb, "config": card_config(x)}
+            for m, x in listed.training.items()]},
+    }
+
+
+def _place(key: str, names: list[str]) -> Column:
+    """One-based place of a key in the names, 0 where it is none of them."""
+    return F.coalesce(F.array_position(F.array(*[F.lit(n) for n in names]), F.col(key)),
+                      F.lit(0)).cast("int")
+
+
+def _fit_points(least: Column) -> Column:
+    ratio = least / F.greatest(F.col("vram_gb"), F.lit(1.0))
+    points = F.lit(terms.FIT_LEAST)
+    for bound, value in reversed(terms.FIT_POINTS):
+        points = F.when(ratio <= bound, value).otherwise(points)
+    return points
 
 
 def _reason(card: Column, score: Column) -> Column:
     tier = F.lit(None).cast("string")
     for bound, text in reversed(terms.SCORE_TIERS):
         tier = F.when(score >= bound, F.lit(text)).otherwise(tier)
-    zh = F.arrays_overlap(card["tags"], _strings(terms.ZH_TAGS))
-    en = F.array_contains(card["tags"], terms.EN_TAG)
-    language = F.when(F.col("language").isin("zh", "mixed") & zh, terms.REASON_ZH).when(
-        (F.col("language") == "en") & en, terms.REASON_EN
+    language = F.when(F.col("language").isin("zh", "mixed") & card["zh"], terms.REASON_ZH).when(
+        (F.col("language") == "en") & card["en"], terms.REASON_EN
     )
-    least = _least_vram(card)
-    need = least.cast("long").cast("string")
     have = F.bround(F.col("vram_gb"), 0).cast("long").cast("string")
-    values = {"need": need, "have": have}
-    memory = F.when(F.col("vram_gb") >= least * 2, fill_template(terms.REASON_AMPLE, values)) \
+    values = {"need": card["need"], "have": have}
+    memory = F.when(F.col("vram_gb") >= card["least"] * 2, fill_template(terms.REASON_AMPLE, values)) \
         .otherwise(fill_template(terms.REASON_TIGHT, values))
-    params = F.concat(card["params_b"].cast("string"), F.lit(terms.REASON_PARAMS))
-    return F.concat_ws(terms.REASON_JOINER, tier, language, params, memory)
+    return F.concat_ws(terms.REASON_JOINER, tier, language, card["params"], memory)
 
 
 def recommend(requests: DataFrame, k: int = 5, cards: list[Card] | None = None) -> DataFrame:
     """Top ``k`` cards per request (task, language, level, vram_gb), ranked from 1."""
     cards = cards or default_cards()
-    cap = F.lit(terms.DEFAULT_LEVEL_PARAMS)
-    for level, bound in terms.LEVEL_MAX_PARAMS.items():
-        cap = F.when(F.col("level") == level, F.lit(bound)).otherwise(cap)
-    prepared = (
-        requests.withColumn("_families", _by_key(F.col("language"), terms.LANGUAGE_FAMILIES, "zh"))
-        .withColumn("_tags", _by_key(F.col("task"), terms.TASK_TAGS, "chat"))
-        .withColumn("_cap", cap)
-    )
-    table = card_column(cards)
-    eligible = F.filter(
-        table, lambda c: (c["params_b"] <= F.col("_cap")) & (_least_vram(c) <= F.col("vram_gb"))
-    )
-    scored = F.transform(eligible, lambda c: F.struct(
-        (-_score(c)).alias("sort_score"), c["ord"].alias("ord")
-    ))
+    table = F.from_json(F.lit(json.dumps(
+        [_entry(i, c, cards) for i, c in enumerate(cards)], ensure_ascii=False)), TABLE)
+    prepared = requests.select(
+        "*", _place("language", LANGUAGES).alias("_language"), _place("task", TASKS).alias("_task"),
+        _place("level", LEVELS).alias("_level"))
+    eligible = F.filter(table, lambda c: F.get(c["allowed"], F.col("_level"))
+                        & (c["least"] <= F.col("vram_gb")))
+    scored = F.transform(eligible, lambda c: F.struct((-F.round(
+        F.get(c["language"], F.col("_language")) + F.get(c["task"], F.col("_task"))
+        + _fit_points(c["least"]) + F.get(c["level"], F.col("_level")) + c["hubs"], 1))
+        .alias("sort_score"), c["ord"].alias("ord")))
     top = F.slice(F.sort_array(scored), 1, k)
-    rows = prepared.select("*", F.posexplode_outer(top).alias("_pos", "_s")).filter(
-        F.col("_pos").isNotNull()
-    ).withColumn(
-        "_card", F.get(table, F.col("_s.ord"))
-    )
+    rows = prepared.select("*", F.posexplode(top).alias("_pos", "_s")).withColumn(
+        "_card", F.get(table, F.col("_s.ord")))
     card, score = F.col("_card"), -F.col("_s.sort_score")
-    source = F.get(card["sources"], 0)
-    fallback = F.struct(F.lit(SECOND_HUB).alias("platform"), card["display_name"].alias("id"))
-    source = F.coalesce(source, fallback)
+    best = best_method(card["listed"], F.col("vram_gb"))
     return rows.select(
         *requests.columns,
         (F.col("_pos") + 1).alias("rank"),
         card["display_name"].alias("display_name"),
-        source["id"].alias("model_id"),
-        source["platform"].alias("source_platform"),
+        card["source"].alias("model_id"),
+        card["platform"].alias("source_platform"),
         score.alias("score"),
         _reason(card, score).alias("reason"),
-        source["id"].alias("_source"),
-    ).withColumn(
         # The settings are those of the card that the listed source matches.
-        "_best", best_method(match_card(F.col("_source"), cards), F.col("vram_gb"))
-    ).withColumn("method", F.col("_best.method")).withColumn(
-        "config", F.col("_best.config")).drop("_source", "_best")
+        best["method"].alias("method"),
+        best["config"].alias("config"))
