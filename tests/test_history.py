@@ -127,6 +127,18 @@ def test_run_report(spark):
     assert got["s"].failed and not got["r"].failed
 
 
+def test_run_report_first_loss_zero(spark):
+    losses = {"up": ("0.00", "5.0"), "down": ("0.00", "-2.0"), "zero": ("0.00", "0.00"), "r": ("2.0", "1.0")}
+    lines = spark.createDataFrame(
+        [(run, i, '{"loss": %s}' % x) for run, both in losses.items() for i, x in enumerate(both)],
+        "run_id string, ord bigint, line string")
+    runs = spark.createDataFrame([(run, "R", 1.5) for run in losses],
+                                 "run_id string, name string, params_b double")
+    got = {r.run_id: (r.drop_pct, r.failed) for r in MO.run_report(runs, lines).collect()}
+    infinite = float("inf")
+    assert got == {"up": (-infinite, False), "down": (infinite, False), "zero": (None, True), "r": (50.0, False)}
+
+
 def test_loss_deltas(spark):
     rows = [("a", s, 2.0 - s / 100) for s in (1, 7, 20, 33, 40, 47)]
     metrics = spark.createDataFrame(rows, "experiment_id string, step bigint, loss double")

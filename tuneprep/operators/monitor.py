@@ -120,14 +120,18 @@ def run_summary(lines: DataFrame) -> DataFrame:
 
 
 def run_report(runs: DataFrame, lines: DataFrame) -> DataFrame:
-    """One row per run (run_id, name, params_b): losses, drop and a failed flag."""
+    """One row per run (run_id, name, params_b): losses, drop and a failed flag.
+
+    The drop from a first loss of zero is infinite, as by IEEE division.
+    """
     joined = runs.join(run_summary(lines), "run_id", "left")
     failed = F.coalesce(F.col("final_loss"), F.lit(0.0)) == 0
+    drop = F.col("initial_loss") - F.col("final_loss")
+    share = F.when(F.col("initial_loss") == 0, F.signum(drop) * float("inf")).otherwise(
+        F.try_divide(drop, F.col("initial_loss")))
     return joined.select(
         "run_id", "name", "params_b", "initial_loss", "final_loss", "duration", "steps",
-        F.when(~failed, (F.col("initial_loss") - F.col("final_loss")) / F.col("initial_loss") * 100)
-        .alias("drop_pct"),
-        failed.alias("failed"),
+        F.when(~failed, share * 100).alias("drop_pct"), failed.alias("failed"),
     )
 
 
