@@ -1,5 +1,8 @@
 """Substring de-duplication against a dictionary of all windows."""
 
+import tracemalloc
+
+import pyarrow as pa
 import samples
 
 from tuneprep.llm import substrings
@@ -50,3 +53,22 @@ def test_small_chunks(spark, monkeypatch):
 
 def test_empty(spark):
     assert without_repeats(samples.table(spark, [])).count() == 0
+
+
+def test_small_pieces(spark, monkeypatch):
+    monkeypatch.setattr(substrings, "CHUNK_WORDS", 50)
+    monkeypatch.setattr(substrings, "PIECE_WORDS", 400)
+    monkeypatch.setattr(substrings, "OUT_BYTES", 300)
+    check(spark, mixed()[:80] + mixed()[-12:])
+
+
+def test_memory_does_not_follow_the_batch():
+    """A batch of two million words: words are held for a chunk, hashes for a piece."""
+    texts = pa.array([" ".join(f"w{i}x{k}" for k in range(2000)) for i in range(1000)])
+    tracemalloc.start()
+    hashed = (substrings.hashed_windows(words, 13)[:2] for _, words in substrings.chunks(texts))
+    sizes = [len(h1) for h1, _ in substrings.pieces(hashed, 1 << 18)]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(sizes) == 1000 * 1988 and len(sizes) > 4
+    assert peak < 60e6      # 20 MB; 136 MB with chunks of 2**20 words

@@ -10,9 +10,12 @@ is kept of it is one bit per cell. The bits are broadcast: two rows of at most 2
 cells, whatever the input. Larger inputs take several rounds, each over one class of hashes with a
 sketch of its own, so the share of false estimates does not grow with the input.
 
-Before the shuffle of the second pass, each batch keeps one row per window, that of its smallest
-id; its other rows are known to repeat already. So a window that a third of all documents share
-is one row per batch, not a hot group. The grouping itself streams over sorted rows.
+Before the shuffle of the second pass, each piece of a batch keeps one row per window, that of its
+smallest id; its other rows are known to repeat already. So a window that a third of all documents
+share is one row per piece, not a hot group. The grouping itself streams over sorted rows.
+
+Texts stay in Arrow's buffers. Words are held as objects for ``CHUNK_WORDS`` words at a time, and
+hashes for ``PIECE_WORDS``, so a task's memory does not follow the number of words in a batch.
 
 Defined results: a null text has no words; rows without an id come after all ids; rows with the
 same id never remove each other's words; repeated rows get equal results; texts shorter than a
@@ -27,14 +30,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tuneprep.llm.common import frozen, map_with_ids, plain_columns, with_default
+from tuneprep.llm.common import frozen, plain_columns, with_default
 
 PARTS = 256                 # parts per sketch row
 BYTES_PER_WORD = 6
-CHUNK_WORDS = 1 << 20
+CHUNK_WORDS = 1 << 17
+PIECE_WORDS = 1 << 22
+OUT_BYTES = 8 << 20         # of texts in an output batch
 LAST_ID = (1 << 63) - 1
 ROW_FACTORS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 M1, M2 = np.uint64(0x100000001B3), np.uint64(0xD6E8FEB86659FD93)
@@ -69,11 +75,11 @@ def hashed_windows(texts: list[list[bytes]], size: int) -> tuple[np.ndarray, ...
             .view(np.int32), number, inside - begins[number])
 
 
-def chunks(texts) -> Iterator[tuple[int, list[list[bytes]]]]:
+def chunks(texts: pa.Array) -> Iterator[tuple[int, list[list[bytes]]]]:
     """Word lists of successive texts, about ``CHUNK_WORDS`` words at a time, with their start."""
     start, held, words = 0, [], 0
     for at, text in enumerate(texts):
-        held.append(text.encode("utf-8", "surrogatepass").split())
+        held.append(text.as_buffer().to_pybytes().split())
         words += len(held[-1])
         if words >= CHUNK_WORDS:
             yield start, held
@@ -82,6 +88,20 @@ def chunks(texts) -> Iterator[tuple[int, list[list[bytes]]]]:
         yield start, held
 
 
+def pieces(found: Iterator[tuple[np.ndarray, ...]], words: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """Successive arrays joined to pieces of about ``words`` entries of the first column."""
+    held: list[tuple[np.ndarray, ...]] = []
+    total = 0
+    for columns in found:
+        held.append(columns)
+        total += len(columns[0])
+        if total >= words:
+            yield tuple(map(np.concatenate, zip(*held)))
+            held, total = [], 0
+    if total:
+        yield tuple(map(np.concatenate, zip(*held)))
+
+
 def cells_of(hashes: np.ndarray, row: int, bits: int) -> np.ndarray:
     return (_mixed(hashes * ROW_FACTORS[row]) >> np.uint64(64 - bits)).astype(np.uint32)
 
@@ -101,24 +121,25 @@ def sketch(base: DataFrame, size: int, bits: int, classes: int, turn: int) -> di
     """Bits per sketch row: whether a cell was met twice or more."""
     span = max(1, (1 << bits) // PARTS)
 
-    def local(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cells(texts: pa.Array) -> Iterator[tuple[np.ndarray, ...]]:
+        for _, words in chunks(texts):
+            h1, h2, _, _ = hashed_windows(words, size)
+            if classes > 1:
+                h1 = h1[h2.view(np.uint32) % classes == turn]
+            yield cells_of(h1, 0, bits), cells_of(h1, 1, bits)
+
+    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found: list[list[np.ndarray]] = [[], []]
-            for _, texts in chunks(batch["text"]):
-                h1, h2, _, _ = hashed_windows(texts, size)
-                if classes > 1:
-                    h1 = h1[h2.view(np.uint32) % classes == turn]
-                for row in (0, 1):
-                    found[row].append(cells_of(h1, row, bits))
-            for row in (0, 1):
-                cells = np.sort(np.concatenate(found[row])) if found[row] else np.zeros(0, np.uint32)
-                if not len(cells):
-                    continue
-                parts = cells // np.uint32(span)
-                cuts = np.flatnonzero(parts[1:] != parts[:-1]) + 1
-                yield pd.DataFrame({
-                    "part": row * PARTS + parts[np.concatenate([[0], cuts])].astype(np.int64),
-                    "data": [_packed(c % np.uint32(span)) for c in np.split(cells, cuts)]})
+            for found in pieces(cells(batch.column("text")), PIECE_WORDS):
+                for row, numbers in enumerate(found):
+                    numbers.sort()
+                    parts = numbers // np.uint32(span)
+                    cuts = np.flatnonzero(parts[1:] != parts[:-1]) + 1
+                    numbers %= np.uint32(span)
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array(row * PARTS + parts[np.concatenate([[0], cuts])].astype(np.int64)),
+                        pa.array([_packed(c) for c in np.split(numbers, cuts)], pa.binary())],
+                        ["part", "data"])
 
     def merged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now, once, twice = None, None, None
@@ -135,7 +156,7 @@ def sketch(base: DataFrame, size: int, bits: int, classes: int, turn: int) -> di
         if now is not None:
             yield pd.DataFrame({"part": [now], "data": [np.packbits(twice).tobytes()]})
 
-    parts = (base.select("text").mapInPandas(local, "part bigint, data binary")
+    parts = (base.select("text").mapInArrow(local, "part bigint, data binary")
              .repartition("part").sortWithinPartitions("part")
              .mapInPandas(merged, "part bigint, data binary"))
     width = (span + 7) // 8
@@ -159,31 +180,30 @@ def repeated(base: DataFrame, size: int, bits: int, classes: int, turn: int) ->
             hit &= (byte >> (np.uint8(7) - (cell & np.uint32(7)).astype(np.uint8))) & 1 == 1
         return hit
 
-    def suspects(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def windows(ids: np.ndarray, texts: pa.Array) -> Iterator[tuple[np.ndarray, ...]]:
+        for start, words in chunks(texts):
+            h1, h2, number, _ = hashed_windows(words, size)
+            keep = met_twice(h1)
+            if classes > 1:
+                keep &= h2.view(np.uint32) % classes == turn
+            yield h1[keep].view(np.int64), h2[keep], ids[start + number[keep]]
+
+    def suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch["id"].to_numpy(dtype=np.int64)
-            found = []
-            for start, texts in chunks(batch["text"]):
-                h1, h2, number, at = hashed_windows(texts, size)
-                keep = met_twice(h1)
-                if classes > 1:
-                    keep &= h2.view(np.uint32) % classes == turn
-                found.append((h1[keep].view(np.int64), h2[keep], ids[start + number[keep]]))
-            if not found:
-                continue
-            h1, h2, doc = (np.concatenate(c) for c in zip(*found))
-            order = np.lexsort((doc, h2, h1))
-            h1, h2, doc = h1[order], h2[order], doc[order]
-            new, again = np.ones(len(h1), bool), np.zeros(len(h1), bool)
-            new[1:] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
-            again[1:] = ~new[1:] & (doc[1:] == doc[:-1])
-            first = doc[np.flatnonzero(new)][np.cumsum(new) - 1]
-            known = doc > first
-            # One row per window and batch goes to the window's place; the others are dealt evenly.
-            key = np.where(known, _mixed((h1 ^ doc).view(np.uint64)).view(np.int64), h1)
-            rows = pd.DataFrame({"known": known, "h1": key, "h2": h2, "id": doc,
-                                 "spot": np.where(known, h1, 0)})
-            yield rows[~again]
+            ids = batch.column("id").to_numpy()
+            for h1, h2, doc in pieces(windows(ids, batch.column("text")), PIECE_WORDS // 4):
+                order = np.lexsort((doc, h2, h1))
+                h1, h2, doc = h1[order], h2[order], doc[order]
+                new, again = np.ones(len(h1), bool), np.zeros(len(h1), bool)
+                new[1:] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
+                again[1:] = ~new[1:] & (doc[1:] == doc[:-1])
+                first = doc[np.flatnonzero(new)][np.cumsum(new) - 1]
+                known = doc > first
+                # One row per window and piece goes to its place; the others are dealt evenly.
+                key = np.where(known, _mixed((h1 ^ doc).view(np.uint64)).view(np.int64), h1)
+                columns = {"known": known, "h1": key, "h2": h2, "id": doc,
+                           "spot": np.where(known, h1, 0)}
+                yield pa.RecordBatch.from_pydict({k: pa.array(v[~again]) for k, v in columns.items()})
 
     def resolved(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last = None
@@ -201,7 +221,7 @@ def repeated(base: DataFrame, size: int, bits: int, classes: int, turn: int) ->
             spot = np.where(known, batch["spot"].to_numpy(), h1)
             yield pd.DataFrame({"id": doc[out], "spot": spot[out]})
 
-    rows = base.mapInPandas(suspects, "known boolean, h1 bigint, h2 int, id bigint, spot bigint")
+    rows = base.mapInArrow(suspects, "known boolean, h1 bigint, h2 int, id bigint, spot bigint")
     return (rows.repartition("h1", "h2").sortWithinPartitions("known", "h1", "h2", "id")
             .mapInPandas(resolved, "id bigint, spot bigint"))
 
@@ -222,27 +242,38 @@ def without_repeats(docs: DataFrame, size: int = 13, max_bits: int = 29, doc_id:
         found = found.union(repeated(inputs, size, bits, classes, turn))
     spots = frozen(found.groupBy("id").agg(F.collect_list("spot").alias("spots")), "repeats")
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for key, value, marks in zip(batch["doc_id"], batch["text"], batch["spots"]):
-                raw = value.encode("utf-8", "surrogatepass")
-                words = raw.split()
-                keep = np.ones(len(words), bool)
-                if marks is not None and len(marks):
-                    h1, _, _, at = hashed_windows([words], size)
-                    at = at[np.isin(h1.view(np.int64), np.asarray(marks, dtype=np.int64))]
-                    edges = np.zeros(len(words) + 1, np.int64)
-                    np.add.at(edges, at, 1)
-                    np.add.at(edges, np.minimum(at + size, len(words)), -1)
-                    keep = np.cumsum(edges)[:-1] == 0
-                    words = [w for w, k in zip(words, keep) if k]
-                rows.append((key, len(keep), int(len(keep) - len(words)),
-                             b" ".join(words).decode("utf-8", "surrogatepass")))
-            out = pd.DataFrame(rows, columns=["doc_id", "n_words", "n_removed", "kept"])
-            yield out.astype({"doc_id": batch["doc_id"].dtype})
+            start, sizes, removed, kept, held = 0, [], [], [], 0
+
+            def out(end: int) -> pa.RecordBatch:
+                return pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id").slice(start, end - start), pa.array(sizes, pa.int64()),
+                     pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).view(pa.string())],
+                    ["doc_id", "n_words", "n_removed", "kept"])
+
+            for at, (value, marks) in enumerate(zip(batch.column("text"), batch.column("spots"))):
+                words = value.as_buffer().to_pybytes().split()
+                sizes.append(len(words))
+                if marks.is_valid and len(marks):
+                    words = uncovered(words, marks.values.to_numpy())
+                removed.append(sizes[-1] - len(words))
+                kept.append(b" ".join(words))
+                held += len(kept[-1])
+                if held >= OUT_BYTES:
+                    yield out(at + 1)
+                    start, sizes, removed, kept, held = at + 1, [], [], [], 0
+            if sizes:
+                yield out(batch.num_rows)
+
+    def uncovered(words: list[bytes], marks: np.ndarray) -> list[bytes]:
+        h1, _, _, at = hashed_windows([words], size)
+        at = at[np.isin(h1.view(np.int64), marks)]
+        edges = np.zeros(len(words) + 1, np.int64)
+        np.add.at(edges, at, 1)
+        np.add.at(edges, np.minimum(at + size, len(words)), -1)
+        return [w for w, k in zip(words, np.cumsum(edges)[:-1] == 0) if k]
 
     marked = base.join(spots, "id", "left").select("doc_id", "text", "spots")
-    return map_with_ids(
-        marked, cut, "doc_id", "doc_id {}, n_words bigint, n_removed bigint, kept string")
-
+    kind = marked.schema["doc_id"].dataType.simpleString()
+    return marked.mapInArrow(cut, f"doc_id {kind}, n_words bigint, n_removed bigint, kept string")
