@@ -77,3 +77,56 @@ def test_delete_cascades_and_empties(spark, store, tmp_path):
     store.delete(store.table("experiments").select("id"))
     # The null id is left, and the metric that came for a removed experiment.
     assert [store.table(n).count() for n in TABLES] == [1, 0, 1]
+
+
+def test_delete_and_insert_compute_their_rows_once(spark, store):
+    """Rows that every operation reads: a table's once for its new content, requests once to judge them."""
+    def counted(rows, name, seen):
+        def count(batches):
+            for batch in batches:
+                seen[name].add(batch.num_rows)
+                yield batch
+        return rows.mapInArrow(count, rows.schema)
+
+    class Watched(ExperimentStore):
+        def table(self, name, touched=None):
+            rows = super().table(name, touched)
+            return rows if touched is None else counted(rows, name, seen)
+
+    seen = {name: spark.sparkContext.accumulator(0) for name in (*TABLES, "new")}
+    watched = Watched(spark, store.path, store.buckets)
+    watched.delete(spark.createDataFrame([(f"e{i}",) for i in range(500)], "id string"))
+    # One count for frequent keys, one pass for the new content.
+    assert {name: seen[name].value for name in TABLES} == {
+        "experiments": 500 + len(rows(store, "experiments")), "checkpoints": 200, "metrics": 2000}
+    assert [store.table(n).count() for n in TABLES] == [1, 0, 0]
+
+
+def test_rejected_rows_are_judged_once(spark, store):
+    new = spark.createDataFrame([(0, "e3", "m"), (1, "n1", "m"), (2, "n1", "m2"), (None, "n2", "m")],
+                                "ord bigint, id string, model_id string")
+    rejected = store.insert(new)
+    assert sorted((r["ord"] is None, r["ord"]) for r in rejected.collect()) == [(False, 0), (False, 2), (True, None)]
+    assert all("judged" in f for f in rejected.inputFiles())
+
+
+def test_insert_leaves_what_is_there(spark, store, tmp_path):
+    before = files(store, tmp_path)["experiments"]
+    store.insert(spark.range(2000).selectExpr("id AS ord", "concat('n', id) AS id", "'m' AS model_id"))
+    after = files(store, tmp_path)["experiments"]
+    assert all(names < after[bucket] for bucket, names in before.items())
+    assert store.table("experiments").count() == 2501
+
+
+def test_frequent_keys_are_broadcast(spark):
+    """The list of frequent keys is broadcast, so that the many rows are dealt out once."""
+    from tuneprep.operators.ranking import salted_join
+    many = spark.range(1000).selectExpr("id % 7 AS k", "id AS ord")
+    one = spark.range(5).selectExpr("id AS k")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = salted_join(many, one, "k", ["ord"], "left_anti", hot_rows=100)
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("BroadcastHashJoin") == 2 and joined.count() == 285
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

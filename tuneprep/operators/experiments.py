@@ -5,6 +5,8 @@ Tables are plain DataFrames in and out; the caller writes the result as a new ta
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -52,12 +54,21 @@ def with_config(rows: DataFrame, config: str = "config_json") -> DataFrame:
 
 
 def insert_experiments(base: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(table after the insert, rejected rows). An id already present, or repeated within the
-    batch, is rejected; ``new.ord`` (unique) gives the batch order. Missing values of an accepted
-    row take ``INSERT_DEFAULTS``; it was last updated when it was created."""
+    """(table after the insert, rejected rows); see ``accepted_experiments``."""
+    accepted, rejected = accepted_experiments(base, new)
+    return base.unionByName(accepted, allowMissingColumns=True), rejected
+
+
+def accepted_experiments(base: DataFrame, new: DataFrame, freeze: Callable[[DataFrame], DataFrame] | None
+                         = None) -> tuple[DataFrame, DataFrame]:
+    """(rows to add, rejected rows). An id already present, or repeated within the batch, is
+    rejected; ``new.ord`` (unique) gives the batch order. Missing values of an accepted row take
+    ``INSERT_DEFAULTS``; it was last updated when it was created. ``freeze`` may write the judged
+    rows, which both results read, so that they are found once."""
     firsts = new.groupBy("id").agg(F.min("ord").alias("ord")).join(
         base.select("id"), "id", "left_anti").select("ord", F.lit(True).alias("_ok"))
     flagged = new.join(firsts, "ord", "left")
+    flagged = freeze(flagged) if freeze else flagged
     rejected = flagged.filter(F.col("_ok").isNull()).drop("_ok")
     accepted = flagged.filter(F.col("_ok"))
 
@@ -70,7 +81,7 @@ def insert_experiments(base: DataFrame, new: DataFrame) -> tuple[DataFrame, Data
         "created_at", created)
     prepared = with_config(filled).withColumns({
         "status": F.lit("initialized"), "updated_at": F.col("created_at")}).drop("ord", "_ok")
-    return base.unionByName(prepared, allowMissingColumns=True), rejected
+    return prepared, rejected
 
 
 def update_experiments(base: DataFrame, updates: DataFrame) -> DataFrame:

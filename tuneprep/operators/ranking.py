@@ -193,11 +193,11 @@ def salted_join(many: DataFrame, one: DataFrame, key: str, spread_on: list[str],
     """Join where ``many`` may hold very frequent keys and ``one`` has a row per key.
 
     Keys with more than ``hot_rows`` rows are spread over ``salts`` tasks and only their partner
-    row is repeated. The list of such keys comes from a count that is combined map-side; how it
-    is joined is left to Spark, by its size.
+    row is repeated. The list of such keys comes from a count that is combined map-side; it has
+    at most one key per ``hot_rows`` rows and is broadcast, so ``many`` moves once.
     """
-    hot = many.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter(
-        F.col("_n") > hot_rows).select(key, F.lit(True).alias("_hot"))
+    hot = F.broadcast(many.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter(
+        F.col("_n") > hot_rows).select(key, F.lit(True).alias("_hot")))
     salt = F.pmod(F.xxhash64(*[F.col(c) for c in spread_on]), F.lit(salts)).cast("int")
     spread = many.join(hot, key, "left").withColumn(
         "_salt", F.when(F.col("_hot"), salt).otherwise(0)).drop("_hot")

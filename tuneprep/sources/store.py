@@ -1,8 +1,9 @@
 """A stored experiment history whose operations rewrite only what they change.
 
 The three tables are Parquet partitioned by a bucket of the experiment's id (a hash modulo
-``buckets``). An operation finds the buckets of its ids (at most ``buckets`` numbers), reads those
-folders only, and replaces them by dynamic partition overwrite; all other files stay as they are.
+``buckets``). An operation finds the buckets of its ids (at most ``buckets`` numbers) and reads those
+folders only. Updates and deletes replace them by dynamic partition overwrite, inserts add files;
+all other files stay as they are.
 Bytes read and written therefore follow the number of ids, not the size of the history. A bucket
 with many rows, as one busy experiment makes it, is split between tasks when it is written.
 
@@ -15,6 +16,7 @@ from __future__ import annotations
 
 import functools
 import json
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tuneprep.operators.experiments import (
-    delete_experiments, insert_experiments, update_experiments,
+    accepted_experiments, delete_experiments, update_experiments,
 )
 from tuneprep.session import scratch_path
 from tuneprep.sources.files import delete_path
@@ -70,29 +72,36 @@ class ExperimentStore:
 
     def touched(self, ids: DataFrame, owner: str = "id") -> list[int]:
         """Buckets of the ids."""
-        return self._buckets(ids.where(F.col(owner).isNotNull()), owner)
-
-    def _buckets(self, rows: DataFrame, owner: str) -> list[int]:
-        numbers = rows.select(self._bucket(owner).alias(BUCKET)).distinct()
+        numbers = ids.where(F.col(owner).isNotNull()).select(self._bucket(owner).alias(BUCKET)).distinct()
         return sorted(r[0] for r in numbers.collect())
 
     def _shrink(self, name: str, rows: DataFrame, touched: list[int]) -> None:
-        """Make ``rows`` the content of the buckets; those left without rows go."""
-        left = self._buckets(rows, OWNERS[name])
-        if left:
-            self._write(name, rows, "overwrite")
-        for bucket in set(touched) - set(left):
+        """Make ``rows`` the content of the buckets; those left without rows go.
+
+        The rows are computed once: a bucket that still has a file from before got no rows.
+        """
+        before = set(self.table(name).inputFiles())
+        self._write(name, rows, "overwrite")
+        kept = before.intersection(self.table(name).inputFiles())
+        still = {int(n) for file in kept for n in re.findall(rf"/{BUCKET}=(\d+)/", file)}
+        for bucket in still.intersection(touched):
             delete_path(self.spark, f"{self.path}/{name}/{BUCKET}={bucket}")
 
     def insert(self, new: DataFrame) -> DataFrame:
-        """Add experiments (see ``insert_experiments``); returns the rejected rows."""
+        """Add experiments (see ``accepted_experiments``); returns the rejected rows."""
         touched = self.touched(new)
-        after, rejected = insert_experiments(self.table("experiments", touched), new)
-        path = scratch_path(self.spark, "rejected")
-        rejected.write.parquet(path)  # before the table that it was found with changes
-        if touched:
-            self._write("experiments", after, "overwrite")
-        return self.spark.read.schema(rejected.schema).parquet(path)
+
+        def written(rows: DataFrame) -> DataFrame:  # before the table that it is judged by changes
+            path = scratch_path(self.spark, "judged")
+            rows.write.parquet(path)
+            return self.spark.read.schema(rows.schema).parquet(path)
+
+        base = self.table("experiments", touched)
+        accepted, rejected = accepted_experiments(base, new, written)
+        if touched:  # what is there stays as it is
+            self._write("experiments", base.where("false").unionByName(
+                accepted, allowMissingColumns=True), "append")
+        return rejected
 
     def update(self, updates: DataFrame) -> None:
         """Change experiments (see ``update_experiments``)."""
