@@ -3,10 +3,14 @@
 import math
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 import samples
 from pyspark.sql import functions as F
 
+from tuneprep.llm import common, ngrams
 from tuneprep.llm.ngrams import FOLDS, ModelOptions, fold_of, score
 
 OPTIONS = ModelOptions(vocabulary=300, max_bigrams=500)
@@ -97,3 +101,46 @@ def test_all_words_and_bigrams_are_kept(spark):
             n, target, background = want[r["doc_id"]]
             assert r["n_tokens"] == n and r["target_loss"] == pytest.approx(target)
             assert r["difference"] == pytest.approx(target - background)
+
+
+@pytest.mark.parametrize("options", [ModelOptions(), ModelOptions(frequent=3), OPTIONS])
+def test_many_chunks_and_buckets_without_a_written_model(spark, monkeypatch, options):
+    """Texts are shuffled once, each chunk sends a bigram once, and no table of bigrams is written."""
+    def written(*_):
+        raise AssertionError("a table was written")
+
+    monkeypatch.setattr(common, "scratch_path", written)
+    monkeypatch.setattr(ngrams, "CHUNK_CHARS", 10_000)
+    monkeypatch.setattr(ngrams, "BUCKET_CHARS", 15_000)
+    rows = [(k, t) for k, t, _ in samples.documents()] + [
+        (10**6 + k, "the " * 50 + f"word{k} the " * (k % 4)) for k in range(40)]
+    docs = samples.table(spark, rows)
+    good = {k for k, _ in rows if k % 3 == 0}
+    labels = spark.createDataFrame([(k, int(k in good)) for k, _ in rows], "doc_id bigint, quality int")
+    folded = [tuple(r) for r in docs.select("doc_id", "text", fold_of(F.col("text"))).collect()]
+    full = ModelOptions(vocabulary=options.vocabulary or 10**9, max_bigrams=options.max_bigrams or 10**9)
+    want = {k: v for k, *v in plain(folded, good, full)}
+    found = score(docs, labels, options)
+    got = found.collect()
+    assert len(got) == len(rows)
+    for r in got:
+        n, target, background = want[r["doc_id"]]
+        assert r["n_tokens"] == n and r["target_loss"] == pytest.approx(target)
+        assert r["difference"] == pytest.approx(target - background)
+    assert "ReusedExchange" in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_bigram_is_sent_once():
+    places = ngrams.Places(5, np.sort(ngrams.hashes(["a", "b"])))
+    rows = pa.table({"chunk": pa.array([3] * 15, pa.int32()), "fold": pa.array([1] * 15, pa.int32()),
+                     "doc_id": [2, None, *[1] * 13], "text": ["A b", None, *["a b a b c"] * 12, None],
+                     "good": [False] * 14 + [True]})
+    sent = ngrams.asked(rows, None, places)
+    assert sent["bucket"].to_pylist() == [0, 1, 2, 3, 4]
+    kind = ngrams.kinds(*[pc.list_value_length(sent[c]).to_numpy() for c in ("words", "next")])
+    target, background = (n[kind == 1] for n in ngrams.unpacked(sent))
+    before = np.repeat(ngrams.flat(sent["words"]), ngrams.flat(sent["sizes"]))
+    found = list(zip(before, ngrams.flat(sent["next"]), target, background))
+    a, b, c = ngrams.hashes(["a", "b", "c"])
+    assert sorted(found) == sorted([(ngrams.BEGIN, a, 12, 1), (a, b, 24, 1), (b, a, 12, 0), (b, c, 12, 0)])
+    assert [n[kind == 0].sum() for n in ngrams.unpacked(sent)] == [12, 1]
