@@ -128,3 +128,31 @@ def test_snapshots_follow_growing_logs(spark, tmp_path, monkeypatch, expire):
     rows = spark.read.parquet(str(tmp_path / "out" / "updates" / "version=4")).collect()
     assert [r["experiment_id"] for r in rows] == ["b"]
     assert json.loads(rows[0]["snapshot"])["points"] == (2 if expire == 1 else 15)
+
+
+def test_logs_are_written_as_a_partitioned_table_is(spark, tmp_path):
+    """Same folders and lines as Spark's writer, also for names to escape; one file per task and log."""
+    names = ["a", "b=c/d", "50%", "", None, "é中", "[x]\\"]
+    rows = [(n, i, None if i == 3 else f"line {i} of {n} é" * (i % 4)) for n in names for i in range(50)]
+    lines = spark.createDataFrame(rows, "run string, ord int, line string")
+
+    def contents(path):
+        return {d.name: "".join(f.read_text() for f in sorted(d.iterdir()) if f.name[0] not in "._")
+                for d in path.iterdir() if d.is_dir()}
+
+    parts = lines.repartition(3, "run")
+    parts.sortWithinPartitions("run", "ord").select("run", "line").write.partitionBy("run").text(str(tmp_path / "spark"))
+    for _ in range(2):  # again: the files are replaced
+        G.write_logs(parts, str(tmp_path / "ours"), "run", "ord")
+    got, want = contents(tmp_path / "ours"), contents(tmp_path / "spark")
+    null = "run=__HIVE_DEFAULT_PARTITION__"
+    assert sorted(got.pop(null).split("\n")) == sorted(want.pop(null).split("\n"))
+    assert got == want and len(got) == 5
+    assert [f.name[:5] for f in (tmp_path / "ours" / "run=a").iterdir()] == ["part-"]
+
+
+def test_a_log_longer_than_a_batch_is_one_file(spark, tmp_path):
+    lines = spark.range(25_000).selectExpr("'e' AS run", "id AS ord", "'line ' || id AS line").coalesce(1)
+    G.write_logs(lines, str(tmp_path), "run", "ord")
+    (file,) = (tmp_path / "run=e").iterdir()
+    assert file.read_text() == "".join(f"line {i}\n" for i in range(25_000))

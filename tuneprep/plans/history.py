@@ -12,6 +12,7 @@ from tuneprep.plans.registry import query
 from tuneprep.plans.tables import Tables
 from tuneprep.rules.terms import SAMPLE_LIMITS, DICT_LINE, SAMPLE_BLOCK
 from tuneprep.session import scratch_path
+from tuneprep.sources.growing import write_logs
 from tuneprep.sources.store import ExperimentStore
 from tuneprep.streaming import progress as SP
 
@@ -336,7 +337,7 @@ def stream_progress(t: Tables) -> DataFrame:
     # A set number of partitions: one file per experiment takes time, however few bytes it has.
     parts = int(t.spark.conf.get("spark.sql.shuffle.partitions"))
     lines = t.log_lines().repartition(parts, "experiment_id")
-    lines.sortWithinPartitions("experiment_id", "ord").select("experiment_id", "line").write.partitionBy("experiment_id").text(logs)
+    write_logs(lines, logs, "experiment_id", "ord")
     out = scratch_path(t.spark, "snapshots")
     SP.write_snapshots(SP.log_stream(t.spark, f"{logs}/*"), out, scratch_path(t.spark, "offsets"),
                        availableNow=True).awaitTermination()

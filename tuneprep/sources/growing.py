@@ -1,5 +1,7 @@
 """A streaming source of our own: the lines of log files that grow while they are read.
 
+``write_logs`` writes a table of lines as such files, one folder per log.
+
 An offset is a listing: length and modification time of every file that matches. A batch reads the
 bytes between two listings in ranges of at most ``range_bytes``, so that one big file is read by
 many tasks and many small ones by one. A range yields the lines whose line break lies in it, with
@@ -23,10 +25,13 @@ from __future__ import annotations
 import ast
 import fnmatch
 import json
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
@@ -39,6 +44,13 @@ BLOCK = 1 << 20
 ROWS = 10_000
 
 
+def system_of(path: str) -> tuple[fs.FileSystem, str]:
+    """File system and path in it."""
+    if "://" in path or path.startswith("file:"):
+        return fs.FileSystem.from_uri(path)
+    return fs.LocalFileSystem(), path
+
+
 def closed(text: bytes) -> bool:
     """Whether the text is one complete JSON or dictionary object."""
     body = text.strip()
@@ -103,9 +115,7 @@ class GrowingLinesReader(DataSourceStreamReader):
         self.path, self.range_bytes, self.tasks = path.rstrip("/"), range_bytes, tasks
 
     def _system(self, path: str) -> tuple[fs.FileSystem, str]:
-        if "://" in path or path.startswith("file:"):
-            return fs.FileSystem.from_uri(path)
-        return fs.LocalFileSystem(), path
+        return system_of(path)
 
     def _matches(self, path: str, wanted: list[str]) -> bool:
         """Whether a file, or its folder, matches the pattern part by part."""
@@ -190,3 +200,49 @@ def growing_lines(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES
     spark.dataSource.register(GrowingLines)
     return (spark.readStream.format(FORMAT).option("range_bytes", range_bytes)
             .option("tasks", spark.sparkContext.defaultParallelism).load(path))
+
+
+def folder_name(key: str, value: str | None) -> str:
+    """``<key>=<value>`` as Spark names the folders of a partitioned table."""
+    if not value:
+        return f"{key}=__HIVE_DEFAULT_PARTITION__"
+    return f"{key}=" + re.sub("[\\x00-\\x1f\\x7f\"#%'*/:=?\\\\{\\[\\]^]",
+                              lambda found: f"%{ord(found[0]):02X}", value)
+
+
+def write_logs(lines: DataFrame, path: str, key: str, order: str) -> None:
+    """Write lines as ``<path>/<key>=<value>/part-<n>.log``, each partition's in the given order.
+
+    Tasks write the files themselves, one per key and partition, and no driver moves them, so the time
+    per file is that of the file system. A file has a hidden name until it is complete; a repeated task
+    replaces its files.
+    """
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, root = system_of(path)
+        context = TaskContext.get()
+        name, hidden = f"part-{context.partitionId():05d}.log", f"_{context.taskAttemptId()}.log"
+        folder, file = None, None
+
+        def close() -> None:
+            if file is not None:
+                file.close()
+                system.move(f"{folder}/{hidden}", f"{folder}/{name}")
+
+        for batch in batches:
+            values, texts = batch.column(0), pc.fill_null(batch.column(1), "")
+            runs = pc.run_end_encode(values)
+            begin = 0
+            for value, end in zip(runs.values.to_pylist(), runs.run_ends.to_pylist()):
+                at = f"{root}/{folder_name(key, value)}"
+                if at != folder:
+                    close()
+                    folder = at
+                    system.create_dir(folder)
+                    file = system.open_output_stream(f"{folder}/{hidden}")
+                file.write(("\n".join(texts[begin:end].to_pylist()) + "\n").encode())
+                begin = end
+        close()
+        yield from ()
+
+    lines.sortWithinPartitions(key, order).select(key, "line").mapInArrow(write, "written int").write.format(
+        "noop").mode("overwrite").save()
